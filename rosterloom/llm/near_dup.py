@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import cut, stored, with_row_id
+from rosterloom.llm.shared import cut, few, stored, with_row_id
 from rosterloom.llm.words import grams, mix, slices, word_table
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -31,8 +31,6 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: A shingle found n times weighs 1 + REPEAT * ln(n).
 REPEAT = 0.25
-#: Up to so many row numbers (8 bytes each) are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,11 +127,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """``rows``, broadcast if there are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _bound(a: str, b: str):
     """The most that the similarity of two nodes can be, by their shingle counts and those that others have too."""
     common = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
@@ -155,7 +148,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     full = stored(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket"))
     members = stored(entries.join(full, "bucket"))
     active = cut(members.select("node").distinct())
-    sets = rows.select(F.col("_row").alias("node"), "text").join(_few(active), "node").mapInArrow(_shingle_sets, "node long, shingles array<long>")
+    sets = rows.select(F.col("_row").alias("node"), "text").join(few(active), "node").mapInArrow(_shingle_sets, "node long, shingles array<long>")
     sets = stored(sets)
     # Shingles that no other active node has can't be common with one.
     alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).filter("n = 1")
@@ -212,4 +205,4 @@ def without_near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> D
     """``documents`` with one row of each class, as it is."""
     rows = signed(documents)
     gone = cut(classes(rows, similar).filter("_row != class_row").select("_row"))
-    return rows.join(_few(gone), "_row", "left_anti").select(*documents.columns)
+    return rows.join(few(gone), "_row", "left_anti").select(*documents.columns)

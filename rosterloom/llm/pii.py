@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import cut, let, stored, with_row_id
+from rosterloom.llm.shared import cut, few, let, stored, with_row_id
 
 #: The kinds in their order. The patterns are the contract's, with guards and
 #: possessive repeats that match the same and keep the time linear on long runs.
@@ -30,6 +30,8 @@ TOKEN = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
 #: Rounds over the graph; least share of known instances and least number of known instances of
 #: a good pattern; least certainty of a new instance.
 ROUNDS, PRECISION, SUPPORT, CERTAIN = 3, 0.6, 5, 0.8
+#: Up to so many texts' found spans are broadcast; beyond it they are joined by shuffle.
+BROADCAST_TEXTS = 100_000
 #: Context is looked for within so many characters of a token.
 NEAR = 40
 
@@ -126,7 +128,7 @@ def find_spans(documents: DataFrame, keep: list[str] | None = None) -> DataFrame
     extra = mentions.filter("seed < 0").select("_row", "start", "end", "instance").join(found, "instance")
     extra = cut(extra.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(extra, "_row", "left").select(*keep, "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
+    return rows.join(few(extra, BROADCAST_TEXTS), "_row", "left").select(*keep, "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 
 
 def span_text(spans: str) -> Column:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Up to so many narrow rows (a number or two each) are broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +48,20 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, marked for broadcast if there are at most ``most`` of them; beyond that Spark joins by shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def without_rows(documents: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``documents`` without the rows whose ``_row`` ``rejected(numbered documents)`` returns.
+
+    The numbered rows are written once, so that both readings see the same numbers.
+    """
+    numbered = stored(with_row_id(documents))
+    return numbered.join(few(cut(rejected(numbered).select("_row"))), "_row", "left_anti").select(*documents.columns)
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id as text, mod 5, is 0: such rows are never learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
