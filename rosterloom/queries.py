@@ -16,6 +16,7 @@ from rosterloom.functions import dates, hours, text, validate
 from rosterloom.operators import classify, documents, keys, lookup, markup, reshape, templates, update
 from rosterloom.plans import pipeline, program, trees
 from rosterloom.schema import ColumnRef, best_format, format_match
+from rosterloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,6 +642,13 @@ def q_grouping_sets(spark, sf_dir):
     return rows.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2")
+def q_stream_windows(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = ingest.read_rows(spark, f"{sf_dir}/events.parque[t]", schema)  # as a pattern: a stream's path may not be one file
+    return ingest.run_once(ingest.windowed_counts(stream, "ts", "event_type", late="365 days"))
+
+
 # Programs and the whole run
 
 
