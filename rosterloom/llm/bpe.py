@@ -16,6 +16,7 @@ import tempfile
 import uuid
 from array import array
 from collections import Counter
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -25,52 +26,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.pretokens import Vocabulary, pretokens
+from rosterloom.llm.shared import stored
 
-#: Words in the lexicon: a model size, the same for every input.
-LEXICON_WORDS = 1 << 16
+#: Least share of all pre-tokens that puts a word into the lexicon, which so has at most 1 / SHARE words.
+SHARE = 1 / (1 << 17)
 #: Longer words stay out of the lexicon.
 WORD_BYTES = 48
 #: Words whose ids a Python worker remembers between lookups, and distinct words counted before partial counts are sent on.
-MEMO, PARTIAL = 1 << 18, 1 << 18
+MEMO, PARTIAL = 3 << 18, 1 << 18
 #: From this length on a word is merged with a heap.
 HEAP_FROM = 48
 
 
-def merge(word: bytes, single: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(word: bytes, of: Vocabulary) -> list[int]:
     """Ids of one pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
-    ids = [single[b] for b in word]
+    ids = list(map(of.single.__getitem__, word))
     if len(ids) >= HEAP_FROM:
-        return _merge_long(ids, merges)
-    while len(ids) > 1:
-        best, at = None, 0
-        for i in range(len(ids) - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found is not None and (best is None or found < best):
-                best, at = found, i
-        if best is None:
+        return _merge_long(ids, of)
+    rank, made, none = of.ranks.get, of.made, len(of.made)
+    ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+    while ranks:
+        least = min(ranks)
+        if least == none:
             break
-        ids[at : at + 2] = [best[1]]
+        i = ranks.index(least)
+        ids[i] = new = made[least]
+        del ids[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = rank(new << 32 | ids[i + 1], none)
+        if i:
+            ranks[i - 1] = rank(ids[i - 1] << 32 | new, none)
     return ids
 
 
-def _merge_long(ids: list[int], merges) -> list[int]:
+def _merge_long(ids: list[int], of: Vocabulary) -> list[int]:
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     queue = []
 
     def offer(i):
         j = after[i]
-        if j < n and (found := merges.get((ids[i], ids[j]))) is not None:
-            heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
+        if j < n and (rank := of.ranks.get(ids[i] << 32 | ids[j])) is not None:
+            heapq.heappush(queue, (rank, i, ids[i], ids[j]))
 
     for i in range(n - 1):
         offer(i)
     while queue:
-        _, i, a, b, new = heapq.heappop(queue)
+        rank, i, a, b = heapq.heappop(queue)
         j = after[i]
         if ids[i] != a or j >= n or ids[j] != b:
             continue
-        ids[i], ids[j], after[i] = new, -1, after[j]
+        ids[i], ids[j], after[i] = of.made[rank], -1, after[j]
         if after[i] < n:
             before[after[i]] = i
         offer(i)
@@ -79,6 +85,83 @@ def _merge_long(ids: list[int], merges) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class PairRanks:
+    """Ranks of pairs of ids as an open hash table in numpy, for many words at once."""
+
+    def __init__(self, of: Vocabulary):
+        keys = np.fromiter(of.ranks, np.uint64, len(of.ranks))
+        ranks = np.fromiter(of.ranks.values(), np.int32, len(of.ranks))
+        self.none, self._bits = np.int32(len(of.made)), max(4, int(len(keys) * 4).bit_length())
+        size = 1 << self._bits
+        self._keys, self._ranks = np.full(size, np.uint64(2**64 - 1)), np.full(size, self.none, np.int32)
+        at, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):  # each free place takes one of the keys that want it; the rest move on
+            free = self._keys[at[todo]] == np.uint64(2**64 - 1)
+            places, one = np.unique(at[todo][free], return_index=True)
+            taken = todo[free][one]
+            self._keys[places], self._ranks[places] = keys[taken], ranks[taken]
+            todo = np.setdiff1d(todo, taken, assume_unique=True)
+            at[todo] = (at[todo] + 1) & (size - 1)
+        self.made, self.single = np.array(of.made, np.int32), np.array(of.single, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def get(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+        at = self._place(keys)
+        out, todo = np.full(len(keys), self.none, np.int32), np.arange(len(keys))
+        while len(todo):
+            seen = self._keys[at[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self._ranks[at[todo[hit]]]
+            todo = todo[~hit & (seen != np.uint64(2**64 - 1))]
+            at[todo] = (at[todo] + 1) & (len(self._keys) - 1)
+        return out
+
+
+def merge_many(words: list[bytes], ranks: PairRanks) -> list[bytes]:
+    """Ids of pre-tokens of 1 to WORD_BYTES bytes as little-endian 32-bit integers; a round merges one pair in every word."""
+    if not words:
+        return []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    wide = int(sizes.max())
+    inside = np.arange(wide) < sizes[:, None]
+    ids = np.zeros((len(words), wide), np.int32)
+    ids[inside] = ranks.single[np.frombuffer(b"".join(words), np.uint8)]
+    alive = inside.copy()
+    after = np.tile(np.arange(1, wide + 1, dtype=np.int32), (len(words), 1))
+    before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), (len(words), 1))
+    pairs = np.full((len(words), wide), ranks.none)
+    row, at = np.nonzero(inside[:, 1:])
+    pairs[row, at] = ranks.get(ids[row, at], ids[row, at + 1])
+    row = np.arange(len(words))
+    while len(row):
+        block = pairs[row]
+        at = block.argmin(axis=1)  # the leftmost of equals
+        best = block[np.arange(len(row)), at]
+        on = best < ranks.none
+        row, at, best = row[on], at[on], best[on]
+        if not len(row):
+            break
+        gone = after[row, at]
+        ids[row, at], alive[row, gone], pairs[row, gone] = ranks.made[best], False, ranks.none
+        after[row, at] = follow = after[row, gone]
+        pairs[row, at] = ranks.none
+        more = follow < sizes[row]
+        r, a, f = row[more], at[more], follow[more]
+        before[r, f] = a
+        pairs[r, a] = ranks.get(ids[r, a], ids[r, f])
+        back = before[row, at] >= 0
+        r, a = row[back], at[back]
+        b = before[r, a]
+        pairs[r, b] = ranks.get(ids[r, b], ids[r, a])
+    flat = ids[alive].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The automaton file: states as ranges of arcs (label, target, count of words before it), then the id sequences by word number."""
     register: dict[tuple, int] = {}
@@ -141,36 +224,65 @@ class Lexicon:
             at += size
         self._first, self._final, self._target, self._skip, self._end = (p.cast("I") for p in parts[:5])
         self._ids, self._labels = parts[5], at - sizes[6]
+        self._seen: dict[int, tuple[int, int] | None] = {}  # arcs read so far
+
+    def _arc(self, key: int) -> tuple[int, int] | None:
+        state, base = key >> 8, self._labels
+        arc = self._map.find(bytes((key & 255,)), base + self._first[state], base + self._first[state + 1]) - base
+        self._seen[key] = found = (self._target[arc], self._skip[arc]) if arc >= 0 else None
+        return found
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None."""
-        state, number, base = self._start, 0, self._labels
-        find, first, skip, target = self._map.find, self._first, self._skip, self._target
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
-            if arc < 0:
+        state, number, seen = self._start, 0, self._seen
+        for b in word:
+            key = state << 8 | b
+            arc = seen[key] if key in seen else self._arc(key)
+            if arc is None:
                 return None
-            number += skip[arc]
-            state = target[arc]
+            state, passed = arc
+            number += passed
         if not self._final[state]:
             return None
         return bytes(self._ids[4 * self._end[number] : 4 * self._end[number + 1]])
 
 
-class _Memo(dict):
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self._of, self._lexicon = vocabulary, lexicon
+class Encoder:
+    """Encodes texts in one Python worker: remembered words, then the lexicon, then merging."""
 
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = self._lexicon.get(data) if len(data) <= WORD_BYTES else None
-        if ids is None:
-            ids = np.array(merge(data, self._of.single, self._of.merges), "<u4").tobytes()
-        if len(data) <= WORD_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self._of, self._lexicon, self._ranks = vocabulary, lexicon, PairRanks(vocabulary)
+        self._memo: dict[str, bytes] = {}
+        self._added = {t: array("I", [i]).tobytes() for t, i in vocabulary.added.items()}
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Remember the ids of ``words``; return those that are too long to be kept."""
+        unseen, long = [], []
+        for word in words:
+            data = word.encode()
+            if len(data) > WORD_BYTES:
+                long.append(word)
+                self._memo[word] = array("I", merge(data, self._of)).tobytes()
+            elif (ids := self._lexicon.get(data)) is not None:
+                self._memo[word] = ids
+            else:
+                unseen.append(word)
+        unseen.sort(key=len)  # words of a block are of about one length
+        for i in range(0, len(unseen), 1 << 12):
+            part = unseen[i : i + (1 << 12)]
+            self._memo.update(zip(part, merge_many([w.encode() for w in part], self._ranks)))
+        return long
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        memo, added = self._memo, self._added
+        cuts = [[(p, None if p in added else pretokens(p)) for p in (self._of.cut(t) if any(a in t for a in added) else [t])] for t in texts]
+        if len(memo) > MEMO:
+            memo.clear()
+        long = self._learn({w for parts in cuts for _, words in parts if words for w in filterfalse(memo.__contains__, words)})
+        out = [b"".join(added[p] if words is None else b"".join(map(memo.__getitem__, words)) for p, words in parts) for parts in cuts]
+        for word in long:
+            del memo[word]
+        return out
 
 
 _loaded: dict[str, object] = {}
@@ -184,10 +296,12 @@ def _once(key: str, make):
 
 
 def _count_words(batches):
+    """Partial counts of pre-tokens; a null word has their total."""
     counts: Counter = Counter()
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        total = sum(counts.values())
+        return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([total, *counts.values()], pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch.column(0):
@@ -196,26 +310,26 @@ def _count_words(batches):
                 if len(counts) >= PARTIAL:
                     yield rows()
                     counts.clear()
-    if counts:
-        yield rows()
+    yield rows()
 
 
-def frequent_words(documents: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pre-tokens of all texts, ties by the word; ``words`` of them at most."""
-    counted = documents.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = counted.filter(F.octet_length("word") <= WORD_BYTES)
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+def frequent_words(documents: DataFrame, share: float = SHARE) -> list[str]:
+    """The pre-tokens that make up at least ``share`` of all pre-tokens of all texts."""
+    counted = stored(documents.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.filter("word IS NULL").agg(F.sum("n").alias("n")).first().n or 0
+    counted = counted.filter((F.col("n") >= max(1, share * total)) & (F.octet_length("word") <= WORD_BYTES))
+    return [r.word for r in counted.select("word").collect()]
 
 
 class Codec:
     """Encoder and decoder columns for one tokenizer file and one lexicon."""
 
-    def __init__(self, documents: DataFrame, tokenizer_file: str, words: int = LEXICON_WORDS):
+    def __init__(self, documents: DataFrame, tokenizer_file: str, share: float = SHARE):
         with open(tokenizer_file, encoding="utf-8") as file:
             text = file.read()
         context = documents.sparkSession.sparkContext
         vocabulary = Vocabulary(text)
-        chosen = {w.encode(): merge(w.encode(), vocabulary.single, vocabulary.merges) for w in frequent_words(documents, words)}
+        chosen = {w.encode(): merge(w.encode(), vocabulary) for w in frequent_words(documents, share)}
         self._name = f"lexicon-{uuid.uuid4().hex}.bin"
         path = os.path.join(tempfile.mkdtemp(), self._name)
         with open(path, "wb") as file:
@@ -228,18 +342,9 @@ class Codec:
         name, file = self._name, self._file
 
         def run(texts: pd.Series) -> pd.Series:
-            vocabulary = _once(f"v{file.id if hasattr(file, 'id') else name}", lambda: Vocabulary(file.value))
-            memo = _once(name, lambda: _Memo(vocabulary, Lexicon(SparkFiles.get(name))))
-            ids = memo.__getitem__
-            added = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.added.items()}
-            out = []
-            for text in texts:
-                if not text:
-                    out.append(b"")
-                    continue
-                parts = vocabulary.cut(text) if any(t in text for t in added) else [text]
-                out.append(b"".join(added.get(p) or b"".join(map(ids, pretokens(p))) for p in parts))
-            return pd.Series(out, dtype=object)
+            encoder = _once(name, lambda: Encoder(_once(f"vocabulary {name}", lambda: Vocabulary(file.value)), Lexicon(SparkFiles.get(name))))
+            texts = [t or "" for t in texts]
+            return pd.Series([ids for i in range(0, len(texts), 512) for ids in encoder.encode(texts[i : i + 512])], dtype=object)
 
         return F.pandas_udf(run, "binary")(text)
 
@@ -248,17 +353,17 @@ class Codec:
         name, file = self._name, self._file
 
         def run(column: pd.Series) -> pd.Series:
-            vocabulary = _once(f"v{file.id if hasattr(file, 'id') else name}", lambda: Vocabulary(file.value))
+            vocabulary = _once(f"vocabulary {name}", lambda: Vocabulary(file.value))
             token = vocabulary.bytes.__getitem__
             return pd.Series([b"".join(map(token, array("I", x or b""))).decode("utf-8", "replace") for x in column], dtype=object)
 
         return F.pandas_udf(run, "string")(ids)
 
 
-def encode_decode(documents: DataFrame, tokenizer_file: str, words: int = LEXICON_WORDS) -> DataFrame:
+def encode_decode(documents: DataFrame, tokenizer_file: str, share: float = SHARE) -> DataFrame:
     """``documents`` with ``ids`` (binary) and ``decoded``; every row is kept, columns of these names are replaced.
 
     Null and empty texts have no ids and decode to an empty text; repeated rows are encoded each.
     """
-    codec = Codec(documents, tokenizer_file, words)
+    codec = Codec(documents, tokenizer_file, share)
     return documents.withColumn("ids", codec.encode(F.col("text"))).withColumn("decoded", codec.decode(F.col("ids")))

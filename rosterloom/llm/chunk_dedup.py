@@ -1,10 +1,11 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes of each text; a cut lies where the hash of the last 32
+A gear hash rolls over the bytes of each text; a cut lies where the hash of the last 16
 bytes falls under a mask and is the smallest such hash within ``APART`` bytes. Cuts so
-depend on nearby bytes only: an insertion moves no cut farther on. Chunks are compared by
-digest, and a run of neighbouring repeated chunks of ``LEAST`` bytes or more is a repeated
-passage. The first place of a chunk in the corpus stays, later ones can be removed.
+depend on nearby bytes only: an insertion moves no cut farther on. A chunk is two
+neighbouring pieces between cuts, and chunks overlap by one piece. Chunks are compared by
+digest, and a run of repeated chunks of ``LEAST`` bytes or more is a repeated passage. The
+first place of a chunk in the corpus stays, later ones can be removed.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from rosterloom.llm.shared import cut, stored, with_row_id
 from rosterloom.llm.words import BYTE_HASH, slices
 
-#: Bytes that a hash looks back on (fixed by its 32 bits); bits of the mask (a cut offered every 32
-#: bytes on average); least distance of cuts; greatest size of a chunk.
-WINDOW, MASK_BITS, APART, GREATEST = 32, 5, 24, 8192
-#: Bytes of neighbouring repeated chunks that make a repeated passage: about 20 words, so that a
-#: passage of 50 words shows even if its first and last chunk differ.
-LEAST = 120
+#: Bytes that the low WINDOW bits of a hash look back on; bits of the mask (a cut offered every 16
+#: bytes on average); least distance of cuts; greatest size of a piece.
+WINDOW, MASK_BITS, APART, GREATEST = 16, 4, 20, 8192
+#: Bytes of overlapping repeated chunks that make a repeated passage: about 17 words, so that a
+#: passage of 50 words shows even where its first and last pieces differ.
+LEAST = 100
 
 _GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 
@@ -42,8 +43,8 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where chunks end, for all texts of a slice: content cuts, text ends, and forced cuts in long chunks."""
-    h = gear(data)
-    at = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0)
+    h = gear(data) & np.uint32((1 << WINDOW) - 1)
+    at = np.flatnonzero((h >> np.uint32(WINDOW - MASK_BITS)) == 0)
     if len(at):  # the hash is whole only WINDOW bytes into a text
         owner = np.searchsorted(offsets, at, side="right") - 1
         whole = at - offsets[owner] >= WINDOW - 1
@@ -64,38 +65,35 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches):
-    """A row for each text (its size and number of chunks) and one for each chunk (place in bytes, words, digest)."""
+    """A row for each text (its size and number of chunks) and one for each chunk (place in bytes, digest)."""
     for batch in batches:
         ids, docs = batch.column(0), batch.column(1)
-        schema = pa.schema([("_row", pa.int64()), ("doc_id", docs.type), ("n_chunks", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
+        schema = pa.schema([("_row", pa.int64()), ("doc_id", docs.type), ("n_chunks", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
         for row, data, offsets in slices(batch.column(2)):
             ends = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
             starts = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
             owner = np.searchsorted(offsets, starts, side="right") - 1
-            n, take = len(offsets) - 1, pa.array(row + np.arange(len(offsets) - 1))
-            none = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays([ids.take(take), docs.take(take), pa.array(np.bincount(owner, minlength=n)), none, pa.array(np.diff(offsets).astype(np.int32)), none, pa.nulls(n, pa.binary())], schema=schema)
-            if not len(ends):
-                continue
-            whole = data.tobytes()
-            digests = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            spaces = np.concatenate(([0], np.cumsum((data == 0x20) | (data == 0x0A))))
-            none = len(ends)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array(row + owner)), pa.nulls(none, docs.type), pa.nulls(none, pa.int64()),
-                    pa.array((starts - offsets[owner]).astype(np.int32)), pa.array((ends - offsets[owner]).astype(np.int32)),
-                    pa.array((spaces[ends] - spaces[starts]).astype(np.int32)), pa.array(digests, pa.binary()),
-                ],
-                schema=schema,
-            )
+            if len(ends):  # two pieces each; a text of one piece is a chunk of it
+                last = np.append(owner[1:] != owner[:-1], True)
+                alone = last & np.append(True, owner[1:] != owner[:-1])
+                at = np.flatnonzero(~last | alone)
+                ends = np.where(alone[at], ends[at], ends[np.minimum(at + 1, len(ends) - 1)])
+                starts, owner = starts[at], owner[at]
+            n = len(offsets) - 1
+            take, none = pa.array(row + np.arange(n)), pa.nulls(n, pa.int32())
+            yield pa.RecordBatch.from_arrays([ids.take(take), docs.take(take), pa.array(np.bincount(owner, minlength=n)), none, pa.array(np.diff(offsets).astype(np.int32)), pa.nulls(n, pa.binary())], schema=schema)
+            if len(ends):
+                whole = data.tobytes()
+                digests = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                places = [pa.array((x - offsets[owner]).astype(np.int32)) for x in (starts, ends)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + owner)), pa.nulls(len(ends), docs.type), pa.nulls(len(ends), pa.int64()), *places, pa.array(digests, pa.binary())], schema=schema)
 
 
 def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, n_chunks, n_bytes, n_dup_chunks, n_removable, repeats, dup_words, passages, other_docs.
+    """One row for each row of ``documents``: doc_id, n_chunks, n_bytes, n_dup_chunks, n_removable, repeats, dup_bytes, passages, other_docs.
 
     ``passages`` are (start, end) in bytes of UTF-8 of the runs of repeated chunks, within a text
-    or across texts, and ``dup_words`` about how many words they hold; ``n_removable`` counts their
+    or across texts, and ``dup_bytes`` how many they hold; ``n_removable`` counts their
     chunks that are not the first of their digest. ``repeats`` is true if a passage is shared with
     another row; ``other_docs`` are doc_ids that share one: where its chunks come first, or last
     if they come first here. Null and empty
@@ -104,23 +102,24 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     numbered = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", "text")
-    rows = stored(numbered.mapInArrow(_chunks, f"_row long, doc_id {kind}, n_chunks long, start int, end int, words int, digest binary"))
+    rows = stored(numbered.mapInArrow(_chunks, f"_row long, doc_id {kind}, n_chunks long, start int, end int, digest binary"))
     chunks, texts = rows.filter("digest IS NOT NULL"), rows.filter("digest IS NULL")
     # Partial sums make one row of a digest in each task, however often it is there.
-    digests = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_row", "start")).alias("first"), F.max("_row").alias("last_row")).filter("n > 1")
-    digests = stored(digests.select("digest", F.col("first._row").alias("first_row"), F.col("first.start").alias("first_start"), "last_row"))
-    repeated = chunks.join(digests, "digest").select("_row", "start", "end", "words", "first_row", "first_start", "last_row")
+    place = F.struct("_row", "start")
+    digests = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    digests = stored(digests.select("digest", F.col("first._row").alias("first_row"), F.col("first.start").alias("first_start"), F.col("last._row").alias("last_row")))
+    repeated = chunks.join(digests, "digest").select("_row", "start", "end", "first_row", "first_start", "last_row")
     along = Window.partitionBy("_row").orderBy("start")
-    runs = repeated.withColumn("run", F.sum((F.col("start") != F.coalesce(F.lag("end").over(along), F.lit(-1))).cast("int")).over(along))
+    runs = repeated.withColumn("run", F.sum((F.col("start") > F.coalesce(F.lag("end").over(along), F.lit(-1))).cast("int")).over(along))
     removable = (F.col("_row") != F.col("first_row")) | (F.col("start") != F.col("first_start"))
     other = F.when(F.col("first_row") != F.col("_row"), F.col("first_row")).when(F.col("last_row") != F.col("_row"), F.col("last_row"))
     runs = runs.groupBy("_row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("n"),
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"),
         F.count(F.when(removable, 1)).alias("removable"),
-        F.sum(F.when(other.isNotNull(), F.col("end") - F.col("start"))).alias("across"), F.collect_set(other).alias("others"),
+        (F.max(F.when(other.isNotNull(), F.col("end"))) - F.min(F.when(other.isNotNull(), F.col("start")))).alias("across"), F.collect_set(other).alias("others"),
     ).filter(F.col("end") - F.col("start") >= least)
     found = runs.groupBy("_row").agg(
-        F.sum("n").alias("n_dup_chunks"), F.sum("removable").alias("n_removable"), F.sum("words").alias("dup_words"),
+        F.sum("n").alias("n_dup_chunks"), F.sum("removable").alias("n_removable"), F.sum(F.col("end") - F.col("start")).alias("dup_bytes"),
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("passages"), F.max("across").alias("across"),
         F.array_distinct(F.flatten(F.collect_list(F.when(F.col("across") >= least, F.col("others"))))).alias("others"),
     )
@@ -132,6 +131,6 @@ def repeated_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     out = texts.select("_row", "doc_id", "n_chunks", F.col("end").cast("long").alias("n_bytes")).join(found.drop("others"), "_row", "left").join(others, "_row", "left")
     none, no_docs = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast(f"array<{kind}>")
     return out.select(
-        "doc_id", "n_chunks", "n_bytes", zero("n_dup_chunks"), zero("n_removable"), F.coalesce(F.col("across") >= least, F.lit(False)).alias("repeats"), zero("dup_words"),
+        "doc_id", "n_chunks", "n_bytes", zero("n_dup_chunks"), zero("n_removable"), F.coalesce(F.col("across") >= least, F.lit(False)).alias("repeats"), zero("dup_bytes"),
         F.coalesce("passages", none).alias("passages"), F.coalesce("other_docs", no_docs).alias("other_docs"),
     )

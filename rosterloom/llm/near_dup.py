@@ -8,10 +8,11 @@ with an equal band are candidates, and candidates are linked if the Jaccard simi
 their shingle sets is high enough. Classes are the connected components of the links.
 
 Exact copies are one node. In a band's bucket no node meets all others: all are compared
-with the bucket's most typical node first (the one with the fewest shingles of its own);
-what is still in another class, and could by its counts be similar enough to a bucket
-member at all, is compared with the members of other classes. So a bucket of n similar
-texts costs n comparisons, and no link between classes is lost.
+with the bucket's most typical node first (the one with the fewest shingles of its own),
+then the rest with the most typical node of the bucket's commonest class. What is still in
+another class, and could by its counts be similar enough to a bucket member at all, is
+compared once with each such member of the other classes. So a bucket of n similar texts
+costs about n comparisons, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import cut, few, stored, with_row_id
+from rosterloom.llm.shared import aliased, cut, few, stored, with_row_id
 from rosterloom.llm.words import grams, mix, slices, word_table
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -168,17 +169,38 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     first = members.select("bucket", F.col("node").alias("x"), F.col("count").alias("u")).join(leaders, "bucket").filter((F.col("x") != F.col("y")) & (_bound("u", "v") >= similar))
     edges = verified(first)
     labels = components(edges)
-    # What may still be linked across classes: nodes whose counts allow it with the bucket's smallest set.
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named)
-    least = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("count.size").alias("least"))
-    least = stored(least.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.min("least").alias("least"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("most.label").alias("most"), "least"))
-    able = F.col("count.shared") / (F.col("count.size") + F.greatest("least", "count.shared") - F.col("count.shared")) >= similar
-    open_ = stored(named.join(least, "bucket").filter(able).select("bucket", "node", "label", "count", "most"))
-    minor = open_.filter("label != most").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("count").alias("u"))
-    other = open_.select("bucket", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"))
-    across = minor.join(other, (minor["bucket"] == other["bucket"]) & (F.col("x_label") != F.col("y_label")) & (_bound("u", "v") >= similar)).select("x", "y")
-    late = verified(across)
+    sizes = stored(members.select("node", "count").distinct())
+
+    def apart(labels: DataFrame) -> DataFrame:
+        """Bucket entries that may still be linked across classes, with their class and the bucket's commonest one."""
+        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = stored(named)
+        least = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("count.size").alias("least"))
+        least = least.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.min("least").alias("least"), F.count("*").alias("labels"))
+        least = stored(least.filter("labels > 1").select("bucket", F.col("most.label").alias("most"), "least"))
+        # By its counts, the node could be similar enough to a text as small as the bucket's smallest.
+        able = F.col("count.shared") / (F.col("count.size") + F.greatest("least", "count.shared") - F.col("count.shared")) >= similar
+        return stored(named.join(least, "bucket").filter(able).select("bucket", "node", "label", "count", "most"))
+
+    # The rest of a bucket meets the most typical node of the commonest class, wherever that node is.
+    open_ = apart(labels)
+    centres = sizes.join(labels, "node").groupBy("label").agg(F.min(typical).alias("centre"))
+    centres = cut(centres.select(F.col("label").alias("most"), F.col("centre.node").alias("y"), F.col("centre.count").alias("v")))
+    minor = open_.filter("label != most").select(F.col("node").alias("x"), F.col("count").alias("u"), "most").distinct()
+    central = verified(cut(minor).join(centres, "most").filter((F.col("x") != F.col("y")) & (_bound("u", "v") >= similar)))
+    if not central.isEmpty():
+        edges = cut(edges.unionByName(central))
+        labels = components(edges)
+        open_ = apart(labels)
+    # What is still apart meets every able node of the other classes in its buckets, each once.
+    minor = open_.filter("label != most").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
+    there = stored(open_.select("bucket", F.col("label").alias("y_label")).distinct())
+    meets = minor.join(there, "bucket").filter("x_label != y_label").select("x", "y_label").distinct()
+    able = open_.groupBy("node").agg(F.first("label").alias("label"), F.first("count").alias("count"), F.collect_set("bucket").alias("buckets"))
+    able = stored(able)
+    meets = stored(meets.join(able.select(F.col("node").alias("x"), F.col("count").alias("u"), F.col("buckets").alias("own")), "x"))
+    other = able.select(F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"), "buckets")
+    late = verified(meets.join(other, (meets["y_label"] == other["y_label"]) & (_bound("u", "v") >= similar) & F.arrays_overlap("own", "buckets")))
     if not late.isEmpty():
         labels = components(edges.unionByName(late))
     labels = cut(labels)
@@ -203,6 +225,7 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
 
 def without_near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``documents`` with one row of each class, as it is."""
-    rows = signed(documents)
+    safe, restored = aliased(documents)
+    rows = signed(safe)
     gone = cut(classes(rows, similar).filter("_row != class_row").select("_row"))
-    return rows.join(few(gone), "_row", "left_anti").select(*documents.columns)
+    return restored(rows.join(few(gone), "_row", "left_anti"))

@@ -48,5 +48,8 @@ class Vocabulary:
             if len(b) == 1 and i not in self.added.values():
                 self.single[b[0]] = i
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = list(pairs)
+        #: Rank of a merge by its pair of ids (first * 2^32 + second), and the id that each rank makes.
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]

@@ -48,6 +48,13 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def aliased(documents: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``documents`` with columns that no operator uses under names that can't clash, and what gives them back."""
+    names, known = documents.columns, {"doc_id", "text", "lang", "source"}
+    safe = [c if c in known else f"column{i}" for i, c in enumerate(names)]
+    return documents.toDF(*safe), lambda df: df.select(*safe).toDF(*names)
+
+
 def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows``, marked for broadcast if there are at most ``most`` of them; beyond that Spark joins by shuffle."""
     return F.broadcast(rows) if rows.count() <= most else rows
@@ -58,8 +65,9 @@ def without_rows(documents: DataFrame, rejected: Callable[[DataFrame], DataFrame
 
     The numbered rows are written once, so that both readings see the same numbers.
     """
-    numbered = stored(with_row_id(documents))
-    return numbered.join(few(cut(rejected(numbered).select("_row"))), "_row", "left_anti").select(*documents.columns)
+    safe, restored = aliased(documents)
+    numbered = stored(with_row_id(safe))
+    return restored(numbered.join(few(cut(rejected(numbered).select("_row"))), "_row", "left_anti"))
 
 
 def held_out(doc_id) -> F.Column:

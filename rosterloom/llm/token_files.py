@@ -17,6 +17,8 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ MAGIC = b"BPLANES1"
 #: Ids of a block.
 BLOCK = 1 << 16
 #: Pre-tokens that a Python worker remembers.
-MEMO, WORD_CHARS = 1 << 18, 64
+MEMO, WORD_CHARS = 3 << 18, 64
 _FOOTER = struct.Struct("<QQQQQ")
 
 
@@ -41,15 +43,20 @@ def pack_block(ids: np.ndarray, level: int = 3) -> list[bytes]:
     """The compressed bit planes of a block, lowest bit first."""
     squeeze = zstandard.ZstdCompressor(level=level).compress
     bits = int(ids.max()).bit_length() if len(ids) else 0
-    return [squeeze(np.packbits(((ids >> np.uint32(b)) & np.uint32(1)).astype(np.uint8)).tobytes()) for b in range(bits)]
+    size = -(-bits // 8)
+    loose = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size], axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(loose.T[:bits]), axis=1)
+    return [squeeze(plane.tobytes()) for plane in planes]
 
 
 def unpack_block(planes: list[bytes], n: int) -> np.ndarray:
-    ids = np.zeros(n, np.uint32)
-    loose = zstandard.ZstdDecompressor().decompress
+    loose, size = zstandard.ZstdDecompressor().decompress, -(-len(planes) // 8)
+    bits = np.zeros((8 * size, n), np.uint8)
     for b, plane in enumerate(planes):
-        ids |= np.unpackbits(np.frombuffer(loose(plane), np.uint8), count=n).astype(np.uint32) << np.uint32(b)
-    return ids
+        bits[b] = np.unpackbits(np.frombuffer(loose(plane), np.uint8), count=n)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :size] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+    return out.view("<u4").reshape(-1)
 
 
 class Writer:
@@ -155,8 +162,8 @@ def _encoder(text: str):
         cuts = [[(p, None if p in added else pretokens(p)) for p in (vocabulary.cut(t) if any(a in t for a in added) else [t])] for t in texts]
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for parts in cuts for _, words in parts if words for w in words} - memo.keys())
-        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        new = list({w for parts in cuts for _, words in parts if words for w in filterfalse(memo.__contains__, words)})
+        memo.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
         out = [b"".join(added[p] if words is None else b"".join(map(memo.__getitem__, words)) for p, words in parts) for parts in cuts]
         for w in new:
             if len(w) > WORD_CHARS:
@@ -184,8 +191,8 @@ def _write(folder: str, file, key: str, end_id: int, block: int):
             _encoders[key] = _encoder(file.value)
         encode = _encoders[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
                 if writer is None:
                     stream = system.open_output_stream(f"{base}/{name}")
                     writer = Writer(stream, block)
