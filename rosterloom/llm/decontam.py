@@ -139,7 +139,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, prefilter: int = P
     words, but is not counted); other columns are ignored. An empty benchmark hits nothing.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    prints = cut(benchmark.select("item_id", "text").mapInArrow(_item_prints, f"item_id {kind}, {_PRINT}").distinct())
+    # Without places: an item that repeats itself would else meet a document that does so at every pair of places.
+    prints = cut(benchmark.select("item_id", "text").mapInArrow(_item_prints, f"item_id {kind}, {_PRINT}").drop("pos").distinct())
     lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # SPAN values at most
     codes = prints.select("n", "hash").distinct()
     known = None

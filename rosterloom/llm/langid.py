@@ -63,7 +63,7 @@ def _count(batches):
                         grams[gram] += c
             n = [0] * len(words) + [g[0] for g in grams]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n)), pa.array(n, pa.int32()), pa.array([*words, *(g[1] for g in grams)], pa.string()), pa.array([*words.values(), *grams.values()], pa.int64())],
+                [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array([*words, *(g[1] for g in grams)], pa.string()), pa.array([*words.values(), *grams.values()], pa.int64())],
                 names=["lang", "n", "gram", "count"],
             )
         counts.clear()

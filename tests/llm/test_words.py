@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rosterloom.llm.words import PLAIN, SPACED, LOWER, bounds, grams, slices, word_table
@@ -15,6 +15,7 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m.group().lower(), text)
 
 
+@settings(deadline=None)
 @given(st.lists(st.none() | ALPHABET, max_size=8))
 def test_words_are_those_of_the_pattern(texts):
     for row, data, offsets in slices(pa.array(texts, pa.string())):
@@ -29,6 +30,7 @@ def test_words_are_those_of_the_pattern(texts):
             assert got == [pattern.findall(lower(t or "")) for t in texts[row : row + n]]
 
 
+@settings(deadline=None)
 @given(st.lists(ALPHABET, min_size=1, max_size=6), st.integers(1, 4))
 def test_equal_grams_have_equal_hashes(texts, n):
     (_, data, offsets), *_ = slices(pa.array(texts, pa.string()))
