@@ -12,7 +12,7 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ LONGEST = 4
 #: Added to every count.
 SMOOTH = 0.5
 #: Words whose scores a Python worker remembers, and distinct words counted before partial counts are sent on.
-MEMO, PARTIAL = 1 << 18, 1 << 17
+MEMO, PARTIAL = 1 << 19, 1 << 17
 #: N-grams are counted in words up to this length; the memo also empties at this length times its words.
 WORD_CHARS = 64
 
@@ -97,10 +97,11 @@ class Model:
         for (n, gram), i in index.items():
             self.index[n][gram] = i
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.index[0].get(word)
-        if known is not None:
-            return self.scores[known]
+    def places(self, word: str) -> list[int]:
+        """The rows that score a word: its own, or those of the longest known n-grams, place by place."""
+        whole, *_ = self.index
+        if (known := whole.get(word)) is not None:
+            return [known]
         marked, found = f"<{word}>", []
         for i in range(len(marked)):
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
@@ -108,7 +109,22 @@ class Model:
                 if at is not None:
                     found.append(at)
                     break
-        return self.scores[found].mean(axis=0) if found else np.zeros(self.scores.shape[1], np.float32)
+        return found
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: the mean of its places, zeros without any."""
+        places = list(map(self.places, words))
+        sizes = np.fromiter(map(len, places), np.int64, len(words))
+        out = np.zeros((len(words), self.scores.shape[1]), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = self.scores[np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))]
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(flat, starts, axis=0) / sizes[some, None]
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        return self.words([word])[0]
 
 
 class _Memo(dict):
@@ -117,11 +133,14 @@ class _Memo(dict):
     def __init__(self, model: Model):
         self.model, self.table, self.chars = model, np.zeros((MEMO, max(1, len(model.langs))), np.float32), 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.chars += len(word)
-        self.table[at] = self.model.word(word)
-        return at
+    def learn(self, words: list[str]) -> None:
+        """Score the words not yet remembered, all at once."""
+        new = list(set(filterfalse(self.__contains__, words)))
+        if new:
+            at = len(self)
+            self.table[at : at + len(new)] = self.model.words(new)
+            self.update(zip(new, range(at, at + len(new))))
+            self.chars += sum(map(len, new))
 
     def total(self, words: list[str]) -> np.ndarray:
         out = np.zeros(self.table.shape[1])
@@ -130,6 +149,7 @@ class _Memo(dict):
             if len(self) > MEMO // 2 or self.chars > MEMO * WORD_CHARS:
                 self.clear()
                 self.chars = 0
+            self.learn(part)
             out += self.table[list(map(self.__getitem__, part))].sum(axis=0, dtype=np.float64)
         return out
 
