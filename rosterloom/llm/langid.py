@@ -43,11 +43,9 @@ def text_words(text: str | None) -> list[str]:
     return words
 
 
-def ngrams(word: str):
+def ngrams(word: str) -> list[str]:
     marked = f"<{word}>"
-    for n in range(1, LONGEST + 1):
-        for i in range(len(marked) - n + 1):
-            yield n, marked[i : i + n]
+    return [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
 
 
 def _count(batches):
@@ -58,12 +56,16 @@ def _count(batches):
         for lang, words in counts.items():
             grams: Counter = Counter()
             for word, c in words.items():
-                if len(word) <= WORD_CHARS:
+                if len(word) > WORD_CHARS:
+                    continue
+                if c == 1:
+                    grams.update(ngrams(word))
+                else:
                     for gram in ngrams(word):
                         grams[gram] += c
-            n = [0] * len(words) + [g[0] for g in grams]
+            n = [0] * len(words) + list(map(len, grams))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array([*words, *(g[1] for g in grams)], pa.string()), pa.array([*words.values(), *grams.values()], pa.int64())],
+                [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array([*words, *grams], pa.string()), pa.array([*words.values(), *grams.values()], pa.int64())],
                 names=["lang", "n", "gram", "count"],
             )
         counts.clear()
