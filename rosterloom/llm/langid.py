@@ -200,7 +200,9 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             scores.append(float(1 / np.exp(total - total[best]).sum()))
         return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    out = documents.withColumn("_said", F.pandas_udf(run, "lang string, score double")(F.col("text")))
+    # Marked so that a filter on the result isn't pushed below it, which would run the model twice.
+    said = F.pandas_udf(run, "lang string, score double").asNondeterministic()
+    out = documents.withColumn("_said", said(F.col("text")))
     return out.withColumn("lang_pred", F.col("_said.lang")).withColumn("lang_score", F.col("_said.score")).drop("_said")
 
 
