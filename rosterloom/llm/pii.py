@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Fixed patterns give the base spans, which are the seeds. Every other token with a digit or
-an @ is a candidate. A lexical pattern is a neighbouring word together with the token's
-shape. Spark scores the graph of patterns and instances in rounds: a pattern is as good as
-the share of its instances that are known, an instance as sure as its patterns together
-make it. Candidates that good patterns of one kind find become spans of that kind.
+Fixed patterns give the base spans, which are the seeds, each taken whole. Every token with a
+digit or an @ and every run of digit groups outside them is a candidate. A pattern is a
+neighbouring word, alone or with the coarse or exact shape, or the exact shape. Spark scores
+the graph of patterns and instances in rounds: a pattern is as good as the share of its
+instances that are known, an instance as sure as its best patterns before, after and in it
+together make it. Candidates that good patterns of one kind find become spans of that kind,
+if their characters are those of the kind's seeds and their length is near.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Runs of these characters that hold a digit or an @ are candidates.
 TOKEN = r"(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+"
+#: Groups of digits that blanks or brackets join are candidates too.
+GROUPS = r"(?<![A-Za-z0-9._%+@-])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}[0-9]++){1,7}(?![A-Za-z0-9_%@])"
+#: A length class of digits ends before each of these numbers.
+DIGITS = (7, 10, 14, 20)
+#: The digit groups at the end of a phone number stand for it if they have so many digits.
+LOCAL = 7
 #: Rounds over the graph; least share of known instances and least number of known instances of
 #: a good pattern; least certainty of a new instance.
 ROUNDS, PRECISION, SUPPORT, CERTAIN = 3, 0.6, 5, 0.8
@@ -65,48 +73,116 @@ def _valid(kind: str, found: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, kind number, end) of the base spans, in order; code points, end exclusive."""
+def _base_places(text: Column) -> Column:
+    """Array of (start, kind number, end, found, before, after) of the base spans, in order."""
     def of(kind):
         number = KINDS.index(kind)
-        good = lambda places: F.transform(F.filter(places, lambda p: _valid(kind, p["found"])), lambda p: F.struct(p["start"].alias("start"), F.lit(number).alias("kind"), p["end"].alias("end")))
+        placed = lambda p: F.struct(p["start"].alias("start"), F.lit(number).alias("kind"), p["end"].alias("end"), p["found"].alias("found"), p["before"].alias("before"), p["after"].alias("after"))
+        good = lambda places: F.transform(F.filter(places, lambda p: _valid(kind, p["found"])), placed)
         needed = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+        none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string,before:string,after:string>>")
         return F.when(needed, _cuts(text, PATTERNS[kind], good)).otherwise(none)
 
     return F.sort_array(F.concat(*map(of, KINDS)))
 
 
-def _candidates(text: Column) -> Column:
-    """Array of (start, end, instance, patterns) of the tokens with a digit or an @."""
-    def build(places):
-        def one(p):
-            shape = F.regexp_replace(F.regexp_replace(p["found"], "[A-Za-z]+", "a"), "[0-9]", "9")
-            left, right = F.regexp_extract(p["before"], r"([^\s]+)\s*$", 1), F.regexp_extract(p["after"], r"^[^\s]*\s+([^\s]+)", 1)
-            patterns = F.array(F.when(left != "", F.concat(F.lit("< "), F.lower(left), F.lit(" "), shape)), F.when(right != "", F.concat(F.lit("> "), F.lower(right), F.lit(" "), shape)), F.concat(F.lit("= "), shape))
-            return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lower(p["found"]).alias("instance"), F.array_compact(patterns).alias("patterns"))
+def _narrow(places: Column) -> Column:
+    return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """Array of (start, kind number, end) of the base spans, in order; code points, end exclusive."""
+    return _narrow(_base_places(text))
+
+
+def _instance(found: Column) -> Column:
+    """What mentions of one identifier have in common: lower case; only the digits, if there are just digits and separators and no four short groups with dots."""
+    digits = found.rlike(r"^[+0-9\x20().-]+$") & ~found.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    return F.when(digits, F.regexp_replace(found, "[^0-9]", "")).otherwise(F.lower(found))
+
+
+def _coarse(instance: Column) -> tuple[Column, Column]:
+    """Kind of characters and length class of an instance."""
+    only = instance.rlike("^[0-9]+$")
+    kind = F.when(instance.rlike("^[^@]+@[^@]+$"), "@").when(instance.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), ".").when(only, "9").otherwise("a")
+    length = sum(((F.length(instance) >= n).cast("int") for n in DIGITS), F.lit(0))
+    return kind, F.when(only, length).otherwise(0)
+
+
+def _mention(start: Column, end: Column, instance: Column, found: Column, before: Column, after: Column, seed: Column, part: bool) -> Column:
+    exact = F.regexp_replace(F.regexp_replace(found, "[A-Za-z]+", "a"), "[0-9]", "9")
+    coarse = F.concat(*(c.cast("string") for c in _coarse(instance)))
+    left, right = F.regexp_extract(before, r"([^\s]+)\s*$", 1), F.regexp_extract(after, r"^[^\s]*\s+([^\s]+)", 1)
+    context = lambda side, word, *shape: F.when(word != "", F.concat_ws(" ", F.lit(side), F.lower(word), *shape))
+    beside = [context(side, word, *shape) for side, word in (("<", left), (">", right)) for shape in ((), (F.lit("~"), coarse), (F.lit("="), exact))]
+    return F.struct(start.alias("start"), end.alias("end"), instance.alias("instance"), F.array_compact(F.array(*beside, F.concat(F.lit("= "), exact))).alias("patterns"), seed.alias("seed"), F.lit(part).alias("part"))
 
-        return F.transform(F.filter(places, lambda p: F.length(p["found"]) >= 6), one)
 
-    return _cuts(text, TOKEN, build)
+def _candidates(text: Column, base: str) -> Column:
+    """Mentions of the tokens with a digit or an @ and of the digit groups that overlap no base span."""
+    def trimmed(p):
+        found = F.regexp_replace(p["found"], r"(?<![._%-])[._%-]++$", "")
+        return F.struct(p["start"].alias("start"), (p["start"] + F.length(found)).alias("end"), found.alias("found"), p["before"].alias("before"), p["after"].alias("after"))
+
+    free = lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"]))
+    one = lambda p: let(_instance(p["found"]), lambda i: _mention(p["start"], p["end"], i, p["found"], p["before"], p["after"], F.lit(-1), False))
+    build = lambda places: F.transform(F.filter(F.transform(places, trimmed), free), one)
+    return F.concat(_cuts(text, TOKEN, build), _cuts(text, GROUPS, build))
+
+
+def _seeds(places: Column) -> Column:
+    """Mentions of the base spans, and of the ends of phone numbers, which are written without what is before them too."""
+    def whole(p):
+        return let(_instance(p["found"]), lambda i: _mention(p["start"], p["end"], i, p["found"], p["before"], p["after"], p["kind"], False))
+
+    def ends(p):
+        groups = F.filter(F.split(p["found"], "[^0-9]+"), lambda g: g != "")
+
+        def of(g):
+            last = F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_join(F.slice(g, i + 1, F.size(g)), ""))
+            return F.transform(F.filter(last, lambda d: F.length(d) >= LOCAL), lambda d: _mention(p["start"], p["end"], d, d, p["before"], p["after"], p["kind"], True))
+
+        return let(groups, of)
+
+    phones = F.filter(places, lambda p: p["kind"] == KINDS.index("phone"))
+    return F.concat(F.transform(places, whole), F.flatten(F.transform(phones, ends)))
 
 
 def _discover(mentions: DataFrame) -> DataFrame:
     """Instances that are no seeds but that good patterns find: instance and kind."""
-    edges = cut(mentions.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    sure = edges.filter("seed >= 0").groupBy("instance").agg(F.max("seed").alias("kind")).withColumn("certain", F.lit(1.0))
-    seeds = sure = cut(sure)
+    edges = mentions.select("instance", "seed", "part", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance")
+    edges = cut(edges.agg(F.max("seed").alias("seed"), F.max(F.when(~F.col("part"), F.col("seed"))).alias("whole")))
+    seeds = sure = cut(edges.filter("seed >= 0").groupBy("instance").agg(F.max("seed").alias("kind"), F.max("whole").alias("whole")).withColumn("certain", F.lit(1.0)))
+    sure = sure.drop("whole")
+    characters, length = _coarse(F.col("instance"))
+    fits = seeds.filter("whole >= 0").groupBy("kind", characters.alias("characters")).agg((F.min(length) - 1).alias("least"), (F.max(length) + 1).alias("most"))
+    fits = F.broadcast(cut(fits))
     for _ in range(ROUNDS):
-        known = edges.select("pattern", "instance").join(sure, "instance", "left")
+        known = edges.filter("whole IS NOT NULL").select("pattern", "instance").join(sure, "instance", "left")
         counted = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("certain").alias("good"))
         total = counted.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.struct(F.coalesce("good", F.lit(0.0)), "kind")).alias("best"))
         best = total.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.col1") / F.col("total")).alias("share"), F.col("best.col1").alias("support"))
         best = cut(best.filter((F.col("share") >= PRECISION) & (F.col("support") >= SUPPORT)))
-        voted = cut(edges.select("pattern", "instance").join(best, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-6)))))).alias("certain")))
+        voted = edges.select("pattern", "instance").join(few(best, BROADCAST_TEXTS), "pattern").groupBy("instance", "kind")
+        unsure = [1 - F.coalesce(F.max(F.when(F.left("pattern", F.lit(1)) == side, F.col("share"))), F.lit(0.0)) for side in "<>="]
+        voted = voted.agg((1 - unsure[0] * unsure[1] * unsure[2]).alias("certain")).withColumns({"characters": characters, "length": length})
+        voted = cut(voted.join(fits, ["kind", "characters"]).filter("length BETWEEN least AND most").select("instance", "kind", "certain"))
         chosen = voted.groupBy("instance").agg(F.max(F.struct("certain", "kind")).alias("best"))
-        new = chosen.select("instance", "best.kind", "best.certain").filter(F.col("certain") >= CERTAIN).join(seeds.select("instance"), "instance", "left_anti")
-        sure = cut(seeds.unionByName(new))
-    return sure.join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind")
+        chosen = cut(chosen.select("instance", "best.kind", "best.certain").filter(F.col("certain") >= CERTAIN))
+        sure = cut(seeds.select("instance", "kind", "certain").unionByName(chosen.join(seeds.select("instance"), "instance", "left_anti")))
+    return chosen.join(seeds.select("instance", F.col("kind").alias("seed")), "instance", "left").filter("seed IS NULL").select("instance", "kind")
+
+
+def _outer(found: Column) -> Column:
+    """Array of (start, kind, end) of the spans (start, less end, kind), in order, that lie in no span before them."""
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def step(a, s):
+        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"))
+        fresh = -s["end"] > a["at"]
+        return F.struct(F.greatest(a["at"], -s["end"]).alias("at"), F.when(fresh, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
 
 
 def find_spans(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -119,14 +195,14 @@ def find_spans(documents: DataFrame, keep: list[str] | None = None) -> DataFrame
     keep = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = with_row_id(documents.select(*dict.fromkeys([*keep, "text"]))).withColumn("_text", text)
-    tokens = F.when(F.col("_text").rlike("[0-9@]"), _candidates(F.col("_text")))
-    rows = stored(rows.select("_row", *keep, base_spans(F.col("_text")).alias("base"), tokens.alias("tokens")))
-    overlaps = lambda t: F.aggregate(F.filter("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])), F.lit(-1), lambda a, b: F.greatest(a, b["kind"]))
-    mentions = rows.filter(F.size("tokens") > 0).select("_row", F.explode(F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["instance"].alias("instance"), t["patterns"].alias("patterns"), overlaps(t).alias("seed")))).alias("t")).select("_row", "t.*")
-    mentions = cut(mentions)
+    rows = rows.withColumn("_places", _base_places(F.col("_text")))
+    tokens = F.when(F.col("_text").rlike("[0-9@]"), F.concat(_seeds(F.col("_places")), _candidates(F.col("_text"), "_places")))
+    rows = stored(rows.select("_row", *keep, _narrow(F.col("_places")).alias("base"), tokens.alias("tokens")))
+    mentions = cut(rows.filter(F.size("tokens") > 0).select("_row", F.explode("tokens").alias("t")).select("_row", "t.*"))
     found = cut(_discover(mentions))
-    extra = mentions.filter("seed < 0").select("_row", "start", "end", "instance").join(found, "instance")
-    extra = cut(extra.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra")))
+    extra = mentions.filter("seed < 0").select("_row", "start", "end", "instance").join(few(found, BROADCAST_TEXTS), "instance")
+    extra = extra.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("end"), "kind"))).alias("extra"))
+    extra = cut(extra.select("_row", _outer(F.col("extra")).alias("extra")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return rows.join(few(extra, BROADCAST_TEXTS), "_row", "left").select(*keep, "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 

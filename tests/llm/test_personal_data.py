@@ -65,6 +65,24 @@ def test_contexts_find_unseen_identifiers(spark, prose):
     assert mentions[201].spans == [] and all(mentions[i].spans == [] for i in range(5))
 
 
+def found_texts(documents):
+    rows = pii.find_spans(documents, ["doc_id", "text"]).collect()
+    return {r.doc_id: [(pii.KINDS[s.kind], r.text[s.start : s.end]) for s in r.spans] for r in rows}
+
+
+def test_contexts_find_identifiers_of_other_forms(spark, prose):
+    """Contexts are learned from full forms, and find short ones: none has the shape of a seed."""
+    rows = [(i, f"{prose(i, 6)} write to user{i}x@mail.example.com today {prose(i + 70, 6)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(i + 200, 6)} dial +1 (312) 555-{1000 + i} please {prose(i + 270, 6)}") for i in range(30)]
+    planted = {900: ("email", "user9x@mail", "write to", "today"), 901: ("phone", "(415) 555 2671", "dial", "please"), 902: ("phone", "7946-0958", "dial", "please")}
+    rows += [(i, f"{prose(i, 6)} {before} {x} {after} {prose(i + 50, 6)}") for i, (_, x, before, after) in planted.items()]
+    rows += [(990, f"{prose(5, 6)} dial 2024 please {prose(6, 6)}"), (991, f"{prose(7, 6)} dial key9 please"), (992, f"{prose(8, 6)} buy 12345678 bolts")]
+    found = found_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert all(len(found[i]) == 1 for i in [*range(30), *range(100, 130)])
+    assert {i: found[i] for i in planted} == {i: [(kind, x)] for i, (kind, x, _, _) in planted.items()}
+    assert not found[990] and not found[991] and not found[992]
+
+
 def test_masks(spark):
     frame = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4"), (2, "none"), (3, None)], "doc_id long, text string")
     found = pii.find_spans(frame, ["doc_id", "text"]).withColumn("m", pii.masked(F.col("text"), "spans"))
