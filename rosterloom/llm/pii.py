@@ -149,7 +149,7 @@ def _seeds(places: Column) -> Column:
 
 
 def _discover(mentions: DataFrame) -> DataFrame:
-    """Instances that are no seeds but that good patterns find: instance and kind."""
+    """Instances that good patterns find, seeds among them: instance and kind."""
     edges = mentions.select("instance", "seed", "part", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance")
     edges = cut(edges.agg(F.max("seed").alias("seed"), F.max(F.when(~F.col("part"), F.col("seed"))).alias("whole")))
     seeds = sure = cut(edges.filter("seed >= 0").groupBy("instance").agg(F.max("seed").alias("kind"), F.max("whole").alias("whole")).withColumn("certain", F.lit(1.0)))
@@ -170,7 +170,7 @@ def _discover(mentions: DataFrame) -> DataFrame:
         chosen = voted.groupBy("instance").agg(F.max(F.struct("certain", "kind")).alias("best"))
         chosen = cut(chosen.select("instance", "best.kind", "best.certain").filter(F.col("certain") >= CERTAIN))
         sure = cut(seeds.select("instance", "kind", "certain").unionByName(chosen.join(seeds.select("instance"), "instance", "left_anti")))
-    return chosen.join(seeds.select("instance", F.col("kind").alias("seed")), "instance", "left").filter("seed IS NULL").select("instance", "kind")
+    return chosen.join(seeds.select("instance", F.col("kind").alias("seed")), "instance", "left").filter("seed IS NULL OR seed = kind").select("instance", "kind")
 
 
 def _outer(found: Column) -> Column:

@@ -83,6 +83,16 @@ def test_contexts_find_identifiers_of_other_forms(spark, prose):
     assert not found[990] and not found[991] and not found[992]
 
 
+def test_seeds_are_found_without_what_makes_them_sure(spark, prose):
+    """The ends of phone numbers that are certain in one text are found in others, in any context."""
+    rows = [(i, f"{prose(i, 6)} call +44 20-7946-{1000 + i} now {prose(i + 70, 6)}") for i in range(20)]
+    rows += [(100 + i, f"{prose(i + 200, 6)} tel +1 (312) 555-{1000 + i} or {prose(i + 270, 6)}") for i in range(20)]
+    rows += [(900, f"{prose(1, 6)} reach 20-7946-1003 soon"), (901, f"{prose(2, 6)} old 555-1004 too"), (902, f"{prose(3, 6)} reach 20-7946-8888 soon")]
+    found = found_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert found[900] == [("phone", "20-7946-1003")] and found[901] == [("phone", "555-1004")]
+    assert found[902] == []
+
+
 def test_masks(spark):
     frame = spark.createDataFrame([(1, "é a@b.cd, 1.2.3.4"), (2, "none"), (3, None)], "doc_id long, text string")
     found = pii.find_spans(frame, ["doc_id", "text"]).withColumn("m", pii.masked(F.col("text"), "spans"))
