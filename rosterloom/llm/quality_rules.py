@@ -26,7 +26,8 @@ CORE, STEPS = 0.75, 2
 #: 0.9999 quantile of chi-square with as many degrees as there are statistics (5), and the
 #: factor that makes the covariance of the nearer 0.75 consistent at the normal distribution.
 CUTOFF, CONSISTENT = 25.745, 1.41
-#: Groups of fewer rows join their language's, those of a rare language the whole table's.
+#: Groups of fewer rows are held against all rows of their language, those of a rare language
+#: against the whole table.
 GROUP_ROWS = 200
 #: Up to so many groups (some 30 numbers each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
@@ -140,15 +141,19 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     lang = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), F.lit("*"))
     sizes = cut(passed.groupBy(pair.alias("_pair"), lang.alias("_lang")).count())
     langs = sizes.groupBy("_lang").agg(F.sum("count").alias("lang_count"))
-    chosen = sizes.join(langs, "_lang").select(
-        F.col("_pair"),
+    chosen = cut(sizes.join(langs, "_lang").select(
+        "_pair", "_lang",
         F.when(F.col("count") >= GROUP_ROWS, F.col("_pair")).when(F.col("lang_count") >= GROUP_ROWS, F.col("_lang")).otherwise("*").alias("_group"),
-    )
-    chosen = cut(chosen)
+    ))
+    # A row counts in every group that any pair is held against: its own, its language's, the table's.
+    wanted = chosen.select("_group").distinct()
+    mine = chosen.select("_pair", F.explode(F.array("_pair", "_lang", F.lit("*"))).alias("_group")).join(wanted, "_group").groupBy("_pair").agg(F.collect_list("_group").alias("_groups"))
+    chosen = cut(chosen.select("_pair", "_group").join(mine, "_pair"))
     few = chosen.count() <= BROADCAST_GROUPS
     grouped = passed.withColumn("_pair", pair).join(F.broadcast(chosen) if few else chosen, "_pair").drop("_pair")
-    grouped = cut(grouped.select("_group", "_row", "doc_id", *STATISTICS, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    grouped = cut(grouped.select("_group", "_groups", "_row", "doc_id", *STATISTICS, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    members = grouped.select(F.explode("_groups").alias("_group"), *STATISTICS)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = _distance(_with(grouped, robust_groups(grouped))).select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance")
+    measured = _distance(_with(grouped, robust_groups(members))).select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance")
     failed = rows.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return measured.unionByName(failed)

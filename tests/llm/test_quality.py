@@ -42,6 +42,22 @@ def test_odd_rows(odd_rows, no_rows):
     assert quality_rules.judge(no_rows).count() == 0
 
 
+def judged(spark, rows):
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    return {r.doc_id for r in found if r.kept}, {r.doc_id for r in found if r.base_failed}
+
+
+def test_small_sources_are_held_against_their_language(spark, prose):
+    """Beside one hot source: sources of one and of five rows, and a rare language."""
+    rows = [(i, prose(i, 60 + i % 50).capitalize() + ".", "en", "hot") for i in range(400)]
+    odd = lambda i: " ".join(w.upper() + "###" for w in prose(i, 80).split())
+    rows += [(1000, odd(1), "en", "lone"), (1001, odd(2), "fr", "rare")]
+    rows += [(1100 + i, odd(i), "en", "few") for i in range(5)]
+    rows += [(2000 + i, prose(i + 900, 70).capitalize() + ".", "en", "small") for i in range(5)] + [(2010, prose(950, 70).capitalize() + ".", "fr", "rare")]
+    kept, _ = judged(spark, rows)
+    assert not kept & set(range(1000, 2000)) and {*range(2000, 2005), 2010} <= kept and len(kept & set(range(400))) >= 396
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, prose):
     rows = [(i, prose(i, 40 + i % 60), 1) for i in range(300)] + [(1000 + i, " | ".join(prose(i, 40).split()) + " !!", 0) for i in range(100)]
