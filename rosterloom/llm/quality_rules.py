@@ -1,11 +1,12 @@
 """Quality rules with robust multivariate outliers, in DataFrame operations only.
 
 Fixed rules come first. Then, for each language and source, a minimum-covariance-determinant
-estimate of transformed statistics is reached by concentration steps: start from medians and
-quartile ranges, keep the nearer ``CORE`` of the rows, take their mean and covariance, and
-repeat. A text whose Mahalanobis distance is beyond the cutoff is rejected. Every step is
-one grouped aggregation with partial sums or quantile sketches, so a hot source costs no
-single task more than its share.
+estimate of transformed statistics is reached by concentration steps: keep the nearer ``CORE``
+of the rows, take their mean and covariance, and repeat until the determinant stops falling.
+Several fixed starts run side by side, keyed by group and start; the least determinant wins.
+A text whose Mahalanobis distance is beyond the cutoff is rejected. Every step is one grouped
+aggregation with partial sums or quantile sketches, so a hot source costs no single task more
+than its share.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ SPACE = r"\x20\x09-\x0D"
 #: Symbols that are counted.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Share of a group's rows that a concentration step keeps, and number of steps.
-CORE, STEPS = 0.75, 2
+#: Share of a group's rows that a concentration step keeps. A start is done when a step lowers
+#: the logarithm of its determinant by less than ``SETTLED``; ``STEPS`` only bounds the loop.
+CORE, SETTLED, STEPS = 0.75, 1e-3, 100
+#: Starts: diagonal of quartile ranges; covariance of all rows, of their hyperbolic tangents and
+#: of their directions from the median.
+STARTS = ["diagonal", "all", "tanh", "sign"]
 #: 0.9999 quantile of chi-square with as many degrees as there are statistics (5), and the
 #: factor that makes the covariance of the nearer 0.75 consistent at the normal distribution.
 CUTOFF, CONSISTENT = 25.745, 1.41
@@ -33,11 +38,16 @@ GROUP_ROWS = 200
 BROADCAST_GROUPS = 50_000
 
 #: The statistics, each with the standard deviation that it has at least: where most texts have
-#: none of a thing, one repeated line or a few symbols must not put a text far away.
-FLOORS = {"word_size": 0.1, "symbol_share": 0.05, "repeat_share": 0.2, "capital_share": 0.1, "line_share": 0.2}
+#: none of a thing, one repeated line or a few symbols must not put a text far away. Each is
+#: low enough for its statistic alone to pass the cutoff (a share of 0.26 at 0.1).
+FLOORS = {"word_size": 0.1, "symbol_share": 0.05, "repeat_share": 0.1, "capital_share": 0.1, "line_share": 0.1}
 STATISTICS = list(FLOORS)
 
 
+#: Columns of a group's estimate: centre, and lower Cholesky factor of the scatter.
+FACTOR = [*(f"m_{i}" for i in range(len(STATISTICS))), *(f"l_{i}_{j}" for i in range(len(STATISTICS)) for j in range(i + 1))]
+
+
 def repeated_words(words: Column) -> Column:
     """How many words stand in a 3-word window that is found twice or more."""
     def covered(codes):
@@ -86,8 +96,8 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     }).drop("capitals", "n_lines")
 
 
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "_group")
+def _with(rows: DataFrame, groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, keys or "_group")
 
 
 def _factor(groups: DataFrame) -> DataFrame:
@@ -98,7 +108,8 @@ def _factor(groups: DataFrame) -> DataFrame:
         groups = groups.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(own, F.lit(FLOORS[STATISTICS[j]] ** 2))))
         below = {f"l_{i}_{j}": reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}")) / F.col(f"l_{j}_{j}") for i in range(j + 1, p)}
         groups = groups.withColumns(below) if below else groups
-    return groups.select("_group", *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    logarithm = reduce(lambda a, i: a + F.log(f"l_{i}_{i}"), range(1, p), F.log("l_0_0"))
+    return groups.select("_group", "_start", *FACTOR, logarithm.alias("size"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -109,22 +120,50 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("distance", reduce(lambda a, i: a + F.col(f"z_{i}") ** 2, range(1, len(STATISTICS)), F.col("z_0") ** 2))
 
 
-def robust_groups(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre (m_i) and Cholesky factor of the scatter (l_i_j) of every group of ``rows``."""
+def _moments(rows: DataFrame, values: list[str]) -> DataFrame:
+    """Centre and factor of every group and start, and ``size``, half the logarithm of its determinant."""
+    p = len(STATISTICS)
+    moments = rows.groupBy("_group", "_start").agg(
+        *(F.avg(values[i]).alias(f"m_{i}") for i in range(p)),
+        *(((CONSISTENT * F.covar_pop(values[i], values[j])) + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)),
+    )
+    return _factor(cut(moments))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """An estimate for every group and start."""
     p = len(STATISTICS)
     quartiles = rows.groupBy("_group").agg(*(F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, s in enumerate(STATISTICS)))
     spread = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[STATISTICS[i]]))
-    groups = quartiles.select("_group", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)), *((spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)))
+    groups = cut(quartiles.select("_group", *(F.col(f"q_{i}")[1].alias(f"q_{i}") for i in range(p)), *(spread(i).alias(f"s_{i}") for i in range(p))))
+    diagonal = groups.select("_group", F.lit(0).alias("_start"), *(F.col(f"q_{i}").alias(f"m_{i}") for i in range(p)), *((F.col(f"s_{i}") if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)))
+    scaled = _with(rows, groups).withColumns({f"u_{i}": (F.col(s) - F.col(f"q_{i}")) / F.col(f"s_{i}") for i, s in enumerate(STATISTICS)})
+    norm = F.greatest(F.sqrt(reduce(lambda a, i: a + F.col(f"u_{i}") ** 2, range(1, p), F.col("u_0") ** 2)), F.lit(1e-9))
+    scaled = scaled.withColumn("norm", norm).withColumn("_start", F.explode(F.array(*map(F.lit, range(1, len(STARTS))))))
+    bent = lambda u: F.when(F.col("_start") == STARTS.index("all"), u).when(F.col("_start") == STARTS.index("tanh"), F.tanh(u)).otherwise(u / F.col("norm"))
+    bent = scaled.select("_group", "_start", *((F.col(f"q_{i}") + F.col(f"s_{i}") * bent(F.col(f"u_{i}"))).alias(f"b_{i}") for i in range(p)))
+    others = _moments(bent, [f"b_{i}" for i in range(p)])
+    return cut(diagonal.unionByName(others.drop("size")).withColumn("size", F.lit(None).cast("double")))
+
+
+def robust_groups(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Centre (m_i) and Cholesky factor of the scatter (l_i_j) of every group of ``rows``, of the least determinant of all starts."""
+    active, done = _starts(rows), None
     for _ in range(steps):
-        near = _distance(_with(rows, cut(groups)))
-        reach = cut(near.groupBy("_group").agg(F.percentile_approx("distance", CORE, 1000).alias("reach")))
-        near = _with(near, reach).filter(F.col("distance") <= F.col("reach"))
-        moments = near.groupBy("_group").agg(
-            *(F.avg(s).alias(f"m_{i}") for i, s in enumerate(STATISTICS)),
-            *(((CONSISTENT * F.covar_pop(STATISTICS[i], STATISTICS[j])) + (FLOORS[STATISTICS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)),
-        )
-        groups = _factor(cut(moments))
-    return cut(groups)
+        near = _distance(_with(rows, active.select("_group", "_start", *FACTOR)))
+        reach = cut(near.groupBy("_group", "_start").agg(F.percentile_approx("distance", CORE, 1000).alias("reach")))
+        near = _with(near, reach, ["_group", "_start"]).filter(F.col("distance") <= F.col("reach"))
+        moved = _moments(near, STATISTICS).join(active.select("_group", "_start", F.col("size").alias("was")), ["_group", "_start"])
+        # size is half of the logarithm
+        moved = cut(moved.withColumn("falls", F.col("was").isNull() | (2 * (F.col("was") - F.col("size")) >= SETTLED)))
+        settled = moved.filter(~F.col("falls")).drop("was", "falls")
+        done = settled if done is None else done.unionByName(settled)
+        active = cut(moved.filter("falls").drop("was", "falls"))
+        if active.isEmpty():
+            break
+    all_starts = active if done is None else done.unionByName(active.select(done.columns))
+    best = all_starts.groupBy("_group").agg(F.min(F.struct("size", "_start", *FACTOR)).alias("best"))
+    return cut(best.select("_group", *(F.col("best")[c].alias(c) for c in FACTOR)))
 
 
 def judge(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -58,6 +58,51 @@ def test_small_sources_are_held_against_their_language(spark, prose):
     assert not kept & set(range(1000, 2000)) and {*range(2000, 2005), 2010} <= kept and len(kept & set(range(400))) >= 396
 
 
+def test_one_statistic_alone_rejects(spark, prose):
+    import random
+
+    rows = [(i, prose(i, 60 + i % 50).capitalize() + ".", "en", "s") for i in range(300)]
+    pick = random.Random(1)
+    rows += [(1000, "\n".join(pick.choice(prose(7, 20).split()) for _ in range(300)), "en", "s")]
+    passage = prose(8, 24)
+    rows += [(1001, f"{prose(9, 27)} {passage} {prose(10, 27)} {passage}", "en", "s")]
+    kept, failed = judged(spark, rows)
+    assert not failed and not kept & {1000, 1001} and len(kept) >= 297
+
+
+def test_concentration_steps_reach_the_least_determinant(spark):
+    """No further step lowers the determinant, and rows that lie together apart from the others are left out of the estimate."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    good = rng.normal(size=(300, 1)) * np.ones((1, 5)) + 0.15 * rng.normal(size=(300, 5))
+    apart = 0.15 * rng.normal(size=(70, 5)) + 1.5 * np.array([1, -1, 1, -1, 1])
+    values = np.vstack([good, apart])
+    frame = spark.createDataFrame([("g", *map(float, v)) for v in values], ["_group", *quality_rules.STATISTICS]).repartition(3)
+    found = quality_rules.robust_groups(frame).collect()
+    assert len(found) == 1
+    centre = np.array([found[0][f"m_{i}"] for i in range(5)])
+    lower = np.array([[found[0][f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    floors = np.diag([quality_rules.FLOORS[s] ** 2 for s in quality_rules.STATISTICS])
+
+    def step(centre, lower):
+        away = (np.linalg.solve(lower, (values - centre).T) ** 2).sum(0)
+        near = values[np.argsort(away)[: int(np.ceil(quality_rules.CORE * len(values)))]]
+        return near.mean(0), np.linalg.cholesky(quality_rules.CONSISTENT * np.cov(near.T, bias=True) + floors), away
+
+    size = lambda x: 2 * np.log(np.diag(x)).sum()
+    _, next_lower, away = step(centre, lower)
+    assert size(lower) - size(next_lower) < 0.01
+    best = np.inf
+    for seed in range(20):
+        some = values[np.random.default_rng(seed).choice(len(values), 12, replace=False)]
+        m, x = some.mean(0), np.linalg.cholesky(np.cov(some.T) + floors)
+        for _ in range(60):
+            m, x, _ = step(m, x)
+        best = min(best, size(x))
+    assert size(lower) <= best + 0.05 and (away[300:] > quality_rules.CUTOFF).all()
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, prose):
     rows = [(i, prose(i, 40 + i % 60), 1) for i in range(300)] + [(1000 + i, " | ".join(prose(i, 40).split()) + " !!", 0) for i in range(100)]
