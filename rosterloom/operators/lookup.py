@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many grid rows are broadcast; beyond it only shared words make candidates, by shuffle.
-BROADCAST_GRID = 20_000
-
 
 def words(value: Column) -> Column:
     return F.filter(F.split(F.lower(value), "[^a-z0-9]+"), lambda w: w != "")
@@ -17,6 +14,15 @@ def normal(value: Column) -> Column:
     return F.array_join(words(value), " ")
 
 
+def variants(word: Column, edits: int) -> Column:
+    """``word`` and what is left of it without up to ``edits`` letters: words within ``edits`` have one in common."""
+    found = F.array(word)
+    for _ in range(edits):
+        fewer = F.transform(found, lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w)))))
+        found = F.array_distinct(F.concat(found, F.flatten(fewer)))
+    return found
+
+
 def lookup_exact(frame: DataFrame, column: str, grid: DataFrame, grid_column: str) -> DataFrame:
     """The grid row with the same words in the same order: an equi-join on normalised text, the first row of equals."""
     first = Window.partitionBy("_normal").orderBy("grid_no")
@@ -30,17 +36,14 @@ def lookup_fuzzy(frame: DataFrame, column: str, grid: DataFrame, grid_column: st
     ``every`` word must be found (else any); ``restrict`` also wants as many words. The score
     is the share of words found, times their number, plus one more than their number if the
     grid row has as many words; ties go to fewer edits in all, then to the lower grid_no.
-    Distinct texts are looked up once; the grid is broadcast if its count allows.
+    Distinct texts are looked up once. Candidates share a variant of a word, by an equi-join at any size.
     """
     asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_q", words(F.col("_asked"))).filter(F.size("_q") > 0)
     held = grid.withColumn("_g", words(F.col(grid_column))).filter(F.size("_g") > 0)
     near = lambda q, g: F.levenshtein(q, g) <= edits
-    if grid.count() <= BROADCAST_GRID:
-        pairs = asked.join(F.broadcast(held), F.exists("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
-    else:
-        a = asked.select("_asked", F.explode("_q").alias("_word"))
-        b = held.select("grid_no", F.explode("_g").alias("_word"))
-        pairs = a.join(b, "_word").select("_asked", "grid_no").distinct().join(asked, "_asked").join(held, "grid_no")
+    keys = lambda found: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: variants(w, edits))))).alias("_key")
+    shared = asked.select("_asked", keys("_q")).join(held.select("grid_no", keys("_g")), "_key").select("_asked", "grid_no").distinct()
+    pairs = shared.join(asked, "_asked").join(held, "grid_no").filter(F.exists("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
     size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
     pairs = pairs.withColumn("_hit", hit).withColumn("_score", F.col("_hit") * 1.0 + F.when(F.size("_g") == size, size + 1).otherwise(0))
     if every:

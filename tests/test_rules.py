@@ -111,6 +111,44 @@ def test_lookup_does_not_depend_on_order(spark):
         assert {r.q: r.grid_no for r in lookup.lookup_fuzzy(frame, "q", grid.repartition(2), "name").collect()} == want
 
 
+def test_lookup_beyond_any_grid_size(spark):
+    """A typo in the only word is found in a large grid, by every way of looking up."""
+    grid = spark.range(20_500).select(F.col("id").cast("int").alias("grid_no"), F.when(F.col("id") == 20_400, "widget").when(F.col("id") == 20_401, "blue gadget").otherwise(F.concat(F.lit("w"), F.md5(F.col("id").cast("string")))).alias("name"))
+    asked = spark.createDataFrame([("widgt",), ("bleu gadgett",), ("zzz",)], "q string")
+    assert {r.q: r.grid_no for r in lookup.lookup_fuzzy(asked, "q", grid, "name").collect()} == {"widgt": 20_400, "bleu gadgett": 20_401, "zzz": None}
+    assert {r.q: r.grid_no for r in lookup.lookup_fuzzy(asked, "q", grid, "name", 2, every=True, restrict=True).collect()} == {"widgt": 20_400, "bleu gadgett": 20_401, "zzz": None}
+    assert {(r.q, r.grid_no, r.rung) for r in lookup.lookup_ladder(asked, "q", grid, "name").collect()} == {("widgt", 20_400, "fuzzy"), ("bleu gadgett", None, "none"), ("zzz", None, "none")}
+
+
+@pytest.mark.parametrize(("edits", "every", "restrict"), [(0, False, False), (1, False, False), (1, True, True), (2, True, False)])
+def test_lookup_matches_the_nested_loop(spark, edits, every, restrict):
+    import random
+
+    pick = random.Random(edits)
+    phrase = lambda: " ".join("".join(pick.choice("abc") for _ in range(pick.randint(1, 4))) for _ in range(pick.randint(1, 3)))
+    grid, asked = [(i, phrase()) for i in range(25)], sorted({phrase() for _ in range(40)})
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            last, row = row, [i + 1] + [0] * len(y)
+            for j, b in enumerate(y):
+                row[j + 1] = min(last[j + 1] + 1, row[j] + 1, last[j] + (a != b))
+        return row[-1]
+
+    def best(q):
+        found = []
+        for no, name in grid:
+            a, b = q.split(), name.split()
+            hit = sum(any(distance(x, y) <= edits for y in b) for x in a)
+            if hit and (hit == len(a) or not every) and (len(a) == len(b) or not restrict):
+                found.append((-(hit + (len(a) + 1 if len(a) == len(b) else 0)), distance(q, name), no))
+        return min(found)[2] if found else None
+
+    got = lookup.lookup_fuzzy(spark.createDataFrame([(q,) for q in asked], "q string"), "q", spark.createDataFrame(grid, "grid_no int, name string"), "name", edits, every, restrict)
+    assert {r.q: r.grid_no for r in got.collect()} == {q: best(q) for q in asked}
+
+
 def test_fill_and_duplicates(spark):
     frame = spark.createDataFrame([(1, 1, ""), (1, 2, "b"), (1, 3, None), (2, 1, " ")], "k int, o int, v string")
     assert [r.v for r in update.fill_group(frame, "v", ["k"], ["o"]).orderBy("k", "o").collect()] == ["b", "b", "b", ""]
