@@ -74,6 +74,25 @@ def test_text_rules(spark):
     assert one(spark, "x" * 20, lambda v: text.abbreviate(v, 15, {})).startswith("Clarify:")
 
 
+def test_abbreviate_over_all_parts(spark):
+    """Every row of the table and some that only the vowel step fits, against brute force."""
+    import re
+
+    def brute(v):
+        steps = [re.sub(r"\s+", " ", v).strip()]
+        steps.append(re.sub(r"\bBrand\b", "Br", steps[-1], flags=re.I))
+        steps.append(re.sub(r"\s+", " ", re.sub(rf"\b({'|'.join(text.STOP_WORDS)})\b", "", steps[-1], flags=re.I)).strip())
+        inner = lambda s, i: 0 < i < len(s) - 1 and s[i - 1].isalnum() and s[i + 1].isalnum()
+        steps.append("".join(c for i, c in enumerate(steps[-1]) if c.lower() not in "aeiou" or not inner(steps[-1], i)))
+        return next((x for x in steps if len(x) <= 12), f"Clarify: Too long|Input: {v}")
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(F.concat_ws(" of ", "p_name", "p_brand").alias("v"))
+    made = spark.createDataFrame([("radiology unit",), ("a  pediatric of oak",), ("Brand of an apple",), ("xxxxxxxxxxxxxxx",)], "v string")
+    rows = parts.unionByName(made).select("v", text.abbreviate(F.col("v"), 12, {"Brand": "Br"}).alias("r")).collect()
+    assert [r.r for r in rows] == [brute(r.v) for r in rows]
+    assert any(r.r.startswith("Clarify") for r in rows) and ("radiology unit", "rdlgy unt") in [tuple(r) for r in rows]
+
+
 @pytest.mark.parametrize(("value", "days", "monday"), [("Mon-Fri 8-5", 5, ("08:00AM", "05:00PM")), ("M, W 7:30a-12p", 2, ("07:30AM", "12:00PM")), ("24/7", 7, ("12:00AM", "11:59PM")), ("Mon closed", 0, None), (None, 0, None), ("Fri-Mon 10am to 2pm", 4, ("10:00AM", "02:00PM"))])
 def test_hours(value, days, monday):
     found = hours.parse_hours(value)
