@@ -10,30 +10,26 @@ lexicon lacks is merged exactly, pair by pair.
 from __future__ import annotations
 
 import heapq
-import mmap
 import os
-import tempfile
 import uuid
 from array import array
-from collections import Counter
-from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.pretokens import Vocabulary, pretokens
-from rosterloom.llm.shared import stored
+from rosterloom.llm.pretokens import Encoder, Pretokenizer, Vocabulary, blocks, gather, held
+from rosterloom.llm.shared import open_folder, shared_dir, stored
+from rosterloom.llm.words import slices
 
 #: Least share of all pre-tokens that puts a word into the lexicon, which so has at most 1 / SHARE words.
 SHARE = 1 / (1 << 17)
 #: Longer words stay out of the lexicon.
 WORD_BYTES = 48
-#: Words whose ids a Python worker remembers between lookups, and distinct words counted before partial counts are sent on.
-MEMO, PARTIAL = 3 << 18, 1 << 18
+#: Ids that are decoded at once.
+DECODED = 1 << 18
 #: From this length on a word is merged with a heap.
 HEAP_FROM = 48
 
@@ -163,7 +159,7 @@ def merge_many(words: list[bytes], ranks: PairRanks) -> list[bytes]:
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
-    """The automaton file: states as ranges of arcs (label, target, count of words before it), then the id sequences by word number."""
+    """The automaton file: arcs in order of state and label (key, target, count of words before it), final states, then the id sequences by word number."""
     register: dict[tuple, int] = {}
     arcs_of, final, count = [], [], []  # by state, children first
 
@@ -192,133 +188,115 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     for depth in range(len(last), 0, -1):
         path[depth - 1][1][last[depth - 1]] = settle(path[depth])
     start = settle(root)
-    first, labels, targets, skips = array("I", [0]), bytearray(), array("I"), array("I")
+    keys, targets, skips = array("Q"), array("I"), array("I")
     for state, arcs in enumerate(arcs_of):
         passed = int(final[state])
         for label, target in arcs:
-            labels.append(label)
+            keys.append(state << 8 | label)
             targets.append(target)
             skips.append(passed)
             passed += count[target]
-        first.append(len(labels))
     ends, ids = array("I", [0]), array("I")
     for word in sorted(words):
         ids.extend(words[word])
         ends.append(len(ids))
-    labels += bytes(-len(labels) % 4)
-    parts = [first.tobytes(), array("I", map(int, final)).tobytes(), targets.tobytes(), skips.tobytes(), ends.tobytes(), ids.tobytes(), bytes(labels)]
-    return array("I", [start, *map(len, parts)]).tobytes() + b"".join(parts)
+    parts = [x.tobytes() for x in (keys, targets, skips, array("I", map(int, final)), ends, ids)]
+    return array("Q", [start, *map(len, parts)]).tobytes() + b"".join(parts)
 
 
 class Lexicon:
-    """A memory-mapped automaton."""
+    """A memory-mapped automaton; many words walk through it side by side."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        view = memoryview(self._map)
-        self._start, *sizes = view[:32].cast("I")
-        at, parts = 32, []
-        for size in sizes:
-            parts.append(view[at : at + size])
+        start, *sizes = np.fromfile(path, np.uint64, 7).tolist()
+        self._start, at, parts = start, 56, []
+        whole = np.memmap(path, np.uint8, "r")
+        for size, kind in zip(sizes, (np.uint64, *[np.uint32] * 5)):
+            parts.append(whole[at : at + size].view(kind))
             at += size
-        self._first, self._final, self._target, self._skip, self._end = (p.cast("I") for p in parts[:5])
-        self._ids, self._labels = parts[5], at - sizes[6]
-        self._seen: dict[int, tuple[int, int] | None] = {}  # arcs read so far
-
-    def _arc(self, key: int) -> tuple[int, int] | None:
-        state, base = key >> 8, self._labels
-        arc = self._map.find(bytes((key & 255,)), base + self._first[state], base + self._first[state + 1]) - base
-        self._seen[key] = found = (self._target[arc], self._skip[arc]) if arc >= 0 else None
-        return found
-
-    def get(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit integers, or None."""
-        state, number, seen = self._start, 0, self._seen
-        for b in word:
-            key = state << 8 | b
-            arc = seen[key] if key in seen else self._arc(key)
-            if arc is None:
-                return None
-            state, passed = arc
-            number += passed
-        if not self._final[state]:
-            return None
-        return bytes(self._ids[4 * self._end[number] : 4 * self._end[number + 1]])
-
-
-class Encoder:
-    """Encodes texts in one Python worker: remembered words, then the lexicon, then merging."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self._of, self._lexicon, self._ranks = vocabulary, lexicon, PairRanks(vocabulary)
-        self._memo: dict[str, bytes] = {}
-        self._added = {t: array("I", [i]).tobytes() for t, i in vocabulary.added.items()}
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Remember the ids of ``words``; return those that are too long to be kept."""
-        unseen, long = [], []
-        for word in words:
-            data = word.encode()
-            if len(data) > WORD_BYTES:
-                long.append(word)
-                self._memo[word] = array("I", merge(data, self._of)).tobytes()
-            elif (ids := self._lexicon.get(data)) is not None:
-                self._memo[word] = ids
-            else:
-                unseen.append(word)
-        unseen.sort(key=len)  # words of a block are of about one length
-        for i in range(0, len(unseen), 1 << 12):
-            part = unseen[i : i + (1 << 12)]
-            self._memo.update(zip(part, merge_many([w.encode() for w in part], self._ranks)))
-        return long
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, added = self._memo, self._added
-        cuts = [[(p, None if p in added else pretokens(p)) for p in (self._of.cut(t) if any(a in t for a in added) else [t])] for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        long = self._learn({w for parts in cuts for _, words in parts if words for w in filterfalse(memo.__contains__, words)})
-        out = [b"".join(added[p] if words is None else b"".join(map(memo.__getitem__, words)) for p, words in parts) for parts in cuts]
-        for word in long:
-            del memo[word]
+        self._keys, self._target, self._skip, self._final, self._end, self._ids = parts
+
+    def get(self, words: list[bytes]) -> list[bytes | None]:
+        """Each word's ids as little-endian 32-bit integers, or None."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        state, number = np.full(len(words), self._start, np.uint64), np.zeros(len(words), np.int64)
+        letters, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        on, step = np.flatnonzero(sizes), 0
+        known = sizes == 0
+        while len(on):
+            key = state[on] << np.uint64(8) | letters[first[on] + step]
+            arc = np.minimum(np.searchsorted(self._keys, key), max(0, len(self._keys) - 1))
+            there = self._keys[arc] == key if len(self._keys) else np.zeros(len(on), bool)
+            on, arc, step = on[there], arc[there], step + 1
+            state[on], number[on] = self._target[arc], number[on] + self._skip[arc]
+            done = sizes[on] == step
+            known[on[done]] = True
+            on = on[~done]
+        known &= self._final[state.astype(np.int64)] == 1
+        out: list[bytes | None] = [None] * len(words)
+        for i in np.flatnonzero(known).tolist():
+            out[i] = self._ids[self._end[number[i]] : self._end[number[i] + 1]].tobytes()
         return out
 
 
-_loaded: dict[str, object] = {}
+def encoder(of: Vocabulary, lexicon: Lexicon) -> Encoder:
+    """Looks words up in the lexicon, and merges the ones it lacks."""
+    ranks = PairRanks(of)
+
+    def learn(words: list[bytes]) -> list[bytes]:
+        found = lexicon.get(words)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i in unseen:
+            if len(words[i]) > WORD_BYTES:
+                found[i] = array("I", merge(words[i], of)).tobytes()
+        unseen = sorted((i for i in unseen if found[i] is None), key=lambda i: len(words[i]))  # those of a block are of about one length
+        for at in range(0, len(unseen), 1 << 12):
+            part = unseen[at : at + (1 << 12)]
+            for i, ids in zip(part, merge_many([words[i] for i in part], ranks)):
+                found[i] = ids
+        return found
 
+    return Encoder(of.added, learn)
 
-def _once(key: str, make):
-    if key not in _loaded:
-        _loaded.clear() if len(_loaded) > 8 else None
-        _loaded[key] = make()
-    return _loaded[key]
 
+class Decoder:
+    """Decodes columns of ids."""
 
-def _count_words(batches):
-    """Partial counts of pre-tokens; a null word has their total."""
-    counts: Counter = Counter()
+    def __init__(self, of: Vocabulary):
+        sizes = np.zeros(max(of.bytes) + 1, np.int64)
+        sizes[list(of.bytes)] = [len(b) for b in of.bytes.values()]
+        self._sizes, self._first = sizes, np.cumsum(sizes) - sizes
+        self._letters = np.frombuffer(b"".join(of.bytes[i] for i in sorted(of.bytes)), np.uint8)
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return gather(self._letters, self._first, self._sizes, ids).tobytes()
+
+    def texts(self, column: pa.Array):
+        for _, data, offsets in slices(column, 4 * DECODED):
+            ids, ends = np.frombuffer(data.tobytes(), "<u4"), (offsets >> 2)
+            if len(ends) == 2:
+                yield b"".join(self._bytes(ids[i : i + DECODED]) for i in range(0, len(ids), DECODED)).decode("utf-8", "replace")
+                continue
+            whole, cuts = self._bytes(ids), np.concatenate(([0], np.cumsum(self._sizes[ids])))[ends].tolist()
+            yield from (whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:]))
 
-    def rows():
-        total = sum(counts.values())
-        return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([total, *counts.values()], pa.int64())], names=["word", "n"])
 
+def _count_words(batches):
+    """Counts of the pre-tokens of each block; Spark adds them up, within each task first."""
+    pretokenizer = Pretokenizer([])
     for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                counts.update(pretokens(text.as_py()))
-                if len(counts) >= PARTIAL:
-                    yield rows()
-                    counts.clear()
-    yield rows()
+        for _, data, offsets in blocks(batch.column(0)):
+            words, _ = pretokenizer.words(data, offsets)
+            counted = words.value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"])
 
 
-def frequent_words(documents: DataFrame, share: float = SHARE) -> list[str]:
+def frequent_words(documents: DataFrame, share: float = SHARE) -> list[bytes]:
     """The pre-tokens that make up at least ``share`` of all pre-tokens of all texts."""
-    counted = stored(documents.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.filter("word IS NULL").agg(F.sum("n").alias("n")).first().n or 0
+    counted = stored(documents.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n").alias("n")).first().n or 0
     counted = counted.filter((F.col("n") >= max(1, share * total)) & (F.octet_length("word") <= WORD_BYTES))
-    return [r.word for r in counted.select("word").collect()]
+    return [bytes(r.word) for r in counted.select("word").collect()]
 
 
 class Codec:
@@ -327,43 +305,52 @@ class Codec:
     def __init__(self, documents: DataFrame, tokenizer_file: str, share: float = SHARE):
         with open(tokenizer_file, encoding="utf-8") as file:
             text = file.read()
-        context = documents.sparkSession.sparkContext
+        spark = documents.sparkSession
         vocabulary = Vocabulary(text)
-        chosen = {w.encode(): merge(w.encode(), vocabulary) for w in frequent_words(documents, share)}
+        chosen = {w: merge(w, vocabulary) for w in frequent_words(documents, share)}
         self._name = f"lexicon-{uuid.uuid4().hex}.bin"
-        path = os.path.join(tempfile.mkdtemp(), self._name)
-        with open(path, "wb") as file:
+        folder = shared_dir(spark)
+        system, base = open_folder(folder)
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(f"{base}/{self._name}") as file:
             file.write(compile_lexicon(chosen))
-        context.addFile(path)
-        self._file = context.broadcast(text)
+        spark.sparkContext.addFile(f"{folder}/{self._name}")
+        self._file = spark.sparkContext.broadcast(text)
+
+    def _loader(self):
+        name, file = self._name, self._file
+
+        def make():
+            vocabulary = Vocabulary(file.value)
+            return encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)
+
+        return lambda: held(name, make)
 
     def encode(self, text: Column) -> Column:
         """Ids as binary, little-endian unsigned 32-bit integers; null and empty texts have none."""
-        name, file = self._name, self._file
+        load = self._loader()
 
-        def run(texts: pd.Series) -> pd.Series:
-            encoder = _once(name, lambda: Encoder(_once(f"vocabulary {name}", lambda: Vocabulary(file.value)), Lexicon(SparkFiles.get(name))))
-            texts = [t or "" for t in texts]
-            return pd.Series([ids for i in range(0, len(texts), 512) for ids in encoder.encode(texts[i : i + 512])], dtype=object)
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(load()[0].texts(texts), pa.binary())
 
-        return F.pandas_udf(run, "binary")(text)
+        return F.arrow_udf(run, "binary")(text)
 
     def decode(self, ids: Column) -> Column:
         """The text of such ids; bytes that are no UTF-8 become U+FFFD. Null gives an empty text."""
-        name, file = self._name, self._file
+        load = self._loader()
 
-        def run(column: pd.Series) -> pd.Series:
-            vocabulary = _once(f"vocabulary {name}", lambda: Vocabulary(file.value))
-            token = vocabulary.bytes.__getitem__
-            return pd.Series([b"".join(map(token, array("I", x or b""))).decode("utf-8", "replace") for x in column], dtype=object)
+        def run(column: pa.Array) -> pa.Array:
+            return pa.array(load()[1].texts(column), pa.string())
 
-        return F.pandas_udf(run, "string")(ids)
+        return F.arrow_udf(run, "string")(ids)
 
 
 def encode_decode(documents: DataFrame, tokenizer_file: str, share: float = SHARE) -> DataFrame:
     """``documents`` with ``ids`` (binary) and ``decoded``; every row is kept, columns of these names are replaced.
 
-    Null and empty texts have no ids and decode to an empty text; repeated rows are encoded each.
+    Null and empty texts have no ids and decode to an empty text; a very long text is encoded and
+    decoded piece by piece, whole; repeated rows and ties are encoded each; an empty table gives
+    none; other columns are kept, whatever their names.
     """
     codec = Codec(documents, tokenizer_file, share)
     return documents.withColumn("ids", codec.encode(F.col("text"))).withColumn("decoded", codec.decode(F.col("ids")))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def open_folder(uri: str):
+    """File system and path of a folder that Spark names by a URI or a plain path."""
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that later steps read it and lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -55,6 +61,14 @@ def aliased(documents: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], Data
     return documents.toDF(*safe), lambda df: df.select(*safe).toDF(*names)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as make it differ from all of ``taken``."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows``, marked for broadcast if there are at most ``most`` of them; beyond that Spark joins by shuffle."""
     return F.broadcast(rows) if rows.count() <= most else rows

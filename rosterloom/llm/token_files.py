@@ -13,29 +13,27 @@ repeated task leaves nothing behind that is read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from array import array
-from itertools import filterfalse
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterloom.llm.pretokens import Vocabulary, pretokens
-from rosterloom.llm.shared import cut, shared_dir
+from rosterloom.llm.pretokens import Encoder, byte_letters, held
+from rosterloom.llm.shared import cut, open_folder, shared_dir, with_row_id
 
 MAGIC = b"BPLANES1"
 #: Ids of a block.
 BLOCK = 1 << 16
-#: Pre-tokens that a Python worker remembers.
-MEMO, WORD_CHARS = 3 << 18, 64
 _FOOTER = struct.Struct("<QQQQQ")
 
 
@@ -50,13 +48,10 @@ def pack_block(ids: np.ndarray, level: int = 3) -> list[bytes]:
 
 
 def unpack_block(planes: list[bytes], n: int) -> np.ndarray:
-    loose, size = zstandard.ZstdDecompressor().decompress, -(-len(planes) // 8)
-    bits = np.zeros((8 * size, n), np.uint8)
+    loose, out = zstandard.ZstdDecompressor().decompress, np.zeros(n, np.uint16 if len(planes) <= 16 else np.uint32)
     for b, plane in enumerate(planes):
-        bits[b] = np.unpackbits(np.frombuffer(loose(plane), np.uint8), count=n)
-    out = np.zeros((n, 4), np.uint8)
-    out[:, :size] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return out.view("<u4").reshape(-1)
+        out |= np.unpackbits(np.frombuffer(loose(plane), np.uint8), count=n).astype(out.dtype) << out.dtype.type(b)
+    return out.astype("<u4")
 
 
 class Writer:
@@ -146,58 +141,37 @@ class Reader:
             ids, start = ids[n:], start + n
 
 
-def _encoder(text: str):
-    """Whole texts to ids: the tokenizers library encodes each distinct pre-token once."""
+def _encoder(text: str) -> Encoder:
+    """Whole texts to ids: the tokenizers library's model encodes each distinct pre-token once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(text)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    vocabulary = Vocabulary(text)
-    added = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.added.items()}
-    memo: dict[str, bytes] = {}
+    tokenize = Tokenizer.from_str(text).model.tokenize
+    letters = np.zeros(256, "<u4")
+    for letter, byte in byte_letters().items():
+        letters[byte] = ord(letter)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        cuts = [[(p, None if p in added else pretokens(p)) for p in (vocabulary.cut(t) if any(a in t for a in added) else [t])] for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for parts in cuts for _, words in parts if words for w in filterfalse(memo.__contains__, words)})
-        memo.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        out = [b"".join(added[p] if words is None else b"".join(map(memo.__getitem__, words)) for p, words in parts) for parts in cuts]
-        for w in new:
-            if len(w) > WORD_CHARS:
-                del memo[w]
-        return out
+    def learn(words: list[bytes]) -> list[bytes]:
+        spelled = letters[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ends = list(accumulate(map(len, words)))
+        return [array("I", [t.id for t in tokenize(spelled[a:b])]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
 
-    return encode
-
-
-_encoders: dict[str, object] = {}
-
-
-def _open(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return Encoder({t["content"]: t["id"] for t in json.loads(text)["added_tokens"]}, learn)
 
 
 def _write(folder: str, file, key: str, end_id: int, block: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        system, base = _open(folder)
-        part, writer, stream, name, first = TaskContext.get().partitionId(), None, None, f"{uuid.uuid4().hex}.bpl", None
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = _encoder(file.value)
-        encode = _encoders[key]
+        system, base = open_folder(folder)
+        part, writer, stream, name = TaskContext.get().partitionId(), None, None, f"{uuid.uuid4().hex}.bpl"
+        encode = held(key, lambda: _encoder(file.value)).texts
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                if writer is None:
-                    stream = system.open_output_stream(f"{base}/{name}")
-                    writer = Writer(stream, block)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
-                    writer.add(doc_id, ids + end)
+            if writer is None and batch.num_rows:
+                stream = system.open_output_stream(f"{base}/{name}")
+                writer = Writer(stream, block)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             stream.close()
@@ -210,16 +184,19 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, folder: str, en
     """Write the ids of all texts to bit-plane files in ascending doc_id order (null first); return the manifest.
 
     The manifest has part, file, tokens and start (ids in all earlier files). A null text is
-    empty and has the end id only; repeated rows are written each; an empty table gives no file.
+    empty and has the end id only; very long texts are encoded piece by piece; repeated rows are
+    written each, equal doc_ids in the order of the rows read; an empty table gives no file;
+    other columns are ignored, whatever their names.
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         text = file.read()
     spark = documents.sparkSession
-    system, base = _open(folder)
+    system, base = open_folder(folder)
     system.create_dir(base, recursive=True)
     key = uuid.uuid4().hex
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = cut(ordered.mapInArrow(_write(folder, spark.sparkContext.broadcast(text), key, end_id, block), "part long, file string, tokens long"))
+    # By row too, so that many rows of one doc_id, or without one, are dealt to several files.
+    ordered = with_row_id(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id", "_row")
+    files = cut(ordered.select("doc_id", "text").mapInArrow(_write(folder, spark.sparkContext.broadcast(text), key, end_id, block), "part long, file string, tokens long"))
     # Running totals in two steps: within runs of 4096 files, then over the runs.
     runs = files.withColumn("run", F.floor(F.col("part") / 4096))
     totals = runs.groupBy("run").agg(F.sum("tokens").alias("run_tokens"))
@@ -230,7 +207,7 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, folder: str, en
 
 def _read(folder: str):
     def run(batches):
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_file(f"{base}/{name}") as stream:

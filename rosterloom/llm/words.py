@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer single text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -44,19 +44,20 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of each text in them) for runs of rows of bounded size; null is empty."""
-    column = column.fill_null("") if column.null_count else column
+    if column.null_count:
+        column = column.fill_null(pa.scalar(b"", pa.binary()).cast(column.type))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 

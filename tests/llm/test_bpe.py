@@ -2,13 +2,14 @@ import hashlib
 from array import array
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rosterloom.llm import bpe
+from rosterloom.llm import bpe, pretokens
 from rosterloom.llm.pretokens import Vocabulary
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,21 +22,53 @@ def encoder(tmp_path_factory):
     path = tmp_path_factory.mktemp("lexicon") / "lexicon.bin"
     words = [w.encode() for w in ("the", " the", " there", "here", " hereof", " of", "\n", "é", " é")]
     path.write_bytes(bpe.compile_lexicon({w: bpe.merge(w, VOCABULARY) for w in words}))
-    return bpe.Encoder(VOCABULARY, bpe.Lexicon(str(path)))
+    return bpe.encoder(VOCABULARY, bpe.Lexicon(str(path)))
+
+
+def encoded(encoder, texts):
+    return [array("I", x).tolist() for x in encoder.texts(pa.array(texts, pa.string()))]
 
 
 @settings(deadline=None, max_examples=300)
 @given(st.text(max_size=60) | st.text(alphabet="the rofñ'sdlm\n\t ½²٣漢字😀\x1c\x85 <|endoftext|>", max_size=60))
 def test_ids_are_the_librarys(encoder, text):
-    got = array("I", encoder.encode([text])[0]).tolist()
-    assert got == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encoded(encoder, [text]) == [LIBRARY.encode(text, add_special_tokens=False).ids]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.none() | st.text(alphabet="'restlmdv \n\u3000\xa01½é漢😀-<|endoftext|>", max_size=30), max_size=12))
+def test_many_texts_are_encoded_each(encoder, texts):
+    assert encoded(encoder, texts) == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_where_pretokens_begin(encoder, prose, monkeypatch):
+    monkeypatch.setattr(pretokens, "BLOCK_BYTES", 300)
+    texts = ["", prose(1, 2000), None, "x" * 5000 + " y", prose(2, 30), ("don't  stop\n 1 <|endoftext|>é'll " * 200), "漢字 " * 700]
+    column = pa.array(texts, pa.string())
+    assert len(list(pretokens.blocks(column))) > 30
+    assert encoded(encoder, texts) == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_memory_is_bounded_by_bytes(encoder, prose, monkeypatch):
+    monkeypatch.setattr(pretokens, "MEMO_BYTES", 20_000)
+    for k in range(30):
+        text = prose(k, 60)
+        assert encoded(encoder, [text]) == [LIBRARY.encode(text, add_special_tokens=False).ids]
+        assert encoder._held < 20_000 + 60 * 400
+
+
+def test_a_worker_holds_one_object(monkeypatch):
+    made = []
+    for key in ("a", "a", "b", "a"):
+        pretokens.held(key, lambda key=key: made.append(key) or key)
+    assert made == ["a", "b", "a"] and pretokens._held == ("a", "a")
 
 
 def test_long_words_are_merged_exactly(encoder):
     import random
 
     for text in ("x" * 50_000, "".join(random.Random(1).choice("abcdefé") for _ in range(30_000)), " " * 5000 + "a"):
-        assert array("I", encoder.encode([text])[0]).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert encoded(encoder, [text]) == [LIBRARY.encode(text, add_special_tokens=False).ids]
 
 
 def test_merge_many_is_merge(prose):
@@ -49,8 +82,8 @@ def test_lexicon_is_the_dictionary(tmp_path_factory, words, others):
     path = tmp_path_factory.mktemp("l") / "l.bin"
     path.write_bytes(bpe.compile_lexicon(words))
     lexicon = bpe.Lexicon(str(path))
-    for word in [*words, *others]:
-        assert lexicon.get(word) == (array("I", words[word]).tobytes() if word in words else None)
+    asked = [*words, *others]
+    assert lexicon.get(asked) == [array("I", words[w]).tobytes() if w in words else None for w in asked]
 
 
 def test_suffixes_are_shared():
