@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import cut, with_row_id
+from rosterloom.llm.shared import cut, few, with_row_id
 from rosterloom.llm.words import grams, slices, word_table
 
 SPAN, GRAM = 10, 5
@@ -27,6 +27,9 @@ REACH = SPAN - GRAM
 #: Up to so many distinct fingerprints of the benchmark (8 bytes each) go to the
 #: executors beforehand; beyond it the same join runs on all fingerprints by shuffle.
 PREFILTER = 2_000_000
+#: Up to so many rows of items (their fingerprints with the words around, some 150 bytes each) are
+#: broadcast; beyond it they are joined by shuffle.
+BROADCAST_ITEMS = 100_000
 
 _PRINT = "n int, hash long, pos int, left array<long>, right array<long>"
 _ARROW = [pa.field("n", pa.int32()), pa.field("hash", pa.int64()), pa.field("pos", pa.int32()), pa.field("left", pa.list_(pa.int64())), pa.field("right", pa.list_(pa.int64()))]
@@ -130,13 +133,15 @@ def _reach(mine: str, theirs: str) -> F.Column:
     return out
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, prefilter: int = PREFILTER) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, prefilter: int = PREFILTER, broadcast: int = BROADCAST_ITEMS) -> DataFrame:
     """One row for each row of ``documents``: doc_id, n_words, n_hit, item_ids (sorted as strings), spans.
 
     ``spans`` are the hit runs of words as (start, end), end exclusive. Null and empty
-    texts and items have no words and never match; rows with equal or null doc_id stay
-    apart; equal items each count under their own item_id (a null item_id still marks
-    words, but is not counted); other columns are ignored. An empty benchmark hits nothing.
+    texts and items have no words and never match; very long texts are searched whole; repeated
+    rows and rows with equal or null doc_id stay apart; equal items each count under their own
+    item_id (a null item_id still marks words, but is not counted), ties of item_ids once; other
+    columns are ignored, whatever their names. An empty benchmark hits nothing, and an empty
+    table of documents gives no row.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     # Without places: an item that repeats itself would else meet a document that does so at every pair of places.
@@ -150,7 +155,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, prefilter: int = P
     doc_kind = documents.schema["doc_id"].dataType.simpleString()
     rows = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", "text").mapInArrow(_document_prints(known, lengths), f"_row long, doc_id {doc_kind}, n_words long, {_PRINT}")
     items = prints.select("item_id", "n", "hash", F.col("left").alias("_left"), F.col("right").alias("_right"), F.lit(True).alias("_found"))
-    joined = rows.join(F.broadcast(items) if known is not None else items, ["n", "hash"], "left")
+    joined = rows.join(few(items, broadcast), ["n", "hash"], "left")
     before, after = _reach("left", "_left"), _reach("right", "_right")
     short = F.col("n") < SPAN
     joined = joined.filter((F.col("n") == 0) | F.col("_found")).select(

@@ -44,9 +44,10 @@ def case(spark, prose):
 
 
 @pytest.mark.parametrize("prefilter", [decontam.PREFILTER, 0])
-def test_every_shared_window_is_found(case, prefilter):
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST_ITEMS, 0])
+def test_every_shared_window_is_found(case, prefilter, broadcast):
     docs, items, documents, benchmark = case
-    rows = decontam.contamination(documents, benchmark, prefilter).collect()
+    rows = decontam.contamination(documents, benchmark, prefilter, broadcast).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in rows), key=str) == brute(docs, items)
 
 
