@@ -21,8 +21,10 @@ from rosterloom.llm.words import SPACED, bounds, grams, hashes, mix, slices
 #: Hashed features of each of the three families.
 BUCKETS = 1 << 16
 BYTE_GRAMS, CLASS_GRAMS, WORD_GRAMS = (1, 2, 3), (2, 4, 6), (1, 2)
-#: Bound of the labelled sample that the model is fitted on, chosen by a hash of doc_id.
+#: Bound of the labelled sample that the model is fitted on, chosen by a hash of doc_id. A row of
+#: it has at most SET_BYTES of features, so that at most 150 MB are gathered for the fit.
 SAMPLE = 6000
+SET_BYTES = 3 * BUCKETS // 8
 #: Added to counts; hinge-loss cost; passes over the sample.
 SMOOTH, COST, PASSES = 1.0, 0.1, 12
 #: A score from here on predicts quality 1.
@@ -76,7 +78,39 @@ class Model:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * margin + self.offset))))
 
 
-def log_ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+def packed(found: np.ndarray) -> bytes:
+    """The features in the shorter form: a bit each, or 32-bit numbers."""
+    if 4 * len(found) < SET_BYTES:
+        return found.astype("<i4").tobytes()
+    have = np.zeros(3 * BUCKETS, bool)
+    have[found] = True
+    return np.packbits(have).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i4") if len(data) < SET_BYTES else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
+class Rows:
+    """Rows of features, unpacked one at a time."""
+
+    def __init__(self, data: list[bytes]):
+        self._data = data
+
+    def __len__(self) -> int:
+        return len(self._data)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self._data[i])
+
+    def __iter__(self):
+        return map(unpacked, self._data)
+
+    def where(self, chosen: np.ndarray) -> Rows:
+        return Rows([self._data[i] for i in np.flatnonzero(chosen)])
+
+
+def log_ratios(rows: Rows | list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     counts = np.full((2, 3 * BUCKETS), SMOOTH)
     for row, y in zip(rows, positive):
         counts[int(y), row] += 1
@@ -84,22 +118,24 @@ def log_ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.log(shares[1] / shares[0])
 
 
-def dual_descent(rows: list[np.ndarray], values: np.ndarray, positive: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: Rows | list[np.ndarray], values: np.ndarray, positive: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights (already times ``values``) and bias of the L1-loss linear SVM; texts are scaled to unit length."""
     weights, bias = np.zeros(len(values)), 0.0
-    x = [values[r] / max(1e-9, math.sqrt(float((values[r] ** 2).sum()))) for r in rows]
-    square = np.array([float((v**2).sum()) + 1.0 for v in x])
+    length = np.array([max(1e-9, math.sqrt(float((values[r] ** 2).sum()))) for r in rows])
+    square = np.array([float(((values[r] / n) ** 2).sum()) + 1.0 for r, n in zip(rows, length)])
     dual, sign = np.zeros(len(rows)), np.where(positive, 1.0, -1.0)
     share = max(1e-9, float(np.mean(positive)))
     cost = COST * 10 * np.where(positive, 0.5 / share, 0.5 / max(1e-9, 1 - share))
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
-            gradient = sign[i] * (float(weights[rows[i]] @ x[i]) + bias) - 1
+            row = rows[i]
+            x = values[row] / length[i]
+            gradient = sign[i] * (float(weights[row] @ x) + bias) - 1
             new = min(cost[i], max(0.0, dual[i] - gradient / square[i]))
             if new != dual[i]:
                 step = (new - dual[i]) * sign[i]
-                weights[rows[i]] += step * x[i]
+                weights[row] += step * x
                 bias += step
                 dual[i] = new
     return weights * values, bias
@@ -135,21 +171,29 @@ def _feature_rows(batches):
     for batch in batches:
         for row, data, offsets in slices(batch.column(1)):
             for k, found in enumerate(features(data, offsets)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row + k, 1), pa.array([found.astype("<i4").tobytes()], pa.binary())], names=["quality", "found"])
+                at = row + k
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(2).slice(at, 1), pa.array([packed(found)], pa.binary())], names=["quality", "doc_id", "found"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     """Fit on at most ``sample`` labelled rows that are not held out, chosen by a hash of their doc_id.
 
-    Without rows of both classes every text gets the share of quality 1 among the rows (0.5 without any).
+    Of several labels of a doc_id the greatest counts, and of several rows the one whose packed
+    features come first. Null labels and doc_ids are not learned from; null and empty texts have
+    no features; very long texts give theirs whole. Without rows of both classes (as without any
+    rows) every text gets the share of quality 1 among the rows (0.5 without any). Other columns
+    are ignored, whatever their names.
     """
     chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The broadcast side has ``sample`` rows at most.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("long").alias("quality"), "text").mapInArrow(_feature_rows, "quality long, found binary").collect()
-    rows.sort(key=lambda r: (bytes(r.found), r.quality))
-    positive = np.array([r.quality == 1 for r in rows], bool)
-    found = [np.frombuffer(r.found, "<i4") for r in rows]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("long").alias("quality"), "text", "doc_id")
+    rows = rows.mapInArrow(_feature_rows, f"quality long, doc_id {kind}, found binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("found", "quality")).alias("row")).select("row.found", "row.quality").collect()
+    rows = sorted((bytes(r.found), r.quality) for r in rows)
+    positive = np.array([quality == 1 for _, quality in rows], bool)
+    found = Rows([data for data, _ in rows])
     if not len(rows) or positive.all() or not positive.any():
         share = float(positive.mean()) if len(rows) else 0.5
         share = min(1 - 1e-6, max(1e-6, share))
@@ -160,9 +204,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted
         seen = np.arange(len(rows)) % 2 == half
         if positive[seen].all() or not positive[seen].any():
             continue
-        values = log_ratios([f for f, s in zip(found, seen) if s], positive[seen])
-        weights, bias = dual_descent([f for f, s in zip(found, seen) if s], values, positive[seen])
-        margins[~seen] = _margins([f for f, s in zip(found, seen) if not s], weights, values, bias)
+        values = log_ratios(found.where(seen), positive[seen])
+        weights, bias = dual_descent(found.where(seen), values, positive[seen])
+        margins[~seen] = _margins(found.where(~seen), weights, values, bias)
     slope, offset = sigmoid_fit(margins, positive)
     values = log_ratios(found, positive)
     weights, bias = dual_descent(found, values, positive)
@@ -172,7 +216,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted
 def score(documents: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id and score (0 to 1) of every row; null and empty texts have no n-grams and get the bias alone.
 
-    Repeated rows are scored each, and other columns are ignored.
+    Very long texts are scored whole; repeated rows, equal and null doc_ids are scored each;
+    there are no ties; an empty table gives none; other columns are ignored, whatever their names.
     """
     shared = documents.sparkSession.sparkContext.broadcast(fitted)
     kind = documents.schema["doc_id"].dataType.simpleString()
