@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
 All word k-grams of a document that stand in a template are joined with their places
-there; each pair votes for the diagonal (place in document minus place in template).
-Neighbouring diagonals, as left by words put in or left out, are merged, and a merged
-diagonal counts if it covers enough of its template within a span of about its length.
+there, by hash and by their words, so that a vote is a word-by-word match; each pair votes
+for the diagonal (place in document minus place in template). Neighbouring diagonals, as left
+by words put in or left out, are merged. A merged diagonal counts if its votes hold enough
+k-grams and enough words of its template within a span of about its length.
 """
 
 from __future__ import annotations
@@ -13,87 +14,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rosterloom.llm.license_texts import NOTICES, PHRASES, TEXTS
 from rosterloom.llm.shared import with_row_id
-from rosterloom.llm.words import grams, slices, word_table
+from rosterloom.llm.words import LOWER, PLAIN, bounds, grams, slices, word_table
 
 GRAM = 3
 #: Diagonals at most so far apart belong together.
 NEIGHBOUR = 3
-#: Share of a template's k-grams that its merged diagonal must hold; short templates,
-#: which often differ by a version number only, must be held whole.
+#: Share of a template's k-grams, and of its words, that its merged diagonal must hold; short
+#: templates, which often differ by a version number only, must be held whole.
 COVER, SHORT = 0.8, 10
 
-#: Phrases whose exact places are the base result, and their labels.
-PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Grams of a template and its words, in its own order: the phrases first.
+TEMPLATES = [(label, text, kind) for kind, texts in (("phrase", PHRASES), ("notice", NOTICES), ("text", TEXTS)) for label, text in texts]
 
-#: Notices of well-known public licenses, and their labels.
-NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
-    "released under the mit license": "mit",
-    "licensed under the apache license version 2.0": "apache-2",
-    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "licensed under the gnu general public license version 3": "gpl-3",
-    "licensed under the gnu general public license version 2": "gpl-2",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
-    "under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
-    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
-    "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-2",
-    "licensed under cc by nc 4.0": "cc-by-nc",
-    "licensed under cc by sa 4.0": "cc-by-sa",
-    "licensed under cc by 4.0": "cc-by",
-    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "cc-by-nc",
-    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "cc-by-sa",
-    "this work is licensed under a creative commons attribution 4.0 international license": "cc-by",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-}
 
+def _spelled(lowered: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> list[str]:
+    """The words of the k-grams that begin with the words ``at``, one blank between them."""
+    return [b" ".join(lowered[starts[i + j] : ends[i + j]] for j in range(GRAM)).decode() for i in at.tolist()]
 
-def template_grams() -> list[tuple[int, str, bool, int, int, int]]:
-    """(template, label, is phrase, k-grams of the template, hash, place): a few hundred rows, whatever the input."""
+
+def template_grams() -> list[tuple[int, str, bool, int, int, int, str, int]]:
+    """(template, label, is phrase, k-grams and words of the template, hash, gram, place): some thousand rows, whatever the input."""
     out = []
-    for number, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
+    for number, (label, text, kind) in enumerate(TEMPLATES):
         data = np.frombuffer(text.encode(), np.uint8)
-        words, owner, _ = word_table(data, np.array([0, len(data)]))
+        offsets = np.array([0, len(data)])
+        words, owner, _ = word_table(data, offsets)
         codes, first = grams(words, owner, GRAM)
-        out += [(number, label, number < len(PHRASES), len(codes), int(h), int(p)) for h, p in zip(codes.view(np.int64), first)]
+        starts, ends, _ = bounds(LOWER[data], offsets, PLAIN)
+        spelled = _spelled(LOWER[data].tobytes(), starts, ends, first)
+        out += [(number, label, kind == "phrase", len(codes), len(words), int(h), g, int(p)) for h, g, p in zip(codes.view(np.int64), spelled, first)]
     return out
 
 
 def _gram_rows(batches):
-    """A row for each document, with a null hash, and one for each of its k-grams that a template holds."""
-    known = np.unique(np.array([r[4] for r in template_grams()], np.int64))
+    """A row for each document, with a null hash, and one for each of its k-grams whose hash a template has, with its words."""
+    known = np.unique(np.array([r[5] for r in template_grams()], np.int64))
     for batch in batches:
         ids, docs = batch.column(0), batch.column(1)
-        schema = pa.schema([pa.field("_row", pa.int64()), pa.field("doc_id", docs.type), pa.field("n_words", pa.int64()), pa.field("hash", pa.int64()), pa.field("pos", pa.int32())])
+        schema = pa.schema([pa.field("_row", pa.int64()), pa.field("doc_id", docs.type), pa.field("n_words", pa.int64()), pa.field("hash", pa.int64()), pa.field("gram", pa.string()), pa.field("pos", pa.int32())])
         for row, data, offsets in slices(batch.column(2)):
             words, owner, place = word_table(data, offsets)
             counts = np.bincount(owner, minlength=len(offsets) - 1)
             take = pa.array(row + np.arange(len(counts)))
-            yield pa.RecordBatch.from_arrays([ids.take(take), docs.take(take), pa.array(counts), pa.nulls(len(take), pa.int64()), pa.nulls(len(take), pa.int32())], schema=schema)
+            none = len(take)
+            yield pa.RecordBatch.from_arrays([ids.take(take), docs.take(take), pa.array(counts), pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int32())], schema=schema)
             codes, first = grams(words, owner, GRAM)
             codes = codes.view(np.int64)
-            at = known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
-            if at.any():
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes)
+            if len(at):
+                lowered = LOWER[data]
+                starts, ends, _ = bounds(lowered, offsets, PLAIN)
                 take = pa.array(row + owner[first[at]])
-                yield pa.RecordBatch.from_arrays([ids.take(take), docs.take(take), pa.nulls(len(take), pa.int64()), pa.array(codes[at]), pa.array(place[first[at]].astype(np.int32))], schema=schema)
+                columns = [ids.take(take), docs.take(take), pa.nulls(len(take), pa.int64()), pa.array(codes[at]), pa.array(_spelled(lowered.tobytes(), starts, ends, first[at]), pa.string()), pa.array(place[first[at]].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def scan_licenses(documents: DataFrame, cover: float = COVER) -> DataFrame:
     """One row for each row of ``documents``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null and empty texts have no words: counts 0, labels empty, score 0. Rows with equal
-    or null doc_id stay apart; other columns are ignored. ``score`` is the largest share
-    of a template that the document holds (1 at a phrase, 0 below ``cover``).
+    Null and empty texts have no words: counts 0, labels empty, score 0. Very long texts are
+    scanned whole; repeated rows and rows with equal or null doc_id stay apart; a document that
+    holds several templates has all their labels, so there are no ties; an empty table gives no
+    row; other columns are ignored, whatever their names. ``score`` is the largest share of a
+    template's words that the document holds (1 at a phrase, 0 below ``cover``).
     """
     spark: SparkSession = documents.sparkSession
-    templates = F.broadcast(spark.createDataFrame(template_grams(), "template int, label string, phrase boolean, size int, hash long, at int"))
+    templates = F.broadcast(spark.createDataFrame(template_grams(), "template int, label string, phrase boolean, size int, length int, hash long, gram string, at int"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", "text").mapInArrow(_gram_rows, f"_row long, doc_id {kind}, n_words long, hash long, pos int")
-    votes = rows.join(templates, "hash", "left").withColumn("diagonal", F.col("pos") - F.col("at"))
-    diagonals = votes.groupBy("_row", "template", "label", "phrase", "size", "diagonal").agg(
+    rows = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", "text").mapInArrow(_gram_rows, f"_row long, doc_id {kind}, n_words long, hash long, gram string, pos int")
+    votes = rows.join(templates, ["hash", "gram"], "left").withColumn("diagonal", F.col("pos") - F.col("at"))
+    diagonals = votes.groupBy("_row", "template", "label", "phrase", "size", "length", "diagonal").agg(
         F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"),
         F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("at").alias("places"),
     )
@@ -102,15 +94,18 @@ def scan_licenses(documents: DataFrame, cover: float = COVER) -> DataFrame:
     apart |= F.col("phrase") | (F.col("low") - F.lag("high").over(along) > F.col("size") + NEIGHBOUR)
     merged = (
         diagonals.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
-        .groupBy("_row", "template", "label", "phrase", "size", "run")
+        .groupBy("_row", "template", "label", "phrase", "size", "length", "run")
         .agg(
             F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"),
         )
+        .withColumn("votes", F.size("places"))
+        .withColumn("words", F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + GRAM - 1))))))
     )
-    share = F.col("votes") / F.col("size")
+    share = F.col("words") / F.col("length")
     base = F.col("phrase") & (F.col("votes") == F.col("size"))
-    own = ~F.col("phrase") & (share >= F.when(F.col("size") < SHORT, 1.0).otherwise(cover)) & (F.col("high") - F.col("low") < 2 * F.col("size") + NEIGHBOUR)
+    enough = F.when(F.col("size") < SHORT, 1.0).otherwise(cover)
+    own = ~F.col("phrase") & (F.col("votes") >= enough * F.col("size")) & (share >= enough) & (F.col("high") - F.col("low") < 2 * F.col("size") + NEIGHBOUR)
     out = merged.groupBy("_row").agg(
         F.first("doc_id", ignorenulls=True).alias("doc_id"),
         F.max("n_words").alias("n_words"),
