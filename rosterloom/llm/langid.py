@@ -12,6 +12,7 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -20,17 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import held_out, stored
+from rosterloom.llm.pretokens import held
+from rosterloom.llm.shared import free_name, held_out, stored
 
 #: Least share of a language's words that makes a word known; the same for n-grams of each length.
 SHARE = 2e-5
 LONGEST = 4
 #: Added to every count.
 SMOOTH = 0.5
-#: Words whose scores a Python worker remembers, and distinct words counted before partial counts are sent on.
-MEMO, PARTIAL = 1 << 18, 1 << 17
-#: N-grams are counted in words up to this length; the memo also empties at this length times its words.
-WORD_CHARS = 64
+#: Words whose scores a Python worker remembers, and their letters; distinct words and n-grams counted before partial counts are sent on.
+MEMO, MEMO_CHARS, PARTIAL = 1 << 17, 1 << 22, 1 << 17
 
 find_words = re.compile(r"[^\W\d_]+").findall
 
@@ -43,31 +43,35 @@ def text_words(text: str | None) -> list[str]:
     return words
 
 
-def ngrams(word: str) -> list[str]:
+def ngrams(word: str) -> Iterator[str]:
     marked = f"<{word}>"
-    return [marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
+    return (marked[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1))
 
 
 def _count(batches):
     """Partial counts: n 0 for words, 1 to 4 for n-grams weighted by their words."""
     counts: dict[str, Counter] = defaultdict(Counter)
 
+    def batch_of(lang, found, n):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())],
+            names=["lang", "n", "gram", "count"],
+        )
+
     def rows():
         for lang, words in counts.items():
+            yield batch_of(lang, words, [0] * len(words))
             grams: Counter = Counter()
             for word, c in words.items():
-                if len(word) > WORD_CHARS:
-                    continue
                 if c == 1:
                     grams.update(ngrams(word))
                 else:
                     for gram in ngrams(word):
                         grams[gram] += c
-            n = [0] * len(words) + list(map(len, grams))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array([*words, *grams], pa.string()), pa.array([*words.values(), *grams.values()], pa.int64())],
-                names=["lang", "n", "gram", "count"],
-            )
+                if len(grams) > 4 * PARTIAL:
+                    yield batch_of(lang, grams, list(map(len, grams)))
+                    grams.clear()
+            yield batch_of(lang, grams, list(map(len, grams)))
         counts.clear()
 
     for batch in batches:
@@ -148,7 +152,7 @@ class _Memo(dict):
         out = np.zeros(self.table.shape[1])
         for i in range(0, len(words), MEMO // 2):
             part = words[i : i + MEMO // 2]
-            if len(self) > MEMO // 2 or self.chars > MEMO * WORD_CHARS:
+            if len(self) > MEMO // 2 or self.chars > MEMO_CHARS:
                 self.clear()
                 self.chars = 0
             self.learn(part)
@@ -170,23 +174,18 @@ def learn(documents: DataFrame, share: float = SHARE) -> Model:
     return Model(sorted({lang for lang, _ in totals}), [tuple(r) for r in rows], totals)
 
 
-_models: dict[str, _Memo] = {}
-
-
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``lang_score`` (0 to 1: the language's share of the posterior).
+def identify(documents: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``documents`` with two more columns: ``pred`` and ``score`` (0 to 1: the language's share of the posterior).
 
-    A null text, one without a letter, and every text under a model that learned nothing
-    gets ``und`` and 0. Ties go to the first language in order. Every row is kept as it
-    is; columns named lang_pred or lang_score are replaced.
+    A null or empty text, one without a letter, and every text under a model that learned nothing
+    gets ``und`` and 0. A very long text is scored whole. Ties go to the first language in order.
+    Every row is kept as it is, repeated ones too; an empty table gives none. Columns that are
+    named ``pred`` or ``score`` already are replaced; all others are kept, whatever their names.
     """
     shared, key = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        if key not in _models:
-            _models.clear()
-            _models[key] = _Memo(shared.value)
-        memo = _models[key]
+        memo = held(key, lambda: _Memo(shared.value))
         langs, scores = [], []
         for text in texts:
             words = text_words(text)
@@ -202,10 +201,11 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     # Marked so that a filter on the result isn't pushed below it, which would run the model twice.
     said = F.pandas_udf(run, "lang string, score double").asNondeterministic()
-    out = documents.withColumn("_said", said(F.col("text")))
-    return out.withColumn("lang_pred", F.col("_said.lang")).withColumn("lang_score", F.col("_said.score")).drop("_said")
+    said_in = free_name("_said", documents.columns)
+    out = documents.withColumn(said_in, said(F.col("text")))
+    return out.withColumn(pred, F.col(said_in)["lang"]).withColumn(score, F.col(said_in)["score"]).drop(said_in)
 
 
-def learn_and_identify(documents: DataFrame) -> DataFrame:
+def learn_and_identify(documents: DataFrame, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Learn from the rows that are not held out, then identify all rows."""
-    return identify(documents, learn(documents.filter(~held_out(F.col("doc_id")))))
+    return identify(documents, learn(documents.filter(~held_out(F.col("doc_id")))), pred, score)
