@@ -35,28 +35,46 @@ GROUPS = r"(?<![A-Za-z0-9._%+@-])[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}[0-9]++){1,7
 DIGITS = (7, 10, 14, 20)
 #: The digit groups at the end of a phone number stand for it if they have so many digits.
 LOCAL = 7
-#: Rounds over the graph; least share of known instances and least number of known instances of
-#: a good pattern; least certainty of a new instance.
-ROUNDS, PRECISION, SUPPORT, CERTAIN = 3, 0.6, 5, 0.8
+#: Least share of known instances and least number of known instances of a good pattern; least
+#: certainty of a new instance.
+PRECISION, SUPPORT, CERTAIN = 0.6, 5, 0.8
 #: Up to so many texts' found spans are broadcast; beyond it they are joined by shuffle.
 BROADCAST_TEXTS = 100_000
-#: Context is looked for within so many characters of a token.
-NEAR = 40
+#: Items of an array that are scanned before what they gave is put away.
+RUN = 256
+#: Characters of the pieces that a text with spans is cut into.
+PIECE = 4096
+
+
+def _scan(items: Column, state: Column, after, out, kind: str) -> Column:
+    """``out(state, item)`` (of SQL type ``kind``) of every item of an array, where ``after(state, item)`` is the state for the next one.
+
+    An append copies its array. Appending to arrays of ``RUN`` items, and these to one array,
+    keeps the time near linear.
+    """
+    def run(state, part):
+        none = F.array().cast(f"array<{kind}>")
+        step = lambda a, x: F.struct(after(a["state"], x).alias("state"), F.array_append(a["out"], out(a["state"], x)).alias("out"))
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), step)
+
+    def runs(a, part):
+        return let(run(a["state"], part), lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    none = F.array().cast(f"array<array<{kind}>>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda c: F.slice(items, c * RUN + 1, F.lit(RUN)))
+    whole = F.aggregate(parts, F.struct(state.alias("state"), none.alias("out")), runs)
+    return F.when(F.size(items) == 0, F.array().cast(f"array<{kind}>")).otherwise(F.flatten(whole["out"]))
 
 
 def _cuts(text: Column, pattern: str, build) -> Column:
-    """``build(places)`` of the matches of ``pattern``: structs of start, end, found, before and after."""
+    """``build(places)`` of the matches of ``pattern``: structs of start, end, found, and the text before and after up to other matches."""
     def placed(x):
-        def step(a, i):
-            start = a["at"] + F.length(F.get(x["pieces"], i))
-            end = start + F.length(F.get(x["found"], i))
-            place = F.struct(start.alias("start"), end.alias("end"), F.get(x["found"], i).alias("found"), F.right(F.get(x["pieces"], i), F.lit(NEAR)).alias("before"), F.left(F.get(x["pieces"], i + 1), F.lit(NEAR)).alias("after"))
-            return F.struct(end.alias("at"), F.array_append(a["places"], place).alias("places"))
-
+        start = lambda at, i: at + F.length(F.get(x["pieces"], i))
+        end = lambda at, i: start(at, i) + F.length(F.get(x["found"], i))
+        place = lambda at, i: F.struct(start(at, i).alias("start"), end(at, i).alias("end"), F.get(x["found"], i).alias("found"), F.get(x["pieces"], i).alias("before"), F.get(x["pieces"], i + 1).alias("after"))
         empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
-        return F.when(F.size(x["found"]) == 0, empty).otherwise(
-            F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("places")), step)["places"]
-        )
+        numbers = let(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda n: _scan(n, F.lit(0), end, place, "struct<start:int,end:int,found:string,before:string,after:string>"))
+        return F.when(F.size(x["found"]) == 0, empty).otherwise(numbers)
 
     whole = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     return let(let(whole, placed), build)
@@ -112,7 +130,9 @@ def _coarse(instance: Column) -> tuple[Column, Column]:
 def _mention(start: Column, end: Column, instance: Column, found: Column, before: Column, after: Column, seed: Column, part: bool) -> Column:
     exact = F.regexp_replace(F.regexp_replace(found, "[A-Za-z]+", "a"), "[0-9]", "9")
     coarse = F.concat(*(c.cast("string") for c in _coarse(instance)))
-    left, right = F.regexp_extract(before, r"([^\s]+)\s*$", 1), F.regexp_extract(after, r"^[^\s]*\s+([^\s]+)", 1)
+    blanks = lambda x: F.translate(x, "\t\n\x0b\f\r", "     ")
+    left = F.substring_index(F.rtrim(blanks(before)), " ", -1)
+    right = F.coalesce(F.get(F.split(blanks(after), " +", 3), F.lit(1)), F.lit(""))
     context = lambda side, word, *shape: F.when(word != "", F.concat_ws(" ", F.lit(side), F.lower(word), *shape))
     beside = [context(side, word, *shape) for side, word in (("<", left), (">", right)) for shape in ((), (F.lit("~"), coarse), (F.lit("="), exact))]
     return F.struct(start.alias("start"), end.alias("end"), instance.alias("instance"), F.array_compact(F.array(*beside, F.concat(F.lit("= "), exact))).alias("patterns"), seed.alias("seed"), F.lit(part).alias("part"))
@@ -124,12 +144,27 @@ def _candidates(text: Column, base: str) -> Column:
         found = F.regexp_replace(p["found"], r"(?<![._%-])[._%-]++$", "")
         return F.struct(p["start"].alias("start"), (p["start"] + F.length(found)).alias("end"), found.alias("found"), p["before"].alias("before"), p["after"].alias("after"))
 
-    free = lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"]))
     one = lambda p: let(_instance(p["found"]), lambda i: _mention(p["start"], p["end"], i, p["found"], p["before"], p["after"], F.lit(-1), False))
-    build = lambda places: F.transform(F.filter(F.transform(places, trimmed), free), one)
+    build = lambda places: F.transform(_free(F.transform(places, trimmed), F.col(base)), one)
     return F.concat(_cuts(text, TOKEN, build), _cuts(text, GROUPS, build))
 
 
+def _free(places: Column, base: Column) -> Column:
+    """The places that overlap no base span: one pass sees the ends of spans before them, one the starts of spans after."""
+    fields = ["start", "kind", "end", "found", "before", "after"]
+    typed = F.transform(places, lambda p: F.struct(*((F.lit(len(KINDS)) if f == "kind" else p[f]).alias(f) for f in fields)))
+    is_base = lambda x: x["kind"] < len(KINDS)
+
+    def of(every):
+        before = _scan(every, F.lit(0), lambda s, x: F.when(is_base(x), F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"], "boolean")
+        after = let(F.reverse(every), lambda r: F.reverse(_scan(r, F.lit(2**31 - 1), lambda s, x: F.when(is_base(x), x["start"]).otherwise(s), lambda s, x: s < x["end"], "boolean")))
+        free = let(F.struct(before.alias("before"), after.alias("after")), lambda f: F.filter(every, lambda x, i: ~is_base(x) & ~F.get(f["before"], i) & ~F.get(f["after"], i)))
+        return F.transform(free, lambda p: F.struct(*(p[f].alias(f) for f in fields if f != "kind")))
+
+    plain = F.transform(places, lambda p: F.struct(*(p[f].alias(f) for f in fields if f != "kind")))
+    return F.when((F.size(base) == 0) | (F.size(places) == 0), plain).otherwise(let(F.sort_array(F.concat(base, typed)), of))
+
+
 def _seeds(places: Column) -> Column:
     """Mentions of the base spans, and of the ends of phone numbers, which are written without what is before them too."""
     def whole(p):
@@ -149,15 +184,19 @@ def _seeds(places: Column) -> Column:
 
 
 def _discover(mentions: DataFrame) -> DataFrame:
-    """Instances that good patterns find, seeds among them: instance and kind."""
+    """Instances that good patterns find, seeds among them: instance and kind.
+
+    What is found counts as known in the next round, until a round finds nothing more.
+    """
     edges = mentions.select("instance", "seed", "part", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance")
     edges = cut(edges.agg(F.max("seed").alias("seed"), F.max(F.when(~F.col("part"), F.col("seed"))).alias("whole")))
     seeds = sure = cut(edges.filter("seed >= 0").groupBy("instance").agg(F.max("seed").alias("kind"), F.max("whole").alias("whole")).withColumn("certain", F.lit(1.0)))
+    found = None
     sure = sure.drop("whole")
     characters, length = _coarse(F.col("instance"))
     fits = seeds.filter("whole >= 0").groupBy("kind", characters.alias("characters")).agg((F.min(length) - 1).alias("least"), (F.max(length) + 1).alias("most"))
     fits = F.broadcast(cut(fits))
-    for _ in range(ROUNDS):
+    while True:
         known = edges.filter("whole IS NOT NULL").select("pattern", "instance").join(sure, "instance", "left")
         counted = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("certain").alias("good"))
         total = counted.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.struct(F.coalesce("good", F.lit(0.0)), "kind")).alias("best"))
@@ -168,29 +207,31 @@ def _discover(mentions: DataFrame) -> DataFrame:
         voted = voted.agg((1 - unsure[0] * unsure[1] * unsure[2]).alias("certain")).withColumns({"characters": characters, "length": length})
         voted = cut(voted.join(fits, ["kind", "characters"]).filter("length BETWEEN least AND most").select("instance", "kind", "certain"))
         chosen = voted.groupBy("instance").agg(F.max(F.struct("certain", "kind")).alias("best"))
-        chosen = cut(chosen.select("instance", "best.kind", "best.certain").filter(F.col("certain") >= CERTAIN))
-        sure = cut(seeds.select("instance", "kind", "certain").unionByName(chosen.join(seeds.select("instance"), "instance", "left_anti")))
-    return chosen.join(seeds.select("instance", F.col("kind").alias("seed")), "instance", "left").filter("seed IS NULL OR seed = kind").select("instance", "kind")
+        chosen = chosen.select("instance", "best.kind", "best.certain").filter(F.col("certain") >= CERTAIN)
+        fresh = cut(chosen if found is None else chosen.join(found.select("instance"), "instance", "left_anti"))
+        found = fresh if found is None else cut(found.unionByName(fresh))
+        if fresh.isEmpty():
+            break
+        sure = cut(seeds.select("instance", "kind", "certain").unionByName(found.join(seeds.select("instance"), "instance", "left_anti")))
+    return found.join(seeds.select("instance", F.col("kind").alias("seed")), "instance", "left").filter("seed IS NULL OR seed = kind").select("instance", "kind")
 
 
 def _outer(found: Column) -> Column:
     """Array of (start, kind, end) of the spans (start, less end, kind), in order, that lie in no span before them."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(a, s):
-        span = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"))
-        fresh = -s["end"] > a["at"]
-        return F.struct(F.greatest(a["at"], -s["end"]).alias("at"), F.when(fresh, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
+    span = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"))
+    fresh = _scan(found, F.lit(0), lambda at, s: F.greatest(at, -s["end"]), lambda at, s: F.when(-s["end"] > at, span(s)), "struct<start:int,kind:int,end:int>")
+    return F.array_compact(fresh)
 
 
 def find_spans(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id) of every row, with ``base`` and ``spans``.
 
     Both are arrays of (start, kind, end) by start, then kind as listed, then end; ``kind`` is
-    a number of ``KINDS``. Null and empty texts have no spans; rows with equal or null doc_id
-    stay apart; columns that are not kept may have any name. Found spans never overlap a base span.
+    a number of ``KINDS``. Null and empty texts have no spans; very long texts are searched
+    whole, in time near linear; repeated rows and rows with equal or null doc_id stay apart, and
+    repeats support a pattern once; of two kinds equally certain the last listed is taken; an
+    empty table gives none; columns that are not kept may have any name. Found spans never
+    overlap a base span.
     """
     keep = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -216,12 +257,16 @@ def span_text(spans: str) -> Column:
 def masked(text: Column, spans: str) -> Column:
     """``text`` with every span, or run of overlapping spans, replaced by its first kind in brackets."""
     name = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    number = lambda at: F.floor(at / PIECE).cast("int")
+
+    def of(pieces):
+        def part(start, end):  # of the text, from the pieces that it lies in
+            inside = F.array_join(F.slice(pieces, number(start) + 1, number(end - 1) - number(start) + 1), "")
+            return F.when(end > start, F.substring(inside, start % PIECE + 1, end - start)).otherwise("")
 
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        between = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.get(name, s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, between).otherwise(a["out"]).alias("out"))
+        after = lambda at, s: F.greatest(at, s["end"])
+        out = lambda at, s: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit("["), F.get(name, s["kind"]), F.lit("]"))).otherwise("")
+        rest = let(F.array_max(F.transform(spans, lambda s: s["end"])), lambda end: part(end, F.length(text)))
+        return F.concat(F.array_join(_scan(F.col(spans), F.lit(0), after, out, "string"), ""), rest)
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.lit(2**31 - 1))))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)).otherwise(text)
