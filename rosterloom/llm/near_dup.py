@@ -11,8 +11,11 @@ Exact copies are one node. In a band's bucket no node meets all others: all are
 with the bucket's most typical node first (the one with the fewest shingles of its own),
 then the rest with the most typical node of the bucket's commonest class. What is still in
 another class, and could by its counts be similar enough to a bucket member at all, is
-compared once with each such member of the other classes. So a bucket of n similar texts
-costs about n comparisons, and no link between classes is lost.
+compared with the texts of other classes with which it shares one of its rarest shingles: as
+two sets of Jaccard similarity s have more than s of either in common, the rarest 1 - s of one
+and of the other, by one order, can't be disjoint. So a bucket of n similar texts costs about
+n comparisons, n texts that share a band by boilerplate meet by what sets them apart, and no
+link between classes is lost.
 """
 
 from __future__ import annotations
@@ -134,6 +137,19 @@ def _bound(a: str, b: str):
     return common / (F.col(f"{a}.size") + F.col(f"{b}.size") - common)
 
 
+def rarest(sets: DataFrame, similar: float) -> DataFrame:
+    """node and shingle of the rarest shingles of each of ``sets``, by one order; those of no other set are left out.
+
+    Two sets whose Jaccard similarity is ``similar`` or more have one of these in common.
+    """
+    terms = sets.select("node", F.explode("shingles").alias("shingle"))
+    counted = terms.join(terms.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    ranked = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    size = F.size("ranked")
+    first = F.slice("ranked", F.lit(1), (size - F.ceil(similar * size - 1e-9) + 1).cast("int"))
+    return ranked.select("node", F.explode(first).alias("rare")).filter("rare.n > 1").select("node", "rare.shingle")
+
+
 def signed(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` with _row, _digest and _bands, written once."""
     numbered = with_row_id(documents)
@@ -192,17 +208,17 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
         edges = cut(edges.unionByName(central))
         labels = components(edges)
         open_ = apart(labels)
-    # What is still apart meets every able node of the other classes in its buckets, each once.
-    minor = open_.filter("label != most").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    there = stored(open_.select("bucket", F.col("label").alias("y_label")).distinct())
-    meets = minor.join(there, "bucket").filter("x_label != y_label").select("x", "y_label").distinct()
-    able = open_.groupBy("node").agg(F.first("label").alias("label"), F.first("count").alias("count"), F.collect_set("bucket").alias("buckets"))
+    # Of what is still apart, two texts can be similar enough only if they have one of their rarest shingles in common.
+    able = open_.groupBy("node").agg(F.first("label").alias("label"), F.first("count").alias("count"), F.max(F.col("label") != F.col("most")).alias("minor"))
     able = stored(able)
-    meets = stored(meets.join(able.select(F.col("node").alias("x"), F.col("count").alias("u"), F.col("buckets").alias("own")), "x"))
-    other = able.select(F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"), "buckets")
-    late = verified(meets.join(other, (meets["y_label"] == other["y_label"]) & (_bound("u", "v") >= similar) & F.arrays_overlap("own", "buckets")))
-    if not late.isEmpty():
-        labels = components(edges.unionByName(late))
+    if not able.isEmpty():
+        rare = rarest(sets.join(few(able.select("node")), "node"), similar).join(able, "node")
+        rare = stored(rare)
+        one = rare.filter("minor").select("shingle", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("count").alias("u"))
+        two = rare.select("shingle", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"))
+        late = verified(one.join(two, "shingle").filter((F.col("x_label") != F.col("y_label")) & (_bound("u", "v") >= similar)))
+        if not late.isEmpty():
+            labels = components(edges.unionByName(late))
     labels = cut(labels)
     named = cut(labels.join(nodes.select(F.col("node").alias("label"), F.col("node_doc").alias("class_id")), "label").select("node", "label", "class_id"))
     found = nodes.select("_digest", "node", "node_doc").join(named, "node", "left")
@@ -215,9 +231,11 @@ def near_duplicates(documents: DataFrame, similar: float = SIMILAR) -> DataFrame
     """One row for each row of ``documents``: doc_id, class_id, kept.
 
     Texts with equal words are in one class, and so are texts linked by similarity. ``class_id``
-    is the doc_id of the class's first row, which alone is ``kept``. Null texts and texts
-    without words are each a class of their own; a text of fewer than 5 words is one shingle.
-    Rows with equal or null doc_id stay apart; other columns are ignored.
+    is the doc_id of the class's first row, which alone is ``kept``. Null and empty texts and
+    texts without words are each a class of their own; a text of fewer than 5 words is one
+    shingle; very long texts are compared whole. Repeated rows are one class; rows with equal or
+    null doc_id stay apart, and the row read first comes first among them. An empty table gives
+    no row; other columns are ignored, whatever their names.
     """
     out = classes(signed(documents.select("doc_id", "text")), similar)
     return out.select("doc_id", "class_id", (F.col("_row") == F.col("class_row")).alias("kept"))

@@ -70,6 +70,31 @@ def test_classes_are_those_of_all_pairs(spark, prose):
     assert near_dup.without_near_duplicates(frame).count() == len(brute(rows))
 
 
+def test_texts_that_share_boilerplate(spark, prose):
+    """Half or most of each text is common to all; a few pairs are similar, and links cross the classes of a bucket."""
+    rng, boiler, rows = random.Random(8), prose(1, 150), []
+    for g in range(50):
+        own = prose(100 + g, 20 + 4 * (g % 9)).split()
+        for k in range(3):
+            copy = list(own)
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(len(copy))] = prose(rng.randrange(10**6), 1)
+            rows.append((10 * g + k, f"{boiler} {' '.join(copy)}"))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert grouped(found) == brute(rows) and 1 < len(brute(rows)) < 150
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    rng = random.Random(2)
+    rows = [(i, sorted(rng.sample(range(40), rng.randint(1, 30)))) for i in range(60)]
+    rows += [(100 + i, sorted({*rng.sample(s, max(1, len(s) - rng.randint(0, 3))), *rng.sample(range(40), rng.randint(0, 2))})) for i, s in rows]
+    rare = {}
+    for r in near_dup.rarest(spark.createDataFrame(rows, "node long, shingles array<long>"), 0.8).collect():
+        rare.setdefault(r.node, set()).add(r.shingle)
+    similar = [(a, b) for a, s in rows for b, t in rows if a < b and len(set(s) & set(t)) >= 0.8 * len(set(s) | set(t))]
+    assert len(similar) > 40 and all(rare.get(a, set()) & rare.get(b, set()) for a, b in similar)
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(200, 201), (201, 200), (300, 300)], "a long, b long")
     labels = {r.node: r.label for r in near_dup.components(edges).collect()}
