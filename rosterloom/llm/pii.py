@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.shared import cut, few, let, stored, with_row_id
+from rosterloom.llm.shared import cut, few, let, scan, stored, with_row_id
 
 #: The kinds in their order. The patterns are the contract's, with guards and
 #: possessive repeats that match the same and keep the time linear on long runs.
@@ -40,32 +40,10 @@ LOCAL = 7
 PRECISION, SUPPORT, CERTAIN = 0.6, 5, 0.8
 #: Up to so many texts' found spans are broadcast; beyond it they are joined by shuffle.
 BROADCAST_TEXTS = 100_000
-#: Items of an array that are scanned before what they gave is put away.
-RUN = 256
 #: Characters of the pieces that a text with spans is cut into.
 PIECE = 4096
 
 
-def _scan(items: Column, state: Column, after, out, kind: str) -> Column:
-    """``out(state, item)`` (of SQL type ``kind``) of every item of an array, where ``after(state, item)`` is the state for the next one.
-
-    An append copies its array. Appending to arrays of ``RUN`` items, and these to one array,
-    keeps the time near linear.
-    """
-    def run(state, part):
-        none = F.array().cast(f"array<{kind}>")
-        step = lambda a, x: F.struct(after(a["state"], x).alias("state"), F.array_append(a["out"], out(a["state"], x)).alias("out"))
-        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), step)
-
-    def runs(a, part):
-        return let(run(a["state"], part), lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
-
-    none = F.array().cast(f"array<array<{kind}>>")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda c: F.slice(items, c * RUN + 1, F.lit(RUN)))
-    whole = F.aggregate(parts, F.struct(state.alias("state"), none.alias("out")), runs)
-    return F.when(F.size(items) == 0, F.array().cast(f"array<{kind}>")).otherwise(F.flatten(whole["out"]))
-
-
 def _cuts(text: Column, pattern: str, build) -> Column:
     """``build(places)`` of the matches of ``pattern``: structs of start, end, found, and the text before and after up to other matches."""
     def placed(x):
@@ -73,7 +51,7 @@ def _cuts(text: Column, pattern: str, build) -> Column:
         end = lambda at, i: start(at, i) + F.length(F.get(x["found"], i))
         place = lambda at, i: F.struct(start(at, i).alias("start"), end(at, i).alias("end"), F.get(x["found"], i).alias("found"), F.get(x["pieces"], i).alias("before"), F.get(x["pieces"], i + 1).alias("after"))
         empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
-        numbers = let(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda n: _scan(n, F.lit(0), end, place, "struct<start:int,end:int,found:string,before:string,after:string>"))
+        numbers = let(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda n: scan(n, F.lit(0), end, place, "struct<start:int,end:int,found:string,before:string,after:string>"))
         return F.when(F.size(x["found"]) == 0, empty).otherwise(numbers)
 
     whole = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
@@ -156,8 +134,8 @@ def _free(places: Column, base: Column) -> Column:
     is_base = lambda x: x["kind"] < len(KINDS)
 
     def of(every):
-        before = _scan(every, F.lit(0), lambda s, x: F.when(is_base(x), F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"], "boolean")
-        after = let(F.reverse(every), lambda r: F.reverse(_scan(r, F.lit(2**31 - 1), lambda s, x: F.when(is_base(x), x["start"]).otherwise(s), lambda s, x: s < x["end"], "boolean")))
+        before = scan(every, F.lit(0), lambda s, x: F.when(is_base(x), F.greatest(s, x["end"])).otherwise(s), lambda s, x: s > x["start"], "boolean")
+        after = let(F.reverse(every), lambda r: F.reverse(scan(r, F.lit(2**31 - 1), lambda s, x: F.when(is_base(x), x["start"]).otherwise(s), lambda s, x: s < x["end"], "boolean")))
         free = let(F.struct(before.alias("before"), after.alias("after")), lambda f: F.filter(every, lambda x, i: ~is_base(x) & ~F.get(f["before"], i) & ~F.get(f["after"], i)))
         return F.transform(free, lambda p: F.struct(*(p[f].alias(f) for f in fields if f != "kind")))
 
@@ -219,7 +197,7 @@ def _discover(mentions: DataFrame) -> DataFrame:
 def _outer(found: Column) -> Column:
     """Array of (start, kind, end) of the spans (start, less end, kind), in order, that lie in no span before them."""
     span = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["end"]).alias("end"))
-    fresh = _scan(found, F.lit(0), lambda at, s: F.greatest(at, -s["end"]), lambda at, s: F.when(-s["end"] > at, span(s)), "struct<start:int,kind:int,end:int>")
+    fresh = scan(found, F.lit(0), lambda at, s: F.greatest(at, -s["end"]), lambda at, s: F.when(-s["end"] > at, span(s)), "struct<start:int,kind:int,end:int>")
     return F.array_compact(fresh)
 
 
@@ -267,6 +245,6 @@ def masked(text: Column, spans: str) -> Column:
         after = lambda at, s: F.greatest(at, s["end"])
         out = lambda at, s: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit("["), F.get(name, s["kind"]), F.lit("]"))).otherwise("")
         rest = let(F.array_max(F.transform(spans, lambda s: s["end"])), lambda end: part(end, F.length(text)))
-        return F.concat(F.array_join(_scan(F.col(spans), F.lit(0), after, out, "string"), ""), rest)
+        return F.concat(F.array_join(scan(F.col(spans), F.lit(0), after, out, "string"), ""), rest)
 
     return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), of)).otherwise(text)
