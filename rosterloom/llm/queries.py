@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("passages")
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text, as the contracts have them; ``{0}`` is the text.
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: A row for each word of a document: r (row), p (place), w.
+_DOCUMENT_WORDS = f"""
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS MATERIALIZED (SELECT r, unnest(range(len(l))) AS p, unnest(l) AS w FROM (SELECT r, {_WORDS.format("text")} AS l FROM d))"""
+
+
+def _run_of(n: int) -> str:
+    """The word at hand and the n - 1 after it, as columns of a window."""
+    return " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH {_DOCUMENT_WORDS},
+b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS.format("text")} AS l FROM benchmark),
+u AS (SELECT i, item_id, least(len(l), {decontam.SPAN}) AS n, unnest(range(len(l))) AS p, unnest(l) AS w FROM b),
+items AS ({" UNION ALL ".join(f"SELECT item_id, n, g FROM (SELECT item_id, n, {_run_of(n)} AS g FROM u WHERE n = {n} WINDOW o AS (PARTITION BY i ORDER BY p)) WHERE g IS NOT NULL" for n in range(1, decontam.SPAN + 1))}),
+wanted AS (SELECT DISTINCT item_id, n, g FROM items),
+windows AS ({" UNION ALL ".join(f"SELECT r, p, {n} AS n, g FROM (SELECT r, p, {_run_of(n)} AS g FROM t WHERE {n} IN (SELECT n FROM wanted) WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE g IS NOT NULL" for n in range(1, decontam.SPAN + 1))}),
+found AS (SELECT r, p, n, item_id FROM windows JOIN wanted USING (n, g)),
+hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM found)) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r),
+sizes AS (SELECT r, count(*) AS n_words FROM t GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN sizes USING (r) LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)""",
+    "op8_near_duplicates": f"""
+WITH RECURSIVE {_DOCUMENT_WORDS},
+sizes AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+runs AS ({" UNION ALL ".join(f"SELECT r, g FROM (SELECT r, {_run_of(n)} AS g FROM t JOIN sizes USING (r) WHERE least(n, {near_dup.SHINGLE}) = {n} WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE g IS NOT NULL" for n in range(1, near_dup.SHINGLE + 1))}),
+sets AS MATERIALIZED (SELECT DISTINCT r, hash(g) AS g FROM runs),
+counts AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM sets a JOIN sets b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN counts x ON x.r = a JOIN counts y ON y.r = b WHERE common >= {near_dup.SIMILAR} * (x.n + y.n - common)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT r, r AS label FROM d UNION SELECT b, label FROM reached JOIN edges ON a = r),
+labels AS (SELECT r, min(label) AS label FROM reached GROUP BY r)
+SELECT d.doc_id, c.doc_id AS class_id, d.r = label AS kept FROM d JOIN labels USING (r) JOIN d c ON c.r = label""",
+}
