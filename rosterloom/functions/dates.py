@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from rosterloom.errors import message, unless_message
 from rosterloom.functions.text import blank
 
-#: Formats that are tried in order, and the day that spreadsheet serials count from.
-FORMATS = ["M/d/yyyy", "yyyy-M-d", "M-d-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy", "MMMM d yyyy", "yyyyMMdd", "M/yyyy", "yyyy"]
+#: Formats with the shapes of the texts that they read, and the day that spreadsheet serials count from.
+FORMATS = {
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}", "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}", "M-d-yyyy": r"\d{1,2}-\d{1,2}-\d{4}",
+    "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}", "MMM d, yyyy": r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d yyyy": r"[A-Za-z]{3} \d{1,2} \d{4}",
+    "MMMM d, yyyy": r"[A-Za-z]{4,9} \d{1,2}, \d{4}", "MMMM d yyyy": r"[A-Za-z]{4,9} \d{1,2} \d{4}", "yyyyMMdd": r"\d{8}", "M/yyyy": r"\d{1,2}/\d{4}", "yyyy": r"\d{4}",
+}
 OUTPUT, SERIAL_START = "MM/dd/yyyy", "1899-12-30"
 #: Days in the past and ahead that an effective date may lie.
 PAST, AHEAD = 365, 90
@@ -22,7 +26,11 @@ def to_day(value: Column) -> Column:
     century = F.when(short.cast("int") < 50, "20").otherwise("19")
     text = F.when(short != "", F.concat(F.regexp_replace(text, r"\d{2}$", ""), century, short)).otherwise(text)
     serial = F.when(text.rlike(r"^[1-9]\d{4}(\.0+)?$"), F.date_add(F.lit(SERIAL_START).cast("date"), F.regexp_extract(text, r"^(\d{5})", 1).try_cast("int")))
-    return F.coalesce(serial, *(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in FORMATS))
+    # A text has one shape, so one format is tried: a parser that fails costs far more than a pattern.
+    dated = F.lit(None).cast("date")
+    for form, shape in FORMATS.items():
+        dated = F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(form)).cast("date")).otherwise(dated)
+    return F.coalesce(serial, dated)
 
 
 def parse_date(value: Column, kind: str = "R", text: str = "Invalid date") -> Column:

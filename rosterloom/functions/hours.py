@@ -1,10 +1,7 @@
-"""Working hours as text: day ranges and times to a map of day to opening and closing time."""
+"""Working hours as text: day ranges and times to a map of day to opening and closing time, in the JVM."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,72 +9,80 @@ from pyspark.sql import functions as F
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 GROUPS = {"daily": DAYS, "everyday": DAYS, "every day": DAYS, "weekdays": DAYS[:5], "weekday": DAYS[:5], "weekends": DAYS[5:], "weekend": DAYS[5:]}
 
-_day = r"(?:mon|tue|wed|thu|fri|sat|sun|m|tu|w|th|f|sa|su)[a-z]*"
-_part = re.compile(
-    rf"(?P<days>(?:{'|'.join(GROUPS)}|{_day}(?:\s*(?:-|–|to|thru|through|,|&|and|/)\s*{_day})*))[\s:.]*"
-    r"(?:(?P<closed>closed)|(?P<all>24\s*(?:hours|hrs|h)?|24\s*/\s*7)(?![:\d])|"
-    r"(?P<h1>\d{1,2})(?::?(?P<m1>\d{2}))?\s*(?P<p1>[ap])?\.?m?\.?\s*(?:-|–|to|thru|through)\s*(?P<h2>\d{1,2})(?::?(?P<m2>\d{2}))?\s*(?P<p2>[ap])?\.?m?\.?)"
+_DAY = r"(?:mon|tue|wed|thu|fri|sat|sun|m|tu|w|th|f|sa|su)[a-z]*"
+_TO, _AND = r"\s*(?:-|–|to|thru|through)\s*", r"\s*(?:,|&|and|/)\s*"
+_ALWAYS = r"^\s*24\s*(/\s*7|hours( a day)?|hrs)\s*$"
+#: Days, then closed, all day, or hour, minute and half of the opening and of the closing time.
+_PART = (
+    rf"({'|'.join(GROUPS)}|{_DAY}(?:\s*(?:-|–|to|thru|through|,|&|and|/)\s*{_DAY})*)[\s:.]*"
+    r"(?:(closed)|(24\s*(?:hours|hrs|h)?|24\s*/\s*7)(?![:\d])|"
+    rf"(\d{{1,2}})(?::?(\d{{2}}))?\s*([ap])?\.?m?\.?{_TO}(\d{{1,2}})(?::?(\d{{2}}))?\s*([ap])?\.?m?\.?)"
 )
+_ALL_DAY = ("12:00AM", "11:59PM")
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _table(pairs: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
+def _number(name: Column) -> Column:
+    """The day that a name stands for, by its first three, two or one letters."""
+    of = [{day[:size]: i for i, day in reversed(list(enumerate(DAYS)))} for size in (3, 2, 1)]
+    return F.coalesce(*(F.try_element_at(_table(t), F.substring(name, 1, size)) for t, size in zip(of, (3, 2, 1))))
+
 
+def _days(text: Column) -> Column:
+    every = F.array(*map(F.lit, DAYS))
 
-def _number(name: str) -> int:
-    for length in (3, 2, 1):
-        for i, day in enumerate(DAYS):
-            if name[:length] == day[:length] and len(name) >= length:
-                return i
-    raise ValueError(name)
-
-
-def _days(text: str) -> list[str]:
-    if text.strip() in GROUPS:
-        return GROUPS[text.strip()]
-    out: list[str] = []
-    for span in re.split(r"\s*(?:,|&|and|/)\s*", text):
-        ends = [_number(d) for d in re.split(r"\s*(?:-|–|to|thru|through)\s*", span) if d]
-        if len(ends) == 1:
-            out.append(DAYS[ends[0]])
-        else:
-            out += [DAYS[(ends[0] + k) % 7] for k in range((ends[-1] - ends[0]) % 7 + 1)]
-    return out
-
-
-def _clock(hour: int, minute: int, half: str) -> str:
-    return f"{(hour - 1) % 12 + 1:02d}:{minute:02d}{half.upper()}M"
-
-
-def parse_hours(text: str | None) -> dict[str, tuple[str, str]]:
-    """Day to (start, end) as hh:mmAM; a missing half of the day is taken so that opening comes before closing."""
-    if text and re.fullmatch(r"\s*24\s*(/\s*7|hours( a day)?|hrs)\s*", text.lower()):
-        return {d: ("12:00AM", "11:59PM") for d in DAYS}
-    out: dict[str, tuple[str, str]] = {}
-    for found in _part.finditer((text or "").lower()):
-        if found["closed"]:
-            continue
-        if found["all"]:
-            hours = ("12:00AM", "11:59PM")
-        else:
-            a, b = int(found["h1"]), int(found["h2"])
-            m, n = int(found["m1"] or 0), int(found["m2"] or 0)
-            if max(m, n) > 59 or max(a, b) > 24:
-                continue
-            first = found["p1"] or ("p" if a > 12 else None)
-            last = found["p2"] or ("p" if b > 12 else None)
-            if first is None:
-                first = "p" if a == 12 or (last == "p" and a % 12 < b % 12 and a % 12 < 6) else "a"
-            if last is None:
-                last = "a" if first == "a" and b % 12 > a % 12 and b >= 9 and b != 12 and a < 6 else "p"
-            hours = (_clock(a, m, first), _clock(b, n, last))
-        out.update((day, hours) for day in _days(found["days"]))
-    return out
-
-
-def _hours(texts: pd.Series) -> pd.Series:
-    return pd.Series([{d: {"start": a, "end": b} for d, (a, b) in parse_hours(t).items()} for t in texts], dtype=object)
+    def span(names):
+        first, last = _number(names[0]), _number(F.element_at(names, -1))
+        return F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda k: F.get(every, F.pmod(first + k, F.lit(7))))
+
+    spans = F.transform(F.split(text, _AND), lambda x: _let(F.filter(F.split(x, _TO), lambda n: n != ""), span))
+    groups = F.create_map(*(c for name, days in GROUPS.items() for c in (F.lit(name), F.array(*map(F.lit, days)))))
+    return F.coalesce(F.try_element_at(groups, F.trim(text)), F.flatten(spans))
+
+
+def _clock(hour: Column, minute: Column, half: Column) -> Column:
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.concat(two(F.pmod(hour - 1, F.lit(12)) + 1), F.lit(":"), two(minute), F.upper(half), F.lit("M"))
+
+
+def _entries(part: Column) -> Column:
+    """Array of (day, start, end) of one part; a missing half of the day is taken so that opening comes before closing."""
+    group = lambda i: F.regexp_extract(part, _PART, i)
+    number = lambda i: F.coalesce(group(i).try_cast("int"), F.lit(0))
+    said = lambda i, hour: F.when(group(i) != "", group(i)).when(hour > 12, F.lit("p"))
+    a, m, b, n = number(4), number(5), number(7), number(8)
+    last = said(9, b)
+    noon = (a == 12) | F.coalesce((last == "p") & (a % 12 < b % 12) & (a % 12 < 6), F.lit(False))
+    first = F.coalesce(said(6, a), F.when(noon, F.lit("p")).otherwise("a"))
+    last = F.coalesce(last, F.when((first == "a") & (b % 12 > a % 12) & (b >= 9) & (b != 12) & (a < 6), F.lit("a")).otherwise("p"))
+    good = (F.greatest(m, n) <= 59) & (F.greatest(a, b) <= 24)
+    start = F.when(group(3) != "", F.lit(_ALL_DAY[0])).when(good, _clock(a, m, first))
+    end = F.when(group(3) != "", F.lit(_ALL_DAY[1])).when(good, _clock(b, n, last))
+    hours = F.when((group(2) == "") & start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    return _let(hours, lambda h: F.when(h.isNull(), F.array().cast("array<struct<day:string,start:string,end:string>>")).otherwise(F.transform(_days(group(1)), lambda d: F.struct(d.alias("day"), h["start"].alias("start"), h["end"].alias("end")))))
 
 
 def working_hours(text: Column) -> Column:
-    """Map of day to its start and end; free text needs a parser, so this runs in Arrow batches."""
-    return F.pandas_udf(_hours, "map<string,struct<start:string,end:string>>")(text)
+    """Map of day to its start and end as hh:mmAM; what comes later counts, null and free text give an empty map."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def by_day(entries):
+        def of(day):
+            own = lambda e: F.struct(F.lit(day).alias("key"), F.struct(e["start"].alias("start"), e["end"].alias("end")).alias("value"))
+            return _let(F.try_element_at(F.filter(entries, lambda e: e["day"] == day), F.lit(-1)), lambda e: F.when(e.isNotNull(), own(e)))
+
+        return F.map_from_entries(F.array_compact(F.array(*map(of, DAYS))))
+
+    always = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(_ALL_DAY[0]).alias("start"), F.lit(_ALL_DAY[1]).alias("end")) for d in DAYS))
+    found = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_PART), F.lit(0)), _entries))
+    return _let(F.when(low.rlike(_ALWAYS), always).otherwise(found), by_day)
 
 
 def without_break(hours: Column, start: str, end: str) -> Column:

@@ -148,6 +148,17 @@ def camel_words(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1 $2"), "[_\\s]+", " ")))
 
 
+def best_alias(value: Column, aliases: dict[str, list[str]], least: float = 75.0) -> Column:
+    """field, alias and percent of the alias that a header matches best, if by ``least`` percent or more; the first listed of equals.
+
+    The aliases are a dictionary of the program, so they are constants of the plan.
+    """
+    names = [(a, field) for field, own in aliases.items() for a in own]
+    scored = F.array(*(F.struct(match_percent(F.lower(value), F.lit(a.lower())).alias("percent"), F.lit(-i).alias("number"), F.lit(field).alias("field"), F.lit(a).alias("alias")) for i, (a, field) in enumerate(names)))
+    best = F.transform(F.array(F.array_max(scored)), lambda b: F.when(b["percent"] >= least, F.struct(b["field"].alias("field"), b["alias"].alias("alias"), b["percent"].alias("percent"))))
+    return best[0]
+
+
 def match_percent(left: Column, right: Column) -> Column:
     """100 less the edit distance in percent of the longer text."""
     longer = F.greatest(F.length(left), F.length(right), F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,32 +32,93 @@ def lookup_exact(frame: DataFrame, column: str, grid: DataFrame, grid_column: st
     return frame.withColumn("_normal", normal(F.col(column))).join(small, "_normal", "left").drop("_normal")
 
 
-def lookup_fuzzy(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False) -> DataFrame:
-    """The best grid row for each distinct text, by words within ``edits``.
+def stem(word: Column) -> Column:
+    """A word without its plural or verb ending: a light English stem of three letters or more."""
+    out = F.regexp_replace(word, "ies$", "y")
+    for ending in ("(?<=(?:ss|sh|ch|x|z))es$", "(?<![s])s$", "(?<=[a-z]{3})ing$", "(?<=[a-z]{3})ed$"):
+        out = F.regexp_replace(out, ending, "")
+    return out
+
 
-    ``every`` word must be found (else any); ``restrict`` also wants as many words. The score
-    is the share of words found, times their number, plus one more than their number if the
-    grid row has as many words; ties go to fewer edits in all, then to the lower grid_no.
-    Distinct texts are looked up once. Candidates share a variant of a word, by an equi-join at any size.
+def scored_pairs(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
+    """_asked, grid_no, score and edits of all pairs of ``asked`` (_asked, _text) and grid rows with a word in common, within ``edits``.
+
+    ``every`` word must be found, or a share of ``least`` (else any); ``restrict`` also wants as many words. The score
+    is how many words are found, and one more than their number if the grid row has as many
+    words. Candidates share a variant of a word, by an equi-join at any size.
     """
-    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_q", words(F.col("_asked"))).filter(F.size("_q") > 0)
-    held = grid.withColumn("_g", words(F.col(grid_column))).filter(F.size("_g") > 0)
+    cut = lambda c: F.transform(words(c), stem) if stemmed else words(c)
+    asked = asked.withColumn("_q", cut(F.col("_text"))).filter(F.size("_q") > 0)
+    held = grid.select("grid_no", cut(F.col(grid_column)).alias("_g")).filter(F.size("_g") > 0)
     near = lambda q, g: F.levenshtein(q, g) <= edits
     keys = lambda found: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: variants(w, edits))))).alias("_key")
     shared = asked.select("_asked", keys("_q")).join(held.select("grid_no", keys("_g")), "_key").select("_asked", "grid_no").distinct()
     pairs = shared.join(asked, "_asked").join(held, "grid_no").filter(F.exists("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
     size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
-    pairs = pairs.withColumn("_hit", hit).withColumn("_score", F.col("_hit") * 1.0 + F.when(F.size("_g") == size, size + 1).otherwise(0))
-    if every:
-        pairs = pairs.filter(F.col("_hit") == size)
+    pairs = pairs.withColumn("_hit", hit).withColumn("score", F.col("_hit") * 1.0 + F.when(F.size("_g") == size, size + 1).otherwise(0))
+    if every or least:
+        pairs = pairs.filter(F.col("_hit") >= size * (1.0 if every else least))
     if restrict:
         pairs = pairs.filter(F.size("_g") == size)
-    pairs = pairs.withColumn("_edits", F.levenshtein(F.array_join("_q", " "), F.array_join("_g", " ")))
-    rank = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("_score"), "_edits", "grid_no"))
-    best = pairs.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_q", "_g", "_hit", "_edits").withColumnRenamed("_score", "score")
+    return pairs.select("_asked", "grid_no", "score", F.levenshtein(F.array_join("_q", " "), F.array_join("_g", " ")).alias("edits"))
+
+
+def lookup_fuzzy(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
+    """The best grid row for each text by ``scored_pairs``; ties go to fewer edits in all, then to the lower grid_no.
+
+    Distinct texts are looked up once; a text without a match has nulls.
+    """
+    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_text", F.col("_asked"))
+    rank = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("score"), "edits", "grid_no"))
+    best = scored_pairs(asked, grid, grid_column, edits, every, restrict, least, stemmed).withColumn("_rank", rank).filter("_rank = 1")
+    best = best.select("_asked", "grid_no", "score").join(grid, "grid_no")
     return frame.join(best, F.col(column) == F.col("_asked"), "left").drop("_asked")
 
 
+def leading_hits(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int = 0) -> DataFrame:
+    """All grid rows of the best score for each text, not one of them; a text without a match has one row of nulls."""
+    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_text", F.col("_asked"))
+    rank = F.rank().over(Window.partitionBy("_asked").orderBy(F.desc("score"), "edits"))
+    best = scored_pairs(asked, grid, grid_column, edits).withColumn("_rank", rank).filter("_rank = 1")
+    return frame.join(best.select("_asked", "grid_no", "score").join(grid, "grid_no"), F.col(column) == F.col("_asked"), "left").drop("_asked")
+
+
+@dataclass(frozen=True)
+class FieldQuery:
+    """One field of a composite lookup: a column against a grid column. A field that is not ``must`` only adds to the score."""
+
+    column: str
+    grid_column: str
+    edits: int = 1
+    must: bool = True
+    every: bool = False
+    restrict: bool = False
+
+
+def lookup_composite(frame: DataFrame, grid: DataFrame, fields: list[FieldQuery]) -> DataFrame:
+    """The best grid row by several fields at once: all that ``must`` match, by the sum of scores, then edits, then grid_no."""
+    if not any(f.must for f in fields):
+        raise ValueError("one field must match")
+    columns = list(dict.fromkeys(f.column for f in fields))
+    key = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns))))
+    asked = frame.withColumn("_asked", key)
+    distinct = asked.select("_asked", *columns).dropDuplicates(["_asked"])
+    found = None
+    for i, f in enumerate(sorted(fields, key=lambda f: not f.must)):
+        pairs = scored_pairs(distinct.select("_asked", F.col(f.column).cast("string").alias("_text")), grid, f.grid_column, f.edits, f.every, f.restrict)
+        pairs = pairs.withColumnsRenamed({"score": f"score{i}", "edits": f"edits{i}"})
+        found = pairs if found is None else found.join(pairs, ["_asked", "grid_no"], "inner" if f.must else "left")
+    total = lambda name: sum((F.coalesce(F.col(f"{name}{i}"), F.lit(0)) for i in range(len(fields))), F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("score"), "edits", "grid_no"))
+    best = found.select("_asked", "grid_no", total("score").alias("score"), total("edits").alias("edits")).withColumn("_rank", rank).filter("_rank = 1")
+    return asked.join(best.select("_asked", "grid_no", "score").join(grid, "grid_no"), "_asked", "left").drop("_asked")
+
+
+def all_rows(grid: DataFrame, most: int = 10_000) -> DataFrame:
+    """The grid as it is: its first ``most`` rows by number, which is what a lookup of everything returns."""
+    return grid.orderBy("grid_no").limit(most)
+
+
 def lookup_ladder(frame: DataFrame, column: str, grid: DataFrame, grid_column: str) -> DataFrame:
     """Exact, else all words within one edit, else any word: each rung looks up what the one above left."""
     given = [c for c in frame.columns]

@@ -55,17 +55,18 @@ def zip_fill(frame: DataFrame, columns: list[str], repeat_last: bool = True) ->
 
 
 def zip_frames(left: DataFrame, right: DataFrame, key: list[str], order: tuple[str, str]) -> DataFrame:
-    """Rows of two frames of a record side by side by rank; where one ends, its last row repeats."""
+    """Rows of two frames of a record side by side by rank; where one ends, its last row repeats. A record of one frame has nulls for the other."""
     ranked = []
     for frame, by in zip((left, right), order):
         along = Window.partitionBy(*key)
         ranked.append(frame.withColumn("_n", F.row_number().over(along.orderBy(by))).withColumn("_size", F.count("*").over(along)))
     a = ranked[0].withColumnRenamed("_size", "_size_a").withColumnRenamed("_n", "_n_a")
     b = ranked[1].withColumnRenamed("_size", "_size_b").withColumnRenamed("_n", "_n_b")
-    sizes = a.select(*key, "_size_a").distinct().join(b.select(*key, "_size_b").distinct(), key)
+    sizes = a.select(*key, "_size_a").distinct().join(b.select(*key, "_size_b").distinct(), key, "full")
     rows = sizes.select("*", F.explode(F.sequence(F.lit(1), F.greatest("_size_a", "_size_b").cast("int"))).alias("row_no"))
     rows = rows.withColumns({"_n_a": F.least("row_no", "_size_a").cast("int"), "_n_b": F.least("row_no", "_size_b").cast("int")}).drop("_size_a", "_size_b")
-    return rows.join(a.drop("_size_a"), [*key, "_n_a"]).join(b.drop("_size_b"), [*key, "_n_b"]).drop("_n_a", "_n_b")
+    # least() passes over the null size of a frame without rows; no row has the rank that it then gives.
+    return rows.join(a.drop("_size_a"), [*key, "_n_a"], "left").join(b.drop("_size_b"), [*key, "_n_b"], "left").drop("_n_a", "_n_b")
 
 
 def default_row(base: DataFrame, rows: DataFrame, key: list[str], defaults: dict[str, object]) -> DataFrame:

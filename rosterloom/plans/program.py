@@ -1,26 +1,31 @@
 """Rule programs: layers of steps over named frames, planned as DataFrame operations.
 
-A program is a list of ``{"layer", "type": "ROW" | "DF", "steps": [...]}``. A ROW step adds one
-output column to a frame; consecutive ROW steps of a frame become one projection. A DF step
-replaces a frame. Arguments are constants, ``{"col": name}`` or ``{"frame": name}``; names are
-checked when the program is planned. All rules are Columns or DataFrames, so Catalyst sees
-one plan for the whole program.
+A program is a list of ``{"layer", "type": "ROW" | "DF" | "TABLES", "steps": [...]}``. A ROW step
+adds an output column (or several, from a struct) to a frame; consecutive ROW steps of a frame
+that don't read each other's outputs become one projection. A DF step replaces a frame, and a
+TABLES step works on several. Arguments are constants, ``{"col": name}`` or ``{"frame": name}``;
+names are checked when the program is planned. All rules are Columns or DataFrames, so Catalyst
+sees one plan for the whole program. ``rosterloom.sources.config`` reads programs from JSON.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterloom.errors import UNDEFINED
 from rosterloom.errors import message as envelope
-from rosterloom.functions import dates, text, validate
-from rosterloom.operators import keys, reshape, templates, update
+from rosterloom.functions import clean, dates, hours, text, validate
+from rosterloom.operators import documents, keys, reshape, rows, templates, update
 from rosterloom.plans import trees
 
 ROW_RULES: dict[str, Callable[..., Column]] = {}
 FRAME_RULES: dict[str, Callable[..., DataFrame]] = {}
+#: Rules over all frames by name, which return the frames they change.
+TABLE_RULES: dict[str, Callable[..., dict[str, DataFrame]]] = {}
 
 
 def row_rule(name: str, scope: str = "common"):
@@ -55,7 +60,9 @@ for _name, _rule in {
     "zero_padded": text.zero_padded, "abbreviate": text.abbreviate, "parse_date": dates.parse_date, "days_between": dates.days_between,
     "effective_window": dates.effective_window, "birth_date": dates.birth_date, "length": validate.length, "not_zeros": validate.not_zeros,
     "fewer_digits": validate.fewer_digits, "numeric": validate.numeric, "alphanumeric": validate.alphanumeric, "mandatory": validate.mandatory,
-    "correlated": validate.correlated, "edit_check": validate.edit_check,
+    "correlated": validate.correlated, "edit_check": validate.edit_check, "name_parts": text.name_parts, "age_limits": text.age_limits,
+    "working_hours": hours.working_hours, "regex_value": clean.regex_value, "taxonomy_code": clean.taxonomy_code, "indicator": clean.indicator,
+    "primary_secondary": clean.primary_secondary, "group_mandatory": clean.group_mandatory, "address_parts": clean.address_parts, "packed_names": clean.packed_names,
 }.items():
     ROW_RULES[f"common.{_name}"] = _rule
 
@@ -157,9 +164,68 @@ FRAME_RULES |= {
     "common.first_of_group": update.first_of_group, "common.fill_group": update.fill_group, "common.forward_fill": update.forward_fill,
     "common.duplicates_within": update.duplicates_within, "common.located_in": update.located_in, "common.final_id": keys.final_id,
     "common.single_values": keys.single_values, "common.project": templates.project, "common.regroup_actions": templates.regroup_actions,
+    "common.sorted_rows": rows.sorted_rows, "common.sliced": rows.sliced, "common.clone_rows": rows.clone_rows, "common.without_duplicates": rows.without_duplicates,
+    "common.contact_rows": rows.contact_rows, "common.nested_maps": rows.nested_maps, "common.occurrence": rows.occurrence, "common.renumbered_sets": rows.renumbered_sets,
+    "common.text_lines": documents.text_lines, "common.table_columns": documents.table_columns, "common.region_text": documents.region_text,
+    "common.records_by_gap": documents.records_by_gap, "common.records_by_change": documents.records_by_change, "common.merge_delimited": documents.merge_delimited,
 }
 
 
+# Rules between tables
+
+
+def table_rule(name: str, scope: str = "common"):
+    def register(rule):
+        TABLE_RULES[f"{scope}.{name}"] = rule
+        return rule
+
+    return register
+
+
+def _of(frames: dict[str, DataFrame], names: list[str]) -> list[DataFrame]:
+    missing = [n for n in names if n not in frames]
+    if missing:
+        raise ValueError(f"no frame is named {missing[0]!r}")
+    return [frames[n] for n in names]
+
+
+@table_rule("common_flag")
+def common_flag(frames, output: str, others: list[str], key: list[str], name: str = "COMMON"):
+    frame, *rest = _of(frames, [output, *others])
+    return {output: templates.common_flag(frame, rest, key, name)}
+
+
+@table_rule("move_common")
+def move_common(frames, sources: list[str], output: str, key: list[str], delete: bool = True):
+    """The rows whose key all ``sources`` have go to the table ``output``, and with ``delete`` leave their tables."""
+    found = _of(frames, sources)
+    shared = templates.shared_keys(found, key)
+    moved = found[0].join(shared, key, "left_semi")
+    for frame in found[1:]:
+        moved = moved.unionByName(frame.join(shared, key, "left_semi"), allowMissingColumns=True)
+    if output in frames:
+        moved = frames[output].unionByName(moved, allowMissingColumns=True)
+    left = {n: f.join(shared, key, "left_anti") for n, f in zip(sources, found)} if delete else {}
+    return {**left, output: moved}
+
+
+@table_rule("across")
+def across(frames, sources: list[str], output: str, key: list[str], column: str):
+    return {output: templates.across(dict(zip(sources, _of(frames, sources))), key, column)}
+
+
+@table_rule("prepend_base")
+def prepend_base(frames, base: str, output: str, key: list[str], order: list[str]):
+    first, template = _of(frames, [base, output])
+    return {output: templates.prepend_base(first, template, key, order)}
+
+
+@table_rule("reconcile")
+def reconcile(frames, inputs: str, outputs: list[str], output: str, key: list[str]):
+    first, *rest = _of(frames, [inputs, *outputs])
+    return {output: templates.reconcile(first, dict(zip(outputs, rest)), key)}
+
+
 def _bound(value, frame: DataFrame, frames: dict[str, DataFrame]):
     """An argument as its Column, frame or constant; lists and maps element by element."""
     if isinstance(value, dict) and set(value) == {"col"}:
@@ -176,24 +242,115 @@ def _bound(value, frame: DataFrame, frames: dict[str, DataFrame]):
 
 
 def _row_column(step: dict, frame: DataFrame, frames: dict[str, DataFrame], scope: str) -> Column:
+    scope = step.get("scope", scope)
     arguments = step.get("arguments", {})
     if step["rule"] == "tree":
         tree = arguments["tree"]
         return trees.strict(trees.compile_tree(trees.TREES[tree] if isinstance(tree, str) else tree, frame, arguments.get("bind", [])))
-    return _find(ROW_RULES, step["rule"], scope)(**{k: _bound(v, frame, frames) for k, v in arguments.items()})
-
+    rule = _find(ROW_RULES, step["rule"], scope)
+    if isinstance(arguments, list):
+        return rule(*(_bound(v, frame, frames) for v in arguments))
+    return rule(**{k: _bound(v, frame, frames) for k, v in arguments.items()})
+
+
+def _outputs(step: dict, frame: DataFrame, frames: dict[str, DataFrame], scope: str) -> dict[str, Column]:
+    """The columns that a ROW step adds; of a list of outputs each takes one field of the rule's struct."""
+    value, names = _row_column(step, frame, frames, scope), step["output"]
+    if step.get("guard"):
+        value = trees.guarded(value)
+    if isinstance(names, str):
+        return {names: value}
+    fields = frame.select(value.alias("value")).schema[0].dataType.fieldNames()
+    if len(fields) != len(names):
+        raise ValueError(f"{step['rule']!r} gives {len(fields)} values, not {len(names)}")
+    return {n: value.getField(f) for n, f in zip(names, fields)}
+
+
+def _mentions(value, names: set[str]) -> bool:
+    """Whether an argument needs one of the columns ``names``, or any column by its name."""
+    if isinstance(value, dict):
+        return value.get("col") in names or any(_mentions(v, names) for v in value.values())
+    if isinstance(value, (list, tuple)):
+        return value[:1] == ["found"] or any(_mentions(v, names) for v in value)
+    return isinstance(value, str) and value in trees.TREES and _mentions(trees.TREES[value], names)
+
+
+class _Pending:
+    """ROW steps of one frame that wait for one projection."""
+
+    def __init__(self, frames: dict[str, DataFrame]):
+        self._frames, self._name, self._columns = frames, None, {}
+
+    def flush(self) -> None:
+        if self._columns:
+            self._frames[self._name] = self._frames[self._name].withColumns(self._columns)
+        self._name, self._columns = None, {}
+
+    def before(self, name: str, arguments) -> None:
+        """A step that reads what is waiting, or whose frame is another, sees it done."""
+        if name != self._name or _mentions(arguments, set(self._columns)) or (isinstance(arguments, dict) and any(isinstance(v, dict) and "frame" in v for v in arguments.values())):
+            self.flush()
+        self._name = name
+
+    def add(self, columns: dict[str, Column]) -> None:
+        self._columns |= columns
+
+
+def run_program(layers: list[dict], frames: dict[str, DataFrame], scope: str = "common", trapped: list[str] | None = None) -> dict[str, DataFrame]:
+    """Plan all layers; the result is the named frames after the last one.
+
+    With a list ``trapped`` a rule that can't be planned is noted there and the program goes on:
+    a ROW rule leaves the undefined error in its output, a DF or TABLES rule its frames as they
+    were. Without one it raises. A frame that isn't there always raises.
+    """
+    frames, failures = dict(frames), (AnalysisException, ValueError, TypeError, LookupError)
+    pending = _Pending(frames)
+
+    def tried(step: dict, run, instead) -> None:
+        if trapped is None:
+            return run()
+        try:
+            return run()
+        except failures as error:
+            trapped.append(f"{step['rule']}: {error}")
+            return instead()
+
+    def add_row(name: str, step: dict) -> None:
+        pending.before(name, step.get("arguments", {}))
+        names = [step["output"]] if isinstance(step["output"], str) else step["output"]
+
+        def run():
+            columns = _outputs(step, frames[name], frames, scope)
+            if trapped is not None:
+                frames[name].select(*(c.alias(n) for n, c in columns.items()))  # analysed now, so that it fails here
+            pending.add(columns)
+
+        tried(step, run, lambda: pending.add({n: F.lit(UNDEFINED) for n in names}))
+
+    def change_frame(name: str, step: dict) -> None:
+        def run():
+            plain = ("where", "wheres")
+            arguments = {k: v if k in plain else _bound(v, frames[name], frames) for k, v in step.get("arguments", {}).items()}
+            frames[step.get("output", name)] = _find(FRAME_RULES, step["rule"], step.get("scope", scope))(frames[name], **arguments)
+
+        tried(step, run, lambda: None)
+
+    def change_tables(step: dict) -> None:
+        tried(step, lambda: frames.update(_find(TABLE_RULES, step["rule"], step.get("scope", scope))(frames, **step.get("arguments", {}))), lambda: None)
 
-def run_program(layers: list[dict], frames: dict[str, DataFrame], scope: str = "common") -> dict[str, DataFrame]:
-    """Plan all layers; the result is the named frames after the last one."""
-    frames = dict(frames)
     for layer in layers:
         for step in layer["steps"]:
+            if layer["type"] == "TABLES":
+                pending.flush()
+                change_tables(step)
+                continue
             name = step["frame"]
             if name not in frames:
                 raise ValueError(f"no frame is named {name!r}")
             if layer["type"] == "ROW":
-                frames[name] = frames[name].withColumn(step["output"], _row_column(step, frames[name], frames, scope))
+                add_row(name, step)
             else:
-                arguments = {k: v if k in ("where", "wheres") else _bound(v, frames[name], frames) for k, v in step.get("arguments", {}).items()}
-                frames[step.get("output", name)] = _find(FRAME_RULES, step["rule"], scope)(frames[name], **arguments)
+                pending.flush()
+                change_frame(name, step)
+    pending.flush()
     return frames

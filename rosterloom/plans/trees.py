@@ -29,6 +29,7 @@ def _int(value: Column) -> Column:
 
 #: Nodes that are conditions.
 CONDITIONS: dict[str, Node] = {
+    "truthy": lambda v: v.isNotNull() & (v.cast("string") != "") & ~(v.cast("string").isin("0", "0.0", "false") & (F.typeof(v) != "string")),
     "not_empty": lambda v: v.isNotNull() & (v.cast("string") != ""),
     "equal": lambda a, b: same(a, b),
     "equal_int": lambda a, b: _int(a) == _int(b),
@@ -96,7 +97,8 @@ def guarded(value: Column) -> Column:
     return F.coalesce(value, F.lit(UNDEFINED))
 
 
-# The named trees, by shape. Arguments are columns or constants bound by the rule program.
+# The named trees, whose names and conditions must match. Arguments are columns or
+# constants bound by the rule program.
 _A = [{"arg": i} for i in range(6)]
 _if_filled = ["if", ["not_empty", _A[0]], _A[0], ""]
 _if_both = ["if", ["not_empty", _A[0]], ["if", ["not_empty", _A[1]], _A[1], ""], ""]
@@ -135,7 +137,7 @@ TREES |= {
         "",
     ],
     # first date, second date, flag, text
-    "effectiveDate2": ["if", ["not_empty", _A[0]], _A[0], ["if", ["not_empty", _A[1]], _A[1], ["if", ["equal_int", _A[2], "1"], ["clarify", _A[3], _A[0]], ""]]],
+    "effectiveDate2": ["if", ["not_empty", _A[0]], _A[0], ["if", ["not_empty", _A[1]], _A[1], ["if", ["truthy", _A[2]], ["clarify", _A[3], _A[0]], ""]]],
     "credDateGreater1day": ["if", ["and", ["not_empty", _A[0]], ["greater", ["days", _A[0], _A[1]], 1]], "Y", "N"],
     "CurDelGreater2days": ["if", ["and", ["not_empty", _A[0]], ["greater", ["days_apart", _A[0], _A[1]], 2]], "Y", "N"],
     # date, flag, date to use if flagged, request flag, default

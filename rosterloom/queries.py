@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.errors import message
-from rosterloom.functions import dates, hours, text, validate
+from rosterloom.functions import dates, text, validate
 from rosterloom.operators import classify, documents, keys, lookup, markup, reshape, templates, update
 from rosterloom.plans import pipeline, program, trees
-from rosterloom.schema import ColumnRef, best_format, format_match
+from rosterloom.schema import ColumnRef
 from rosterloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,16 +156,13 @@ def q_abbrev_words(spark, sf_dir):
 
 
 @query(r"""
-SELECT p_partkey, CASE WHEN length(v) <= 12 THEN v WHEN length(s1) <= 12 THEN s1 WHEN length(s2) <= 12 THEN s2 ELSE 'Clarify: Too long|Input: ' || v END AS fitted FROM (
+SELECT p_partkey, CASE WHEN length(v) <= 12 THEN v WHEN length(s1) <= 12 THEN s1 WHEN length(s2) <= 12 THEN s2 WHEN length(s3) <= 12 THEN s3 ELSE 'Clarify: Too long|Input: ' || v END AS fitted FROM (
+  SELECT *, regexp_replace(s2, '(?i)\B[aeiou]\B', '', 'g') AS s3 FROM (
   SELECT *, trim(regexp_replace(regexp_replace(s1, '(?i)\b(a|an|and|at|by|for|in|of|on|or|the|to|with)\b', '', 'g'), '\s+', ' ', 'g')) AS s2 FROM (
-    SELECT p_partkey, p_name || ' of ' || p_brand AS v, regexp_replace(p_name || ' of ' || p_brand, '(?i)\bBrand\b', 'Br', 'g') AS s1 FROM part))
-WHERE length(s2) <= 12 OR length(v) <= 12 OR length(s1) <= 12""")
+    SELECT p_partkey, p_name || ' of ' || p_brand AS v, regexp_replace(p_name || ' of ' || p_brand, '(?i)\bBrand\b', 'Br', 'g') AS s1 FROM part)))""")
 def q_abbreviate(spark, sf_dir):
     value = F.concat_ws(" of ", "p_name", "p_brand")
-    short = text.replace_words(value, {"Brand": "Br"})
-    no_words = F.trim(F.regexp_replace(F.regexp_replace(short, rf"(?i)\b({'|'.join(text.STOP_WORDS)})\b", ""), r"\s+", " "))
-    fits = F.least(F.length(value), F.length(short), F.length(no_words)) <= 12
-    return table(spark, sf_dir, "part").filter(fits).select("p_partkey", text.abbreviate(value, 12, {"Brand": "Br"}).alias("fitted"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.abbreviate(value, 12, {"Brand": "Br"}).alias("fitted"))
 
 
 _PHONE = "'+1 (' || (200 + c_nationkey) || ') 555-' || lpad((c_custkey % 10000)::VARCHAR, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 4 END, '0')"
@@ -300,9 +297,9 @@ def q_split_rows(spark, sf_dir):
 @query("""
 WITH a AS (SELECT o_custkey, o_orderkey AS open_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS s FROM orders WHERE o_orderstatus = 'O'),
 b AS (SELECT o_custkey, o_orderkey AS done_key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS s FROM orders WHERE o_orderstatus = 'F'),
-k AS (SELECT DISTINCT a.o_custkey, a.s AS sa, b.s AS sb FROM a JOIN b USING (o_custkey)),
-r AS (SELECT o_custkey, sa, sb, unnest(generate_series(1, greatest(sa, sb))) AS i FROM k)
-SELECT r.o_custkey, r.i::INT AS row_no, a.open_key, b.done_key FROM r JOIN a ON a.o_custkey = r.o_custkey AND a.n = least(r.i, r.sa) JOIN b ON b.o_custkey = r.o_custkey AND b.n = least(r.i, r.sb)""")
+k AS (SELECT DISTINCT o_custkey, a.s AS sa, b.s AS sb FROM a FULL JOIN b USING (o_custkey)),
+r AS (SELECT o_custkey, sa, sb, unnest(generate_series(1, greatest(coalesce(sa, 0), coalesce(sb, 0)))) AS i FROM k)
+SELECT r.o_custkey, r.i::INT AS row_no, a.open_key, b.done_key FROM r LEFT JOIN a ON a.o_custkey = r.o_custkey AND a.n = least(r.i, r.sa) LEFT JOIN b ON b.o_custkey = r.o_custkey AND b.n = least(r.i, r.sb)""")
 def q_zip_ffill(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     left = orders.filter("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("open_key"))
@@ -441,18 +438,33 @@ def q_common_flag(spark, sf_dir):
 
 
 @query("""
-SELECT coalesce(p.k, l.k) AS partkey, p_name, n_lines, CASE WHEN p.k IS NULL THEN 'right_only' WHEN l.k IS NULL THEN 'left_only' ELSE 'both' END AS side
-FROM (SELECT p_partkey AS k, p_name FROM part WHERE p_size < 25) p FULL JOIN (SELECT l_partkey AS k, count(*) AS n_lines FROM lineitem WHERE l_quantity > 45 GROUP BY 1) l ON p.k = l.k""")
+WITH s AS (SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier),
+c AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
+SELECT coalesce(s.nation, c.nation) AS nation, coalesce(s.n, c.n)::INT AS "ROW_NUM", s_suppkey, c_custkey, CASE WHEN s.n IS NULL THEN 'right_only' WHEN c.n IS NULL THEN 'left_only' ELSE 'both' END AS side
+FROM s FULL JOIN c ON s.nation = c.nation AND s.n = c.n""")
 def q_outer_board(spark, sf_dir):
-    left = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("partkey"), "p_name")
-    right = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("partkey")).agg(F.count("*").alias("n_lines"))
-    return templates.outer_by_rank(left, right, ["partkey"])
+    left = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    right = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    return templates.outer_by_rank(left, right, ["nation"], (["s_suppkey"], ["c_custkey"]))
+
+
+@query("""
+SELECT coalesce(p.k, l.k) AS partkey, p_name, n_lines, CASE WHEN p.k IS NULL THEN 'right_only' WHEN l.k IS NULL THEN 'left_only' ELSE 'both' END AS side
+FROM (SELECT p_partkey AS k, p_name FROM part) p FULL JOIN (SELECT l_partkey + 100 AS k, count(*) AS n_lines FROM lineitem GROUP BY 1) l ON p.k = l.k""")
+def q_outer_indicator(spark, sf_dir):
+    left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), "p_name")
+    right = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 100).alias("partkey")).agg(F.count("*").alias("n_lines"))
+    return templates.outer(left, right, ["partkey"])
+
 
+_WILD = [("1", "BUILDING"), ("3", "*"), ("*", "MACHINERY"), ("7", "no segment")]
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -900)")
+
+@query(f"""
+SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM (VALUES {", ".join(map(str, _WILD))}) g(n, s) WHERE (n = '*' OR n = c_nationkey::VARCHAR) AND (s = '*' OR s = c_mktsegment))""")
 def q_semi_wild(spark, sf_dir):
-    poor = table(spark, sf_dir, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").join(poor, "n_nationkey", "left_semi").select("n_nationkey", "n_name")
+    wanted = spark.createDataFrame(_WILD, "c_nationkey string, c_mktsegment string")
+    return templates.semi_wild(table(spark, sf_dir, "customer"), wanted, ["c_nationkey", "c_mktsegment"]).select("c_custkey")
 
 
 @query("""
@@ -518,14 +530,6 @@ def q_lookup_ladder(spark, sf_dir):
     return lookup.lookup_ladder(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", grid(spark), "grid_name").select("p_partkey", "grid_no", "code", "rung")
 
 
-@query("SELECT * FROM (VALUES ('exact', 100), ('partial', 75), ('low', 0), ('best:exact', 100)) t(name, percent)")
-def q_header_overlap(spark, sf_dir):
-    headers = table(spark, sf_dir, "orders").columns
-    saved = {"exact": headers, "partial": headers[:5], "low": headers[:2]}
-    key, percent = best_format(headers, saved)
-    return spark.createDataFrame([*((name, format_match(headers, s)) for name, s in saved.items()), (f"best:{key}", percent)], "name string, percent int")
-
-
 # Texts, logs and documents
 
 
@@ -626,15 +630,6 @@ def q_html_fields(spark, sf_dir):
     return markup.page_fields(table(spark, sf_dir, "pages"))
 
 
-@query("""
-SELECT o_orderkey, 'mon' || (o_orderkey % 4 + 7) AS label, lpad((o_orderkey % 4 + 7)::VARCHAR, 2, '0') || ':30AM' AS opens, lpad((o_orderkey % 3 + 3)::VARCHAR, 2, '0') || ':00PM' AS closes, 5 AS n_days FROM orders""")
-def q_work_hours(spark, sf_dir):
-    opens, closes = F.col("o_orderkey") % 4 + 7, F.col("o_orderkey") % 3 + 3
-    parsed = hours.working_hours(F.concat(F.lit("Mon-Fri "), opens.cast("string"), F.lit(":30 am to "), closes.cast("string"), F.lit("pm; Sun closed")))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("mon"), opens.cast("string")).alias("label"), parsed.alias("h"))
-    return rows.select("o_orderkey", "label", F.col("h.mon.start").alias("opens"), F.col("h.fri.end").alias("closes"), F.size("h").alias("n_days"))
-
-
 @query("""
 SELECT l_returnflag, l_linestatus, count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def q_grouping_sets(spark, sf_dir):
@@ -676,3 +671,6 @@ SELECT o_custkey::VARCHAR AS "Key", coalesce(c_name, '') AS "Name", CASE WHEN n
 FROM r LEFT JOIN customer ON c_custkey = o_custkey""")
 def q_roster_run(spark, sf_dir):
     return pipeline.roster_run(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+from rosterloom import rule_queries  # noqa: E402, F401  registers its queries too

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: The columns that make a record, and the tokens that are read as missing.
 RECORD_KEY = ["FINAL_NPI", "TAX_ID", "NAME_FIRST", "NAME_LAST", "VALIDATED_ACTION"]
@@ -79,6 +80,23 @@ def format_match(headers: list[str], saved: list[str]) -> int:
     return percent if percent >= LEAST_MATCH else 0
 
 
+def match_formats(files: DataFrame, saved: DataFrame) -> DataFrame:
+    """file, format and percent of every pair with a header in common, and ``best``: the format that fits a file best.
+
+    ``files`` has file, place and header, ``saved`` has format, place and header. The percent is
+    that of ``format_match``, and ties go to the lowest format, as in ``best_format``.
+    """
+    listed = lambda frame, key: frame.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "header"))).alias("_rows")).select(key, F.transform("_rows", lambda r: r["header"]).alias("_list"))
+    a, b = listed(files, "file"), listed(saved, "format").withColumnRenamed("_list", "_saved")
+    shared = files.select("file", "header").distinct().join(saved.select("format", "header").distinct(), "header").groupBy("file", "format").agg(F.count("*").alias("_common"))
+    pairs = shared.join(a, "file").join(b, "format")
+    percent = F.floor(F.col("_common") * PARTIAL_WEIGHT / F.greatest(F.size("_list"), F.size("_saved"))).cast("int")
+    percent = F.when(F.col("_list") == F.col("_saved"), FULL_MATCH).when(percent >= LEAST_MATCH, percent).otherwise(0)
+    pairs = pairs.select("file", "format", percent.alias("percent"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("percent"), "format")) == 1
+    return pairs.withColumn("best", first & (F.col("percent") > 0))
+
+
 def best_format(headers: list[str], saved: dict[str, list[str]]) -> tuple[str | None, int]:
     """The saved format that fits best; ties go to the lowest key."""
     scored = [(-format_match(headers, columns), key) for key, columns in saved.items()]
@@ -118,6 +136,14 @@ def map_repeated(headers: list[str], fields: dict[str, list[str]], tag: str = "G
     return out
 
 
+def drift_rows(files: DataFrame, saved: list[str]) -> DataFrame:
+    """file, header and state (new, removed, unchanged) of every file (file, header) against the headers of a saved format."""
+    held = files.select("file", "header").distinct()
+    wanted = held.select("file").distinct().select("file", F.explode(F.array(*map(F.lit, saved))).alias("header")).withColumn("_saved", F.lit(True))
+    both = held.withColumn("_there", F.lit(True)).join(wanted, ["file", "header"], "full")
+    return both.select("file", "header", F.when(F.col("_saved").isNull(), "new").when(F.col("_there").isNull(), "removed").otherwise("unchanged").alias("state"))
+
+
 def drift(headers: list[str], saved: list[str]) -> dict[str, list[str]]:
     """What is new, removed and unchanged against a saved format."""
     return {

@@ -14,8 +14,11 @@ from rosterloom.sources.spreadsheet import workbook
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """All columns as text under clean headers, missing tokens as null; nothing is inferred."""
-    frame = spark.read.csv(path, header=True, sep=separator, inferSchema=False, multiLine=False)
+    """All columns as text under clean headers, missing tokens as null; nothing is inferred.
+
+    A quoted cell may hold line ends, so a file is one task; quotes inside are doubled or escaped.
+    """
+    frame = spark.read.csv(path, header=True, sep=separator, inferSchema=False, multiLine=True)
     frame = frame.toDF(*clean_headers(frame.columns))
     return frame.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in frame.columns))
 

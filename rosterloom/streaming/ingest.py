@@ -40,20 +40,11 @@ def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
-def first_values(stream: DataFrame, key: list[str], values: list[str], order: str, target: str, state: str):
-    """Keep the first value of every key in ``target`` across batches: each batch is merged with what is there.
+def first_values(stream: DataFrame, key: list[str], values: list[str], order: str) -> DataFrame:
+    """The first value of every key, by ``order`` and then the value, drained as a table.
 
-    A batch is aggregated to one row for each of its keys, joined with the table, and the
-    result is written beside it under the batch's number, so that a repeated batch is harmless.
+    Spark keeps one row of state for each key and adds what a batch brings to it, whatever the
+    order of the batches; nothing that is there is read again.
     """
-    spark = stream.sparkSession
-    folded = [F.min(F.struct(order, F.col(c).alias("value"))).alias(c) for c in values]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy(*key).agg(*folded)
-        if number:
-            old = spark.read.parquet(f"{target}/batch={number - 1}")
-            fresh = old.unionByName(fresh).groupBy(*key).agg(*(F.min(c).alias(c) for c in values))
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
+    folded = stream.groupBy(*key).agg(*(F.min(F.struct(order, F.col(c).alias("value"))).alias(c) for c in values))
+    return run_once(folded.select(*key, *(F.col(c)["value"].alias(c) for c in values)))
