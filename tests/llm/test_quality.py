@@ -126,6 +126,86 @@ def test_dual_descent_separates():
     assert ((margins > 0) == positive).all()
 
 
+def naive_features(text):
+    """The hashed n-grams of one text, gram by gram."""
+    import numpy as np
+
+    from rosterloom.llm.words import grams, hashes, mix
+
+    m, data, out = quality_model, text.encode(), set()
+    kinds = [list(data), [int(m.CLASS[b]) for b in data]]
+    for family, sizes in enumerate((m.BYTE_GRAMS, m.CLASS_GRAMS)):
+        for n in sizes:
+            for i in range(len(data) - n + 1):
+                code = 0
+                for b in kinds[family][i : i + n]:
+                    code = (code * 257 + b) % 2**64
+                with np.errstate(over="ignore"):
+                    out.add(int(mix(np.array([(code + (n << 56)) % 2**64], np.uint64))[0]) % m.BUCKETS + family * m.BUCKETS)
+    spans = [w.span() for w in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    words = np.array([int(hashes(np.frombuffer(data, np.uint8), np.array([a]), np.array([b]))[0]) for a, b in spans], np.uint64)
+    for n in m.WORD_GRAMS:
+        out |= {int(c) % m.BUCKETS + 2 * m.BUCKETS for c in grams(words, np.zeros(len(words), np.int64), n)[0]}
+    return sorted(out)
+
+
+def test_scores_are_those_of_a_dense_model(spark, prose):
+    """Log-count ratios, dual descent and margins over a dense matrix of naive features."""
+    import math
+
+    import numpy as np
+
+    m = quality_model
+    texts = {i: prose(i, 25) if i % 3 else " | ".join(prose(i, 12).split()) + " é #" for i in range(60)} | {100: "", 101: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    fitted = m.fit(docs, labels)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    found = {i: naive_features(t) for i, t in texts.items()}
+    used = sorted({f for row in found.values() for f in row})
+    place = {f: k for k, f in enumerate(used)}
+    have = {i: np.array([f in set(row) for f in used]) for i, row in found.items()}
+    order = sorted(learned, key=lambda i: (m.packed(np.array(found[i])), int(i % 3 > 0)))
+    positive = np.array([i % 3 > 0 for i in order])
+    matrix = np.array([have[i] for i in order], float)
+    counts = [m.SMOOTH + matrix[positive == y].sum(0) for y in (False, True)]
+    totals = [c.sum() + m.SMOOTH * (3 * m.BUCKETS - len(used)) for c in counts]
+    ratios = np.log((counts[1] / totals[1]) / (counts[0] / totals[0]))
+    assert np.allclose(fitted.values[used], ratios)
+    x = matrix * ratios
+    x /= np.maximum(1e-9, np.sqrt((x**2).sum(1, keepdims=True)))
+    sign, weights, bias, dual = np.where(positive, 1.0, -1.0), np.zeros(len(used)), 0.0, np.zeros(len(order))
+    cost = m.COST * 10 * np.where(positive, 0.5 / positive.mean(), 0.5 / (1 - positive.mean()))
+    rng = np.random.default_rng(7)
+    for _ in range(m.PASSES):
+        for i in rng.permutation(len(order)):
+            new = min(cost[i], max(0.0, dual[i] - (sign[i] * (weights @ x[i] + bias) - 1) / ((x[i] ** 2).sum() + 1)))
+            weights, bias, dual[i] = weights + (new - dual[i]) * sign[i] * x[i], bias + (new - dual[i]) * sign[i], new
+    assert np.allclose(fitted.weights[used], weights * ratios) and abs(fitted.model.bias - bias) < 1e-9
+    primal = 0.5 * (weights @ weights + bias**2) + (cost * np.maximum(0, 1 - sign * (x @ weights + bias))).sum()
+    assert primal - (dual.sum() - 0.5 * (weights @ weights + bias**2)) < 0.1 * primal  # near the least hinge loss
+    for r in m.score(docs, fitted).collect():
+        row = [place[f] for f in found[r.doc_id]]
+        margin = (weights * ratios)[row].sum() / max(1e-9, math.sqrt((ratios[row] ** 2).sum())) + bias
+        assert abs(r.score - fitted.model.score(margin)) < 1e-9
+
+
+def test_packed_features(spark):
+    import numpy as np
+
+    for found in (np.array([], int), np.arange(5), np.arange(0, 3 * quality_model.BUCKETS, 2)):
+        data = quality_model.packed(found)
+        assert len(data) <= quality_model.SET_BYTES and quality_model.unpacked(data).tolist() == found.tolist()
+
+
+def test_repeated_doc_ids_count_once(labelled):
+    docs, labels = labelled
+    import numpy as np
+
+    one, twice = quality_model.fit(docs, labels), quality_model.fit(docs.unionAll(docs), labels.unionAll(labels))
+    assert np.array_equal(one.weights, twice.weights)
+
+
 def test_odd_rows_are_scored(odd_rows, no_rows, labelled, spark):
     docs, labels = labelled
     fitted = quality_model.fit(docs, labels)
