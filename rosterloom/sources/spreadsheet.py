@@ -1,4 +1,4 @@
-"""Spreadsheets (xlsx): every cell as text, read in parallel by file; small workbooks written on the driver.
+"""Spreadsheets (xlsx): every cell as text, read in parallel by tab; small workbooks written on the driver.
 
 Files are read through Spark's binary source, so any file system that Spark reads will do.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -16,10 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.schema import clean_headers, header_row
+from rosterloom.schema import clean_headers
 
-#: Rows looked at for the header of a tab.
-HEAD = 100
 #: Fixed value: rows that a sheet can hold.
 SHEET_ROWS = 1_048_576
 
@@ -44,42 +43,56 @@ def _letters(number: int) -> str:
     return out
 
 
-def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(tab, row number, cells) of every row of a workbook, one sheet row in memory at a time."""
+def sheet_parts(content: bytes) -> Iterator[tuple[str, bytes, bytes]]:
+    """(tab, sheet, shared texts) of every tab of a workbook, packed, so that each can be read elsewhere."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-                shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+        shared = zlib.compress(book.read("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else b"", 1)
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
             target = links[sheet.get(_LINK)].lstrip("/")
-            with book.open(target if target.startswith("xl/") else f"xl/{target}") as stream:
-                for _, row in ElementTree.iterparse(stream):
-                    if row.tag != f"{_MAIN}row":
-                        continue
-                    cells: list[str | None] = []
-                    for cell in row.iter(f"{_MAIN}c"):
-                        at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                        cells += [None] * (at + 1 - len(cells))
-                        value = cell.find(f"{_MAIN}v")
-                        if cell.get("t") == "inlineStr":
-                            cells[at] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-                        elif value is not None:
-                            cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-                    yield sheet.get("name"), int(row.get("r", 0)) - 1, cells
-                    row.clear()
+            yield sheet.get("name"), zlib.compress(book.read(target if target.startswith("xl/") else f"xl/{target}"), 1), shared
+
+
+def sheet_rows(sheet: bytes, texts: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """(row number, cells) of every row of a packed sheet, one row in memory at a time."""
+    shared: list[str] = []
+    if packed := zlib.decompress(texts):
+        for item in ElementTree.fromstring(packed).iter(f"{_MAIN}si"):
+            shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+    for _, row in ElementTree.iterparse(io.BytesIO(zlib.decompress(sheet))):
+        if row.tag != f"{_MAIN}row":
+            continue
+        cells: list[str | None] = []
+        for cell in row.iter(f"{_MAIN}c"):
+            at = _column(cell.get("r")) if cell.get("r") else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            value = cell.find(f"{_MAIN}v")
+            if cell.get("t") == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+            elif value is not None:
+                cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+        yield int(row.get("r", 0)) - 1, cells
+        row.clear()
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """file, tab, row_ix and cells (array of text) of all rows of all workbooks under ``path``."""
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """file, tab, row_ix and cells (array of text) of all rows of all workbooks under ``path``.
+
+    Workbooks are taken apart first and dealt out by tab, so that the tabs of one are read side by side.
+    """
+    def apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"]):
+                for tab, sheet, texts in sheet_parts(bytes(content)):
+                    yield pd.DataFrame([(file, tab, sheet, texts)], columns=["file", "tab", "sheet", "texts"])
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, tab, sheet, texts in frame.itertuples(index=False):
                 rows = []
-                for row in sheet_rows(bytes(content)):
-                    rows.append((file, *row))
+                for row in sheet_rows(bytes(sheet), bytes(texts)):
+                    rows.append((file, tab, *row))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["file", "tab", "row_ix", "cells"])
                         rows = []
@@ -87,19 +100,28 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=["file", "tab", "row_ix", "cells"])
 
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return books.mapInPandas(decode, "file string, tab string, row_ix long, cells array<string>")
-
-
-def tab_frame(cells: DataFrame, tab: str) -> DataFrame:
-    """One tab as a table of text columns: the header is found in its first rows, blank rows go."""
-    own = cells.filter(F.col("tab") == tab)
-    head = own.filter(F.col("row_ix") < HEAD).orderBy("row_ix").select("row_ix", "cells").limit(HEAD).collect()
-    if not head:
-        return own.select("row_ix")
-    at = header_row([list(r.cells) for r in head])
-    headers = clean_headers(list(head[at].cells))
-    rows = own.filter(F.col("row_ix") > head[at].row_ix).filter(F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    return rows.select("row_ix", *(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(headers)))
+    sheets = books.mapInPandas(apart, "file string, tab string, sheet binary, texts binary").repartition("file", "tab")
+    return sheets.mapInPandas(decode, "file string, tab string, row_ix long, cells array<string>")
+
+
+def tab_frame(cells: DataFrame, tab: str, with_file: bool = False) -> DataFrame:
+    """One tab of all files as a table of text columns: each file's header is its first row that is filled to its width.
+
+    Rows above a header and after the last filled row of a file go; blank rows between stay. Files
+    may have other headers: a column that a file lacks is null. One query for each distinct header.
+    """
+    filled = F.size(F.filter("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    own = cells.filter(F.col("tab") == tab).select("file", "row_ix", "cells", filled.alias("_filled"))
+    width = own.groupBy("file").agg(F.max("_filled").alias("_width"), F.max(F.when(F.col("_filled") > 0, F.col("row_ix"))).alias("_last"))
+    own = own.join(width.filter("_width > 0"), "file")
+    heads = own.filter("_filled = _width").groupBy("file").agg(F.min(F.struct("row_ix", "cells")).alias("_head"))
+    own = own.join(heads, "file").filter("row_ix > _head.row_ix AND row_ix <= _last").withColumn("_format", F.to_json("_head.cells"))
+    out = None
+    for found in heads.select(F.col("_head.cells").alias("cells"), F.to_json("_head.cells").alias("format")).distinct().orderBy("format").collect():
+        rows = own.filter(F.col("_format") == found.format)
+        part = rows.select(*["file"] * with_file, "row_ix", *(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(clean_headers(list(found.cells)))))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return own.select(*["file"] * with_file, "row_ix") if out is None else out
 
 
 def workbook(frames: dict[str, DataFrame]) -> bytes:

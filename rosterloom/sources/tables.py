@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterloom.operators.templates import reconcile
 from rosterloom.schema import MISSING, clean_headers
 from rosterloom.sources.spreadsheet import workbook
 
@@ -58,6 +59,14 @@ def counts_sheet(tables: dict[str, DataFrame], id_column: str) -> DataFrame:
     return out
 
 
+def report_sheets(outputs: dict[str, DataFrame], inputs: DataFrame, key: list[str]) -> dict[str, DataFrame]:
+    """The sheets of a run's report: every output table, their counts, their columns, and what became of each input key."""
+    spark = inputs.sparkSession
+    columns = [(name, i, c) for name, frame in outputs.items() for i, c in enumerate(frame.columns)]
+    meta = spark.createDataFrame(columns, "table string, place int, column string")
+    return {**outputs, "CONSOLIDATED": counts_sheet(outputs, key[0]), "META": meta, "RECONCILIATION": reconcile(inputs, outputs, key)}
+
+
 def zipped_workbooks(tables: dict[str, DataFrame]) -> bytes:
     """A ZIP with a workbook for each small table."""
     out = io.BytesIO()

@@ -5,7 +5,7 @@ from rosterloom import errors, schema
 from rosterloom.functions import dates, hours, text, validate
 from rosterloom.operators import documents, lookup, markup, reshape, update
 from rosterloom.plans import pipeline, program, trees
-from rosterloom.sources import spreadsheet, tables
+from rosterloom.sources import config, spreadsheet, tables
 
 
 def one(spark, value, build, kind="string"):
@@ -198,6 +198,62 @@ def test_workbook_round_trip(spark, tmp_path):
     assert [r["last name"] for r in tab.collect()] == ["Ä & <b>"]
 
 
+def test_tabs_of_several_files(spark, tmp_path):
+    """Headers at other places and in another order, below row 100 too; blank rows between stay, trailing ones go."""
+    first = spark.createDataFrame([*(("note", None),) * 120, ("A", "B"), ("1", "2"), (None, None), ("3", None), ("", " ")], "a string, b string").coalesce(1)
+    second = spark.createDataFrame([("B", "C"), ("5", "6")], "a string, b string").coalesce(1)
+    (tmp_path / "x.xlsx").write_bytes(spreadsheet.workbook({"t": first, "other": second}))
+    (tmp_path / "y.xlsx").write_bytes(spreadsheet.workbook({"t": second}))
+    cells = spreadsheet.read_cells(spark, str(tmp_path)).filter("row_ix > 0")
+    rows = [(r.file[-6:], r.a, r.b, r.c) for r in spreadsheet.tab_frame(cells, "t", with_file=True).orderBy("file", "row_ix").collect()]
+    assert rows == [("x.xlsx", "1", "2", None), ("x.xlsx", None, None, None), ("x.xlsx", "3", None, None), ("y.xlsx", None, "5", "6")]
+
+
+def test_report_sheets(spark):
+    inputs = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    sheets = tables.report_sheets({"t": spark.createDataFrame([(1, "x")], "k int, v string")}, inputs, ["k"])
+    assert sorted(sheets) == ["CONSOLIDATED", "META", "RECONCILIATION", "t"] and sheets["META"].count() == 2
+    assert {r.k: r.state for r in sheets["RECONCILIATION"].collect()} == {1: "partial", 2: "missing"}
+    assert spreadsheet.workbook(sheets)[:2] == b"PK"
+
+
+@pytest.mark.parametrize(("name", "rest"), [("phone", {"arguments": {"value": {"col": "z"}}}), ("nothing", {}), ("zip5", {"arguments": {"valeu": {"col": "x"}}}), ("tree", {"arguments": {"tree": ["no node"]}})])
+def test_failed_rules_are_trapped(spark, name, rest):
+    frames, trapped = {"f": spark.createDataFrame([("a",)], "x string")}, []
+    layers = [{"layer": "l", "type": "ROW", "steps": [{"frame": "f", "rule": name, "output": "y", **rest}, {"frame": "f", "rule": "value_or", "output": "w", "arguments": {"value": {"col": "y"}, "otherwise": {"col": "x"}}}]}]
+    layers.append({"layer": "d", "type": "DF", "steps": [{"frame": "f", "rule": "keep_where", "arguments": {"where": {"col": "z", "equals": 1}}}]})
+    row = program.run_program(layers, frames, trapped=trapped)["f"].first()
+    assert row.asDict() == {"x": "a", "y": errors.UNDEFINED.split("|")[0] + "|Input: ", "w": "Error: Undefined Error|Input: "} and len(trapped) == 2
+
+
+def test_row_steps_become_one_projection(spark):
+    frame = spark.createDataFrame([(" a",)], "x string")
+    step = lambda out, of: {"frame": "f", "rule": "value_or", "output": out, "arguments": {"value": {"col": of}, "otherwise": "n"}}
+    layers = [{"layer": "l", "type": "ROW", "steps": [step("a", "x"), step("b", "x"), step("c", "a"), step("x", "b"), step("d", "x")]}]
+    out = program.run_program(layers, {"f": frame})["f"]
+    assert out.first().asDict() == dict.fromkeys("xabcd", " a")
+    assert out._jdf.queryExecution().logical().toString().count("Project [") <= 4
+
+
+def test_saved_mappings_and_schemas():
+    saved = {"0": {"format": ["A", "B"], "mappings": {"sv": {"a": "NAME_LAST"}, "mv": {"ADDR": {"b": "PLSV@LINE@1", "c": "no"}}}}, "1": {"diheader": ["x"], "mappings": "to be ignored"}}
+    found = config.saved_mappings(saved)
+    assert found["1"].ignored and found["0"].single == {"a": "NAME_LAST"} and found["0"].repeated["ADDR"]["b"].set == 1
+    assert config.aliases({"F": {"Input_Column": ["a"]}, "G": {"Column_Type": [{"Tag": "T", "Input_Column": ["b", "c"]}]}}) == {"F": ["a"], "G": ["b", "c"]}
+
+
+def test_json_files_are_read(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"LayerName": "a", "LayerType": "ROW",\n "Transformation": [{"f": {"derivations": []}}]}]')
+    assert config.program(config.read_json(spark, str(tmp_path / "p.json"))) == [{"layer": "a", "type": "ROW", "steps": []}]
+
+
+def test_stemmed_words_meet(spark):
+    asked = spark.createDataFrame([("running shoes",), ("cities",), ("class",)], "v string")
+    grid = spark.createDataFrame([(0, "run shoe"), (1, "city"), (2, "runn shoe"), (3, "class")], "grid_no int, name string")
+    found = {r.v: r.name for r in lookup.lookup_fuzzy(asked, "v", grid, "name", 0, stemmed=True).collect()}
+    assert found == {"running shoes": "runn shoe", "cities": "city", "class": "class"}
+
+
 def test_tables_out(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     tables.write_tables({"t": frame}, str(tmp_path))
