@@ -45,11 +45,17 @@ PIECE = 4096
 
 
 def _cuts(text: Column, pattern: str, build) -> Column:
-    """``build(places)`` of the matches of ``pattern``: structs of start, end, found, and the text before and after up to other matches."""
+    """``build(places)`` of the matches of ``pattern``: structs of start, end, found, and the text before and after.
+
+    That text goes to the next match, and over it if there is no word between.
+    """
     def placed(x):
-        start = lambda at, i: at + F.length(F.get(x["pieces"], i))
+        piece, found = lambda i: F.get(x["pieces"], i), lambda i: F.coalesce(F.get(x["found"], i), F.lit(""))
+        before = lambda i: F.when((i > 0) & piece(i).rlike(r"^\s*+$"), found(i - 1)).otherwise(piece(i))
+        after = lambda i: F.when(piece(i + 1).rlike(r"^\S*+\s++$"), F.concat(piece(i + 1), found(i + 1))).otherwise(piece(i + 1))
+        start = lambda at, i: at + F.length(piece(i))
         end = lambda at, i: start(at, i) + F.length(F.get(x["found"], i))
-        place = lambda at, i: F.struct(start(at, i).alias("start"), end(at, i).alias("end"), F.get(x["found"], i).alias("found"), F.get(x["pieces"], i).alias("before"), F.get(x["pieces"], i + 1).alias("after"))
+        place = lambda at, i: F.struct(start(at, i).alias("start"), end(at, i).alias("end"), F.get(x["found"], i).alias("found"), before(i).alias("before"), after(i).alias("after"))
         empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
         numbers = let(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda n: scan(n, F.lit(0), end, place, "struct<start:int,end:int,found:string,before:string,after:string>"))
         return F.when(F.size(x["found"]) == 0, empty).otherwise(numbers)

@@ -63,6 +63,35 @@ def test_contexts_find_unseen_identifiers(spark, prose):
     mentions = {r.doc_id: r for r in pii.find_spans(docs).collect()}
     assert all(len(mentions[100 + i].spans) == 1 for i in range(30))
     assert mentions[201].spans == [] and all(mentions[i].spans == [] for i in range(5))
+    start = len(f"{prose(1, 10)} write to ")
+    assert [tuple(s) for s in mentions[200].spans] == [(start, 0, start + len("user9x@mail"))]
+
+
+def test_texts_of_many_identifiers(spark):
+    """Thousands of base spans, candidates beside and inside them, and their masks: more than one run of the scans."""
+    texts = [" ".join(f"m a{i}@b.com {i * 7919} 10.0.{i % 256}.7x" for i in range(3000)), " ".join(map(str, range(20_000))), "9 " * 3000 + "+1 (312) 555-0100"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_spans(frame, ["doc_id", "text"]).withColumn("m", pii.masked(F.col("text"), "spans")).collect()
+    for r in rows:
+        assert [tuple(s) for s in r.base] == brute(r.text)
+        at, out = 0, []
+        for s in r.spans:
+            if s.start >= at:
+                out += [r.text[at : s.start], f"[{pii.KINDS[s.kind]}]"]
+            at = max(at, s.end)
+        assert r.m == "".join([*out, r.text[at:]])
+
+
+def test_rounds_go_on_until_nothing_is_found(spark, prose):
+    """Each round learns the next context from what the last one found: a chain of five, each link a third as long."""
+    rows = [f"{prose(i, 5)} link0 user{i}x@mail.example.com tail0 {prose(i + 70, 5)}" for i in range(567)]
+    for k, size in enumerate((189, 63, 21, 7)):
+        for there in (k, k + 1):
+            rows += [f"{prose(1000 * k + i, 5)} link{there} user{k}y{i}@mail tail{there} {prose(7000 + i, 5)}" for i in range(size)]
+    rows.append(f"{prose(5, 5)} link4 name@host tail4 {prose(6, 5)}")
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found = found_texts(frame)
+    assert found[len(rows) - 1] == [("email", "name@host")]
 
 
 def found_texts(documents):
