@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterloom.llm.pretokens import Encoder, Pretokenizer, Vocabulary, blocks, gather, held
+from rosterloom.llm.pretokens import BLOCK_BYTES, Encoder, Pretokenizer, Vocabulary, blocks, gather, held
 from rosterloom.llm.shared import open_folder, shared_dir, stored
 from rosterloom.llm.words import slices
 
@@ -317,7 +317,8 @@ class Codec:
         spark.sparkContext.addFile(f"{folder}/{self._name}")
         self._file = spark.sparkContext.broadcast(text)
 
-    def _loader(self):
+    def loader(self):
+        """What gives a Python worker its encoder and decoder."""
         name, file = self._name, self._file
 
         def make():
@@ -328,7 +329,7 @@ class Codec:
 
     def encode(self, text: Column) -> Column:
         """Ids as binary, little-endian unsigned 32-bit integers; null and empty texts have none."""
-        load = self._loader()
+        load = self.loader()
 
         def run(texts: pa.Array) -> pa.Array:
             return pa.array(load()[0].texts(texts), pa.binary())
@@ -337,7 +338,7 @@ class Codec:
 
     def decode(self, ids: Column) -> Column:
         """The text of such ids; bytes that are no UTF-8 become U+FFFD. Null gives an empty text."""
-        load = self._loader()
+        load = self.loader()
 
         def run(column: pa.Array) -> pa.Array:
             return pa.array(load()[1].texts(column), pa.string())
@@ -352,5 +353,22 @@ def encode_decode(documents: DataFrame, tokenizer_file: str, share: float = SHAR
     decoded piece by piece, whole; repeated rows and ties are encoded each; an empty table gives
     none; other columns are kept, whatever their names.
     """
-    codec = Codec(documents, tokenizer_file, share)
-    return documents.withColumn("ids", codec.encode(F.col("text"))).withColumn("decoded", codec.decode(F.col("ids")))
+    load = Codec(documents, tokenizer_file, share).loader()
+    others = documents.drop("ids", "decoded")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema)
+    return others.mapInArrow(_coder(load), f"{schema}, ids binary, decoded string").select(*(f"`{c}`" for c in documents.columns if c not in ("ids", "decoded")), "ids", "decoded")
+
+
+def _coder(load):
+    """Batches with ids and decoded, in pieces of bounded bytes, so that a task never holds those of a whole batch."""
+    def run(batches):
+        encode, decode = (x.texts for x in load())
+        for batch in batches:
+            at, names = batch.schema.get_field_index("text"), [*batch.schema.names, "ids", "decoded"]
+            starts = [row for row, _, _ in slices(batch.column(at), BLOCK_BYTES)]
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                piece = batch.slice(start, end - start)
+                ids = pa.array(encode(piece.column(at)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns, ids, pa.array(decode(ids), pa.string())], names=names)
+
+    return run

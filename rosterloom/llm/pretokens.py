@@ -22,9 +22,9 @@ from rosterloom.llm.words import slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: A longer text is cut into blocks of about so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of words and ids that an encoder remembers, with what Python needs for an entry beside them.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 180
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 180
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -41,7 +41,7 @@ def classes() -> np.ndarray:
     return out
 
 
-def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Code points, and where each begins (None: at its own number)."""
     if data.max() < 0x80:
         return data, None
@@ -61,7 +61,7 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the pre-tokens of the texts of a block begin, in bytes."""
     if not len(data):
         return np.zeros(0, np.int64)
-    points, lead = _characters(data)
+    points, lead = characters(data)
     n, kind = len(points), classes()[points]
     heads = np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
     heads = heads if lead is None else np.searchsorted(lead, heads)

@@ -86,6 +86,14 @@ def test_lexicon_is_the_dictionary(tmp_path_factory, words, others):
     assert lexicon.get(asked) == [array("I", words[w]).tobytes() if w in words else None for w in asked]
 
 
+def test_columns_of_a_codec_round_trip(spark):
+    texts = [(1, "Hello  there\n é漢字"), (2, None), (3, "")]
+    frame = spark.createDataFrame(texts, "i int, text string")
+    codec = bpe.Codec(frame, FILE)
+    rows = {r.i: r for r in frame.withColumn("ids", codec.encode(F.col("text"))).withColumn("back", codec.decode(F.col("ids"))).collect()}
+    assert all(rows[i].back == (t or "") and array("I", rows[i].ids).tolist() == LIBRARY.encode(t or "", add_special_tokens=False).ids for i, t in texts)
+
+
 def test_suffixes_are_shared():
     few = bpe.compile_lexicon({w: [] for w in (b"walking", b"talking")})
     more = bpe.compile_lexicon({w: [] for w in (b"walking", b"zalkxyz")})
