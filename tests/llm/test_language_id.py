@@ -73,8 +73,10 @@ def brute(rows, share):
     return out
 
 
-@pytest.mark.parametrize("share", [0.002, 0.02])
-def test_scores_are_those_of_brute_force(spark, prose, share):
+@pytest.mark.parametrize(("share", "letters"), [(0.002, 55_000), (0.02, 55_000), (0.002, 9)])
+def test_scores_are_those_of_brute_force(spark, prose, monkeypatch, share, letters):
+    """Also for an alphabet whose letters don't fit one number."""
+    monkeypatch.setattr(langid, "MOST_LETTERS", letters)
     mixed = "ba be xu xo ñe lló qui do"
     rows = [(i, prose(i, 3 + i % 20, f"{SYLLABLES[lang]} {mixed}"), lang) for i, lang in ((i, list(SYLLABLES)[i % 3]) for i in range(90))]
     rows += [(200, "xuxoxu" * 40, "bb"), (201, None, "aa"), (202, "", "aa"), (203, "12 !!", "cc"), (204, "bafa", None), (205, "zz", "aa")]
@@ -85,6 +87,27 @@ def test_scores_are_those_of_brute_force(spark, prose, share):
         assert r.lang_pred == wanted[r.doc_id][0] and abs(r.lang_score - wanted[r.doc_id][1]) < 1e-4, r
 
 
+def test_counts_of_ngrams(monkeypatch):
+    """All at once, and word by word where an alphabet is too large."""
+    import pyarrow as pa
+
+    words = [("aa", "bab", 3), ("aa", "abcdé", 1), ("bb", "漢字漢", 2), ("aa", "", 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*words)], names=["lang", "gram", "count"])
+    wanted = collections.Counter()
+    for lang, word, count in words:
+        marked = f"<{word}>"
+        for n in range(1, 5):
+            for i in range(len(marked) - n + 1):
+                wanted[lang, n, marked[i : i + n]] += count
+    for most in (55_000, 3):
+        monkeypatch.setattr(langid, "MOST_LETTERS", most)
+        found = collections.Counter()
+        for rows in langid._count_grams([batch]):
+            for lang, n, gram, count in zip(*(c.to_pylist() for c in rows.columns)):
+                found[lang, n, gram] += count
+        assert found == wanted
+
+
 def test_long_words_teach_their_ngrams(spark):
     """Text without blanks comes as one long word, whose n-grams count as any other's."""
     rows = [(1, "xo" * 5000, "aa"), (2, "ba " * 20, "bb")]
