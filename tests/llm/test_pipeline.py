@@ -1,3 +1,6 @@
+import re
+from array import array
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -17,17 +20,51 @@ def folder(spark, prose, tmp_path_factory):
 
 def test_stages_decide(spark, folder):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert set(rows) == set(range(30)) - {3} | set(range(100, 130)) | {min({3, 200, 201} & set(rows) or {-1})} | {205} or len({3, 200, 201} & set(rows)) == 1
-    assert len({3, 200, 201} & set(rows)) == 1 and not {202, 203, 204} & set(rows)
-    assert set(range(30)) - {3} <= set(rows) and set(range(100, 130)) <= set(rows)
+    copies = {3, 200, 201} & set(rows)
+    assert len(copies) == 1
+    assert set(rows) == set(range(30)) - {3} | set(range(100, 130)) | copies | {205}
     assert rows[205].text.endswith("call [email] soon")
     assert all(r.n_tokens * 4 == len(r.ids) for r in rows.values())
 
 
+def test_stages_are_those_of_brute_force(spark, folder):
+    """What is kept, its masked text and its ids, from all pairs, all windows, the contract's patterns and the library."""
+    from test_bpe import LIBRARY
+    from test_decontam import brute as hits
+    from test_near_dup import brute as classes
+    from test_personal_data import brute as spans
+
+    kinds = ["email", "ip", "card", "phone"]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    kept = [(i, t) for i, t in docs if t and re.search(r"[^\W\d_]", t)]
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    groups = [set(map(int, g)) for g in classes(kept)]
+    assert all(len(g & set(rows)) <= 1 for g in groups)
+    hit = {doc for doc, _, n, _ in hits(kept, items) if n}
+    assert {min(g) for g in groups if not g & hit} == {min(g) for g in groups if g & set(rows)}
+    for i, row in rows.items():
+        text, at, out = dict(docs)[i], 0, []
+        for start, kind, end in spans(text):
+            if start >= at:
+                out += [text[at:start], f"[{kinds[kind]}]"]
+            at = max(at, end)
+        masked = "".join([*out, text[at:]])
+        assert row.text == masked and row.n_chars == len(masked)
+        assert array("I", row.ids).tolist() == LIBRARY.encode(masked, add_special_tokens=False).ids
+
+
 def test_stages_keep_the_columns(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS _row", "2 AS hash")
+    names = ["_row", "_said", "said", "lang_pred", "lang_score", "ids", "decoded", "n_tokens", "hash", "node", "bucket", "label", "spans", "base", "_text", "_places", "tokens", "start", "word", "digest", "doc id", "a.b"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns + (["n_tokens_", "ids_"] if name == "bpe_codec" else []), name
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}, name
+    plain = docs.drop(*names)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns, name
+        assert stage(spark, plain, folder).columns == plain.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, plain, folder).columns == [*plain.columns, "n_tokens", "ids"]
     none = docs.filter("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
