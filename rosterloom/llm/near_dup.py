@@ -138,16 +138,20 @@ def _bound(a: str, b: str):
 
 
 def rarest(sets: DataFrame, similar: float) -> DataFrame:
-    """node and shingle of the rarest shingles of each of ``sets``, by one order; those of no other set are left out.
+    """node, shingle, left and first of the rarest shingles of each of ``sets``, by one order; those of no other set are left out.
 
-    Two sets whose Jaccard similarity is ``similar`` or more have one of these in common.
+    Two sets whose Jaccard similarity is ``similar`` or more have one of these in common. ``left``
+    is how many shingles the set has from this one on, ``first`` are all of its rarest.
     """
     terms = sets.select("node", F.explode("shingles").alias("shingle"))
     counted = terms.join(terms.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
     ranked = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
     size = F.size("ranked")
     first = F.slice("ranked", F.lit(1), (size - F.ceil(similar * size - 1e-9) + 1).cast("int"))
-    return ranked.select("node", F.explode(first).alias("rare")).filter("rare.n > 1").select("node", "rare.shingle")
+    ranked = ranked.select("node", size.alias("size"), first.alias("first"))
+    shared = F.transform(F.filter("first", lambda r: r["n"] > 1), lambda r: r["shingle"])
+    rows = ranked.select("node", "size", shared.alias("shared"), F.posexplode("first").alias("at", "rare")).filter("rare.n > 1")
+    return rows.select("node", "rare.shingle", (F.col("size") - F.col("at")).alias("left"), F.col("shared").alias("first"))
 
 
 def signed(documents: DataFrame) -> DataFrame:
@@ -214,9 +218,13 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     if not able.isEmpty():
         rare = rarest(sets.join(few(able.select("node")), "node"), similar).join(able, "node")
         rare = stored(rare)
-        one = rare.filter("minor").select("shingle", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("count").alias("u"))
-        two = rare.select("shingle", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"))
-        late = verified(one.join(two, "shingle").filter((F.col("x_label") != F.col("y_label")) & (_bound("u", "v") >= similar)))
+        one = rare.filter("minor").select("shingle", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("count").alias("u"), F.col("left").alias("x_left"), F.col("first").alias("x_first"))
+        two = rare.select("shingle", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("count").alias("v"), F.col("left").alias("y_left"), F.col("first").alias("y_first"))
+        # A pair meets at the first shingle that it has in common, once, and only if enough are left from there on.
+        least = similar / (1 + similar) * (F.col("u.size") + F.col("v.size")) - 1e-6
+        able_pair = (F.col("x_label") != F.col("y_label")) & (_bound("u", "v") >= similar) & (F.least("x_left", "y_left") >= least)
+        once = F.get(F.array_intersect("x_first", "y_first"), F.lit(0)) == F.col("shingle")
+        late = verified(one.join(two, "shingle").filter(able_pair & once))
         if not late.isEmpty():
             labels = components(edges.unionByName(late))
     labels = cut(labels)
