@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, chunk_dedup, decontam, langid, license_scan, near_dup, pii, quality_model, quality_rules, token_files
+from rosterloom.llm import bpe, chunk_dedup, decontam, langid, license_scan, near_dup, pii, quality_model, quality_rules, resample, token_files
 from rosterloom.llm.shared import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_repeated_passages": op2_repeated_passages,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: Words of a text, as the contracts have them; ``{0}`` is the text.
@@ -89,6 +94,10 @@ def _run_of(n: int) -> str:
     return " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
 
 
+#: CRC-32 of ``{0}``, byte by byte; ``t`` is the table of its polynomial, made in ``k``.
+_CRC_TABLE = "k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda j: 0::UBIGINT)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UBIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": f"""
 WITH {_DOCUMENT_WORDS},
@@ -115,4 +124,17 @@ edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT r, r AS label FROM d UNION SELECT b, label FROM reached JOIN edges ON a = r),
 labels AS (SELECT r, min(label) AS label FROM reached GROUP BY r)
 SELECT d.doc_id, c.doc_id AS class_id, d.r = label AS kept FROM d JOIN labels USING (r) JOIN d c ON c.r = label""",
+    "op13_importance_resampling": f"""
+WITH {_DOCUMENT_WORDS}, {_CRC_TABLE},
+b AS (SELECT unnest({_WORDS.format("text")}) AS w FROM benchmark),
+seen AS (SELECT w, count(*) AS n FROM t GROUP BY w), wanted AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+named AS MATERIALIZED (SELECT w, {_CRC.format("w")} % {resample.BUCKETS} AS bucket FROM (SELECT w FROM seen UNION SELECT w FROM wanted), k),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM seen JOIN named USING (w) GROUP BY bucket), t1 AS (SELECT bucket, sum(n)::BIGINT AS t FROM wanted JOIN named USING (w) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM t1)::DOUBLE AS all_t),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + {resample.BUCKETS}) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + {resample.BUCKETS}))))::BIGINT AS gain FROM s FULL JOIN t1 USING (bucket), sums),
+of_doc AS (SELECT r, count(*) AS n, sum(gain) AS total FROM t JOIN named USING (w) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(floor(total / n::DOUBLE), 0)::BIGINT AS weight, ('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN of_doc USING (r)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed),
+places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * {resample.PERCENT} // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (r)""",
 }
