@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, chunk_dedup, decontam, langid, license_scan, near_dup, pii, quality_model, quality_rules, resample, token_files
+from rosterloom.llm import bpe, chunk_dedup, decontam, dialogue, langid, license_scan, near_dup, pii, quality_model, quality_rules, resample, token_files
 from rosterloom.llm.shared import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+    return repaired.withColumn("repaired_sha256", dialogue.repaired_digest(F.col("repaired"))).drop("repaired")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
