@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.llm.shared import aliased, cut, few, stored, with_row_id
-from rosterloom.llm.words import grams, mix, slices, word_table
+from rosterloom.llm.words import distinct_grams, mix, slices, word_table
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Registers, in bands of ROWS: at similarity 0.8 all bands miss with probability 5e-8.
@@ -41,21 +41,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(words: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, hash and count of the distinct shingles, by owner and hash; a text of 1 to 4 words is one shingle."""
-    counts = np.bincount(owner, minlength=n_texts)
-    codes, first = grams(words, owner, SHINGLE)
-    parts = [(codes, owner[first])]
-    for n in range(1, SHINGLE):
-        if (counts == n).any():
-            codes, first = grams(words, owner, n)
-            of = owner[first]
-            parts.append((codes[counts[of] == n], of[counts[of] == n]))
-    codes, of = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort((of.astype(np.uint64) << np.uint64(40)) | (codes >> np.uint64(24)), kind="stable")
-    codes, of = codes[order] >> np.uint64(24), of[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
-    at = np.flatnonzero(new)
-    return of[at], codes[at], np.diff(np.append(at, len(codes)))
+    return distinct_grams(words, owner, n_texts, SHINGLE)
 
 
 def signatures(of: np.ndarray, codes: np.ndarray, counts: np.ndarray, n_texts: int) -> np.ndarray:

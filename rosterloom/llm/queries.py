@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import bpe, chunk_dedup, decontam, dialogue, langid, license_scan, near_dup, pii, quality_model, quality_rules, resample, token_files
+from rosterloom.llm import bpe, chunk_dedup, count_tree, decontam, dialogue, langid, license_scan, near_dup, pii, quality_model, quality_rules, resample, token_files
 from rosterloom.llm.shared import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.withColumn("repaired_sha256", dialogue.repaired_digest(F.col("repaired"))).drop("repaired")
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -100,6 +105,16 @@ def _run_of(n: int) -> str:
     return " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
 
 
+_SPACED = _WORDS.replace(r"\x00-\x2F\x3A-\x60\x7B-\x7F", r"\x20\x09-\x0D")
+_SETS = """
+sizes AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+runs AS ({0}),
+sets AS MATERIALIZED (SELECT DISTINCT r, hash(g) AS g FROM runs),
+counts AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM sets a JOIN sets b ON a.g = b.g AND a.r < b.r GROUP BY ALL)""".format(
+    " UNION ALL ".join(f"SELECT r, g FROM (SELECT r, {_run_of(n)} AS g FROM t JOIN sizes USING (r) WHERE least(n, {count_tree.SHINGLE}) = {n} WINDOW o AS (PARTITION BY r ORDER BY p)) WHERE g IS NOT NULL" for n in range(1, count_tree.SHINGLE + 1))
+)
+
 #: CRC-32 of ``{0}``, byte by byte; ``t`` is the table of its polynomial, made in ``k``.
 _CRC_TABLE = "k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda j: 0::UBIGINT)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS t)"
 _CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UBIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)"
@@ -130,6 +145,13 @@ edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT r, r AS label FROM d UNION SELECT b, label FROM reached JOIN edges ON a = r),
 labels AS (SELECT r, min(label) AS label FROM reached GROUP BY r)
 SELECT d.doc_id, c.doc_id AS class_id, d.r = label AS kept FROM d JOIN labels USING (r) JOIN d c ON c.r = label""",
+    "op12_ngram_jaccard_join": f"""
+WITH RECURSIVE {_DOCUMENT_WORDS.replace(_WORDS.format("text"), _SPACED.format("text"))}, {_SETS},
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN counts x ON x.r = a JOIN counts y ON y.r = b WHERE 100 * common >= {count_tree.PERCENT} * (x.n + y.n - common)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT r, doc_id FROM d UNION SELECT b, doc_id FROM reached JOIN edges ON a = r),
+labels AS (SELECT r, min(doc_id) AS component_id FROM reached GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN labels USING (r) LEFT JOIN counts USING (r)""",
     "op13_importance_resampling": f"""
 WITH {_DOCUMENT_WORDS}, {_CRC_TABLE},
 b AS (SELECT unnest({_WORDS.format("text")}) AS w FROM benchmark),

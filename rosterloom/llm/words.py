@@ -110,3 +110,24 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     counts = np.bincount(owner, minlength=len(offsets) - 1)
     first = np.cumsum(counts) - counts
     return hashes(lowered, starts, ends), owner, np.arange(len(owner)) - first[owner]
+
+
+def distinct_grams(words: np.ndarray, owner: np.ndarray, n_texts: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and count of the distinct runs of ``n`` words, by owner and hash; a text of fewer words is one run."""
+    sizes = np.bincount(owner, minlength=n_texts)
+    codes, first = grams(words, owner, n)
+    parts = [(codes, owner[first])]
+    for fewer in range(1, n):
+        if (sizes == fewer).any():
+            codes, first = grams(words, owner, fewer)
+            whole = sizes[owner[first]] == fewer
+            parts.append((codes[whole], owner[first][whole]))
+    codes, of = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(codes)
+    small = of[order].astype(np.uint16) if n_texts <= 1 << 16 else of[order]
+    order = order[np.argsort(small, kind="stable")]
+    codes, of = codes[order], of[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(new)
+    return of[at], codes[at], np.diff(np.append(at, len(codes)))
