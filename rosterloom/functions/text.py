@@ -39,6 +39,11 @@ def replace_words(value: Column, words: dict[str, str]) -> Column:
     return value
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def standard_value(value: Column, synonyms: dict[str, list[str]], otherwise: Column | None = None) -> Column:
     """The standard key whose synonyms hold the value, else ``otherwise`` (the value); messages pass."""
     pairs = [(s.lower(), key) for key, names in synonyms.items() for s in [key, *names]]

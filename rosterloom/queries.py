@@ -673,4 +673,4 @@ def q_roster_run(spark, sf_dir):
     return pipeline.roster_run(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 
-from rosterloom import rule_queries  # noqa: E402, F401  registers its queries too
+from rosterloom import form_queries, rule_queries  # noqa: E402, F401  register their queries too
