@@ -1,7 +1,7 @@
 """N-gram Jaccard join of documents over an R-tree of count vectors.
 
-Each text is its set of distinct word shingles. The shingles are dealt by hash to ``GROUPS`` groups,
-and the counts of the groups make the set a point. Two sets can have no more in common than the
+Each text is its set of distinct word shingles. The shingles are dealt by hash to groups, of which
+large sets have more, and the counts of the groups make the set a point. Two sets can have no more in common than the
 sum of the smaller count of each group, and a set no more with any set of a box of points than
 with the box's upper corner; pairs that could still be similar enough are verified on the
 shingles themselves. Classes are the connected components of the links.
@@ -27,11 +27,12 @@ from rosterloom.llm.near_dup import components
 from rosterloom.llm.shared import cut, few, stored, with_row_id
 from rosterloom.llm.words import LOWER, SPACED, bounds, distinct_grams, hashes, slices
 
+#: GROUPS is the least number of groups.
 SHINGLE, PERCENT, GROUPS = 5, 80, 128
 #: Points of a page, about; and boxes or points in a box of the tree.
 PAGE, FAN = 512, 16
 #: Pairs of a point and a box that are bounded at once.
-CHUNK = 1 << 14
+CHUNK = 1 << 13
 _MOST = np.iinfo(np.uint16).max
 
 
@@ -60,27 +61,73 @@ def _points(percent: int):
                 rank = np.arange(len(of)) - edges[of]
                 first = rank < _first(size, percent)[of]
                 starts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[first], minlength=n)))).astype(np.int32))
-                counts = np.bincount(of * GROUPS + (codes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS)
-                counts = np.minimum(counts, _MOST).astype(np.uint16).reshape(n, GROUPS)
+                counts = _counts(of, codes, size)
                 digests = [xxhash.xxh3_128_digest(codes[a:b].tobytes()) if b > a else None for a, b in zip(edges[:-1], edges[1:])]
                 piece = batch.slice(row, n)
-                own = [pa.array(size), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(starts, pa.array(codes[first].view(np.int64))), pa.array([c.tobytes() if s else None for c, s in zip(counts, size)], pa.binary())]
+                own = [pa.array(size), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(starts, pa.array(codes[first].view(np.int64))), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *own], names=[*piece.schema.names, "size", "digest", "first", "counts"])
 
     return run
 
 
 def _shingles(batches):
+    """The rows with their shingles in place of their text."""
     for batch in batches:
-        for row, data, offsets in slices(batch.column(1)):
+        at = batch.schema.get_field_index("text")
+        names = [name for name in batch.schema.names if name != "text"]
+        for row, data, offsets in slices(batch.column(at)):
             n = len(offsets) - 1
             of, codes = _sets(data, offsets)
             edges = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.ListArray.from_arrays(edges, pa.array(codes.view(np.int64)))], names=["node", "shingles"])
+            piece = batch.slice(row, n)
+            yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in names), pa.ListArray.from_arrays(edges, pa.array(codes.view(np.int64)))], names=[*names, "shingles"])
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+def groups_of(size: np.ndarray) -> np.ndarray:
+    """A large set has more groups, a power of two, so that unrelated sets differ in their counts at any size."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(size, 1) / 8)).astype(np.int64))
+
+
+def _counts(of: np.ndarray, codes: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """The group counts of each set, null for an empty one."""
+    out: list[bytes | None] = [None] * len(size)
+    groups = groups_of(size)
+    for g in np.unique(groups[size > 0]).tolist():
+        texts = np.flatnonzero((groups == g) & (size > 0))
+        own = groups[of] == g
+        counts = np.bincount(np.searchsorted(texts, of[own]) * g + (codes[own] & np.uint64(g - 1)).astype(np.int64), minlength=len(texts) * g)
+        for i, row in zip(texts, np.minimum(counts, _MOST).astype(np.uint16).reshape(-1, g)):
+            out[i] = row.tobytes()
+    return out
+
+
+class Points:
+    """Sets as points: ``counts`` of the first ``GROUPS`` groups, to which finer counts fold, ``size``, and the finer ones."""
+
+    def __init__(self, vectors: list[bytes], size: np.ndarray):
+        self.size, self._fine = size, [np.frombuffer(v, np.uint16) for v in vectors]
+        self.groups = np.array([len(v) for v in self._fine], np.int64)
+        self._folded: dict[int, np.ndarray] = {}
+        self.counts = self.folded(GROUPS)
+
+    def folded(self, groups: int) -> np.ndarray:
+        """The counts by ``groups`` groups, of the sets that have as many; zeros for others."""
+        if groups not in self._folded:
+            out = np.zeros((len(self._fine), groups), np.int32)
+            for i in np.flatnonzero(self.groups >= groups):
+                out[i] = self._fine[i].astype(np.int32).reshape(-1, groups).sum(axis=0)
+            self._folded[groups] = out
+        return self._folded[groups]
+
+
+def finer(a: Points, b: Points, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the pairs of ``a``'s points ``x`` and ``b``'s points ``y`` can be similar enough by the finest groups that both have."""
+    out, common = np.ones(len(x), bool), np.minimum(a.groups[x], b.groups[y])
+    for g in np.unique(common[common > GROUPS]).tolist():
+        left, right, at = a.folded(g), b.folded(g), np.flatnonzero(common == g)
+        for part in (at[k : k + max(1, CHUNK * GROUPS // g)] for k in range(0, len(at), max(1, CHUNK * GROUPS // g))):
+            out[part] = able(left[x[part]], right[y[part]], a.size[x[part]], b.size[y[part]], percent)
+    return out
 
 
 def able(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, percent: int) -> np.ndarray:
@@ -88,19 +135,15 @@ def able(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, p
 
     ``b_size`` is the least size there. A count that is at its type's end may be larger.
     """
-    out = np.zeros(len(a), bool)
-    for at in range(0, len(a), CHUNK):
-        x, y = a[at : at + CHUNK], b[at : at + CHUNK]
-        common = np.minimum(x, y)
-        enough = (100 + percent) * common.sum(axis=1, dtype=np.int64) >= percent * (a_size[at : at + CHUNK] + b_size[at : at + CHUNK])
-        out[at : at + CHUNK] = enough | (common == _MOST).any(axis=1)
-    return out
+    common = np.minimum(a, b)
+    return ((100 + percent) * common.sum(axis=1, dtype=np.int64) >= percent * (a_size + b_size)) | (common >= _MOST).any(axis=1)
 
 
 class Tree:
     """An R-tree of points, packed: by size into slabs, and in a slab by the coordinate that varies most."""
 
-    def __init__(self, counts: np.ndarray, size: np.ndarray):
+    def __init__(self, points: Points):
+        self.points, counts, size = points, points.counts, points.size
         n = len(size)
         slab = FAN * max(1, int(np.ceil(np.sqrt(n / FAN))))
         order = np.argsort(size, kind="stable")
@@ -115,43 +158,49 @@ class Tree:
             heads = np.arange(0, len(least), FAN)
             self.levels.append((np.maximum.reduceat(upper, heads), np.minimum.reduceat(least, heads), np.maximum.reduceat(most, heads)))
 
-    def near(self, counts: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, queries: Points, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of queries and points that can be similar enough."""
+        counts, size = queries.counts, queries.size
         top = len(self.levels[-1][1])
         query, box = np.repeat(np.arange(len(size)), top), np.tile(np.arange(top), len(size))
         for level in range(len(self.levels) - 1, -1, -1):
             upper, least, most = self.levels[level]
             fits = (100 * most[box] >= percent * size[query]) & (100 * size[query] >= percent * least[box])
             query, box = query[fits], box[fits]
-            good = able(counts[query], upper[box], size[query], least[box], percent)
+            parts = [slice(at, at + CHUNK) for at in range(0, len(query), CHUNK)]
+            good = np.concatenate([able(counts[query[p]], upper[box[p]], size[query[p]], least[box[p]], percent) for p in parts] or [np.zeros(0, bool)])
             query, box = query[good], box[good]
             if level:
                 below = len(self.levels[level - 1][1])
                 box = (box[:, None] * FAN + np.arange(FAN)).reshape(-1)
                 query = np.repeat(query, FAN)
                 query, box = query[box < below], box[box < below]
-        return query, self.order[box]
+        point = self.order[box]
+        good = finer(queries, self.points, query, point, percent)
+        return query[good], point[good]
+
+
+def _page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Points]:
+    node, label, size = (np.array([r[k] for r in rows], np.int64) for k in ("node", "label", "size"))
+    return node, label, Points([r["counts"] for r in rows], size)
 
 
-def _page_pairs(percent: int):
-    """Pairs of nodes of different classes of two pages, or of one page, that can be similar enough."""
+def _page_pairs(percent: int, whole: bool):
+    """Pairs of nodes of different classes of two pages, or of one page, that can be similar enough; or, not ``whole``, the nodes of such pairs."""
     def run(batches):
         for batch in batches:
             x, y = batch.to_pydict()["x"], batch.to_pydict()["y"]
             a, b = [], []
             for left, right in zip(x, y):
-                node, label, size = (np.array([r[k] for r in left], np.int64) for k in ("node", "label", "size"))
-                counts = _vectors(r["counts"] for r in left)
-                if right is None:
-                    query, point = Tree(counts, size).near(counts, size, percent)
-                    other, named = node, label
-                else:
-                    other, named, sizes = (np.array([r[k] for r in right], np.int64) for k in ("node", "label", "size"))
-                    query, point = Tree(_vectors(r["counts"] for r in right), sizes).near(counts, size, percent)
+                node, label, queries = _page(left)
+                other, named, points_ = (node, label, queries) if right is None else _page(right)
+                query, point = Tree(points_).near(queries, percent)
                 apart = label[query] != named[point]
                 a.append(node[query[apart]])
                 b.append(other[point[apart]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (a, b)], names=["x", "y"])
+            found = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
+            found = found if whole else [np.unique(np.concatenate(found))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["x", "y"] if whole else ["node"])
 
     return run
 
@@ -159,10 +208,10 @@ def _page_pairs(percent: int):
 def _able_pairs(percent: int):
     def run(batches):
         for batch in batches:
-            a, b = _vectors(batch.column(2).to_pylist()), _vectors(batch.column(3).to_pylist())
-            sizes = [batch.column(i).to_numpy() for i in (4, 5)]
-            near = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near & able(a, b, *sizes, percent))) for i in (0, 1)], names=["x", "y"])
+            a, b = (Points(batch.column(i).to_pylist(), batch.column(i + 2).to_numpy()) for i in (2, 3))
+            every = np.arange(len(a.size))
+            near = (100 * np.minimum(a.size, b.size) >= percent * np.maximum(a.size, b.size)) & able(a.counts, b.counts, a.size, b.size, percent) & finer(a, b, every, every, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["x", "y"])
 
     return run
 
@@ -202,8 +251,8 @@ def _paged(members: DataFrame) -> DataFrame:
     return small.unionByName(large).groupBy("bucket", "part", "page").agg(F.collect_list(point).alias("points"))
 
 
-def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (x, y) of nodes that are in one bucket with different labels and can be similar enough, by the tree."""
+def candidates(members: DataFrame, percent: int = PERCENT, whole: bool = True) -> DataFrame:
+    """Pairs (x, y) of nodes that are in one bucket with different labels and can be similar enough, by the tree; or, not ``whole``, their nodes."""
     pages = stored(_paged(members))
     alone = pages.select(F.col("points").alias("x"), F.lit(None).cast(pages.schema["points"].dataType).alias("y"))
     # Sets of similar sizes are in one part or in two that are next to each other.
@@ -211,7 +260,7 @@ def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     large = pages.filter("part IS NOT NULL")
     left = large.select("bucket", F.col("part").alias("from"), F.col("page").alias("p"), F.col("points").alias("x"), F.explode(F.sequence(F.col("part"), F.col("part") + reach)).alias("part"))
     pairs = left.join(large.select("bucket", "part", F.col("page").alias("q"), F.col("points").alias("y")), ["bucket", "part"]).filter("from < part OR p < q")
-    return alone.unionByName(pairs.select("x", "y")).mapInArrow(_page_pairs(percent), "x long, y long")
+    return alone.unionByName(pairs.select("x", "y")).mapInArrow(_page_pairs(percent, whole), "x long, y long" if whole else "node long")
 
 
 def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,11 +276,13 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes)
     nodes = rows.select(F.col("_row").alias("node"), "size", "first", "counts").join(few(classes.select("node")), "node")
-    members, alone = buckets(stored(nodes))
+    members, alone = buckets(nodes)
     active = stored(rows.select(F.col("_row").alias("node"), "size", "counts").join(few(alone), "node"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return rows.select(F.col("_row").alias("node"), "text").join(few(ids), "node").mapInArrow(_shingles, "node long, shingles array<long>")
+        """``ids`` (node and other long columns) with the shingles of each node."""
+        texts = rows.select(F.col("_row").alias("node"), "text").join(few(ids), "node").select(*ids.columns, "text")
+        return texts.mapInArrow(_shingles, ", ".join(f"{c} long" for c in ids.columns) + ", shingles array<long>")
 
     def side(name: str, *columns: str) -> DataFrame:
         return active.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
@@ -240,7 +291,7 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         """Of pairs (x, y) those whose sets are similar enough, as (a, b)."""
         pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         sets = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        both = few(pairs).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("common"), (F.size("s") + F.size("t")).cast("long").alias("sum"))
         return cut(common.filter(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"))
 
@@ -248,23 +299,23 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         joined = pairs.distinct().join(side("x", "size", "counts"), "x").join(side("y", "size", "counts"), "y")
         return joined.select("x", "y", "x_counts", "y_counts", "x_size", "y_size").mapInArrow(_able_pairs(percent), "x long, y long")
 
-    def apart(labels: DataFrame) -> DataFrame:
-        """Bucket entries with their labels, of buckets with several labels, of nodes that could have a link to another label."""
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = stored(several(stored(named)))
+    def apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those of ``entries`` (bucket, node) that may have a link to another label of their bucket, with label, size and counts."""
+        named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = stored(several(stored(named)).join(active, "node"))
+        near = stored(candidates(named, percent, whole=False).distinct())
+        named = stored(several(stored(named.join(few(near), "node"))))
         # Only shingles that are in sets of other labels too can be common with such a set.
-        nodes = stored(named.select("node", "label").distinct())
-        terms = sets_of(nodes.select("node")).join(nodes, "node").select("node", "label", F.explode("shingles").alias("shingle"))
-        terms = stored(terms)
+        terms = stored(sets_of(stored(named.select("node", "label").distinct())).select("node", "label", F.explode("shingles").alias("shingle")))
         crossing = terms.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
         count = terms.join(crossing, "shingle").groupBy("node").agg(F.count("*").alias("crossing"))
-        open_ = stored(count.join(active.select("node", "size"), "node").filter(100 * F.col("crossing") >= percent * F.col("size")).select("node"))
-        return stored(several(stored(named.join(few(open_), "node"))))
+        able_ = stored(count.join(active.select("node", "size"), "node").filter(100 * F.col("crossing") >= percent * F.col("size")).select("node"))
+        return stored(several(stored(named.join(few(able_), "node"))))
 
     leaders = members.join(alone, "node").groupBy("bucket").agg(F.min(F.struct("alone", "node")).alias("leader")).select("bucket", F.col("leader.node").alias("y"))
     edges = verified(bounded(members.select("bucket", F.col("node").alias("x")).join(leaders, "bucket").filter("x != y").select("x", "y")))
     labels = components(edges)
-    open_ = apart(labels)
+    open_ = apart(members, labels)
     if not open_.isEmpty():
         # The nodes outside a bucket's commonest class meet that class's most typical node first.
         most = open_.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most")).select("bucket", F.col("most.label").alias("most"))
@@ -272,9 +323,9 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         minor = open_.join(most, "bucket").filter("label != most").select(F.col("node").alias("x"), "most").distinct()
         edges = cut(edges.unionByName(verified(bounded(minor.join(centres, "most").select("x", "y")))))
         labels = components(edges)
-        open_ = apart(labels)
+        open_ = apart(open_.select("bucket", "node"), labels)
     if not open_.isEmpty():
-        edges = edges.unionByName(verified(candidates(open_.join(active.select("node", "size", "counts"), "node"), percent)))
+        edges = edges.unionByName(verified(candidates(open_, percent)))
         labels = components(edges)
     named = stored(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -79,9 +79,10 @@ def test_tree_finds_what_all_pairs_find():
     counts = np.stack([np.bincount(rng.integers(0, count_tree.GROUPS, n), minlength=count_tree.GROUPS) for n in size]).astype(np.int32)
     counts[350:] = np.maximum(counts[:350] - (rng.random((350, count_tree.GROUPS)) < 0.05), 0)
     size = counts.sum(axis=1)
-    tree = count_tree.Tree(counts, size)
+    points = count_tree.Points([c.astype(np.uint16).tobytes() for c in counts], size)
+    tree = count_tree.Tree(points)
     assert len(tree.levels) == 3 and sorted(tree.order) == list(range(700))
-    query, point = tree.near(counts, size, 80)
+    query, point = tree.near(points, 80)
     common = np.minimum(counts[:, None], counts[None]).sum(axis=2)
     want = (180 * common >= 80 * (size[:, None] + size[None])) & (100 * np.minimum.outer(size, size) >= 80 * np.maximum.outer(size, size))
     assert set(zip(query.tolist(), point.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)))) and len(query) < 20_000
@@ -100,6 +101,20 @@ def test_pages_of_a_large_bucket(spark, monkeypatch):
     assert len(want) > 100 and want <= set(got)
 
 
+def test_large_sets_have_finer_groups():
+    """Bounds by finer groups lose no similar pair, and tell unrelated large sets apart."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (900, 1500, 3000, 3200, 5000, 9000, 40)]
+    sets += [np.union1d(s[len(s) // 12 :], rng.integers(0, 2**63, len(s) // 13).astype(np.uint64)) for s in sets]
+    size = np.array([len(s) for s in sets])
+    points = count_tree.Points(count_tree._counts(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size), size)
+    assert set(points.groups) == {128, 256, 512, 1024, 2048} and (points.counts.sum(axis=1) == size).all()
+    query, point = count_tree.Tree(points).near(points, 80)
+    got = set(zip(query.tolist(), point.tolist()))
+    want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if 180 * len(np.intersect1d(s, t)) >= 80 * (len(s) + len(t))}
+    assert want == got and len(want) == 28
+
+
 def test_counts_at_the_end_of_their_type_bound_nothing():
     most = np.full((1, count_tree.GROUPS), 65535, np.int32)
     assert count_tree.able(most, most, np.array([10**9]), np.array([10**9]), 80).all()
