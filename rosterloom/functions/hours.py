@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rosterloom.functions.text import let
+
 #: Days by their first three letters, in order, and words for groups of them.
 DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 GROUPS = {"daily": DAYS, "everyday": DAYS, "every day": DAYS, "weekdays": DAYS[:5], "weekday": DAYS[:5], "weekends": DAYS[5:], "weekend": DAYS[5:]}
@@ -19,10 +21,8 @@ _PART = (
     rf"(\d{{1,2}})(?::?(\d{{2}}))?\s*([ap])?\.?m?\.?{_TO}(\d{{1,2}})(?::?(\d{{2}}))?\s*([ap])?\.?m?\.?)"
 )
 _ALL_DAY = ("12:00AM", "11:59PM")
-
-
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+#: Stands between the groups of a part; no text of working hours has it.
+_BREAK = "\x01"
 
 
 def _table(pairs: dict) -> Column:
@@ -42,7 +42,7 @@ def _days(text: Column) -> Column:
         first, last = _number(names[0]), _number(F.element_at(names, -1))
         return F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda k: F.get(every, F.pmod(first + k, F.lit(7))))
 
-    spans = F.transform(F.split(text, _AND), lambda x: _let(F.filter(F.split(x, _TO), lambda n: n != ""), span))
+    spans = F.transform(F.split(text, _AND), lambda x: let(F.filter(F.split(x, _TO), lambda n: n != ""), span))
     groups = F.create_map(*(c for name, days in GROUPS.items() for c in (F.lit(name), F.array(*map(F.lit, days)))))
     return F.coalesce(F.try_element_at(groups, F.trim(text)), F.flatten(spans))
 
@@ -54,19 +54,34 @@ def _clock(hour: Column, minute: Column, half: Column) -> Column:
 
 def _entries(part: Column) -> Column:
     """Array of (day, start, end) of one part; a missing half of the day is taken so that opening comes before closing."""
-    group = lambda i: F.regexp_extract(part, _PART, i)
-    number = lambda i: F.coalesce(group(i).try_cast("int"), F.lit(0))
-    said = lambda i, hour: F.when(group(i) != "", group(i)).when(hour > 12, F.lit("p"))
-    a, m, b, n = number(4), number(5), number(7), number(8)
-    last = said(9, b)
-    noon = (a == 12) | F.coalesce((last == "p") & (a % 12 < b % 12) & (a % 12 < 6), F.lit(False))
-    first = F.coalesce(said(6, a), F.when(noon, F.lit("p")).otherwise("a"))
-    last = F.coalesce(last, F.when((first == "a") & (b % 12 > a % 12) & (b >= 9) & (b != 12) & (a < 6), F.lit("a")).otherwise("p"))
+    # One match gives all groups of the pattern; each is then named as often as needed.
+    groups = F.split(F.regexp_replace(part, _PART, _BREAK.join(f"${i}" for i in range(1, 10))), _BREAK, -1)
+    number = lambda g, i: F.coalesce(g[i - 1].try_cast("int"), F.lit(0))
+    read = lambda g: let(F.struct(g[0].alias("days"), (g[1] != "").alias("closed"), (g[2] != "").alias("always"), number(g, 4).alias("a"), number(g, 5).alias("m"), g[5].alias("first"), number(g, 7).alias("b"), number(g, 8).alias("n"), g[8].alias("last")), _timed)
+    return let(groups, read)
+
+
+def _timed(said: Column) -> Column:
+    a, m, b, n = said["a"], said["m"], said["b"], said["n"]
+    half = lambda text, hour: F.when(text != "", text).when(hour > 12, F.lit("p"))
     good = (F.greatest(m, n) <= 59) & (F.greatest(a, b) <= 24)
-    start = F.when(group(3) != "", F.lit(_ALL_DAY[0])).when(good, _clock(a, m, first))
-    end = F.when(group(3) != "", F.lit(_ALL_DAY[1])).when(good, _clock(b, n, last))
-    hours = F.when((group(2) == "") & start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
-    return _let(hours, lambda h: F.when(h.isNull(), F.array().cast("array<struct<day:string,start:string,end:string>>")).otherwise(F.transform(_days(group(1)), lambda d: F.struct(d.alias("day"), h["start"].alias("start"), h["end"].alias("end")))))
+
+    def of_halves(halves):
+        last = halves["last"]
+        noon = (a == 12) | F.coalesce((last == "p") & (a % 12 < b % 12) & (a % 12 < 6), F.lit(False))
+        return let(F.coalesce(halves["first"], F.when(noon, F.lit("p")).otherwise("a")), lambda first: of_first(first, last))
+
+    def of_first(first, last):
+        last = F.coalesce(last, F.when((first == "a") & (b % 12 > a % 12) & (b >= 9) & (b != 12) & (a < 6), F.lit("a")).otherwise("p"))
+        start = F.when(said["always"], F.lit(_ALL_DAY[0])).when(good, _clock(a, m, first))
+        end = F.when(said["always"], F.lit(_ALL_DAY[1])).when(good, _clock(b, n, last))
+        return F.when(~said["closed"] & (said["always"] | good), F.struct(start.alias("start"), end.alias("end")))
+
+    def daily(h):
+        days = F.transform(_days(said["days"]), lambda d: F.struct(d.alias("day"), h["start"].alias("start"), h["end"].alias("end")))
+        return F.when(h.isNull(), F.array().cast("array<struct<day:string,start:string,end:string>>")).otherwise(days)
+
+    return let(let(F.struct(half(said["first"], a).alias("first"), half(said["last"], b).alias("last")), of_halves), daily)
 
 
 def working_hours(text: Column) -> Column:
@@ -76,13 +91,14 @@ def working_hours(text: Column) -> Column:
     def by_day(entries):
         def of(day):
             own = lambda e: F.struct(F.lit(day).alias("key"), F.struct(e["start"].alias("start"), e["end"].alias("end")).alias("value"))
-            return _let(F.try_element_at(F.filter(entries, lambda e: e["day"] == day), F.lit(-1)), lambda e: F.when(e.isNotNull(), own(e)))
+            return let(F.try_element_at(F.filter(entries, lambda e: e["day"] == day), F.lit(-1)), lambda e: F.when(e.isNotNull(), own(e)))
 
         return F.map_from_entries(F.array_compact(F.array(*map(of, DAYS))))
 
     always = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(_ALL_DAY[0]).alias("start"), F.lit(_ALL_DAY[1]).alias("end")) for d in DAYS))
-    found = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_PART), F.lit(0)), _entries))
-    return _let(F.when(low.rlike(_ALWAYS), always).otherwise(found), by_day)
+    parts = lambda text: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)), _entries))
+    found = let(low, lambda text: F.when(text.rlike(_ALWAYS), always).otherwise(parts(text)))
+    return let(found, by_day)
 
 
 def without_break(hours: Column, start: str, end: str) -> Column:
