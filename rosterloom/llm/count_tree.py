@@ -8,7 +8,7 @@ shingles themselves. Classes are the connected components of the links.
 
 Points meet only where a link is possible at all: of two similar sets, some of the first shingles
 in the order of hashes are common, so the points with one such shingle are one bucket, and buckets
-of equal members are one. A bucket's points are linked to its most typical one first; points
+of equal members are one. A set with too few shared ones has no link. A bucket's points are linked to its most typical one first; points
 that are then in other classes of one bucket, and whose shingles could be common with another
 class in sufficient number, are packed into pages of bounded size, the pages' boxes are joined,
 and each pair of pages that is left is searched by a tree of boxes. No link between classes is
@@ -31,9 +31,13 @@ from rosterloom.llm.words import LOWER, SPACED, bounds, distinct_grams, hashes,
 SHINGLE, PERCENT, GROUPS = 5, 80, 128
 #: Points of a page, about; and boxes or points in a box of the tree.
 PAGE, FAN = 512, 16
+#: Rounds in which nodes that share too little go.
+PRUNE = 2
+#: One in so many shingles is looked at beyond those that must include a common one, so that more have to be common.
+EXTRA = 20
 #: Pairs of a point and a box that are bounded at once.
 CHUNK = 1 << 13
-_MOST = np.iinfo(np.uint16).max
+_MOST = np.iinfo(np.uint8).max
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +49,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _first(size, percent: int):
-    """How many of a set's shingles, in one order, are sure to include one that a similar set has there too."""
-    return size + (-percent * size // 100) + 1
+    """How many of a set's shingles, in one order, are sure to include ``least_shared`` that a similar set has there too."""
+    return np.minimum(size, size + (-percent * size // 100) + 1 + size // EXTRA)
+
+
+def least_shared(size: Column, percent: int) -> Column:
+    """How many of a set's first shingles are in those of a similar set, which may be as small as ``percent`` of it."""
+    smallest = F.ceil(percent * size / 100 - 1e-9).cast("long")
+    return F.floor(smallest / EXTRA).cast("long") + 1
 
 
 def _points(percent: int):
@@ -96,7 +106,7 @@ def _counts(of: np.ndarray, codes: np.ndarray, size: np.ndarray) -> list[bytes |
         texts = np.flatnonzero((groups == g) & (size > 0))
         own = groups[of] == g
         counts = np.bincount(np.searchsorted(texts, of[own]) * g + (codes[own] & np.uint64(g - 1)).astype(np.int64), minlength=len(texts) * g)
-        for i, row in zip(texts, np.minimum(counts, _MOST).astype(np.uint16).reshape(-1, g)):
+        for i, row in zip(texts, np.minimum(counts, _MOST).astype(np.uint8).reshape(-1, g)):
             out[i] = row.tobytes()
     return out
 
@@ -105,7 +115,7 @@ class Points:
     """Sets as points: ``counts`` of the first ``GROUPS`` groups, to which finer counts fold, ``size``, and the finer ones."""
 
     def __init__(self, vectors: list[bytes], size: np.ndarray):
-        self.size, self._fine = size, [np.frombuffer(v, np.uint16) for v in vectors]
+        self.size, self._fine = size, [np.frombuffer(v, np.uint8) for v in vectors]
         self.groups = np.array([len(v) for v in self._fine], np.int64)
         self._folded: dict[int, np.ndarray] = {}
         self.counts = self.folded(GROUPS)
@@ -223,18 +233,23 @@ def points(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stored(rows.mapInArrow(_points(percent), f"_row long, doc_id {kind}, text string, size long, digest binary, first array<long>, counts binary"))
 
 
-def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, node) of the nodes that share a first shingle, and (node, alone), the share of a node's first shingles that no other has there.
+def buckets(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node) of the nodes that share enough first shingles, and (node, alone), the share of a node's first shingles that no other has there.
 
-    Shingles with the same nodes are one bucket.
+    Shingles with the same nodes are one bucket. A node that shares too few to be similar to any
+    other goes, and then those that shared too many with such nodes only.
     """
     entries = nodes.select("node", F.explode("first").alias("bucket"))
     held = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.hash("node").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).filter("n > 1")
     held = stored(held.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "times"))
-    members = stored(entries.join(few(held), "bucket"))
-    shared = members.groupBy("node").agg(F.sum("times").alias("shared"))
-    alone = nodes.join(shared, "node").select("node", (1 - F.col("shared") / F.size("first")).alias("alone"))
-    return members.select("bucket", "node"), stored(alone)
+    members, sizes = stored(entries.join(few(held), "bucket")), nodes.select("node", "size", F.size("first").alias("n_first"))
+    for _ in range(PRUNE):
+        shared = members.groupBy("node").agg(F.sum("times").alias("shared")).join(sizes, "node")
+        alone = stored(shared.filter(F.col("shared") >= least_shared(F.col("size"), percent)).select("node", (1 - F.col("shared") / F.col("n_first")).alias("alone")))
+        members = stored(members.join(few(alone.select("node")), "node"))
+        pairs = stored(members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket"))
+        members = stored(members.join(few(pairs), "bucket"))
+    return members.select("bucket", "node"), alone
 
 
 def _paged(members: DataFrame) -> DataFrame:
@@ -276,7 +291,7 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes)
     nodes = rows.select(F.col("_row").alias("node"), "size", "first", "counts").join(few(classes.select("node")), "node")
-    members, alone = buckets(nodes)
+    members, alone = buckets(nodes, percent)
     active = stored(rows.select(F.col("_row").alias("node"), "size", "counts").join(few(alone), "node"))
 
     def sets_of(ids: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def test_tree_finds_what_all_pairs_find():
     counts = np.stack([np.bincount(rng.integers(0, count_tree.GROUPS, n), minlength=count_tree.GROUPS) for n in size]).astype(np.int32)
     counts[350:] = np.maximum(counts[:350] - (rng.random((350, count_tree.GROUPS)) < 0.05), 0)
     size = counts.sum(axis=1)
-    points = count_tree.Points([c.astype(np.uint16).tobytes() for c in counts], size)
+    points = count_tree.Points([c.astype(np.uint8).tobytes() for c in counts], size)
     tree = count_tree.Tree(points)
     assert len(tree.levels) == 3 and sorted(tree.order) == list(range(700))
     query, point = tree.near(points, 80)
@@ -93,7 +93,7 @@ def test_pages_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(count_tree, "PAGE", 16)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 5, count_tree.GROUPS)
-    points = [(1, i, i, (np.maximum(base + rng.integers(-1, 2, count_tree.GROUPS) * (rng.random(count_tree.GROUPS) < rng.random() / 2), 0) * rng.choice([1, 1, 2])).astype(np.uint16)) for i in range(200)]
+    points = [(1, i, i, (np.maximum(base + rng.integers(-1, 2, count_tree.GROUPS) * (rng.random(count_tree.GROUPS) < rng.random() / 2), 0) * rng.choice([1, 1, 2])).astype(np.uint8)) for i in range(200)]
     frame = spark.createDataFrame([(b, n, l, int(c.sum()), bytearray(c.tobytes())) for b, n, l, c in points], "bucket long, node long, label long, size long, counts binary").repartition(4)
     got = [tuple(sorted(r)) for r in count_tree.candidates(frame).collect()]
     c = np.stack([p[3] for p in points]).astype(int)
@@ -116,7 +116,7 @@ def test_large_sets_have_finer_groups():
 
 
 def test_counts_at_the_end_of_their_type_bound_nothing():
-    most = np.full((1, count_tree.GROUPS), 65535, np.int32)
+    most = np.full((1, count_tree.GROUPS), 255, np.int32)
     assert count_tree.able(most, most, np.array([10**9]), np.array([10**9]), 80).all()
 
 
