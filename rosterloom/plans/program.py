@@ -4,19 +4,23 @@ A program is a list of ``{"layer", "type": "ROW" | "DF" | "TABLES", "steps": [..
 adds an output column (or several, from a struct) to a frame; consecutive ROW steps of a frame
 that don't read each other's outputs become one projection. A DF step replaces a frame, and a
 TABLES step works on several. Arguments are constants, ``{"col": name}`` or ``{"frame": name}``;
-names are checked when the program is planned. All rules are Columns or DataFrames, so Catalyst
+names are checked when the program is planned. The output ``DYNAMIC`` takes the names of its columns
+from the rule's map, so they are known only from the data. All rules are Columns or DataFrames, so Catalyst
 sees one plan for the whole program. ``rosterloom.sources.config`` reads programs from JSON.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from rosterloom.errors import UNDEFINED
+from rosterloom.errors import UNDEFINED, attempted
+from rosterloom.errors import trapped as trapped_value
 from rosterloom.errors import message as envelope
 from rosterloom.functions import clean, dates, hours, text, validate
 from rosterloom.operators import documents, keys, reshape, rows, templates, update
@@ -72,6 +76,31 @@ def value_or(value: Column, otherwise: Column) -> Column:
     return F.when(text.blank(value), otherwise).otherwise(value)
 
 
+@row_rule("quotient")
+def quotient(left: Column, right: Column) -> Column:
+    """Whole times that ``right`` goes into ``left``."""
+    return F.floor(left / right)
+
+
+@row_rule("number")
+def number(value: Column) -> Column:
+    return value.cast("long")
+
+
+@row_rule("named_value")
+def named_value(name: Column, value: Column) -> Column:
+    """For the output DYNAMIC: the value under the name that the row gives; none under a blank name."""
+    return F.when(~text.blank(name), F.create_map(name, value.cast("string")))
+
+
+@row_rule("named_values")
+def named_values(names: Column, values: Column) -> Column:
+    """The same for arrays of names and values; of equal names the last counts."""
+    pairs = F.zip_with(names, values.cast("array<string>"), lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+    last = F.filter(pairs, lambda p, i: ~text.blank(p["key"]) & ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
 @row_rule("joined")
 def joined(values: list[Column], separator: str = " ") -> Column:
     """The non-blank values, joined."""
@@ -266,6 +295,16 @@ def _outputs(step: dict, frame: DataFrame, frames: dict[str, DataFrame], scope:
     return {n: value.getField(f) for n, f in zip(names, fields)}
 
 
+#: Fixed value: the output whose columns the rule names.
+DYNAMIC = "DYNAMIC"
+
+
+def _caught(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.from_json(attempted(F.to_json(value))["value"], kind)
+    return trapped_value(value)
+
+
 def _mentions(value, names: set[str]) -> bool:
     """Whether an argument needs one of the columns ``names``, or any column by its name."""
     if isinstance(value, dict):
@@ -275,6 +314,41 @@ def _mentions(value, names: set[str]) -> bool:
     return isinstance(value, str) and value in trees.TREES and _mentions(trees.TREES[value], names)
 
 
+#: The most columns that one DYNAMIC step may add.
+MOST_NAMES = 256
+
+
+def dynamic_columns(frame: DataFrame, named: Column, most: int = MOST_NAMES) -> DataFrame:
+    """``frame`` with a text column for each name that the map ``named`` has in any row; refused beyond ``most`` names.
+
+    A row without a name keeps that column's value, if there is such a column, else it is null.
+    The names are found in a pass of their own, of which the driver sees ``most`` and one at most.
+    """
+    taken = "_named"
+    while taken in frame.columns:
+        taken += "_"
+    held = frame.withColumn(taken, named)
+    names = sorted(r[0] for r in held.select(F.explode(F.map_keys(taken))).distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} names of columns")
+    there = {c.lower(): c for c in frame.columns}
+    value = lambda n: F.try_element_at(taken, F.lit(n))
+    old = lambda n: F.col(f"`{there[n.lower()]}`").cast("string")
+    return held.withColumns({there.get(n.lower(), n): F.when(F.map_contains_key(taken, F.lit(n)), value(n)).otherwise(old(n)) if n.lower() in there else value(n) for n in names}).drop(taken)
+
+
+@contextmanager
+def _strict_arithmetic(frame: DataFrame):
+    """Rules planned here fail where they can't compute a value, whatever the session's mode, so that it can be trapped."""
+    conf = frame.sparkSession.conf
+    before = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        yield
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
+
+
 class _Pending:
     """ROW steps of one frame that wait for one projection."""
 
@@ -301,7 +375,9 @@ def run_program(layers: list[dict], frames: dict[str, DataFrame], scope: str = "
 
     With a list ``trapped`` a rule that can't be planned is noted there and the program goes on:
     a ROW rule leaves the undefined error in its output, a DF or TABLES rule its frames as they
-    were. Without one it raises. A frame that isn't there always raises.
+    were. A ROW rule that fails in some rows only while it runs leaves the undefined error in those
+    rows; its plain outputs are text then, and an array, map or struct is null there. Without a list
+    both raise. A frame that isn't there always raises.
     """
     frames, failures = dict(frames), (AnalysisException, ValueError, TypeError, LookupError)
     pending = _Pending(frames)
@@ -320,10 +396,17 @@ def run_program(layers: list[dict], frames: dict[str, DataFrame], scope: str = "
         names = [step["output"]] if isinstance(step["output"], str) else step["output"]
 
         def run():
+            if step["output"] == DYNAMIC:
+                pending.flush()
+                frames[name] = dynamic_columns(frames[name], _row_column(step, frames[name], frames, scope))
+                return
             columns = _outputs(step, frames[name], frames, scope)
-            if trapped is not None:
-                frames[name].select(*(c.alias(n) for n, c in columns.items()))  # analysed now, so that it fails here
-            pending.add(columns)
+            if trapped is None:
+                return pending.add(columns)
+            pending.flush()
+            with _strict_arithmetic(frames[name]):
+                kinds = frames[name].select(*(c.alias(n) for n, c in columns.items())).schema  # analysed now, so that it fails here
+                frames[name] = frames[name].withColumns({n: _caught(c, kinds[n].dataType) for n, c in columns.items()})
 
         tried(step, run, lambda: pending.add({n: F.lit(UNDEFINED) for n in names}))
 

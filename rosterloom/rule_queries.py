@@ -44,6 +44,43 @@ def q_json_program(spark, sf_dir):
     return out.select("o_orderkey", "priority", "again", "lost", F.col("o_orderstatus").alias("status"), F.col("last").alias("last_word"), F.lit(len(trapped)).alias("n_trapped"))
 
 
+_TRAPPED = [{"layer": "derive", "type": "ROW", "steps": [
+    {"frame": "orders", "rule": "quotient", "output": "times", "arguments": [{"col": "o_orderkey"}, {"col": "part"}]},
+    {"frame": "orders", "rule": "number", "output": "number", "arguments": [{"col": "code"}]},
+    {"frame": "orders", "rule": "joined", "output": "both", "arguments": [[{"col": "times"}, {"col": "number"}], "/"]},
+]}]
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Error: Undefined Error|Input: ' ELSE (o_orderkey // (o_orderkey % 5))::VARCHAR END AS times,
+  CASE WHEN o_orderstatus = 'P' THEN 'Error: Undefined Error|Input: ' WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey::VARCHAR END AS number FROM orders)
+SELECT *, concat_ws('/', times, number) AS both FROM x""")
+def q_trapped_rows(spark, sf_dir):
+    code = F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).when(F.col("o_orderstatus") == "O", F.col("o_custkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("part"), code.alias("code"))
+    return program.run_program(_TRAPPED, {"orders": orders}, trapped=[])["orders"].drop("part", "code")
+
+
+_DYNAMIC = [{"layer": "derive", "type": "ROW", "steps": [
+    {"frame": "orders", "rule": "named_value", "output": "DYNAMIC", "arguments": [{"col": "name"}, {"col": "o_orderstatus"}]},
+    {"frame": "orders", "rule": "named_values", "output": "DYNAMIC", "arguments": [{"col": "names"}, {"col": "codes"}]},
+]}]
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderstatus END AS "PRIO_2", CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_orderstatus END AS "PRIO_3",
+  CASE WHEN o_orderpriority LIKE '4%' THEN o_orderstatus END AS "PRIO_4", CASE WHEN o_orderpriority = '5-LOW' THEN o_orderstatus END AS "PRIO_5",
+  CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 7)::VARCHAR END AS "TAG_0", CASE WHEN o_custkey % 3 = 1 THEN (o_custkey % 7)::VARCHAR END AS "TAG_1", CASE WHEN o_custkey % 3 = 2 THEN 'last' ELSE 'was' END AS held FROM orders""")
+def q_dynamic_columns(spark, sf_dir):
+    prio, k = F.substring("o_orderpriority", 1, 1), F.col("o_custkey") % 3
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", F.when(prio != "1", F.concat(F.lit("PRIO_"), prio)).otherwise("").alias("name"), F.lit("was").alias("held"),
+        F.when(k == 2, F.array(F.lit("held"), F.lit(" "), F.lit("held"))).otherwise(F.array(F.concat(F.lit("TAG_"), k.cast("string")))).alias("names"),
+        F.when(k == 2, F.array(F.lit("first"), F.lit("none"), F.lit("last"))).otherwise(F.array((F.col("o_custkey") % 7).cast("string"))).alias("codes"),
+    )
+    return program.run_program(_DYNAMIC, {"orders": orders})["orders"].drop("o_orderstatus", "name", "names", "codes")
+
+
 _TABLE_STEPS = [{"outTemplate": "both", "name": "move_common", "type": "interTmplt", "input": {"cols": {"open": {"intersection": ["o_custkey"], "deleteFlag": True}, "done": {"intersection": ["o_custkey"], "deleteFlag": True}}}}]
 
 

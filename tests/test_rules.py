@@ -284,3 +284,31 @@ def test_program_names_are_checked(spark):
     for step in ({"frame": "g", "rule": "phone"}, {"frame": "f", "rule": "nothing", "output": "y"}, {"frame": "f", "rule": "phone", "output": "y", "arguments": {"value": {"col": "z"}}}):
         with pytest.raises(ValueError):
             program.run_program([{"layer": "l", "type": "ROW", "steps": [step]}], frames)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_rows_that_fail_while_running(spark, ansi):
+    """The same rows fail, alone, in either mode; nulls, structs and rules that name a value twice too."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        frame = spark.createDataFrame([(0, 0, "x"), (1, 2, "7"), (2, None, None)], "k int, a int, s string")
+        program.ROW_RULES["test.twice"] = lambda v: 1 / v + 1 / v
+        program.ROW_RULES["test.pair"] = lambda v: F.struct((10 / v).alias("x"), F.array(v).alias("y"))
+        steps = [{"rule": r, "output": o, "arguments": [{"col": c}]} for r, o, c in (("twice", "t", "a"), ("pair", "p", "a"), ("number", "n", "s"), ("pair", ["x", "y"], "a"))]
+        rows = program.run_program([{"layer": "", "type": "ROW", "steps": [{"frame": "f", **s} for s in steps]}], {"f": frame}, scope="test", trapped=[])["f"].orderBy("k").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+        for name in ("test.twice", "test.pair"):
+            del program.ROW_RULES[name]
+    assert [(r.t, r.n, r.x) for r in rows] == [(errors.UNDEFINED, errors.UNDEFINED, errors.UNDEFINED), ("1.0", "7", "5.0"), (None, None, None)]
+    assert rows[0].p is None and tuple(rows[1].p) == (5.0, [2]) and tuple(rows[2].p) == (None, [None]) and rows[1].y == [2]
+
+
+def test_dynamic_columns_are_bounded(spark):
+    frame = spark.range(30).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("v").alias("_named"))
+    wide = program.dynamic_columns(frame, F.create_map("name", F.lit("x")), most=30)
+    assert len(wide.columns) == 33 and wide.filter("n7 = 'x'").count() == 1 and wide.columns[:3] == ["id", "name", "_named"]
+    with pytest.raises(ValueError, match="more than 29 names"):
+        program.dynamic_columns(frame, F.create_map("name", F.lit("x")), most=29)
+    assert program.dynamic_columns(frame.limit(0), F.create_map("name", F.lit("x"))).columns == frame.columns
