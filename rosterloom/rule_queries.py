@@ -11,7 +11,7 @@ from rosterloom.functions import clean, hours, text
 from rosterloom.operators import keys, lookup, rows, templates, update
 from rosterloom.plans import program
 from rosterloom.queries import GRID, GRID_SQL, grid, query, table
-from rosterloom.schema import ColumnRef, drift_rows, match_formats
+from rosterloom.schema import ColumnRef, assign_headers, drift_rows, match_formats
 from rosterloom.sources import config, tables
 from rosterloom.streaming import ingest
 
@@ -81,6 +81,27 @@ def q_dynamic_columns(spark, sf_dir):
     return program.run_program(_DYNAMIC, {"orders": orders})["orders"].drop("o_orderstatus", "name", "names", "codes")
 
 
+_FIELDS = {"SIZE": ["smal", "largge"], "COLOUR": ["redd", "blu", "greeen"], "KIND": ["widgett", "rings", "bollt"], "OTHER": ["widget", "smalls", "platte"], "GRADE": ["economi", "standart", "promos"], "MATTER": ["standard", "brasss", "copperr"]}
+_TAKEN = {"OTHER": 2}
+_ALIASES = ", ".join(f"('{f}', '{a}')" for f, own in _FIELDS.items() for a in own)
+
+
+@query(f"""
+WITH RECURSIVE f AS (SELECT p_partkey AS file, unnest(range(len(l)))::BIGINT AS place, unnest(l) AS header FROM (SELECT p_partkey, string_split(lower(p_type || ' ' || p_name || ' ' || p_type), ' ') AS l FROM part)),
+a(field, alias) AS (VALUES {_ALIASES}), h AS (SELECT DISTINCT header FROM f),
+s AS (SELECT header, field, max(round(100.0::DOUBLE * (greatest(length(header), length(alias)) - levenshtein(header, alias)) / greatest(length(header), length(alias)), 4)) AS score FROM h, a GROUP BY 1, 2),
+c AS (SELECT header, list((field, score) ORDER BY score DESC, field) AS cs FROM s WHERE score > 75 GROUP BY 1),
+rows_ AS (SELECT f.*, coalesce(cs, []) AS cs FROM f LEFT JOIN c USING (header)),
+g AS (SELECT file, -1::BIGINT AS place, ''::VARCHAR AS header, NULL::VARCHAR AS field, NULL::DOUBLE AS score, []::VARCHAR[] AS taken FROM (SELECT DISTINCT file FROM f)
+  UNION ALL SELECT file, place, header, b[1], b[2], CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b[1]) END
+  FROM (SELECT r.file, r.place, r.header, g.taken, list_filter(r.cs, lambda x: len(list_filter(g.taken, lambda t: t = x[1])) < CASE WHEN x[1] = 'OTHER' THEN 2 ELSE 1 END)[1] AS b FROM g JOIN rows_ r ON r.file = g.file AND r.place = g.place + 1))
+SELECT file, place, header, field, score FROM g WHERE place >= 0""")
+def q_header_assignment(spark, sf_dir):
+    words = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name", "p_type")), " ")
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.posexplode(words).alias("place", "header"))
+    return assign_headers(files, _FIELDS, _TAKEN)
+
+
 _TABLE_STEPS = [{"outTemplate": "both", "name": "move_common", "type": "interTmplt", "input": {"cols": {"open": {"intersection": ["o_custkey"], "deleteFlag": True}, "done": {"intersection": ["o_custkey"], "deleteFlag": True}}}}]
 
 

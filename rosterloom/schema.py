@@ -8,11 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterloom.functions import text
+
 #: The columns that make a record, and the tokens that are read as missing.
 RECORD_KEY = ["FINAL_NPI", "TAX_ID", "NAME_FIRST", "NAME_LAST", "VALIDATED_ACTION"]
 MISSING = ["na", "n/a", "None", "none", "Na"]
 #: Full match, least match that counts, and the weight of a partial one, in percent.
 FULL_MATCH, LEAST_MATCH, PARTIAL_WEIGHT = 100, 70, 90
+#: Fixed value: a header takes a field only above this score, in percent.
+LEAST_SCORE = 75.0
 
 _NAME = re.compile(r"^(?P<tag>[^@]+)@(?P<field>[^@#]+)(#(?P<group>\d+))?@(?P<set>\d+)$")
 
@@ -136,6 +140,52 @@ def map_repeated(headers: list[str], fields: dict[str, list[str]], tag: str = "G
     return out
 
 
+def alias_scores(headers: DataFrame, aliases: dict[str, list[str]], least: float = LEAST_SCORE) -> DataFrame:
+    """header, field and score of each distinct header with each field that has an alias like it, by the best of its aliases.
+
+    The score is ``text.match_percent`` of both in lower case; only those above ``least`` are given.
+    Two texts of the longer length n that differ in k letters have n + 1 - 2k of their pairs of
+    neighbouring letters (with the ends) in common at least, so candidates are found by those pairs.
+    """
+    spark = headers.sparkSession
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("\x02"), c, F.lit("\x03")), i, F.lit(2)))
+    # Equal pairs of one text are numbered, so that what two texts have in common is counted as often as both have it.
+    numbered = lambda frame, key: frame.groupBy(*key, "pair").agg(F.count("*").alias("n")).select(*key, "pair", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("n"))
+    known = spark.createDataFrame([(field, a.lower()) for field, own in aliases.items() for a in own] or [("", "")], "field string, alias string").filter("field != ''").distinct()
+    asked = headers.select(F.lower("header").alias("text")).distinct().filter("text != ''")
+    of_alias = numbered(known.select("alias").distinct().select("alias", F.explode(pairs(F.col("alias"))).alias("pair")), ["alias"])
+    of_text = numbered(asked.select("text", F.explode(pairs(F.col("text"))).alias("pair")), ["text"])
+    common = of_text.join(F.broadcast(of_alias), ["pair", "n"]).groupBy("text", "alias").agg(F.count("*").alias("common"))
+    longer = F.greatest(F.length("text"), F.length("alias"))
+    near = common.filter(F.col("common") >= longer + 1 - 2 * F.floor(longer * (100 - least) / 100))
+    scored = near.withColumn("score", text.match_percent(F.col("text"), F.col("alias"))).filter(F.col("score") > least)
+    best = scored.join(F.broadcast(known), "alias").groupBy("text", "field").agg(F.max("score").alias("score"))
+    return headers.select("header").distinct().join(best, F.lower("header") == F.col("text")).select("header", "field", "score")
+
+
+def assign_headers(files: DataFrame, aliases: dict[str, list[str]], counts: dict[str, int] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """``files`` (file, place, header) with the field and score that each header takes, null if none is left for it.
+
+    In the order of their places, the headers of a file take their best field that is still free, of equals
+    the first by name. A field is taken once, or as often as ``counts`` says. All distinct headers are
+    scored together; each file's headers are then one row, and taking turns is a fold over it.
+    """
+    candidates = alias_scores(files, aliases, least).groupBy("header").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "field"))).alias("candidates"))
+    none = F.array().cast(candidates.schema["candidates"].dataType)
+    rows = files.join(candidates, "header", "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "header", F.coalesce("candidates", none).alias("candidates")))).alias("rows"))
+    limits = F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)) if counts else None
+    limit = lambda field: F.lit(1) if limits is None else F.coalesce(F.try_element_at(limits, field), F.lit(1))
+    taken_type = "array<struct<place:bigint,header:string,field:string,score:double>>"
+
+    def take(done, row):
+        free = F.filter(row["candidates"], lambda c: F.size(F.filter(done, lambda d: d["field"] == c["field"])) < limit(c["field"]))
+        chosen = lambda c: F.array_append(done, F.struct(row["place"].cast("long").alias("place"), row["header"].alias("header"), c["field"].alias("field"), (-c["rank"]).alias("score")))
+        return F.transform(F.array(F.get(free, F.lit(0))), chosen)[0]
+
+    taken = rows.select("file", F.explode(F.aggregate("rows", F.array().cast(taken_type), take)).alias("of"))
+    return taken.select("file", "of.place", "of.header", "of.field", "of.score")
+
+
 def drift_rows(files: DataFrame, saved: list[str]) -> DataFrame:
     """file, header and state (new, removed, unchanged) of every file (file, header) against the headers of a saved format."""
     held = files.select("file", "header").distinct()

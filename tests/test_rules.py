@@ -312,3 +312,35 @@ def test_dynamic_columns_are_bounded(spark):
     with pytest.raises(ValueError, match="more than 29 names"):
         program.dynamic_columns(frame, F.create_map("name", F.lit("x")), most=29)
     assert program.dynamic_columns(frame.limit(0), F.create_map("name", F.lit("x"))).columns == frame.columns
+
+
+def test_header_assignment_is_sequential(spark):
+    """Every header in turn takes its best free field, against a plain walk over all aliases."""
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    base = ["npi number", "tax id", "last name", "first name", "phone", "phone no", "city", "zip", "a", "aaaa aaaa"]
+    typo = lambda w: "".join(c for c in w if rng.random() > 0.08) + rng.choice(["", "", "s", " 1", "x"])
+    aliases = {f"F{i % 7}{i // 7}": [typo(b), b] if i % 2 else [typo(b)] for i, b in enumerate(base * 2)}
+    counts = {"F00": 3, "F10": 2}
+    files = [(f, p, rng.choice([str.upper, str])(typo(rng.choice(base)))) for f in range(40) for p in range(12)] + [(99, 0, ""), (98, 0, None)]
+    want = []
+    for f in {r[0] for r in files}:
+        taken = {}
+        for _, place, header in sorted(r for r in files if r[0] == f):
+            h = (header or "").lower()
+            score = lambda field: max(round(100 * (max(len(h), len(a)) - distance(h, a)) / max(len(h), len(a)), 4) for a in aliases[field] if a)
+            free = [(-score(x), x) for x in aliases if taken.get(x, 0) < counts.get(x, 1) and h and score(x) > 75]
+            best = min(free, default=(None, None))
+            taken[best[1]] = taken.get(best[1], 0) + 1
+            want.append((f, place, header, best[1], None if best[0] is None else -best[0]))
+    got = schema.assign_headers(spark.createDataFrame(files, "file long, place int, header string").repartition(4), aliases, counts).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and sum(w[3] is not None for w in want) > 150
