@@ -1,23 +1,31 @@
-"""Spreadsheets (xlsx): every cell as text, read in parallel by tab; small workbooks written on the driver.
+"""Spreadsheets (xlsx): every cell as text, read in parallel by tab; tables written as workbooks by the executors.
 
 Files are read through Spark's binary source, so any file system that Spark reads will do.
+``write_workbooks`` and the data source behind it (``format("workbook")``) write one workbook a
+partition or a file name, on a file system that pyarrow knows; ``workbook`` is for small ones on the driver.
 """
 
 from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-from rosterloom.schema import clean_headers
+from rosterloom.functions.text import let
 
 #: Fixed value: rows that a sheet can hold.
 SHEET_ROWS = 1_048_576
@@ -104,50 +112,233 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return sheets.mapInPandas(decode, "file string, tab string, row_ix long, cells array<string>")
 
 
+def clean_names(cells: Column) -> Column:
+    """``schema.clean_headers`` of an array of header cells, as a Column."""
+    lines = F.transform(cells, lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\n\s*", " "))))
+    named = F.transform(lines, lambda c: F.when(c == "", F.lit("empty_column")).otherwise(c))
+
+    def numbered(names):
+        def own(name, i):
+            before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
+            return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
+
+        return F.transform(names, own)
+
+    return let(named, numbered)
+
+
+def _is_number(cell: Column) -> Column:
+    return F.coalesce(F.trim(cell).rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), F.lit(False))
+
+
+def header_rows(cells: DataFrame) -> DataFrame:
+    """file, tab, and of each tab: header_ix and header (clean names), last_ix (its last filled row), width, first_data_ix.
+
+    The header is the first row that is filled to the tab's width, if it stands above the first row with
+    a number and has none itself; else it is the row before that first row of numbers. A tab whose
+    first filled row has numbers has no header of its own: it is named by its places, col0, col1, ...
+    """
+    full = F.filter("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False)))
+    rows = cells.select("file", "tab", "row_ix", "cells", F.size(full).alias("_filled"), F.exists("cells", _is_number).alias("_numbers"))
+    rows = rows.filter("_filled > 0")
+    tabs = rows.groupBy("file", "tab").agg(F.max("_filled").alias("width"), F.max("row_ix").alias("last_ix"), F.min("row_ix").alias("_first"), F.min(F.when(F.col("_numbers"), F.col("row_ix"))).alias("_data"), F.max(F.size("cells")).alias("_cells"))
+    both = rows.join(tabs, ["file", "tab"])
+    row = F.struct("row_ix", "cells")
+    plain = both.groupBy("file", "tab", "width", "last_ix", "_first", "_data", "_cells").agg(
+        F.min(F.when((F.col("_filled") == F.col("width")) & ~F.col("_numbers") & (F.col("_data").isNull() | (F.col("row_ix") < F.col("_data"))), row)).alias("_full"),
+        F.max(F.when(F.col("row_ix") < F.col("_data"), row)).alias("_above"),
+        F.min(row).alias("_any"),
+    )
+    head = F.coalesce("_full", "_above", F.when(F.col("_data").isNull(), F.col("_any")))
+    places = F.transform(F.sequence(F.lit(0), F.col("_cells") - 1), lambda i: F.concat(F.lit("col"), i.cast("string")))
+    found = plain.withColumn("_head", head)
+    return found.select(
+        "file", "tab", F.coalesce(F.col("_head.row_ix"), F.col("_first") - 1).alias("header_ix"), F.when(F.col("_head").isNull(), places).otherwise(clean_names(F.col("_head.cells"))).alias("header"),
+        "last_ix", "width", F.coalesce("_data", F.col("_head.row_ix") + 1).alias("first_data_ix"),
+    )
+
+
+#: Fixed value: columns that a sheet can have.
+SHEET_COLUMNS = 16_384
+
+
 def tab_frame(cells: DataFrame, tab: str, with_file: bool = False) -> DataFrame:
-    """One tab of all files as a table of text columns: each file's header is its first row that is filled to its width.
+    """One tab of all files as a table of text columns, each file under its own header (``header_rows``).
 
     Rows above a header and after the last filled row of a file go; blank rows between stay. Files
-    may have other headers: a column that a file lacks is null. One query for each distinct header.
+    may have other headers: a column that a file lacks is null. The columns are the names that any header
+    has, by their first place and name; all files are one query. ``cells`` is read three times, so
+    it should be a stored table (``store_cells``).
     """
-    filled = F.size(F.filter("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    own = cells.filter(F.col("tab") == tab).select("file", "row_ix", "cells", filled.alias("_filled"))
-    width = own.groupBy("file").agg(F.max("_filled").alias("_width"), F.max(F.when(F.col("_filled") > 0, F.col("row_ix"))).alias("_last"))
-    own = own.join(width.filter("_width > 0"), "file")
-    heads = own.filter("_filled = _width").groupBy("file").agg(F.min(F.struct("row_ix", "cells")).alias("_head"))
-    own = own.join(heads, "file").filter("row_ix > _head.row_ix AND row_ix <= _last").withColumn("_format", F.to_json("_head.cells"))
-    out = None
-    for found in heads.select(F.col("_head.cells").alias("cells"), F.to_json("_head.cells").alias("format")).distinct().orderBy("format").collect():
-        rows = own.filter(F.col("_format") == found.format)
-        part = rows.select(*["file"] * with_file, "row_ix", *(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(clean_headers(list(found.cells)))))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return own.select(*["file"] * with_file, "row_ix") if out is None else out
+    own = cells.filter(F.col("tab") == tab)
+    heads = header_rows(own)
+    places = heads.select(F.posexplode("header").alias("place", "name")).groupBy("name").agg(F.min("place").alias("place")).limit(SHEET_COLUMNS + 1).collect()
+    if len(places) > SHEET_COLUMNS:
+        raise ValueError(f"the files have more than {SHEET_COLUMNS} names of columns")
+    names = [r.name for r in sorted(places, key=lambda r: (r.place, r.name))]
+    rows = own.join(heads.drop("tab"), "file").filter("row_ix > header_ix AND row_ix <= last_ix")
+    value = lambda name: F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)
+    columns = [F.when(F.array_contains("header", name), value(name)).alias(name) for name in names]
+    return rows.select(*["file"] * with_file, "row_ix", *columns)
 
 
-def workbook(frames: dict[str, DataFrame]) -> bytes:
-    """A workbook of small tables, a sheet for each; a table beyond a sheet's rows is refused."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        sheets, links, types = "", "", ""
-        for number, (name, frame) in enumerate(frames.items(), 1):
-            rows = frame.limit(SHEET_ROWS).collect()
-            if len(rows) == SHEET_ROWS:
-                raise ValueError(f"{name} has more rows than a sheet holds; write it as Parquet or CSV")
-            lines = []
-            for r, row in enumerate([frame.columns, *rows], 1):
-                cells = "".join(f'<c r="{_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for c, v in enumerate(row) if v is not None)
-                lines.append(f'<row r="{r}">{cells}</row>')
-            book.writestr(f"xl/worksheets/sheet{number}.xml", f'<?xml version="1.0"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
-            sheets += f'<sheet name="{escape(name[:31])}" sheetId="{number}" r:id="rId{number}"/>'
-            links += f'<Relationship Id="rId{number}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{number}.xml"/>'
-            types += f'<Override PartName="/xl/worksheets/sheet{number}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+def store_cells(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """``read_cells``, parsed once and written to ``folder`` by tab."""
+    read_cells(spark, path).write.mode("overwrite").partitionBy("tab").parquet(folder)
+    return spark.read.parquet(folder).select("file", F.col("tab").cast("string").alias("tab"), "row_ix", "cells")
+
+
+class _Book:
+    """A workbook that is written row by row; a full sheet is followed by another one."""
+
+    def __init__(self, out: io.IOBase, columns: list[str], sheet_rows: int = SHEET_ROWS):
+        self._book = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+        self._columns, self._most, self._sheets, self._sheet, self._row, self._tab = columns, sheet_rows, [], None, 0, None
+
+    def _line(self, values) -> None:
+        self._row += 1
+        cells = "".join(f'<c r="{_letters(c)}{self._row}" t="inlineStr"><is><t xml:space="preserve">{escape(_text(v))}</t></is></c>' for c, v in enumerate(values) if v is not None)
+        self._sheet.write(f'<row r="{self._row}">{cells}</row>'.encode())
+
+    def _end(self) -> None:
+        if self._sheet is not None:
+            self._sheet.write(b"</sheetData></worksheet>")
+            self._sheet.close()
+
+    def add(self, tab: str, values) -> None:
+        if tab != self._tab or self._row >= self._most:
+            self.begin(tab)
+        self._line(values)
+
+    def begin(self, tab: str) -> None:
+        self._end()
+        self._tab, again = tab, sum(t == tab for t, _ in self._sheets)
+        self._sheets.append((tab, f"{tab[:24]} ({again + 1})" if again else tab[:31]))
+        self._sheet, self._row = self._book.open(f"xl/worksheets/sheet{len(self._sheets)}.xml", "w", force_zip64=True), 0
+        self._sheet.write(f'<?xml version="1.0"?><worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+        self._line(self._columns)
+
+    def close(self) -> None:
+        self._end()
+        sheets = "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="rId{i}"/>' for i, (_, name) in enumerate(self._sheets, 1))
+        links = "".join(f'<Relationship Id="rId{i}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(self._sheets) + 1))
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(self._sheets) + 1))
         package = "http://schemas.openxmlformats.org/package/2006"
-        book.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_OFFICE}"><sheets>{sheets}</sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        book.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr(
+        self._book.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_OFFICE}"><sheets>{sheets}</sheets></workbook>')
+        self._book.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        self._book.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        self._book.writestr(
             "[Content_Types].xml",
             f'<?xml version="1.0"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
             f'<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>',
         )
+        self._book.close()
+
+
+def _text(value) -> str:
+    """A cell's text, without the control characters that XML can't hold."""
+    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(value))
+
+
+def workbook(frames: dict[str, DataFrame]) -> bytes:
+    """A workbook of small tables, a sheet for each; a table beyond a sheet's rows is refused. ``write_workbooks`` has no such bound."""
+    out = io.BytesIO()
+    book = _Book(out, [])
+    for name, frame in frames.items():
+        rows = frame.limit(SHEET_ROWS).collect()
+        if len(rows) == SHEET_ROWS:
+            raise ValueError(f"{name} has more rows than a sheet holds; use write_workbooks")
+        book._columns = frame.columns
+        book.begin(name)
+        for row in rows:
+            book.add(name, row)
+    book.close()
     return out.getvalue()
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The finished files of a task, under the folder of what isn't committed yet."""
+
+    files: list[str]
+
+
+class WorkbookWriter(DataSourceWriter):
+    """Writes its partition's rows in order: a workbook for each ``fileColumn`` value, or one for the partition; a sheet for each ``tabColumn`` value.
+
+    A task writes under a folder of its own; the driver moves finished files when all tasks have
+    ended, so that a task that is lost and run again leaves nothing.
+    """
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.path, self.job = options["path"], uuid.uuid4().hex
+        self.file, self.tab, self.rows = options.get("filecolumn"), options.get("tabcolumn"), int(options.get("sheetrows", SHEET_ROWS))
+        self.columns = [c for c in schema.names if c not in (self.file, self.tab)]
+
+    def _folder(self):
+        system, base = pyarrow.fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{self.path}")
+        return system, base.rstrip("/")
+
+    def write(self, iterator) -> Written:
+        system, base = self._folder()
+        held = f"{base}/_temporary-{self.job}/{uuid.uuid4().hex}"
+        system.create_dir(held, recursive=True)
+        names, book, out, current = [], None, None, None
+        for row in iterator:
+            name = str(row[self.file]) if self.file else f"part-{TaskContext.get().partitionId():05d}"
+            if book is None or name != current:
+                if book is not None:
+                    book.close()
+                    out.close()
+                current = name
+                names.append(f"{re.sub(r'[^A-Za-z0-9._-]+', '_', name)}.xlsx" if self.file else f"{name}.xlsx")
+                out = system.open_output_stream(f"{held}/{names[-1]}")
+                book = _Book(out, self.columns, self.rows)
+            book.add(str(row[self.tab]) if self.tab else "Sheet1", [row[c] for c in self.columns])
+        if book is not None:
+            book.close()
+            out.close()
+        return Written([f"{held}/{name}" for name in names])
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, base = self._folder()
+        for file in (f for m in messages if m for f in m.files):
+            system.move(file, f"{base}/{file.rsplit('/', 1)[1]}")
+        self._clear(system, base)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear(*self._folder())
+
+    def _clear(self, system, base: str) -> None:
+        held = f"{base}/_temporary-{self.job}"
+        if system.get_file_info(held).type != pyarrow.fs.FileType.NotFound:
+            system.delete_dir(held)
+
+
+class WorkbookSource(DataSource):
+    """``frame.write.format("workbook").option("path", folder)``, with the options fileColumn, tabColumn and sheetRows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
+        return WorkbookWriter(schema, dict(self.options))
+
+
+def write_workbooks(frame: DataFrame, folder: str, file: str | None = None, tab: str | None = None, order: list[str] | None = None, sheet_rows: int = SHEET_ROWS) -> None:
+    """``frame`` as workbooks in ``folder``, by the executors; no row passes the driver.
+
+    With ``file`` there is a workbook for each of its values, else one for each partition; ``tab``
+    names the sheet of a row. Rows are written by ``order``; a sheet that is full is followed by another.
+    """
+    frame.sparkSession.dataSource.register(WorkbookSource)
+    keys = [c for c in (file, tab) if c]
+    if file:
+        frame = frame.repartition(file)
+    if keys or order:
+        frame = frame.sortWithinPartitions(*keys, *(order or []))
+    writer = frame.write.format("workbook").mode("append").option("path", folder).option("sheetRows", sheet_rows)
+    for name, value in (("fileColumn", file), ("tabColumn", tab)):
+        writer = writer.option(name, value) if value else writer
+    writer.save()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.operators.templates import reconcile
 from rosterloom.schema import MISSING, clean_headers
-from rosterloom.sources.spreadsheet import workbook
+from rosterloom.sources.spreadsheet import workbook, write_workbooks
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
@@ -30,8 +30,11 @@ def snapshot(frame: DataFrame, rows: int = 100) -> list[dict]:
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
-    """Each output table under its own name, by the executors."""
+    """Each output table under its own name, by the executors; kinds are csv, workbook and Spark's own."""
     for name, frame in tables.items():
+        if kind == "workbook":
+            write_workbooks(frame, f"{folder}/{name}")
+            continue
         writer = frame.write.mode("overwrite")
         target = f"{folder}/{name}"
         writer.option("header", True).csv(target) if kind == "csv" else writer.format(kind).save(target)
