@@ -35,8 +35,8 @@ PAGE, FAN = 512, 16
 PRUNE = 2
 #: One in so many shingles is looked at beyond those that must include a common one, so that more have to be common.
 EXTRA = 20
-#: Pairs of a point and a box that are bounded at once.
-CHUNK = 1 << 13
+#: Pairs of a point and a box that are bounded at once, and pairs of pages that are unpacked at once.
+CHUNK, PAIRS = 1 << 13, 64
 _MOST = np.iinfo(np.uint8).max
 
 
@@ -117,26 +117,24 @@ class Points:
     def __init__(self, vectors: list[bytes], size: np.ndarray):
         self.size, self._fine = size, [np.frombuffer(v, np.uint8) for v in vectors]
         self.groups = np.array([len(v) for v in self._fine], np.int64)
-        self._folded: dict[int, np.ndarray] = {}
-        self.counts = self.folded(GROUPS)
+        self.counts = self.folded(range(len(vectors)), GROUPS)
 
-    def folded(self, groups: int) -> np.ndarray:
-        """The counts by ``groups`` groups, of the sets that have as many; zeros for others."""
-        if groups not in self._folded:
-            out = np.zeros((len(self._fine), groups), np.int32)
-            for i in np.flatnonzero(self.groups >= groups):
-                out[i] = self._fine[i].astype(np.int32).reshape(-1, groups).sum(axis=0)
-            self._folded[groups] = out
-        return self._folded[groups]
+    def folded(self, rows, groups: int) -> np.ndarray:
+        """The counts of ``rows`` by ``groups`` groups, which they have at least."""
+        out = np.zeros((len(rows), groups), np.int32)
+        for k, i in enumerate(rows):
+            fine = self._fine[i]
+            out[k] = fine if len(fine) == groups else fine.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+        return out
 
 
 def finer(a: Points, b: Points, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Whether the pairs of ``a``'s points ``x`` and ``b``'s points ``y`` can be similar enough by the finest groups that both have."""
     out, common = np.ones(len(x), bool), np.minimum(a.groups[x], b.groups[y])
     for g in np.unique(common[common > GROUPS]).tolist():
-        left, right, at = a.folded(g), b.folded(g), np.flatnonzero(common == g)
-        for part in (at[k : k + max(1, CHUNK * GROUPS // g)] for k in range(0, len(at), max(1, CHUNK * GROUPS // g))):
-            out[part] = able(left[x[part]], right[y[part]], a.size[x[part]], b.size[y[part]], percent)
+        at, step = np.flatnonzero(common == g), max(1, CHUNK * GROUPS // g)
+        for part in (at[k : k + step] for k in range(0, len(at), step)):
+            out[part] = able(a.folded(x[part], g), b.folded(y[part], g), a.size[x[part]], b.size[y[part]], percent)
     return out
 
 
@@ -198,8 +196,8 @@ def _page(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, Points]:
 def _page_pairs(percent: int, whole: bool):
     """Pairs of nodes of different classes of two pages, or of one page, that can be similar enough; or, not ``whole``, the nodes of such pairs."""
     def run(batches):
-        for batch in batches:
-            x, y = batch.to_pydict()["x"], batch.to_pydict()["y"]
+        for batch in (whole_batch.slice(k, PAIRS) for whole_batch in batches for k in range(0, len(whole_batch), PAIRS)):
+            x, y = (batch.column(i).to_pylist() for i in (0, 1))
             a, b = [], []
             for left, right in zip(x, y):
                 node, label, queries = _page(left)
@@ -216,12 +214,15 @@ def _page_pairs(percent: int, whole: bool):
 
 
 def _able_pairs(percent: int):
+    """Of pairs (x, y, counts and sizes of both) those that can be similar enough."""
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, CHUNK) for whole in batches for k in range(0, len(whole), CHUNK)):
+            sizes = [batch.column(i).to_numpy() for i in (4, 5)]
+            batch = batch.filter(pa.array(100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)))
             a, b = (Points(batch.column(i).to_pylist(), batch.column(i + 2).to_numpy()) for i in (2, 3))
-            every = np.arange(len(a.size))
-            near = (100 * np.minimum(a.size, b.size) >= percent * np.maximum(a.size, b.size)) & able(a.counts, b.counts, a.size, b.size, percent) & finer(a, b, every, every, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["x", "y"])
+            near = np.flatnonzero(able(a.counts, b.counts, a.size, b.size, percent))
+            near = pa.array(near[finer(a, b, near, near, percent)])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(near) for i in (0, 1)], names=["x", "y"])
 
     return run
 
