@@ -125,3 +125,39 @@ numbered AS (SELECT doc_id, texts, row_number() OVER (PARTITION BY doc_id ORDER
 SELECT doc_id, row_no, unnest(range(1, len(texts) + 1)) AS column_no, unnest(texts) AS text FROM numbered WHERE row_no > 0""")
 def q_table_cells(spark, sf_dir):
     return forms.table_cells(form_words(spark, sf_dir), ["doc_id"], 10.0, header_rows=1)
+
+
+_CHARS = rf"""
+{_WORDS}, c AS (SELECT doc_id, page, n * 100 + unnest(range(length(word)))::INT AS seq, x0, y0 + (n % 3) * 1.5::DOUBLE AS y0, n, word, unnest(range(length(word)))::INT AS k FROM w),
+chars AS (SELECT doc_id, page, seq, x0 + k * 5.0::DOUBLE AS x0, y0, x0 + k * 5.0::DOUBLE + CASE WHEN k % 4 = 3 THEN 4.5 ELSE 5.0 END::DOUBLE AS x1, y0 + 9.0::DOUBLE AS y1, substr(word, k + 1, 1) AS char, CASE WHEN n % 5 = 0 THEN 'b' ELSE 'r' END AS font, 9 AS size, y0 - (n % 3) * 1.5 AS line_y FROM c)"""
+
+
+def form_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters of the form words, in two fonts; words of a line are not quite level."""
+    words = form_words(spark, sf_dir)
+    of = words.select("doc_id", "page", "n", "x0", (F.col("y0") + F.col("n") % 3 * 1.5).alias("y0"), F.when(F.col("n") % 5 == 0, "b").otherwise("r").alias("font"), F.posexplode(F.split("word", "")).alias("k", "char"))
+    x = F.col("x0") + F.col("k") * 5.0
+    return of.select("doc_id", "page", (F.col("n") * 100 + F.col("k")).alias("seq"), x.alias("x0"), "y0", (x + F.when(F.col("k") % 4 == 3, 4.5).otherwise(5.0)).alias("x1"), (F.col("y0") + 9.0).alias("y1"), "char", "font", F.lit(9).alias("size"))
+
+
+@query(f"""
+WITH {_CHARS}, l AS (SELECT *, row_number() OVER o AS place, x0 - lag(x1) OVER o AS gap, lag(font) OVER o IS DISTINCT FROM font AS other FROM chars WHERE trim(char) <> '' WINDOW o AS (PARTITION BY doc_id, page, line_y ORDER BY x0, y0, x1, y1, seq)),
+m AS (SELECT doc_id, page, line_y, arg_max(gap, (n, -first)) AS mode FROM (SELECT doc_id, page, line_y, greatest(gap, 0) AS gap, count(*) AS n, min(place) AS first FROM l WHERE gap IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+b AS (SELECT l.*, sum(CASE WHEN place > 1 AND (coalesce(floor(gap) > mode, false) OR other) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_y ORDER BY place ROWS UNBOUNDED PRECEDING) AS word_no FROM l LEFT JOIN m USING (doc_id, page, line_y)),
+words AS (SELECT doc_id, page, line_y, word_no, min(x0) AS x0, max(x1) AS x1, min(y0) AS top, max(y1) AS bottom, string_agg(char, '' ORDER BY place) AS word, arg_min(font, place) AS font FROM b GROUP BY 1, 2, 3, 4),
+lines AS (SELECT doc_id, page, line_y, max(bottom) - min(top) AS h, min(top) AS top FROM words GROUP BY 1, 2, 3),
+laid AS (SELECT *, 20 + sum(h + 1) OVER (PARTITION BY doc_id, page ORDER BY top ROWS UNBOUNDED PRECEDING) - 1 AS bottom FROM lines)
+SELECT doc_id, page, word_no, x0, x1, word, font, round(laid.bottom - h, 3) AS y0, round(laid.bottom, 3) AS y1 FROM words JOIN laid USING (doc_id, page, line_y)""")
+def q_words_from_boxes(spark, sf_dir):
+    return forms.laid_out(forms.words_from_boxes(form_characters(spark, sf_dir))).select("doc_id", "page", "word_no", "x0", "x1", "word", "font", "y0", "y1")
+
+
+@query(f"""
+WITH {_WORDS}, e AS (SELECT doc_id, page, n, word, x0, y0, x1, y1, CASE n WHEN 3 THEN 'passage' ELSE 'column' END AS name FROM w WHERE page = 1 AND n IN (3, 4)),
+once AS (SELECT e.doc_id, e.name, e.x0, e.y0, e.x1, e.y1 FROM e JOIN w ON w.doc_id = e.doc_id AND w.page = 1 AND contains(w.word, e.word) GROUP BY ALL HAVING count(*) = 1)
+SELECT name, max(ceil(greatest(0, 170.25 - x0, x1 - 190)))::BIGINT AS x_margin, max(ceil(greatest(0, 1.5 - y0, y1 - 8)))::BIGINT AS y_margin, count(*) AS n FROM once GROUP BY 1""")
+def q_margin_fit(spark, sf_dir):
+    words = form_words(spark, sf_dir)
+    mine = words.filter("page = 1 AND n IN (3, 4)").select("doc_id", "page", F.when(F.col("n") == 3, "passage").otherwise("column").alias("name"), F.col("word").alias("text"))
+    found = mine.select("doc_id", "page", "name", F.lit(170.25).alias("min_x"), F.lit(1.5).alias("min_y"), F.lit(190.0).alias("max_x"), F.lit(8.0).alias("max_y"))
+    return forms.margin_fit(words, found, mine.drop("page"))

@@ -335,3 +335,86 @@ def table_cells(words: DataFrame, by: list[str], gap: float, header_rows: int |
         rows = rows.groupBy(*by, "texts").agg(F.min("_at").alias("_at"))
     rows = rows.withColumn("row_no", F.row_number().over(table.orderBy("_at")) - (header_rows or 0)).filter("row_no > 0")
     return rows.select(*by, "row_no", F.posexplode("texts").alias("_column", "text")).select(*by, "row_no", (F.col("_column") + 1).alias("column_no"), "text")
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Whether two spans (y0, y1) are one line: one holds the other, or they share more than half of either one's height."""
+    shared = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+    holds = ((a["y0"] <= b["y0"]) & (b["y1"] <= a["y1"])) | ((b["y0"] <= a["y0"]) & (a["y1"] <= b["y1"]))
+    return holds | ((shared >= 0) & (shared > 0.5 * F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])))
+
+
+def character_lines(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """``chars`` (key, page, seq, x0, y0, x1, y1, char, font, size) that aren't blank, with ``line``: lines are numbered as they begin.
+
+    In the order of ``seq``, a character joins the first line whose first character's height overlaps its own, else
+    it begins one. Characters of one height and place are decided once: the fold over a page goes
+    over its distinct heights, of which there are few.
+    """
+    seen = chars.filter(F.trim("char") != "")
+    spans = seen.groupBy(*key, "page", "y0", "y1").agg(F.min("seq").alias("first"))
+    pages = spans.groupBy(*key, "page").agg(F.array_sort(F.collect_list(F.struct("first", "y0", "y1"))).alias("spans"))
+    box = "struct<y0:double,y1:double>"
+    none = F.struct(F.array().cast(f"array<{box}>").alias("lines"), F.array().cast("array<int>").alias("of"))
+
+    def step(done, span):
+        at = F.array_position(F.transform(done["lines"], lambda line: _overlap(span, line)), True).cast("int")
+        own = F.struct(span["y0"].cast("double").alias("y0"), span["y1"].cast("double").alias("y1"))
+        lines = lambda n: F.when(n > 0, done["lines"]).otherwise(F.array_append(done["lines"], own))
+        return let(at, lambda n: F.struct(lines(n).alias("lines"), F.array_append(done["of"], F.when(n > 0, n).otherwise(F.size(done["lines"]) + 1)).alias("of")))
+
+    of = F.aggregate("spans", none, step, lambda done: done["of"])
+    lined = pages.select(*key, "page", F.explode(F.arrays_zip("spans", of.alias("of"))).alias("z")).select(*key, "page", "z.spans.y0", "z.spans.y1", F.col("z.of").alias("line"))
+    return seen.join(lined, [*key, "page", "y0", "y1"])
+
+
+def words_from_boxes(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Words (key, page, line, word_no, x0, y0, x1, y1, word, font, size) of single characters with boxes and fonts.
+
+    A line is read by x. A word ends where the gap, cut to whole units, is more than the line's commonest gap
+    (of equally common ones the first), or where the font or its size changes.
+    """
+    lined = character_lines(chars, key)
+    line = [*key, "page", "line"]
+    along = Window.partitionBy(*line).orderBy("x0", "y0", "x1", "y1", "seq")
+    gap = F.col("x0") - F.lag("x1").over(along)
+    lined = lined.withColumns({"_gap": gap, "_place": F.row_number().over(along), "_other": ~F.struct("font", "size").eqNullSafe(F.lag(F.struct("font", "size")).over(along))})
+    gaps = lined.filter("_gap IS NOT NULL").groupBy(*line, F.greatest("_gap", F.lit(0.0)).alias("_common")).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    modes = gaps.groupBy(*line).agg(F.max_by("_common", F.struct("_n", -F.col("_first"))).alias("_mode"))
+    ends = (F.floor("_gap") > F.col("_mode")) | F.col("_other")
+    numbered = lined.join(modes, line, "left").withColumn("_new", F.coalesce((F.col("_place") > 1) & ends, F.lit(False)).cast("int"))
+    numbered = numbered.withColumn("word_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "char"))), lambda c: c["char"]), "")
+    return numbered.groupBy(*line, "word_no").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("word"), F.min_by("font", "_place").alias("font"), F.min_by("size", "_place").alias("size"),
+    )
+
+
+def laid_out(words: DataFrame, key: list[str] = KEY, top: float = 20.0, between: float = 1.0) -> DataFrame:
+    """``words`` (with line) with the lines of each page laid below each other, ``between`` apart from ``top`` on; words take their line's height."""
+    line = [*key, "page", "line"]
+    lines = words.groupBy(*line).agg(F.min("y0").alias("_y0"), F.max("y1").alias("_y1"))
+    down = Window.partitionBy(*key, "page").orderBy("_y0", "_y1", "line")
+    end = F.lit(top) + F.sum(F.col("_y1") - F.col("_y0") + between).over(down.rowsBetween(Window.unboundedPreceding, 0)) - between
+    placed = lines.select(*line, F.round(end - (F.col("_y1") - F.col("_y0")), 3).alias("y0"), F.round(end, 3).alias("y1"))
+    return words.drop("y0", "y1").join(placed, line)
+
+
+def margin_fit(words: DataFrame, found: DataFrame, expected: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """name, x_margin, y_margin and n: the least whole margins with which each region holds its expected texts, of ``n`` documents.
+
+    ``expected`` has key, name and text, ``found`` the regions. A text counts if it stands on its region's page at one
+    place only. Every text is one row with its four overhangs, so that all margins are one aggregate.
+    """
+    pages = words.groupBy(*key, "page").agg(F.array_sort(F.collect_list(F.struct("n", "word", "x0", "y0", "x1", "y1"))).alias("_words"))
+    asked = expected.withColumn("_text", F.filter(F.split("text", " +"), lambda w: w != "")).filter(F.size("_text") > 0)
+    both = asked.join(found, [*key, "name"]).join(pages, [*key, "page"])
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - F.size("_text") + 1, F.lit(1)))
+    there = lambda i: F.forall(F.sequence(F.lit(0), F.size("_text") - 1), lambda j: F.coalesce(F.try_element_at("_words", i + j)["word"].contains(F.try_element_at("_text", j + 1)), F.lit(False)))
+    hits = both.withColumn("_hits", F.filter(starts, there)).filter(F.size("_hits") == 1)
+    place = hits.withColumn("_box", F.slice("_words", F.element_at("_hits", 1), F.size("_text")))
+    first, last = F.element_at("_box", 1), F.element_at("_box", -1)
+    over = lambda *sides: F.ceil(F.greatest(F.lit(0.0), *sides)).cast("long")
+    x = over(F.col("min_x") - first["x0"], last["x1"] - F.col("max_x"))
+    y = over(F.col("min_y") - F.least(first["y0"], last["y0"]), F.greatest(first["y1"], last["y1"]) - F.col("max_y"))
+    return place.groupBy("name").agg(F.max(x).alias("x_margin"), F.max(y).alias("y_margin"), F.count("*").alias("n"))

@@ -23,7 +23,7 @@ from rosterloom.errors import UNDEFINED, attempted
 from rosterloom.errors import trapped as trapped_value
 from rosterloom.errors import message as envelope
 from rosterloom.functions import clean, dates, hours, text, validate
-from rosterloom.operators import documents, keys, reshape, rows, templates, update
+from rosterloom.operators import documents, forms, keys, reshape, rows, templates, update
 from rosterloom.plans import trees
 
 ROW_RULES: dict[str, Callable[..., Column]] = {}
@@ -157,6 +157,16 @@ def keep_first_where(frame: DataFrame, key: list[str], order: list[str], wheres:
     return ranked.filter("_rank = _best").drop("_rank", "_best")
 
 
+@frame_rule("keep_or_default")
+def keep_or_default(frame: DataFrame, key: list[str], order: list[str], where: dict, top_row: bool = False) -> DataFrame:
+    """The rows of each key that meet ``where``, or only the first of them; a key without one has one row of blanks (null in columns that aren't text)."""
+    met = frame.withColumn("_met", predicate(frame, where))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_met"), *order))
+    kept = met.withColumn("_place", place).filter((F.col("_place") == 1) | (F.col("_met") & F.lit(not top_row)))
+    blanks = {f.name: F.lit("") if f.dataType.simpleString() == "string" else F.lit(None).cast(f.dataType) for f in frame.schema if f.name not in key}
+    return kept.withColumns({c: F.when(F.col("_met"), F.col(f"`{c}`")).otherwise(b) for c, b in blanks.items()}).drop("_met", "_place")
+
+
 @frame_rule("blank_columns")
 def blank_columns(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns({c: F.lit("") for c in columns})
@@ -197,6 +207,7 @@ FRAME_RULES |= {
     "common.contact_rows": rows.contact_rows, "common.nested_maps": rows.nested_maps, "common.occurrence": rows.occurrence, "common.renumbered_sets": rows.renumbered_sets,
     "common.text_lines": documents.text_lines, "common.table_columns": documents.table_columns, "common.region_text": documents.region_text,
     "common.records_by_gap": documents.records_by_gap, "common.records_by_change": documents.records_by_change, "common.merge_delimited": documents.merge_delimited,
+    "common.words_from_boxes": forms.words_from_boxes, "common.table_cells": forms.table_cells, "common.laid_out": forms.laid_out,
 }
 
 

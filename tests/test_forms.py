@@ -240,3 +240,84 @@ def test_empty_tables(words):
     assert forms.loop_blocks(none, Delimiters(("a",)), ["doc_id"]).count() == 0
     assert forms.group_boxes(none, LABELS, GroupBox(dict.fromkeys(forms.SIDES, "top_right"))).count() == 0
     assert forms.table_cells(none, ["doc_id"], 5.0).count() == 0
+
+
+def characters(rng, doc):
+    """Lines of characters at odd heights, in no order across lines, with two fonts."""
+    rows, seq = [], 0
+    for page in (1, 2):
+        boxes = []
+        for line in range(rng.randint(1, 6)):
+            x, size = 10.0, rng.choice([8, 9])
+            for _ in range(rng.randint(1, 25)):
+                y = line * rng.choice([11.0, 11.0, 7.0]) + rng.choice([0.0, 0.0, 1.0, 3.0])
+                boxes.append((x, y, x + 5.0, y + size, rng.choice("abc "), rng.choice("rrrrb"), size))
+                x += 5.0 + rng.choice([0.0, 0.0, 0.0, 0.5, 2.0, 7.0])
+        rng.shuffle(boxes)
+        for b in boxes:
+            rows.append((doc, page, seq, *b))
+            seq += 1
+    return rows
+
+
+def brute_words(chars):
+    def overlap(a, b):
+        shared = min(a[1], b[1]) - max(a[0], b[0])
+        return (a[0] <= b[0] and b[1] <= a[1]) or (b[0] <= a[0] and a[1] <= b[1]) or (shared >= 0 and shared > 0.5 * min(a[1] - a[0], b[1] - b[0]))
+
+    lines, held = [], {}
+    for seq, x0, y0, x1, y1, char, font, size in sorted(chars):
+        if not char.strip():
+            continue
+        at = next((i for i, s in enumerate(lines) if overlap((y0, y1), s)), None)
+        if at is None:
+            at = len(lines)
+            lines.append((y0, y1))
+        held.setdefault(at + 1, []).append((x0, y0, x1, y1, seq, char, font, size))
+    out = []
+    for line, own in held.items():
+        own.sort()
+        gaps = [max(0.0, b[0] - a[2]) for a, b in zip(own, own[1:])]
+        mode = max(gaps, key=lambda g: (gaps.count(g), -gaps.index(g)), default=0)
+        words = [[own[0]]]
+        for a, b in zip(own, own[1:]):
+            if (b[0] - a[2]) // 1 > mode or a[6:] != b[6:]:
+                words.append([])
+            words[-1].append(b)
+        for n, w in enumerate(words):
+            out.append((line, n, min(c[0] for c in w), min(c[1] for c in w), max(c[2] for c in w), max(c[3] for c in w), "".join(c[5] for c in w), *w[0][6:]))
+    return sorted(out)
+
+
+def test_words_from_boxes(spark):
+    rng = random.Random(12)
+    rows = [r for doc in range(25) for r in characters(rng, doc)]
+    chars = spark.createDataFrame(rows, "doc_id long, page int, seq int, x0 double, y0 double, x1 double, y1 double, char string, font string, size int").repartition(3)
+    words = forms.words_from_boxes(chars)
+    got = {}
+    for r in words.collect():
+        got.setdefault((r.doc_id, r.page), []).append((r.line, r.word_no, r.x0, r.y0, r.x1, r.y1, r.word, r.font, r["size"]))
+    want = {(doc, page): w for doc in range(25) for page in (1, 2) if (w := brute_words([r[2:] for r in rows if r[:2] == (doc, page)]))}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    laid = {}
+    for r in forms.laid_out(words).collect():
+        laid.setdefault((r.doc_id, r.page), {})[r.line] = (r.y0, r.y1)
+    for key, found in want.items():
+        spans = {line: (min(w[3] for w in found if w[0] == line), max(w[5] for w in found if w[0] == line)) for line in {w[0] for w in found}}
+        end = 19.0
+        for line in sorted(spans, key=lambda k: (*spans[k], k)):
+            y0, end = end + 1, end + 1 + spans[line][1] - spans[line][0]
+            assert laid[key][line] == pytest.approx((y0, end), abs=2e-3)
+
+
+def test_margin_fit(spark, words, rows):
+    """The least whole margins with which the expected texts are in their regions; smaller ones lose a text."""
+    first = {(doc, "one"): pages_of(rows, doc)[1][1:3] for doc in range(40)}
+    found = spark.createDataFrame([(doc, 1, "one", ws[0][0] + doc % 4 + 0.5, ws[0][1] + 0.2, ws[1][2] - doc % 3, ws[0][3] + 5.0) for (doc, _), ws in first.items()], "doc_id long, page int, name string, min_x double, min_y double, max_x double, max_y double")
+    expected = spark.createDataFrame([(doc, "one", f"{ws[0][4]} {ws[1][4]}") for (doc, _), ws in first.items()], "doc_id long, name string, text string")
+    fit = forms.margin_fit(words, found, expected).collect()
+    once = [doc for (doc, _), ws in first.items() if len(places({1: pages_of(rows, doc)[1]}, f"{ws[0][4]} {ws[1][4]}")) == 1]
+    box = {r.doc_id: r for r in found.collect()}
+    over = lambda doc: max(box[doc].min_x - first[doc, "one"][0][0], first[doc, "one"][1][2] - box[doc].max_x)
+    tall = lambda doc: max(box[doc].min_y - min(w[1] for w in first[doc, "one"]), max(w[3] for w in first[doc, "one"]) - box[doc].max_y)
+    assert [tuple(r) for r in fit] == [("one", max(int(-(-over(d) // 1)) for d in once), max(max(0, int(-(-tall(d) // 1))) for d in once), len(once))] and len(once) > 15
