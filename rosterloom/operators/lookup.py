@@ -26,9 +26,9 @@ def variants(word: Column, edits: int) -> Column:
 
 
 def lookup_exact(frame: DataFrame, column: str, grid: DataFrame, grid_column: str) -> DataFrame:
-    """The grid row with the same words in the same order: an equi-join on normalised text, the first row of equals."""
+    """The grid row with the same words in the same order: an equi-join on normalised text, the first row of equals. A text without words has none."""
     first = Window.partitionBy("_normal").orderBy("grid_no")
-    small = grid.withColumn("_normal", normal(F.col(grid_column))).withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
+    small = grid.withColumn("_normal", normal(F.col(grid_column))).filter("_normal != ''").withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
     return frame.withColumn("_normal", normal(F.col(column))).join(small, "_normal", "left").drop("_normal")
 
 
@@ -40,19 +40,35 @@ def stem(word: Column) -> Column:
     return out
 
 
+def _rarest_keys(asked: DataFrame, grid_keys: DataFrame, edits: int, least: float) -> DataFrame:
+    """_asked and _key: the variants of so many of a text's words, by the grid rows they would meet, that a match has one of them."""
+    words_ = asked.select("_asked", F.size("_q").alias("_n"), F.posexplode("_q").alias("_place", "_word"))
+    variants_ = words_.select("_asked", "_n", "_place", F.explode(variants(F.col("_word"), edits)).alias("_key"))
+    # A short grid has many variants, which Spark's estimate of its size doesn't know: no side is broadcast.
+    counted = variants_.join(grid_keys.groupBy("_key").agg(F.count("*").alias("_rows")).hint("merge"), "_key", "left")
+    weighed = counted.groupBy("_asked", "_n", "_place").agg(F.sum(F.coalesce("_rows", F.lit(0))).alias("_rows"), F.collect_list("_key").alias("_keys"))
+    needed = F.greatest(F.ceil(F.col("_n") * least - 1e-9), F.lit(1))
+    rarest = F.row_number().over(Window.partitionBy("_asked").orderBy("_rows", "_place")) <= F.col("_n") - needed + 1
+    return weighed.withColumn("_kept", rarest).filter("_kept").select("_asked", F.explode("_keys").alias("_key")).distinct()
+
+
 def scored_pairs(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
     """_asked, grid_no, score and edits of all pairs of ``asked`` (_asked, _text) and grid rows with a word in common, within ``edits``.
 
     ``every`` word must be found, or a share of ``least`` (else any); ``restrict`` also wants as many words. The score
     is how many words are found, and one more than their number if the grid row has as many
-    words. Candidates share a variant of a word, by an equi-join at any size.
+    words. Candidates share a variant of a word, by an equi-join at any size. Where more than one
+    word must be found, a text asks only by its rarest words, of which one must be among those: a
+    word that all texts and grid rows have brings no candidates then.
     """
     cut = lambda c: F.transform(words(c), stem) if stemmed else words(c)
     asked = asked.withColumn("_q", cut(F.col("_text"))).filter(F.size("_q") > 0)
     held = grid.select("grid_no", cut(F.col(grid_column)).alias("_g")).filter(F.size("_g") > 0)
     near = lambda q, g: F.levenshtein(q, g) <= edits
     keys = lambda found: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: variants(w, edits))))).alias("_key")
-    shared = asked.select("_asked", keys("_q")).join(held.select("grid_no", keys("_g")), "_key").select("_asked", "grid_no").distinct()
+    grid_keys = held.select("grid_no", keys("_g"))
+    asked_keys = _rarest_keys(asked, grid_keys, edits, 1.0 if every else least) if every or least else asked.select("_asked", keys("_q"))
+    shared = asked_keys.join(grid_keys, "_key").select("_asked", "grid_no").distinct()
     pairs = shared.join(asked, "_asked").join(held, "grid_no").filter(F.exists("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
     size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
     pairs = pairs.withColumn("_hit", hit).withColumn("score", F.col("_hit") * 1.0 + F.when(F.size("_g") == size, size + 1).otherwise(0))

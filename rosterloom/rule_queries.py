@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from rosterloom.operators import keys, lookup, rows, templates, update
 from rosterloom.plans import program
 from rosterloom.queries import GRID, GRID_SQL, grid, query, table
 from rosterloom.schema import ColumnRef, assign_headers, drift_rows, match_formats
-from rosterloom.sources import config, tables
+from rosterloom.sources import config, spreadsheet, tables
 from rosterloom.streaming import ingest
 
 # Programs
@@ -102,6 +103,37 @@ def q_header_assignment(spark, sf_dir):
     return assign_headers(files, _FIELDS, _TAKEN)
 
 
+_FILTERED = [{"layer": "filter", "type": "DF", "steps": [
+    {"frame": "orders", "rule": "keep_or_default", "output": "all", "arguments": {"key": ["o_custkey"], "order": ["o_orderkey"], "where": {"all": [{"col": "o_orderstatus", "equals": "P"}, {"col": "o_orderpriority", "in": ["1-URGENT", "2-HIGH"]}]}}},
+    {"frame": "orders", "rule": "keep_or_default", "output": "top", "arguments": {"key": ["o_custkey"], "order": ["o_orderkey"], "where": {"col": "o_orderstatus", "equals": "O"}, "top_row": True}},
+]}]
+
+
+@query("""
+WITH k AS (SELECT DISTINCT o_custkey FROM orders), a AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')),
+t AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)
+SELECT 'all' AS step, o_custkey, o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority FROM k LEFT JOIN a USING (o_custkey)
+UNION ALL SELECT 'top', o_custkey, o_orderkey, coalesce(o_orderstatus, ''), coalesce(o_orderpriority, '') FROM k LEFT JOIN t USING (o_custkey)""")
+def q_keep_or_default(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    found = program.run_program(_FILTERED, {"orders": orders})
+    return found["all"].withColumn("step", F.lit("all")).unionByName(found["top"].withColumn("step", F.lit("top")))
+
+
+_ASKED = "SELECT o_custkey AS k, 'custmer ' || lpad(o_custkey::VARCHAR, 9, '0') AS v FROM orders"
+
+
+@query(f"""
+WITH q AS (SELECT DISTINCT * FROM ({_ASKED})), g AS (SELECT c_custkey AS grid_no, lpad(c_custkey::VARCHAR, 9, '0') AS c FROM customer),
+w AS (SELECT k, grid_no, row_number() OVER (PARTITION BY k ORDER BY levenshtein(v, 'customer ' || c), grid_no) AS r FROM q JOIN g ON levenshtein(substr(v, 9), c) <= 1)
+SELECT o_orderkey, grid_no FROM orders LEFT JOIN w ON k = o_custkey AND r = 1""")
+def q_lookup_hot(spark, sf_dir):
+    """One word is in every text and every grid row; the other one finds the candidates."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("custmer "), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("v"))
+    held = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("grid_no"), F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("c"))
+    return lookup.lookup_fuzzy(asked, "v", held, "c", 1, every=True).select("o_orderkey", "grid_no")
+
+
 _TABLE_STEPS = [{"outTemplate": "both", "name": "move_common", "type": "interTmplt", "input": {"cols": {"open": {"intersection": ["o_custkey"], "deleteFlag": True}, "done": {"intersection": ["o_custkey"], "deleteFlag": True}}}}]
 
 
@@ -447,6 +479,16 @@ def q_delimited_round_trip(spark, sf_dir):
     return tables.read_delimited(spark, f"{folder}/nation").select("n_nationkey", "note")
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment AS segment FROM customer")
+def q_workbook_round_trip(spark, sf_dir):
+    folder = ingest.work_folder(spark)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("C_Name"), F.col("c_acctbal").cast("string").alias("c_acctbal"), "c_mktsegment", F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("book"))
+    spreadsheet.write_workbooks(customers, f"{folder}/books", file="book", tab="c_mktsegment", order=["c_custkey"])
+    cells = spreadsheet.store_cells(spark, f"{folder}/books", f"{folder}/cells")
+    tabs = [r.tab for r in cells.select("tab").distinct().orderBy("tab").limit(16).collect()]
+    return reduce(lambda a, b: a.unionByName(b), (spreadsheet.tab_frame(cells, t).select("c_custkey", "c_name", "c_acctbal", F.lit(t).alias("segment")) for t in tabs))
+
+
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","none":null}' AS record FROM nation""")
 def q_json_records(spark, sf_dir):
     return tables.as_records(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")))

@@ -344,3 +344,27 @@ def test_header_assignment_is_sequential(spark):
             want.append((f, place, header, best[1], None if best[0] is None else -best[0]))
     got = schema.assign_headers(spark.createDataFrame(files, "file long, place int, header string").repartition(4), aliases, counts).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and sum(w[3] is not None for w in want) > 150
+
+
+def test_texts_without_words_are_not_found(spark):
+    grid = spark.createDataFrame([(1, "--"), (2, "one"), (3, None)], "grid_no int, name string")
+    asked = spark.createDataFrame([("?!",), ("ONE",), ("",), (None,)], "v string")
+    for found in (lookup.lookup_exact(asked, "v", grid, "name"), lookup.lookup_fuzzy(asked, "v", grid, "name", every=True), lookup.lookup_ladder(asked, "v", grid, "name")):
+        assert {r.v: r.grid_no for r in found.collect()} == {"?!": None, "ONE": 2, "": None, None: None}
+
+
+@pytest.mark.parametrize(("every", "least", "edits"), [(True, 0.0, 1), (False, 0.6, 1), (False, 0.5, 0), (True, 0.0, 2)])
+def test_rarest_words_find_all_matches(spark, every, least, edits):
+    """The pairs of texts that ask by their rarest words, against all pairs."""
+    import random
+
+    rng = random.Random(11)
+    terms = ["hot", "hott", "clinic", "clinik", "red", "read", "bed", "blue", "glue", "north", "a", "an"]
+    make = lambda: " ".join(["hot", *(rng.choice(terms) for _ in range(rng.randint(0, 4)))])
+    asked = spark.createDataFrame([(str(i), make()) for i in range(60)], "_asked string, _text string")
+    grid = spark.createDataFrame([(i, make()) for i in range(80)], "grid_no int, name string")
+    got = {(r._asked, r.grid_no) for r in lookup.scored_pairs(asked, grid, "name", edits, every=every, least=least).collect()}
+    pairs = asked.crossJoin(grid).withColumn("q", lookup.words(F.col("_text"))).withColumn("g", lookup.words(F.col("name")))
+    hit = F.size(F.filter("q", lambda q: F.exists("g", lambda g: F.levenshtein(q, g) <= edits)))
+    want = {(r._asked, r.grid_no) for r in pairs.filter(hit >= F.greatest(F.size("q") * (1.0 if every else least), F.lit(1))).collect()}
+    assert got == want and len(want) > 20
