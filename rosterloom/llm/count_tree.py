@@ -34,7 +34,7 @@ PAGE, FAN = 512, 16
 #: Rounds in which nodes that share too little go.
 PRUNE = 2
 #: One in so many shingles is looked at beyond those that must include a common one, so that more have to be common.
-EXTRA = 20
+EXTRA = 10
 #: Pairs of a point and a box that are bounded at once, and pairs of pages that are unpacked at once.
 CHUNK, PAIRS = 1 << 13, 64
 _MOST = np.iinfo(np.uint8).max
