@@ -1,4 +1,4 @@
-"""Cleaning rules on free text: indicators, codes, address parts and packed records."""
+"""Cleaning rules on free text: indicators, codes and packed records."""
 
 from __future__ import annotations
 
@@ -8,12 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterloom.errors import message
-from rosterloom.functions.text import blank, let
-
-#: Words that end a street name, directions, and words before a unit.
-STREETS = ["street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "drive", "dr", "lane", "ln", "court", "ct", "parkway", "pkwy", "highway", "hwy", "place", "pl", "way", "circle", "cir", "terrace", "ter", "square", "sq"]
-DIRECTIONS = ["north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest", "n", "s", "e", "w", "ne", "nw", "se", "sw"]
-UNITS = ["suite", "ste", "unit", "apt", "apartment", "floor", "fl", "room", "rm", "building", "bldg", "dept", "#"]
+from rosterloom.functions.text import blank
 
 
 def regex_value(value: Column, patterns: dict[str, str]) -> Column:
@@ -53,47 +48,6 @@ def group_mandatory(value: Column, flag: Column, text: str = "Mandatory field Mi
     return F.when(~blank(flag) & blank(value), message("C", text)).otherwise(value)
 
 
-_ENDING = r",?\s*([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)$"
-
-
-def _either(words) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-
-
-def address_parts(value: Column) -> Column:
-    """number, direction, street, type, unit, city, state and zip of an address line, by rules; blank where absent."""
-    get = lambda text, pattern, i=1: F.trim(F.regexp_extract(text, pattern, i))
-    unit = rf"(?i),?\s+((?:{_either(w for w in UNITS if w != '#')})\s+[^\s,]+|#\s*[^\s,]+)"
-    either, kinds = _either(DIRECTIONS), _either(STREETS)
-
-    def of_line(line):
-        return let(F.regexp_replace(line, _ENDING, ""), lambda rest: let(get(rest, r"^([^,]*)"), lambda first: of_first(line, rest, first)))
-
-    def of_first(line, rest, first):
-        return let(F.regexp_replace(first, unit + r".*$", ""), lambda street: of_street(line, rest, first, street))
-
-    def of_street(line, rest, first, street):
-        named = F.trim(F.regexp_replace(street, r"^\d+[A-Za-z]?(?:-\d+)?\s+", ""))
-        return let(named, lambda name: let(get(name, rf"(?i)^({either})\s+\S"), lambda direction: of_name(line, rest, first, street, name, direction)))
-
-    def of_name(line, rest, first, street, name, direction):
-        without = F.when(direction != "", F.trim(F.regexp_replace(name, rf"(?i)^(?:{either})\s+", ""))).otherwise(name)
-        split = lambda n: F.struct(get(n, rf"(?i)\s({kinds})$").alias("type"), F.trim(F.regexp_replace(n, rf"(?i)\s(?:{kinds})$", "")).alias("street"))
-        box = F.regexp_extract(first, r"(?i)^(p\s*o\s*box|post office box)\s+(\S+)", 2)
-        return let(let(without, split), lambda own: let(box, lambda b: parts(line, rest, first, street, direction, own, b)))
-
-    def parts(line, rest, first, street, direction, own, box):
-        city = F.trim(F.regexp_replace(F.regexp_replace(F.substring(rest, F.length(first) + 1, F.lit(1 << 20)), unit, ""), "^[, ]+|[, ]+$", ""))
-        on_street = lambda c: F.when(box != "", F.lit("")).otherwise(c)
-        return F.struct(
-            on_street(get(street, r"^(\d+[A-Za-z]?(?:-\d+)?)\b")).alias("number"), on_street(direction).alias("direction"), on_street(own["street"]).alias("street"), on_street(own["type"]).alias("type"),
-            on_street(get(rest, unit)).alias("unit"), box.alias("box"), city.alias("city"), F.upper(get(line, _ENDING)).alias("state"), get(line, _ENDING, 2).alias("zip"),
-        )
-
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), r"[.]", ""), r"\s+", " "))
-    return let(bare, of_line)
-
-
 def packed_names(value: Column) -> Column:
     """last, first and middle of a packed list of names, ``[{"last": ..., "first": ..., "middle": ...}, ...]``: an array, empty if it can't be read."""
     kind = "array<struct<last:string,first:string,middle:string>>"

@@ -168,3 +168,8 @@ def match_percent(left: Column, right: Column) -> Column:
     """100 less the edit distance in percent of the longer text."""
     longer = F.greatest(F.length(left), F.length(right), F.lit(1))
     return F.round(100.0 * (longer - F.levenshtein(left, right)) / longer, 4)
+
+
+def joined_words(*values: Column) -> Column:
+    """The values that aren't null or blank, with a blank between them."""
+    return F.concat_ws(" ", *(F.when(~blank(v), v) for v in values))

@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from rosterloom.errors import UNDEFINED, attempted
 from rosterloom.errors import trapped as trapped_value
 from rosterloom.errors import message as envelope
-from rosterloom.functions import clean, dates, hours, text, validate
+from rosterloom.functions import clean, dates, hours, tagging, text, validate
 from rosterloom.operators import documents, forms, keys, reshape, rows, templates, update
 from rosterloom.plans import trees
 
@@ -66,7 +66,7 @@ for _name, _rule in {
     "fewer_digits": validate.fewer_digits, "numeric": validate.numeric, "alphanumeric": validate.alphanumeric, "mandatory": validate.mandatory,
     "correlated": validate.correlated, "edit_check": validate.edit_check, "name_parts": text.name_parts, "age_limits": text.age_limits,
     "working_hours": hours.working_hours, "regex_value": clean.regex_value, "taxonomy_code": clean.taxonomy_code, "indicator": clean.indicator,
-    "primary_secondary": clean.primary_secondary, "group_mandatory": clean.group_mandatory, "address_parts": clean.address_parts, "packed_names": clean.packed_names,
+    "primary_secondary": clean.primary_secondary, "group_mandatory": clean.group_mandatory, "address_parts": tagging.address_parts, "parsed_address": tagging.parsed_address, "packed_names": clean.packed_names,
 }.items():
     ROW_RULES[f"common.{_name}"] = _rule
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from rosterloom.errors import is_message, parts
-from rosterloom.functions import clean, hours, text
+from rosterloom.functions import clean, hours, tagging, text
 from rosterloom.operators import keys, lookup, rows, templates, update
 from rosterloom.plans import program
 from rosterloom.queries import GRID, GRID_SQL, grid, query, table
@@ -417,8 +417,46 @@ def q_address_parts(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     line = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("P.O. Box "), key, F.lit(", Salem, or 97301"))).when(F.col("c_custkey") % 4 == 1, F.concat(key, F.lit(" North  Oak Hill St., New Town, IL 62704")))
     line = line.when(F.col("c_custkey") % 4 == 2, F.concat(key, F.lit(" Elm Avenue Suite 12B, Springfield OH 43215-1234"))).otherwise(F.concat(key, F.lit(" Elm, # 7")))
-    rows_ = table(spark, sf_dir, "customer").select("c_custkey", clean.address_parts(line).alias("a"), program.po_box(line).alias("po_box"))
-    return rows_.select("c_custkey", "a.*", "po_box")
+    rows_ = table(spark, sf_dir, "customer").select("c_custkey", tagging.address_parts(line).alias("a"), program.po_box(line).alias("po_box"))
+    return rows_.select("c_custkey", "a.*", "po_box").drop("recipient", "post_direction")
+
+
+# The pieces of address lines, dealt out by key: 3 x 4 x 4 x 3 x 4 x 4 forms (a number, direction, type and so on of each kind, with and without commas)
+_PIECES = {
+    "number": ["12", "4501B", "20010"], "direction": ["", "North", "SW", "E"], "type": ["Street", "Ave", "Blvd", "Ln"], "post_direction": ["", "NE", "South"],
+    "unit": ["", "Suite 12B", "# 7", "Apt 210"], "city": ["Salem", "New Town", "St Paul", "Springfield"],
+}
+_STATES, _TITLED = ["OR", "il", "Ohio", "IN"], "upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))"
+
+
+def _dealt_sql() -> str:
+    by, out = 1, []
+    for name, values in _PIECES.items():
+        out.append("CASE c_custkey // %d %% %d %s END AS %s" % (by, len(values), " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)), name))
+        by *= len(values)
+    return ", ".join(out)
+
+
+@query(f"""
+WITH dealt AS (SELECT c_custkey, {_dealt_sql()}, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Building' ELSE {_TITLED} END AS street FROM customer)
+SELECT c_custkey, number, direction, street || ' Oak' AS street, type, post_direction, unit, city, CASE c_custkey % 4 {" ".join(f"WHEN {i} THEN '{v.upper()}'" for i, v in enumerate(_STATES))} END AS state,
+  (10000 + c_custkey % 80000)::VARCHAR AS zip, number || CASE WHEN direction = '' THEN '' ELSE ' ' || direction END || ' ' || street || ' Oak ' || type || CASE WHEN post_direction = '' THEN '' ELSE ' ' || post_direction END || ';' || unit || ';' || city || ';'
+    || CASE c_custkey % 4 {" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_STATES))} END || ';' || (10000 + c_custkey % 80000)::VARCHAR AS cleansed FROM dealt""")
+def q_address_tags(spark, sf_dir):
+    """Lines of 2,304 forms, tagged by the sequence model; and the same from fields that hold each other's words."""
+    by, dealt = 1, {}
+    for name, values in _PIECES.items():
+        dealt[name] = F.get(F.array(*map(F.lit, values)), (F.floor(F.col("c_custkey") / by) % len(values)).cast("int"))
+        by *= len(values)
+    street = F.concat(F.initcap("c_mktsegment"), F.lit(" Oak"))
+    front = text.joined_words(dealt["number"], dealt["direction"], street, dealt["type"], dealt["post_direction"])
+    state = F.get(F.array(*map(F.lit, _STATES)), (F.col("c_custkey") % 4).cast("int"))
+    zip_code = (F.col("c_custkey") % 80_000 + 10_000).cast("string")
+    comma = F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(", ")
+    line = F.concat(front, F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(","), dealt["unit"], comma, dealt["city"], F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(" , "), state, F.lit(" "), zip_code)
+    none = F.lit(None).cast("string")
+    cleansed = tagging.parsed_address(text.joined_words(front, dealt["unit"]), none, text.joined_words(dealt["city"], state), none, zip_code)
+    return table(spark, sf_dir, "customer").select("c_custkey", tagging.address_parts(line).alias("a"), cleansed.alias("cleansed")).select("c_custkey", *(f"a.{n}" for n in [*_PIECES, "street", "state", "zip"]), "cleansed")
 
 
 @query("""

@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rosterloom.functions import clean, dates, hours
+from rosterloom.functions import dates, hours, tagging
 
 #: Regex nodes that the patterns of each rule need, once each.
-MOST = {"parse_date": (dates.parse_date, 45), "birth_date": (lambda v: dates.birth_date(v, F.lit("2020-01-01").cast("date")), 30), "working_hours": (hours.working_hours, 15), "address_parts": (clean.address_parts, 40)}
+MOST = {"parse_date": (dates.parse_date, 45), "birth_date": (lambda v: dates.birth_date(v, F.lit("2020-01-01").cast("date")), 30), "working_hours": (hours.working_hours, 15), "address_parts": (tagging.address_parts, 40)}
 
 
 @pytest.mark.parametrize("name", MOST)
