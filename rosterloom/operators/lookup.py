@@ -52,51 +52,90 @@ def _rarest_keys(asked: DataFrame, grid_keys: DataFrame, edits: int, least: floa
     return weighed.withColumn("_kept", rarest).filter("_kept").select("_asked", F.explode("_keys").alias("_key")).distinct()
 
 
-def scored_pairs(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
-    """_asked, grid_no, score and edits of all pairs of ``asked`` (_asked, _text) and grid rows with a word in common, within ``edits``.
+#: So many words that a grid and the asked texts may have in common are named in the plan; more are joined.
+NAMED = 1000
 
-    ``every`` word must be found, or a share of ``least`` (else any); ``restrict`` also wants as many words. The score
-    is how many words are found, and one more than their number if the grid row has as many
-    words. Candidates share a variant of a word, by an equi-join at any size. Where more than one
-    word must be found, a text asks only by its rarest words, of which one must be among those: a
-    word that all texts and grid rows have brings no candidates then.
+
+def _seen_words(asked: DataFrame, held: DataFrame, edits: int) -> DataFrame:
+    """``held`` (grid_no, _g) with _seen and _size: the words of a grid row that share a variant with an asked word, and how many it has; rows without such a word go.
+
+    Rows that look alike to all asked texts are alike in both, so that they are scored once.
     """
+    cut = lambda frame, column: frame.select(F.explode(column).alias("_word")).distinct().select("_word", F.explode(variants(F.col("_word"), edits)).alias("_key"))
+    known = cut(held, "_g").join(cut(asked, "_q").select("_key").distinct().hint("merge"), "_key", "left_semi").select("_word").distinct()
+    few = [r["_word"] for r in known.limit(NAMED + 1).collect()]
+    if len(few) <= NAMED:
+        seen = held.withColumn("_seen", F.array_sort(F.array_distinct(F.filter("_g", lambda w: w.isin(few))))).filter(F.size("_seen") > 0)
+    else:
+        rows = held.select("grid_no", "_g", F.explode(F.array_distinct("_g")).alias("_word")).join(known.hint("merge"), "_word")
+        seen = rows.groupBy("grid_no", "_g").agg(F.array_sort(F.collect_set("_word")).alias("_seen"))
+    return seen.withColumn("_size", F.size("_g"))
+
+
+def _scored(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int, every: bool, restrict: bool, least: float, stemmed: bool) -> tuple[DataFrame, DataFrame]:
+    """Scores of asked texts with what they see of grid rows (_asked, _q, _seen, _size, score), and the grid rows behind that (grid_no, _g, _seen, _size)."""
     cut = lambda c: F.transform(words(c), stem) if stemmed else words(c)
     asked = asked.withColumn("_q", cut(F.col("_text"))).filter(F.size("_q") > 0)
     held = grid.select("grid_no", cut(F.col(grid_column)).alias("_g")).filter(F.size("_g") > 0)
     near = lambda q, g: F.levenshtein(q, g) <= edits
     keys = lambda found: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: variants(w, edits))))).alias("_key")
-    grid_keys = held.select("grid_no", keys("_g"))
+    # Spark's estimates don't know how many words and variants a short table has: none of these is broadcast.
+    seen = _seen_words(asked, held, edits)
+    grid_keys = seen.select("_seen", "_size").distinct().select("_seen", "_size", keys("_seen"))
     asked_keys = _rarest_keys(asked, grid_keys, edits, 1.0 if every else least) if every or least else asked.select("_asked", keys("_q"))
-    shared = asked_keys.join(grid_keys, "_key").select("_asked", "grid_no").distinct()
-    pairs = shared.join(asked, "_asked").join(held, "grid_no").filter(F.exists("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
-    size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_g", lambda g: near(q, g))))
-    pairs = pairs.withColumn("_hit", hit).withColumn("score", F.col("_hit") * 1.0 + F.when(F.size("_g") == size, size + 1).otherwise(0))
+    shared = asked_keys.join(grid_keys.hint("merge"), "_key").select("_asked", "_seen", "_size").distinct()
+    pairs = shared.join(asked.select("_asked", "_q").hint("merge"), "_asked")
+    size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_seen", lambda g: near(q, g))))
+    pairs = pairs.withColumn("_hit", hit).filter("_hit > 0").withColumn("score", F.col("_hit") * 1.0 + F.when(F.col("_size") == size, size + 1).otherwise(0))
     if every or least:
         pairs = pairs.filter(F.col("_hit") >= size * (1.0 if every else least))
     if restrict:
-        pairs = pairs.filter(F.size("_g") == size)
+        pairs = pairs.filter(F.col("_size") == size)
+    return pairs.select("_asked", "_q", "_seen", "_size", "score"), seen
+
+
+def _with_rows(scores: DataFrame, seen: DataFrame) -> DataFrame:
+    """_asked, grid_no, score and edits of ``scores`` with each grid row behind them."""
+    pairs = scores.join(seen.hint("merge"), ["_seen", "_size"])
     return pairs.select("_asked", "grid_no", "score", F.levenshtein(F.array_join("_q", " "), F.array_join("_g", " ")).alias("edits"))
 
 
+def scored_pairs(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
+    """_asked, grid_no, score and edits of all pairs of ``asked`` (_asked, _text) and grid rows with a word in common, within ``edits``.
+
+    ``every`` word must be found, or a share of ``least`` (else any); ``restrict`` also wants as many words. The score
+    is how many words are found, and one more than their number if the grid row has as many
+    words. Candidates share a variant of a word, by an equi-join at any size. Where more than one
+    word must be found, a text asks only by its rarest words, of which one must be among those: a
+    word that all texts and grid rows have brings no candidates then.
+    """
+    return _with_rows(*_scored(asked, grid, grid_column, edits, every, restrict, least, stemmed))
+
+
+def _best_pairs(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
+    """``scored_pairs`` of the distinct texts of a column, with only the best score of each: other grid rows are not met."""
+    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_text", F.col("_asked"))
+    scores, seen = _scored(asked, grid, grid_column, edits, every, restrict, least, stemmed)
+    rank = F.rank().over(Window.partitionBy("_asked").orderBy(F.desc("score")))
+    return _with_rows(scores.withColumn("_rank", rank).filter("_rank = 1").drop("_rank"), seen)
+
+
 def lookup_fuzzy(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int = 1, every: bool = False, restrict: bool = False, least: float = 0.0, stemmed: bool = False) -> DataFrame:
     """The best grid row for each text by ``scored_pairs``; ties go to fewer edits in all, then to the lower grid_no.
 
     Distinct texts are looked up once; a text without a match has nulls.
     """
-    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_text", F.col("_asked"))
-    rank = F.row_number().over(Window.partitionBy("_asked").orderBy(F.desc("score"), "edits", "grid_no"))
-    best = scored_pairs(asked, grid, grid_column, edits, every, restrict, least, stemmed).withColumn("_rank", rank).filter("_rank = 1")
-    best = best.select("_asked", "grid_no", "score").join(grid, "grid_no")
+    pairs = _best_pairs(frame, column, grid, grid_column, edits, every, restrict, least, stemmed)
+    best = pairs.groupBy("_asked").agg(F.min(F.struct("edits", "grid_no")).alias("_best"), F.max("score").alias("score"))
+    best = best.select("_asked", "_best.grid_no", "score").join(grid.hint("merge"), "grid_no")
     return frame.join(best, F.col(column) == F.col("_asked"), "left").drop("_asked")
 
 
 def leading_hits(frame: DataFrame, column: str, grid: DataFrame, grid_column: str, edits: int = 0) -> DataFrame:
     """All grid rows of the best score for each text, not one of them; a text without a match has one row of nulls."""
-    asked = frame.select(F.col(column).alias("_asked")).distinct().withColumn("_text", F.col("_asked"))
-    rank = F.rank().over(Window.partitionBy("_asked").orderBy(F.desc("score"), "edits"))
-    best = scored_pairs(asked, grid, grid_column, edits).withColumn("_rank", rank).filter("_rank = 1")
-    return frame.join(best.select("_asked", "grid_no", "score").join(grid, "grid_no"), F.col(column) == F.col("_asked"), "left").drop("_asked")
+    rank = F.rank().over(Window.partitionBy("_asked").orderBy("edits"))
+    best = _best_pairs(frame, column, grid, grid_column, edits).withColumn("_rank", rank).filter("_rank = 1")
+    return frame.join(best.select("_asked", "grid_no", "score").join(grid.hint("merge"), "grid_no"), F.col(column) == F.col("_asked"), "left").drop("_asked")
 
 
 @dataclass(frozen=True)
