@@ -15,3 +15,12 @@ def test_grid_rows_that_look_alike_are_scored_once(spark, monkeypatch):
         monkeypatch.setattr(lookup, "NAMED", named)
         found.append(sorted((str(r.v), r.grid_no, r.score) for r in lookup.lookup_fuzzy(asked, "v", grid, "name").collect()))
     assert found[0] == found[1] == [("None", None, None), ("blue", None, None), ("red", 1, 1.0), ("red ring", 1, 2.0)]
+
+
+def test_no_lookup_table_is_broadcast_by_its_estimated_size(spark, tmp_path):
+    spark.range(200).select(F.col("id").alias("grid_no"), F.concat(F.lit("customer "), F.col("id").cast("string")).alias("name")).write.parquet(str(tmp_path / "grid"))
+    grid = spark.read.parquet(str(tmp_path / "grid"))
+    asked = grid.select(F.col("name").alias("_asked"), F.col("name").alias("_text"))
+    for every in (True, False):
+        plan = lookup.scored_pairs(asked, grid, "name", every=every)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan
