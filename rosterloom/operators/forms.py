@@ -364,8 +364,12 @@ def character_lines(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
         return let(at, lambda n: F.struct(lines(n).alias("lines"), F.array_append(done["of"], F.when(n > 0, n).otherwise(F.size(done["lines"]) + 1)).alias("of")))
 
     of = F.aggregate("spans", none, step, lambda done: done["of"])
-    lined = pages.select(*key, "page", F.explode(F.arrays_zip("spans", of.alias("of"))).alias("z")).select(*key, "page", "z.spans.y0", "z.spans.y1", F.col("z.of").alias("line"))
-    return seen.join(lined, [*key, "page", "y0", "y1"])
+    # One row for each page meets its characters, by page alone: what follows is by page and line, and deals nothing out again.
+    box_of = lambda y0, y1: F.struct((y0 + 0.0).alias("y0"), (y1 + 0.0).alias("y1"))
+    lined = pages.select(*key, "page", F.transform("spans", lambda span: box_of(span["y0"], span["y1"])).alias("_boxes"), of.alias("_of"))
+    joined = seen.filter("y0 IS NOT NULL AND y1 IS NOT NULL").join(lined.hint("merge"), [*key, "page"])
+    at = F.array_position("_boxes", box_of(F.col("y0"), F.col("y1"))).cast("int")
+    return joined.withColumn("line", F.try_element_at("_of", at)).drop("_boxes", "_of")
 
 
 def words_from_boxes(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -379,10 +383,13 @@ def words_from_boxes(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
     along = Window.partitionBy(*line).orderBy("x0", "y0", "x1", "y1", "seq")
     gap = F.col("x0") - F.lag("x1").over(along)
     lined = lined.withColumns({"_gap": gap, "_place": F.row_number().over(along), "_other": ~F.struct("font", "size").eqNullSafe(F.lag(F.struct("font", "size")).over(along))})
-    gaps = lined.filter("_gap IS NOT NULL").groupBy(*line, F.greatest("_gap", F.lit(0.0)).alias("_common")).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    modes = gaps.groupBy(*line).agg(F.max_by("_common", F.struct("_n", -F.col("_first"))).alias("_mode"))
+    # All windows are of one line, so that characters are dealt out by page once.
+    common = F.when(F.col("_gap").isNotNull(), F.greatest("_gap", F.lit(0.0)) + 0.0)
+    alike = Window.partitionBy(*line, "_common")
+    gaps = lined.withColumn("_common", common).withColumn("_often", F.struct(F.count("*").over(alike).alias("n"), (-F.min("_place").over(alike)).alias("first")))
+    modes = gaps.withColumn("_mode", F.max_by("_common", F.when(F.col("_common").isNotNull(), F.col("_often"))).over(Window.partitionBy(*line)))
     ends = (F.floor("_gap") > F.col("_mode")) | F.col("_other")
-    numbered = lined.join(modes, line, "left").withColumn("_new", F.coalesce((F.col("_place") > 1) & ends, F.lit(False)).cast("int"))
+    numbered = modes.withColumn("_new", F.coalesce((F.col("_place") > 1) & ends, F.lit(False)).cast("int"))
     numbered = numbered.withColumn("word_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "char"))), lambda c: c["char"]), "")
     return numbered.groupBy(*line, "word_no").agg(
@@ -393,11 +400,14 @@ def words_from_boxes(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
 def laid_out(words: DataFrame, key: list[str] = KEY, top: float = 20.0, between: float = 1.0) -> DataFrame:
     """``words`` (with line) with the lines of each page laid below each other, ``between`` apart from ``top`` on; words take their line's height."""
     line = [*key, "page", "line"]
-    lines = words.groupBy(*line).agg(F.min("y0").alias("_y0"), F.max("y1").alias("_y1"))
-    down = Window.partitionBy(*key, "page").orderBy("_y0", "_y1", "line")
-    end = F.lit(top) + F.sum(F.col("_y1") - F.col("_y0") + between).over(down.rowsBetween(Window.unboundedPreceding, 0)) - between
-    placed = lines.select(*line, F.round(end - (F.col("_y1") - F.col("_y0")), 3).alias("y0"), F.round(end, 3).alias("y1"))
-    return words.drop("y0", "y1").join(placed, line)
+    of = Window.partitionBy(*line)
+    lined = words.withColumns({"_y0": F.min("y0").over(of), "_y1": F.max("y1").over(of), "_lead": F.row_number().over(of.orderBy("word_no")) == 1})
+    # Words of a line are peers: each has the sum over all lines down to its own, of which one word counts.
+    down = Window.partitionBy(*key, "page").orderBy("_y0", "_y1", "line").rangeBetween(Window.unboundedPreceding, 0)
+    height = F.col("_y1") - F.col("_y0")
+    end = F.lit(top) + F.sum(F.when(F.col("_lead"), height + between).otherwise(0.0)).over(down) - between
+    placed = lined.withColumn("_end", end).withColumns({"y0": F.round(F.col("_end") - height, 3), "y1": F.round("_end", 3)})
+    return placed.select(*line, *(c for c in words.columns if c not in (*line, "y0", "y1")), "y0", "y1")
 
 
 def margin_fit(words: DataFrame, found: DataFrame, expected: DataFrame, key: list[str] = KEY) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rosterloom.operators import lookup
+from rosterloom.operators import forms, lookup
 
 
 def test_grid_rows_that_look_alike_are_scored_once(spark, monkeypatch):
@@ -24,3 +24,11 @@ def test_no_lookup_table_is_broadcast_by_its_estimated_size(spark, tmp_path):
     for every in (True, False):
         plan = lookup.scored_pairs(asked, grid, "name", every=every)._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" not in plan
+
+
+def test_characters_are_dealt_out_once(spark):
+    """One exchange of the characters and two of their heights, however many windows follow."""
+    chars = spark.range(60).selectExpr("id % 3 AS doc_id", "id % 2 + 1 AS page", "id AS seq", "(id % 20) * 6.0D AS x0", "(id % 2) * 20.0D AS y0", "(id % 20) * 6.0D + 5 AS x1", "(id % 2) * 20.0D + 9 AS y1", "'a' AS char", "'r' AS font", "9 AS size")
+    found = forms.laid_out(forms.words_from_boxes(chars))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert found.count() > 0
