@@ -42,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows that take long each, dealt out to all cores: a short file of many rows is one task otherwise."""
+    return frame.repartition(4 * frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GRID, "grid_no int, grid_name string, code string")
 

@@ -11,7 +11,7 @@ from rosterloom.errors import is_message, parts
 from rosterloom.functions import clean, hours, tagging, text
 from rosterloom.operators import keys, lookup, rows, templates, update
 from rosterloom.plans import program
-from rosterloom.queries import GRID, GRID_SQL, grid, query, table
+from rosterloom.queries import GRID, GRID_SQL, grid, query, spread, table
 from rosterloom.schema import ColumnRef, assign_headers, drift_rows, match_formats
 from rosterloom.sources import config, spreadsheet, tables
 from rosterloom.streaming import ingest
@@ -417,7 +417,7 @@ def q_address_parts(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     line = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("P.O. Box "), key, F.lit(", Salem, or 97301"))).when(F.col("c_custkey") % 4 == 1, F.concat(key, F.lit(" North  Oak Hill St., New Town, IL 62704")))
     line = line.when(F.col("c_custkey") % 4 == 2, F.concat(key, F.lit(" Elm Avenue Suite 12B, Springfield OH 43215-1234"))).otherwise(F.concat(key, F.lit(" Elm, # 7")))
-    rows_ = table(spark, sf_dir, "customer").select("c_custkey", tagging.address_parts(line).alias("a"), program.po_box(line).alias("po_box"))
+    rows_ = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", tagging.address_parts(line).alias("a"), program.po_box(line).alias("po_box"))
     return rows_.select("c_custkey", "a.*", "po_box").drop("recipient", "post_direction")
 
 
@@ -456,7 +456,7 @@ def q_address_tags(spark, sf_dir):
     line = F.concat(front, F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(","), dealt["unit"], comma, dealt["city"], F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(" , "), state, F.lit(" "), zip_code)
     none = F.lit(None).cast("string")
     cleansed = tagging.parsed_address(text.joined_words(front, dealt["unit"]), none, text.joined_words(dealt["city"], state), none, zip_code)
-    return table(spark, sf_dir, "customer").select("c_custkey", tagging.address_parts(line).alias("a"), cleansed.alias("cleansed")).select("c_custkey", *(f"a.{n}" for n in [*_PIECES, "street", "state", "zip"]), "cleansed")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", tagging.address_parts(line).alias("a"), cleansed.alias("cleansed")).select("c_custkey", *(f"a.{n}" for n in [*_PIECES, "street", "state", "zip"]), "cleansed")
 
 
 @query("""
@@ -491,7 +491,7 @@ _PHRASES = [
 SELECT o_orderkey, mon, fri, sat, days AS n_days FROM orders JOIN (VALUES {", ".join(f"({i}, '{m}', '{f}', '{s}', {d})" for i, (_, m, f, s, d) in enumerate(_PHRASES))}) p(n, mon, fri, sat, days) ON n = o_orderkey % {len(_PHRASES)}""")
 def q_work_hours(spark, sf_dir):
     phrase = F.get(F.array(*(F.lit(p[0]) for p in _PHRASES)), (F.col("o_orderkey") % len(_PHRASES)).cast("int"))
-    found = table(spark, sf_dir, "orders").select("o_orderkey", hours.working_hours(phrase).alias("h"))
+    found = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", hours.working_hours(phrase).alias("h"))
     of = lambda day: F.coalesce(F.concat(F.try_element_at("h", F.lit(day))["start"], F.lit("-"), F.try_element_at("h", F.lit(day))["end"]), F.lit("")).alias(day)
     return found.select("o_orderkey", *map(of, ("mon", "fri", "sat")), F.size("h").alias("n_days"))
 

@@ -1,8 +1,16 @@
 """What keeps the work of queries in proportion to their tables."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+import rosterloom.form_queries  # noqa: F401
+import rosterloom.rule_queries  # noqa: F401
 from rosterloom.operators import forms, lookup
+from rosterloom.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_grid_rows_that_look_alike_are_scored_once(spark, monkeypatch):
@@ -32,3 +40,10 @@ def test_characters_are_dealt_out_once(spark):
     found = forms.laid_out(forms.words_from_boxes(chars))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
     assert found.count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["q_address_tags", "q_address_parts", "q_work_hours", "q_table_cells"])
+def test_a_short_file_is_not_one_task(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
