@@ -11,12 +11,16 @@ from rosterloom.queries import query, table
 
 #: A line has so many words, a form page so many lines.
 PER_LINE, LINES = 8, 10
+#: The pages are in so many parts for each core: a part in work is much larger than its html.
+PARTS = 4
 
 
 def form_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each page's text, in lines on form pages."""
     found = F.regexp_extract_all(F.regexp_replace("html", "<[^>]*>", " "), F.lit(r"[^ \n]+"), F.lit(0))
-    words = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("w", "word"))
+    # Pages are dealt out by document once, as html; what follows is by document and needs no other shuffle of words.
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html").repartition(PARTS * spark.sparkContext.defaultParallelism, "doc_id")
+    words = pages.select("doc_id", F.posexplode(found).alias("w", "word"))
     x, line = F.col("w") % PER_LINE * 50.0, F.floor(F.col("w") / PER_LINE)
     y = line % LINES * 12.0
     laid = words.select("doc_id", (F.floor(line / LINES) + 1).cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + F.least(F.length("word"), F.lit(9)) * 5.0).alias("x1"), (y + 10.0).alias("y1"), "word")
