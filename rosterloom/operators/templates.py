@@ -11,8 +11,11 @@ from rosterloom.operators.update import first_of_group
 
 
 def shared_keys(frames: list[DataFrame], key: list[str]) -> DataFrame:
-    """The keys that every frame has."""
-    return reduce(lambda a, b: a.intersect(b), (f.select(*key) for f in frames)).distinct()
+    """The keys that every frame has, to be joined by hash: each is there once, so that the other side's rows are neither sorted nor held, however many a key has."""
+    marked = (f.select(*key, F.lit(i).alias("_frame")) for i, f in enumerate(frames))
+    flags = [F.bool_or(F.col("_frame") == i).alias(f"_in{i}") for i in range(len(frames))]
+    every = reduce(lambda a, b: a & b, (F.col(f"_in{i}") for i in range(len(frames))))
+    return reduce(lambda a, b: a.unionAll(b), marked).groupBy(*key).agg(*flags).filter(every).select(*key).hint("shuffle_hash")
 
 
 def across(frames: dict[str, DataFrame], key: list[str], column: str) -> DataFrame:

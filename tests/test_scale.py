@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import rosterloom.form_queries  # noqa: F401
 import rosterloom.rule_queries  # noqa: F401
 from rosterloom.operators import forms, lookup
+from rosterloom.plans import program
 from rosterloom.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -34,6 +35,15 @@ def test_no_lookup_table_is_broadcast_by_its_estimated_size(spark, tmp_path):
         assert "BroadcastExchange" not in plan
 
 
+def test_tables_that_share_keys_are_not_sorted(spark):
+    frames = {n: spark.createDataFrame([(k, n) for k in keys], "k int, v string") for n, keys in {"a": [1, 1, 2, None, 4], "b": [2, 1, None, 3], "c": [2, 5, 1]}.items()}
+    found = program.move_common(frames, ["a", "b", "c"], "all", ["k"])
+    assert {n: sorted((r.k or 0, r.v) for r in f.collect()) for n, f in found.items()} == {"a": [(0, "a"), (4, "a")], "b": [(0, "b"), (3, "b")], "c": [(5, "c")], "all": [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c")]}
+    for frame in found.values():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortKey", "") and "BroadcastExchange" not in plan
+
+
 def test_characters_are_dealt_out_once(spark):
     """One exchange of the characters and two of their heights, however many windows follow."""
     chars = spark.range(60).selectExpr("id % 3 AS doc_id", "id % 2 + 1 AS page", "id AS seq", "(id % 20) * 6.0D AS x0", "(id % 2) * 20.0D AS y0", "(id % 20) * 6.0D + 5 AS x1", "(id % 2) * 20.0D + 9 AS y1", "'a' AS char", "'r' AS font", "9 AS size")
