@@ -25,6 +25,20 @@ def variants(word: Column, edits: int) -> Column:
     return found
 
 
+def near_keys(word: Column, edits: int, asked: bool) -> Column:
+    """Keys by which an ``asked`` word meets a grid word (not ``asked``): of any two within ``edits`` one is the same.
+
+    Within one edit two words are equal, or one is the other without a letter, or both are equal without the
+    letter at the same place. These have keys of their own, so that no other words meet; more edits go by ``variants``.
+    """
+    if edits != 1:
+        return variants(word, edits)
+    fewer = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    placed = F.transform(fewer, lambda w, i: F.concat(i.cast("string"), F.lit(":"), w))
+    other = F.transform(fewer, lambda w: F.concat(F.lit("-"), w)) if asked else F.concat(fewer, F.array(F.concat(F.lit("-"), word)))
+    return F.concat(F.array(word), F.array_distinct(other), placed)
+
+
 def lookup_exact(frame: DataFrame, column: str, grid: DataFrame, grid_column: str) -> DataFrame:
     """The grid row with the same words in the same order: an equi-join on normalised text, the first row of equals. A text without words has none."""
     first = Window.partitionBy("_normal").orderBy("grid_no")
@@ -41,9 +55,9 @@ def stem(word: Column) -> Column:
 
 
 def _rarest_keys(asked: DataFrame, grid_keys: DataFrame, edits: int, least: float) -> DataFrame:
-    """_asked and _key: the variants of so many of a text's words, by the grid rows they would meet, that a match has one of them."""
+    """_asked and _key: the keys of so many of a text's words, by the grid rows they would meet, that a match has one of them."""
     words_ = asked.select("_asked", F.size("_q").alias("_n"), F.posexplode("_q").alias("_place", "_word"))
-    variants_ = words_.select("_asked", "_n", "_place", F.explode(variants(F.col("_word"), edits)).alias("_key"))
+    variants_ = words_.select("_asked", "_n", "_place", F.explode(near_keys(F.col("_word"), edits, True)).alias("_key"))
     # A short grid has many variants, which Spark's estimate of its size doesn't know: no side is broadcast.
     counted = variants_.join(grid_keys.groupBy("_key").agg(F.count("*").alias("_rows")).hint("merge"), "_key", "left")
     weighed = counted.groupBy("_asked", "_n", "_place").agg(F.sum(F.coalesce("_rows", F.lit(0))).alias("_rows"), F.collect_list("_key").alias("_keys"))
@@ -57,12 +71,12 @@ NAMED = 1000
 
 
 def _seen_words(asked: DataFrame, held: DataFrame, edits: int) -> DataFrame:
-    """``held`` (grid_no, _g) with _seen and _size: the words of a grid row that share a variant with an asked word, and how many it has; rows without such a word go.
+    """``held`` (grid_no, _g) with _seen and _size: the words of a grid row that share a key with an asked word, and how many it has; rows without such a word go.
 
     Rows that look alike to all asked texts are alike in both, so that they are scored once.
     """
-    cut = lambda frame, column: frame.select(F.explode(column).alias("_word")).distinct().select("_word", F.explode(variants(F.col("_word"), edits)).alias("_key"))
-    known = cut(held, "_g").join(cut(asked, "_q").select("_key").distinct().hint("merge"), "_key", "left_semi").select("_word").distinct()
+    cut = lambda frame, column, own: frame.select(F.explode(column).alias("_word")).distinct().select("_word", F.explode(near_keys(F.col("_word"), edits, own)).alias("_key"))
+    known = cut(held, "_g", False).join(cut(asked, "_q", True).select("_key").distinct().hint("merge"), "_key", "left_semi").select("_word").distinct()
     few = [r["_word"] for r in known.limit(NAMED + 1).collect()]
     if len(few) <= NAMED:
         seen = held.withColumn("_seen", F.array_sort(F.array_distinct(F.filter("_g", lambda w: w.isin(few))))).filter(F.size("_seen") > 0)
@@ -78,17 +92,20 @@ def _scored(asked: DataFrame, grid: DataFrame, grid_column: str, edits: int, eve
     asked = asked.withColumn("_q", cut(F.col("_text"))).filter(F.size("_q") > 0)
     held = grid.select("grid_no", cut(F.col(grid_column)).alias("_g")).filter(F.size("_g") > 0)
     near = lambda q, g: F.levenshtein(q, g) <= edits
-    keys = lambda found: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: variants(w, edits))))).alias("_key")
+    keys = lambda found, own: F.explode(F.array_distinct(F.flatten(F.transform(found, lambda w: near_keys(w, edits, own))))).alias("_key")
     # Spark's estimates don't know how many words and variants a short table has: none of these is broadcast.
     seen = _seen_words(asked, held, edits)
-    grid_keys = seen.select("_seen", "_size").distinct().select("_seen", "_size", keys("_seen"))
-    asked_keys = _rarest_keys(asked, grid_keys, edits, 1.0 if every else least) if every or least else asked.select("_asked", keys("_q"))
-    shared = asked_keys.join(grid_keys.hint("merge"), "_key").select("_asked", "_seen", "_size").distinct()
+    grid_keys = seen.select("_seen", "_size").distinct().select("_seen", "_size", keys("_seen", False))
+    asked_keys = _rarest_keys(asked, grid_keys, edits, 1.0 if every else least) if every or least else asked.select("_asked", keys("_q", True))
+    # Dealt out by text once: what follows, to the best of a text, stays there. The number keeps many narrow pairs from being merged into a few tasks.
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = asked_keys.join(grid_keys.hint("merge"), "_key").select("_asked", "_seen", "_size").repartition(parts, "_asked").distinct()
     pairs = shared.join(asked.select("_asked", "_q").hint("merge"), "_asked")
     size, hit = F.size("_q"), F.size(F.filter("_q", lambda q: F.exists("_seen", lambda g: near(q, g))))
-    pairs = pairs.withColumn("_hit", hit).filter("_hit > 0").withColumn("score", F.col("_hit") * 1.0 + F.when(F.col("_size") == size, size + 1).otherwise(0))
-    if every or least:
-        pairs = pairs.filter(F.col("_hit") >= size * (1.0 if every else least))
+    # One condition, and with ``every`` no count besides: each mention of ``hit`` compares all words again.
+    wanted = size if every else F.greatest(F.lit(1), size * least) if least else F.lit(1)
+    pairs = pairs.filter(hit >= wanted).withColumn("_hit", size if every else hit)
+    pairs = pairs.withColumn("score", F.col("_hit") * 1.0 + F.when(F.col("_size") == size, size + 1).otherwise(0))
     if restrict:
         pairs = pairs.filter(F.col("_size") == size)
     return pairs.select("_asked", "_q", "_seen", "_size", "score"), seen

@@ -1,5 +1,6 @@
 """What keeps the work of queries in proportion to their tables."""
 
+import itertools
 import os
 
 import pytest
@@ -26,6 +27,15 @@ def test_grid_rows_that_look_alike_are_scored_once(spark, monkeypatch):
     assert found[0] == found[1] == [("None", None, None), ("blue", None, None), ("red", 1, 1.0), ("red ring", 1, 2.0)]
 
 
+def test_words_meet_only_within_one_edit(spark):
+    cut = lambda n: {"".join(t) for t in itertools.product("ab0", repeat=n)}
+    rows = spark.createDataFrame([(w,) for w in sorted(cut(1) | cut(2) | cut(3) | {"abc0", "acb0", "bacb"})], "w string")
+    side = lambda own: rows.select(F.col("w").alias("q" if own else "g"), F.explode(lookup.near_keys(F.col("w"), 1, own)).alias("k"))
+    met = {tuple(r) for r in side(True).join(side(False), "k").select("q", "g").distinct().collect()}
+    near = rows.select(F.col("w").alias("q")).crossJoin(rows.select(F.col("w").alias("g"))).filter(F.levenshtein("q", "g") <= 1)
+    assert met == {tuple(r) for r in near.collect()}
+
+
 def test_no_lookup_table_is_broadcast_by_its_estimated_size(spark, tmp_path):
     spark.range(200).select(F.col("id").alias("grid_no"), F.concat(F.lit("customer "), F.col("id").cast("string")).alias("name")).write.parquet(str(tmp_path / "grid"))
     grid = spark.read.parquet(str(tmp_path / "grid"))
