@@ -8,10 +8,11 @@ shingles themselves. Classes are the connected components of the links.
 
 Points meet only where a link is possible at all: of two similar sets, some of the first shingles
 in the order of hashes are common, so the points with one such shingle are one bucket, and buckets
-of equal members are one. A set with too few shared ones has no link. A bucket's points are linked to its most typical one first; points
-that are then in other classes of one bucket, and whose shingles could be common with another
-class in sufficient number, are packed into pages of bounded size, the pages' boxes are joined,
-and each pair of pages that is left is searched by a tree of boxes. No link between classes is
+of equal members are one. A set with too few shared ones has no link. A bucket's points are linked to its most typical one first;
+what is then in buckets of several classes goes into fewer buckets, as similar texts share many, so
+that a pair meets about once. Points there whose shingles could be common with another
+class in sufficient number are packed into pages of bounded size, pages of a bucket and of near
+sizes meet, and each pair of pages is searched by a tree of boxes. No link between classes is
 lost, and none of the steps needs a bucket in one task.
 """
 
@@ -203,7 +204,7 @@ def _page_pairs(percent: int, whole: bool):
                 node, label, queries = _page(left)
                 other, named, points_ = (node, label, queries) if right is None else _page(right)
                 query, point = Tree(points_).near(queries, percent)
-                apart = label[query] != named[point]
+                apart = (label[query] != named[point]) & ((query < point) | (right is not None))
                 a.append(node[query[apart]])
                 b.append(other[point[apart]])
             found = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
@@ -253,23 +254,49 @@ def buckets(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     return members.select("bucket", "node"), alone
 
 
-def _paged(members: DataFrame) -> DataFrame:
+def merged(entries: DataFrame) -> DataFrame:
+    """Distinct (bucket, node) in fewer buckets, such that any two nodes of a bucket of ``entries`` (bucket, node) are in one of them too.
+
+    A node's top bucket is its largest one. A bucket goes into the smallest of its nodes' top
+    buckets, so that the many buckets of a group of similar texts become a few. Buckets that have
+    more pairs of nodes together than one by one stay as they are.
+    """
+    sizes = stored(entries.groupBy("bucket").agg(F.count("*").alias("n")))
+    sized = stored(entries.join(few(sizes), "bucket"))
+    top = sized.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("top"))
+    into = sized.join(top, "node").groupBy("bucket").agg(F.min("top").alias("into"), F.first("n").alias("n"))
+    into = stored(into.select("bucket", F.col("into.bucket").alias("into"), "n"))
+    together = stored(sized.join(few(into.select("bucket", "into")), "bucket").select("into", "node").distinct())
+    # As doubles: the square of a number of rows may be beyond a long.
+    pairs = together.groupBy("into").agg(F.pow(F.count("*"), F.lit(2)).alias("together"))
+    worth = stored(pairs.join(into.groupBy("into").agg(F.sum(F.pow("n", F.lit(2))).alias("single")), "into").select("into", (F.col("together") <= F.col("single")).alias("good")))
+    single = stored(into.join(few(worth.filter("NOT good").select("into")), "into").select("bucket"))
+    joint = together.join(few(worth.filter("good").select("into")), "into").select(F.col("into").alias("bucket"), "node")
+    return stored(joint.unionByName(sized.join(few(single), "bucket").select("bucket", "node")))
+
+
+def _paged(members: DataFrame, counts: DataFrame) -> DataFrame:
     """bucket, part, page and points of pages of about ``PAGE`` points at most; ``part`` is a range of sizes, null in a bucket of one page."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("n")))
     part = F.floor(F.log("size") / np.log(100 / PERCENT)).cast("int")
-    named = members.join(sizes, "bucket").withColumn("part", F.when(F.col("n") > PAGE, part))
+    named = members.join(few(sizes), "bucket").withColumn("part", F.when(F.col("n") > PAGE, part))
     large = stored(named.filter("part IS NOT NULL"))
     counted = large.groupBy("bucket", "part").agg(F.count("*").alias("of_part"))
     page = F.pmod(F.xxhash64("node"), F.ceil(F.col("of_part") / PAGE).cast("long")).cast("int")
     large = large.join(counted, ["bucket", "part"]).withColumn("page", page).drop("of_part")
     small = named.filter("part IS NULL").withColumn("page", F.lit(0))
     point = F.struct("node", "label", "size", "counts")
-    return small.unionByName(large).groupBy("bucket", "part", "page").agg(F.collect_list(point).alias("points"))
+    return small.unionByName(large).join(counts, "node").groupBy("bucket", "part", "page").agg(F.collect_list(point).alias("points"))
 
 
-def candidates(members: DataFrame, percent: int = PERCENT, whole: bool = True) -> DataFrame:
-    """Pairs (x, y) of nodes that are in one bucket with different labels and can be similar enough, by the tree; or, not ``whole``, their nodes."""
-    pages = stored(_paged(members))
+def candidates(members: DataFrame, percent: int = PERCENT, whole: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    """Pairs (x, y) of nodes that are in one bucket with different labels and can be similar enough, by the tree; or, not ``whole``, their nodes.
+
+    ``members`` are bucket, node, label and size; ``counts`` has the counts of each node, unless
+    ``members`` have them.
+    """
+    counts = members.select("node", "counts").dropDuplicates(["node"]) if counts is None else counts
+    pages = stored(_paged(members.select("bucket", "node", "label", "size"), counts))
     alone = pages.select(F.col("points").alias("x"), F.lit(None).cast(pages.schema["points"].dataType).alias("y"))
     # Sets of similar sizes are in one part or in two that are next to each other.
     reach = int(np.ceil(np.log(100 / percent) / np.log(100 / PERCENT) - 1e-9)) if percent < 100 else 0
@@ -293,11 +320,11 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stored(classes)
     nodes = rows.select(F.col("_row").alias("node"), "size", "first", "counts").join(few(classes.select("node")), "node")
     members, alone = buckets(nodes, percent)
-    active = stored(rows.select(F.col("_row").alias("node"), "size", "counts").join(few(alone), "node"))
+    active = stored(rows.select(F.col("_row").alias("node"), "size", "counts", "text").join(few(alone.select("node")), "node"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """``ids`` (node and other long columns) with the shingles of each node."""
-        texts = rows.select(F.col("_row").alias("node"), "text").join(few(ids), "node").select(*ids.columns, "text")
+        texts = active.select("node", "text").join(few(ids), "node").select(*ids.columns, "text")
         return texts.mapInArrow(_shingles, ", ".join(f"{c} long" for c in ids.columns) + ", shingles array<long>")
 
     def side(name: str, *columns: str) -> DataFrame:
@@ -315,23 +342,35 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         joined = pairs.distinct().join(side("x", "size", "counts"), "x").join(side("y", "size", "counts"), "y")
         return joined.select("x", "y", "x_counts", "y_counts", "x_size", "y_size").mapInArrow(_able_pairs(percent), "x long, y long")
 
-    def apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
-        """Those of ``entries`` (bucket, node) that may have a link to another label of their bucket, with label, size and counts."""
-        named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = stored(several(stored(named)).join(active, "node"))
-        near = stored(candidates(named, percent, whole=False).distinct())
+    def crossing(nodes: DataFrame) -> DataFrame:
+        """Those of ``nodes`` (node, label) that may be similar enough to one of another label: only shingles that are in sets of other labels too can be common with it."""
+        terms = stored(sets_of(nodes).select("node", "label", F.explode("shingles").alias("shingle")))
+        several_ = terms.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+        count = terms.join(several_, "shingle").groupBy("node").agg(F.count("*").alias("crossing"))
+        return stored(count.join(active.select("node", "size"), "node").filter(100 * F.col("crossing") >= percent * F.col("size")).select("node"))
+
+    def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """``entries`` (bucket, node) of buckets with several labels, with the label and size of the node."""
+        named = stored(entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        return stored(several(named).join(active.select("node", "size"), "node"))
+
+    def apart(named: DataFrame) -> DataFrame:
+        """Those of ``named`` entries that may have a link to another label of their bucket."""
+        # A bucket of many pages is searched for all pairs of them, so nodes that can have no link there go first.
+        wide = stored(named.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > PAGE).select("bucket"))
+        if not wide.isEmpty():
+            inside = stored(named.join(few(wide), "bucket"))
+            good = crossing(stored(inside.select("node", "label").distinct()))
+            named = stored(several(stored(named.join(few(wide), "bucket", "left_anti").unionByName(inside.join(few(good), "node").select(*named.columns)))))
+        near = stored(candidates(named, percent, False, active.select("node", "counts")).distinct())
         named = stored(several(stored(named.join(few(near), "node"))))
-        # Only shingles that are in sets of other labels too can be common with such a set.
-        terms = stored(sets_of(stored(named.select("node", "label").distinct())).select("node", "label", F.explode("shingles").alias("shingle")))
-        crossing = terms.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-        count = terms.join(crossing, "shingle").groupBy("node").agg(F.count("*").alias("crossing"))
-        able_ = stored(count.join(active.select("node", "size"), "node").filter(100 * F.col("crossing") >= percent * F.col("size")).select("node"))
-        return stored(several(stored(named.join(few(able_), "node"))))
+        good = crossing(stored(named.select("node", "label").distinct()))
+        return stored(several(stored(named.join(few(good), "node"))))
 
     leaders = members.join(alone, "node").groupBy("bucket").agg(F.min(F.struct("alone", "node")).alias("leader")).select("bucket", F.col("leader.node").alias("y"))
     edges = verified(bounded(members.select("bucket", F.col("node").alias("x")).join(leaders, "bucket").filter("x != y").select("x", "y")))
     labels = components(edges)
-    open_ = apart(members, labels)
+    open_ = apart(labelled(merged(labelled(members, labels).select("bucket", "node")), labels))
     if not open_.isEmpty():
         # The nodes outside a bucket's commonest class meet that class's most typical node first.
         most = open_.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most")).select("bucket", F.col("most.label").alias("most"))
@@ -339,9 +378,9 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         minor = open_.join(most, "bucket").filter("label != most").select(F.col("node").alias("x"), "most").distinct()
         edges = cut(edges.unionByName(verified(bounded(minor.join(centres, "most").select("x", "y")))))
         labels = components(edges)
-        open_ = apart(open_.select("bucket", "node"), labels)
+        open_ = apart(labelled(open_.select("bucket", "node"), labels))
     if not open_.isEmpty():
-        edges = edges.unionByName(verified(candidates(open_, percent)))
+        edges = edges.unionByName(verified(candidates(open_, percent, True, active.select("node", "counts"))))
         labels = components(edges)
     named = stored(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

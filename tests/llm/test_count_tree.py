@@ -1,3 +1,4 @@
+import collections
 import random
 import re
 
@@ -124,3 +125,39 @@ def test_odd_rows(odd_rows, no_rows):
     got = found(odd_rows)
     assert got == brute([(r.doc_id, r.text) for r in odd_rows.collect()]) and len(got) == 16
     assert found(no_rows) == []
+
+
+def test_similar_texts_of_several_classes_meet_about_once(spark, prose, monkeypatch):
+    """Texts that share many shingles, and so many buckets, without a link are not paired anew in each of these buckets."""
+    rng, rows, met = random.Random(8), [], []
+    for g in range(3):
+        base = prose(900 + g, 150).split()
+        for k in range(24):
+            copy = list(base)
+            for at in rng.sample(range(0, 150, 10), 3):
+                copy[at] = prose(rng.randrange(10**6), 1)
+            rows.append((100 * g + k, " ".join(copy)))
+    searched = count_tree.candidates
+
+    def seen(*args, **named):
+        out = searched(*args, **named).cache()
+        if out.columns == ["x", "y"]:
+            met.extend(tuple(sorted(r)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(count_tree, "candidates", seen)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert len(set(met)) > 20 and len(met) <= 4 * len(set(met))
+
+
+def test_merged_buckets_keep_every_pair(spark):
+    rng, entries = random.Random(9), set()
+    for g in range(6):
+        for b in range(30):
+            entries |= {(100 * g + b, 50 * g + k) for k in range(12) if rng.random() < 0.8}
+    entries |= {(1000 + b, rng.randrange(300)) for b in range(60) for _ in range(3)} | {(2000, n) for n in range(0, 300, 3)}
+    pairs = lambda rows: {(x, y) for b, x in rows for c, y in rows if b == c and x < y}
+    got = [tuple(r) for r in count_tree.merged(spark.createDataFrame(sorted(entries), "bucket long, node long")).collect()]
+    assert len(got) == len(set(got)) and pairs(entries) <= pairs(got)
+    squares = lambda rows: sum(n * n for n in collections.Counter(b for b, _ in rows).values())
+    assert len(got) < len(entries) / 3 and squares(got) < squares(entries) / 2
