@@ -8,7 +8,8 @@ shingles themselves. Classes are the connected components of the links.
 
 Points meet only where a link is possible at all: of two similar sets, some of the first shingles
 in the order of hashes are common, so the points with one such shingle are one bucket, and buckets
-of equal members are one. A set with too few shared ones has no link. A bucket's points are linked to its most typical one first;
+of equal members are one. A set with too few shared ones has no link. Which shingles are shared is counted on their hashes
+alone, before nodes go along; texts are read again, and only for the nodes that are left. A bucket's points are linked to its most typical one first;
 what is then in buckets of several classes goes into fewer buckets, as similar texts share many, so
 that a pair meets about once. Points there whose shingles could be common with another
 class in sufficient number are packed into pages of bounded size, pages of a bucket and of near
@@ -21,11 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterloom.llm.near_dup import components
-from rosterloom.llm.shared import cut, few, stored, with_row_id
+from rosterloom.llm.shared import among, cut, few, stored, with_row_id
 from rosterloom.llm.words import LOWER, SPACED, bounds, distinct_grams, hashes, slices
 
 #: GROUPS is the least number of groups.
@@ -36,9 +37,12 @@ PAGE, FAN = 512, 16
 PRUNE = 2
 #: One in so many shingles is looked at beyond those that must include a common one, so that more have to be common.
 EXTRA = 10
+#: Bits of a shingle's hash that name its bucket. Shingles with equal ones add candidates and lose none.
+NAMED = 40
 #: Pairs of a point and a box that are bounded at once, and pairs of pages that are unpacked at once.
 CHUNK, PAIRS = 1 << 13, 64
 _MOST = np.iinfo(np.uint8).max
+_NAME = np.uint64((1 << NAMED) - 1)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +79,9 @@ def _points(percent: int):
                 counts = _counts(of, codes, size)
                 digests = [xxhash.xxh3_128_digest(codes[a:b].tobytes()) if b > a else None for a, b in zip(edges[:-1], edges[1:])]
                 piece = batch.slice(row, n)
-                own = [pa.array(size), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(starts, pa.array(codes[first].view(np.int64))), pa.array(counts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *own], names=[*piece.schema.names, "size", "digest", "first", "counts"])
+                own = [pa.array(size), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(starts, pa.array((codes[first] & _NAME).view(np.int64))), pa.array(counts, pa.binary())]
+                names = [name for name in piece.schema.names if name != "text"]
+                yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in names), *own], names=[*names, "size", "digest", "first", "counts"])
 
     return run
 
@@ -229,10 +234,23 @@ def _able_pairs(percent: int):
 
 
 def points(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """_row, doc_id, text, size, digest, first and counts of every row of ``documents``, written once; the last three are null for texts without words."""
+    """_row, doc_id, key, size, digest, first and counts of every row of ``documents``, written once; the last three are null for texts without words.
+
+    ``key`` stands for the text, of which no copy is written.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", "text")
-    return stored(rows.mapInArrow(_points(percent), f"_row long, doc_id {kind}, text string, size long, digest binary, first array<long>, counts binary"))
+    rows = with_row_id(documents.select("doc_id", "text")).select("_row", "doc_id", text_key().alias("key"), "text")
+    return stored(rows.mapInArrow(_points(percent), f"_row long, doc_id {kind}, key binary, size long, digest binary, first array<long>, counts binary"))
+
+
+def text_key() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
+def texts_of(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, key and others), which are of different keys, with the text of each in place of its key."""
+    texts = among(documents.select(text_key().alias("key"), "text"), nodes.select("key"), "key")
+    return nodes.join(texts.groupBy("key").agg(F.first("text").alias("text")), "key").drop("key")
 
 
 def buckets(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +260,10 @@ def buckets(nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     other goes, and then those that shared too many with such nodes only.
     """
     entries = nodes.select("node", F.explode("first").alias("bucket"))
-    held = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.hash("node").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).filter("n > 1")
+    # Most shingles are of one set only: their nodes are not dealt out.
+    shared = stored(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
+    entries = stored(among(entries, shared, "bucket"))
+    held = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.hash("node").cast("long")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
     held = stored(held.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "times"))
     members, sizes = stored(entries.join(few(held), "bucket")), nodes.select("node", "size", F.size("first").alias("n_first"))
     for _ in range(PRUNE):
@@ -316,11 +337,13 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     whatever their names.
     """
     rows = points(documents, percent)
-    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"))
+    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("_row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = stored(classes)
-    nodes = rows.select(F.col("_row").alias("node"), "size", "first", "counts").join(few(classes.select("node")), "node")
+    copies = rows.select("digest", "_row").join(few(classes.filter("n > 1").select("digest", "node")), "digest").filter("_row != node").select("_row")
+    nodes = among(rows.filter("digest IS NOT NULL").select("_row", "size", "first"), stored(copies), "_row", False).withColumnRenamed("_row", "node")
     members, alone = buckets(nodes, percent)
-    active = stored(rows.select(F.col("_row").alias("node"), "size", "counts", "text").join(few(alone.select("node")), "node"))
+    active = stored(rows.select(F.col("_row").alias("node"), "key", "size", "counts").join(few(alone.select("node")), "node"))
+    active = stored(texts_of(documents, active))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """``ids`` (node and other long columns) with the shingles of each node."""
@@ -332,9 +355,12 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (x, y) those whose sets are similar enough, as (a, b)."""
-        pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = pairs.groupBy(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).agg(F.max(F.struct("x", "y")).alias("pair"))
+        pairs = stored(pairs.select(F.col("pair.x").alias("a"), F.col("pair.y").alias("b")))
         sets = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        both = few(pairs).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        # Nodes that many others are compared with are ``y``, and so few sets go to the second join.
+        second = sets.join(few(stored(pairs.select(F.col("b").alias("node")).distinct())), "node").select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+        both = few(pairs).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(second, "b")
         common = both.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("common"), (F.size("s") + F.size("t")).cast("long").alias("sum"))
         return cut(common.filter(100 * F.col("common") >= percent * (F.col("sum") - F.col("common"))).select("a", "b"))
 
@@ -344,9 +370,11 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def crossing(nodes: DataFrame) -> DataFrame:
         """Those of ``nodes`` (node, label) that may be similar enough to one of another label: only shingles that are in sets of other labels too can be common with it."""
-        terms = stored(sets_of(nodes).select("node", "label", F.explode("shingles").alias("shingle")))
-        several_ = terms.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-        count = terms.join(several_, "shingle").groupBy("node").agg(F.count("*").alias("crossing"))
+        terms = stored(sets_of(nodes)).select("node", "label", F.explode("shingles").alias("shingle"))
+        # Dealt out once: as sums and a join, a shingle's nodes would be dealt out after its labels were.
+        of = Window.partitionBy("shingle")
+        terms = terms.select("node", F.min("label").over(of).alias("low"), F.max("label").over(of).alias("high"))
+        count = terms.filter("low < high").groupBy("node").agg(F.count("*").alias("crossing"))
         return stored(count.join(active.select("node", "size"), "node").filter(100 * F.col("crossing") >= percent * F.col("size")).select("node"))
 
     def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -78,6 +78,31 @@ def few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def perhaps(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``perhaps``: false where column ``name`` is surely none of ``ids``'.
+
+    What is broadcast is a bitmap of at most ``BROADCAST_ROWS`` cells of 64 bits, whatever the number of ids.
+    """
+    cell = F.pmod(F.shiftright(F.xxhash64(name), 6), F.lit(BROADCAST_ROWS)).alias("_cell")
+    bit = f"shiftleft(1L, CAST(xxhash64(`{name}`) & 63 AS INT))"
+    cells = stored(ids.select(cell, F.expr(bit).alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits")))
+    joined = rows.select("*", cell).join(F.broadcast(cells), "_cell", "left")
+    return joined.select(*rows.columns, F.expr(f"coalesce(_bits & {bit} != 0, false)").alias("perhaps"))
+
+
+def among(rows: DataFrame, ids: DataFrame, name: str, inside: bool = True) -> DataFrame:
+    """The ``rows`` whose column ``name``, which is not null, is one of ``ids``' (distinct); or, not ``inside``, the other ones.
+
+    Where the ids are too many to be broadcast, only rows that are perhaps among them are dealt out.
+    """
+    how = "left_semi" if inside else "left_anti"
+    if ids.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(ids), name, how)
+    marked = perhaps(rows, ids, name)
+    found = marked.filter("perhaps").join(ids, name, how)
+    return (found if inside else marked.filter("NOT perhaps").unionByName(found)).select(*rows.columns)
+
+
 def without_rows(documents: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``documents`` without the rows whose ``_row`` ``rejected(numbered documents)`` returns.
 

@@ -1,11 +1,12 @@
 import collections
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
-from rosterloom.llm import count_tree
+from rosterloom.llm import count_tree, shared
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -161,3 +162,39 @@ def test_merged_buckets_keep_every_pair(spark):
     assert len(got) == len(set(got)) and pairs(entries) <= pairs(got)
     squares = lambda rows: sum(n * n for n in collections.Counter(b for b, _ in rows).values())
     assert len(got) < len(entries) / 3 and squares(got) < squares(entries) / 2
+
+
+def written(folder):
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+
+
+def test_no_copy_of_the_texts_is_written(spark, tmp_path, monkeypatch):
+    """What is put away for texts without a link is much smaller than they are."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.randbytes(4).hex() for _ in range(400))) for i in range(300)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(path)
+    kept = tmp_path / "kept"
+    kept.mkdir()
+    monkeypatch.setattr(shared, "shared_dir", lambda session: str(kept))
+    assert found(spark.read.parquet(path)) == sorted(((i, 396, i) for i in range(300)), key=str)
+    assert 0 < written(kept) < 0.6 * written(path)
+
+
+def test_the_same_components_if_nothing_is_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(count_tree, "few", lambda df: df)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute(rows)
+
+
+def test_rows_among_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 700, f"r{i}") for i in range(1400)], "id long, name string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 900, 7)], "id long")
+    want = sorted((i % 700, f"r{i}") for i in range(1400) if i % 700 % 7 == 0)
+    for most in (10, 1000):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, shared.among(rows, ids, "id").collect())) == want
+        other = shared.among(rows, ids, "id", False)
+        assert other.columns == rows.columns and sorted(map(tuple, other.collect())) == sorted(set(map(tuple, rows.collect())) - set(want))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 100)
+    assert shared.perhaps(rows, ids, "id").filter("perhaps").count() < 2 * len(want)
