@@ -11,15 +11,17 @@ from rosterloom.queries import query, table
 
 #: A line has so many words, a form page so many lines.
 PER_LINE, LINES = 8, 10
-#: The pages are in so many parts for each core: a part in work is much larger than its html.
-PARTS = 4
+#: The pages are in so many parts for each core, of so many pages at most: a part in work is much larger than its html.
+PARTS, PAGES = 4, 1000
 
 
 def form_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each page's text, in lines on form pages."""
     found = F.regexp_extract_all(F.regexp_replace("html", "<[^>]*>", " "), F.lit(r"[^ \n]+"), F.lit(0))
     # Pages are dealt out by document once, as html; what follows is by document and needs no other shuffle of words.
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html").repartition(PARTS * spark.sparkContext.defaultParallelism, "doc_id")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    parts = max(PARTS * spark.sparkContext.defaultParallelism, -(-pages.count() // PAGES))
+    pages = pages.repartition(parts, "doc_id")
     words = pages.select("doc_id", F.posexplode(found).alias("w", "word"))
     x, line = F.col("w") % PER_LINE * 50.0, F.floor(F.col("w") / PER_LINE)
     y = line % LINES * 12.0
@@ -153,7 +155,7 @@ lines AS (SELECT doc_id, page, line_y, max(bottom) - min(top) AS h, min(top) AS
 laid AS (SELECT *, 20 + sum(h + 1) OVER (PARTITION BY doc_id, page ORDER BY top ROWS UNBOUNDED PRECEDING) - 1 AS bottom FROM lines)
 SELECT doc_id, page, word_no, x0, x1, word, font, round(laid.bottom - h, 3) AS y0, round(laid.bottom, 3) AS y1 FROM words JOIN laid USING (doc_id, page, line_y)""")
 def q_words_from_boxes(spark, sf_dir):
-    return forms.laid_out(forms.words_from_boxes(form_characters(spark, sf_dir))).select("doc_id", "page", "word_no", "x0", "x1", "word", "font", "y0", "y1")
+    return forms.laid_words(form_characters(spark, sf_dir)).select("doc_id", "page", "word_no", "x0", "x1", "word", "font", "y0", "y1")
 
 
 @query(f"""

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterloom.functions.boxes import words_of_pages
 from rosterloom.functions.text import let
 
 #: How far a word may lie outside a region on the left and right, above and below.
@@ -337,64 +338,37 @@ def table_cells(words: DataFrame, by: list[str], gap: float, header_rows: int |
     return rows.select(*by, "row_no", F.posexplode("texts").alias("_column", "text")).select(*by, "row_no", (F.col("_column") + 1).alias("column_no"), "text")
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Whether two spans (y0, y1) are one line: one holds the other, or they share more than half of either one's height."""
-    shared = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
-    holds = ((a["y0"] <= b["y0"]) & (b["y1"] <= a["y1"])) | ((b["y0"] <= a["y0"]) & (a["y1"] <= b["y1"]))
-    return holds | ((shared >= 0) & (shared > 0.5 * F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])))
+def page_words(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Words (key, page, line, word_no, x0, y0, x1, y1, word, font, size) of characters (key, page, seq, x0, y0, x1, y1, char, font, size) that aren't blank.
 
+    In the order of ``seq``, a character joins the first line whose first character's height overlaps its own (one
+    holds the other, or they share more than half of either one), else it begins one; lines are numbered as they
+    begin. A line is read by x. A word ends where the gap, cut to whole units, is more than the line's commonest gap (of
+    equally common ones the first), or where the font or its size changes. _high is the height of a word's line, _below
+    that of all _rank lines of its page from the top down to it.
 
-def character_lines(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """``chars`` (key, page, seq, x0, y0, x1, y1, char, font, size) that aren't blank, with ``line``: lines are numbered as they begin.
-
-    In the order of ``seq``, a character joins the first line whose first character's height overlaps its own, else
-    it begins one. Characters of one height and place are decided once: the fold over a page goes
-    over its distinct heights, of which there are few.
+    A page's characters become one row, by page once, and a task goes over its pages by arrays of many pages at a time.
+    seq is a number.
     """
-    seen = chars.filter(F.trim("char") != "")
-    spans = seen.groupBy(*key, "page", "y0", "y1").agg(F.min("seq").alias("first"))
-    pages = spans.groupBy(*key, "page").agg(F.array_sort(F.collect_list(F.struct("first", "y0", "y1"))).alias("spans"))
-    box = "struct<y0:double,y1:double>"
-    none = F.struct(F.array().cast(f"array<{box}>").alias("lines"), F.array().cast("array<int>").alias("of"))
-
-    def step(done, span):
-        at = F.array_position(F.transform(done["lines"], lambda line: _overlap(span, line)), True).cast("int")
-        own = F.struct(span["y0"].cast("double").alias("y0"), span["y1"].cast("double").alias("y1"))
-        lines = lambda n: F.when(n > 0, done["lines"]).otherwise(F.array_append(done["lines"], own))
-        return let(at, lambda n: F.struct(lines(n).alias("lines"), F.array_append(done["of"], F.when(n > 0, n).otherwise(F.size(done["lines"]) + 1)).alias("of")))
-
-    of = F.aggregate("spans", none, step, lambda done: done["of"])
-    # One row for each page meets its characters, by page alone: what follows is by page and line, and deals nothing out again.
-    box_of = lambda y0, y1: F.struct((y0 + 0.0).alias("y0"), (y1 + 0.0).alias("y1"))
-    lined = pages.select(*key, "page", F.transform("spans", lambda span: box_of(span["y0"], span["y1"])).alias("_boxes"), of.alias("_of"))
-    joined = seen.filter("y0 IS NOT NULL AND y1 IS NOT NULL").join(lined.hint("merge"), [*key, "page"])
-    at = F.array_position("_boxes", box_of(F.col("y0"), F.col("y1"))).cast("int")
-    return joined.withColumn("line", F.try_element_at("_of", at)).drop("_boxes", "_of")
+    boxes = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    seen = chars.filter((F.trim("char") != "") & F.col("y0").isNotNull() & F.col("y1").isNotNull()).select(*key, "page", "seq", *boxes, "char", "font", "size")
+    pages = seen.groupBy(*key, "page").agg(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1", "char", "font", "size")).alias("_chars"))
+    kind = {f.name: f.dataType.simpleString() for f in seen.schema}
+    out = [*((c, kind[c]) for c in (*key, "page")), ("line", "int"), ("word_no", "bigint"), *((c, "double") for c in ("x0", "y0", "x1", "y1")), ("word", "string"), ("font", kind["font"]), ("size", kind["size"]), ("_high", "double"), ("_below", "double"), ("_rank", "bigint")]
+    return pages.mapInArrow(words_of_pages(key), ", ".join(f"`{c}` {t}" for c, t in out))
 
 
 def words_from_boxes(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Words (key, page, line, word_no, x0, y0, x1, y1, word, font, size) of single characters with boxes and fonts.
+    """The words of single characters with boxes and fonts; see ``page_words``."""
+    return page_words(chars, key).drop("_high", "_below", "_rank")
 
-    A line is read by x. A word ends where the gap, cut to whole units, is more than the line's commonest gap
-    (of equally common ones the first), or where the font or its size changes.
-    """
-    lined = character_lines(chars, key)
+
+def laid_words(chars: DataFrame, key: list[str] = KEY, top: float = 20.0, between: float = 1.0) -> DataFrame:
+    """``laid_out`` of ``words_from_boxes``, without dealing out or sorting the words: a page's lines are laid where its words are found."""
+    end = F.lit(top) + F.col("_below") + F.lit(between) * (F.col("_rank") - 1)
+    words = page_words(chars, key).withColumns({"y0": F.round(end - F.col("_high"), 3), "y1": F.round(end, 3)})
     line = [*key, "page", "line"]
-    along = Window.partitionBy(*line).orderBy("x0", "y0", "x1", "y1", "seq")
-    gap = F.col("x0") - F.lag("x1").over(along)
-    lined = lined.withColumns({"_gap": gap, "_place": F.row_number().over(along), "_other": ~F.struct("font", "size").eqNullSafe(F.lag(F.struct("font", "size")).over(along))})
-    # All windows are of one line, so that characters are dealt out by page once.
-    common = F.when(F.col("_gap").isNotNull(), F.greatest("_gap", F.lit(0.0)) + 0.0)
-    alike = Window.partitionBy(*line, "_common")
-    gaps = lined.withColumn("_common", common).withColumn("_often", F.struct(F.count("*").over(alike).alias("n"), (-F.min("_place").over(alike)).alias("first")))
-    modes = gaps.withColumn("_mode", F.max_by("_common", F.when(F.col("_common").isNotNull(), F.col("_often"))).over(Window.partitionBy(*line)))
-    ends = (F.floor("_gap") > F.col("_mode")) | F.col("_other")
-    numbered = modes.withColumn("_new", F.coalesce((F.col("_place") > 1) & ends, F.lit(False)).cast("int"))
-    numbered = numbered.withColumn("word_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "char"))), lambda c: c["char"]), "")
-    return numbered.groupBy(*line, "word_no").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("word"), F.min_by("font", "_place").alias("font"), F.min_by("size", "_place").alias("size"),
-    )
+    return words.select(*line, *(c for c in words.columns if c not in (*line, "y0", "y1", "_high", "_below", "_rank")), "y0", "y1")
 
 
 def laid_out(words: DataFrame, key: list[str] = KEY, top: float = 20.0, between: float = 1.0) -> DataFrame:

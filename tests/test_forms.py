@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from rosterloom.functions import boxes
 from rosterloom.operators import forms
 from rosterloom.operators.forms import Anchor, Delimiters, GroupBox, Region
 
@@ -310,6 +312,33 @@ def test_words_from_boxes(spark):
             assert laid[key][line] == pytest.approx((y0, end), abs=2e-3)
 
 
+def test_laid_words_are_the_words_laid_out(spark, monkeypatch):
+    """Also where pages are worked on one by one or all together, and with blanks, nulls, and a page of blanks alone."""
+    rng = random.Random(8)
+    rows = [(f"d{doc}", *r[1:]) for doc in range(12) for r in characters(rng, doc)]
+    rows += [("odd", 1, 0, None, 0.0, 5.0, 9.0, "a", None, 9), ("odd", 1, 1, 5.0, 0.0, None, 9.0, "é", None, 9), ("odd", 1, 2, 10.0, 0.0, 15.0, 9.0, "b", "r", None), ("odd", 1, 3, 15.0, None, 20.0, 9.0, "c", "r", None), ("odd", 1, 4, 20.0, 0.0, 25.0, 9.0, None, "r", 9)]
+    rows += [("blank", 1, 0, 0.0, 0.0, 5.0, 9.0, " ", "r", 9)]
+    chars = spark.createDataFrame(rows, "doc_id string, page int, seq int, x0 double, y0 double, x1 double, y1 double, char string, font string, size int").repartition(3)
+    want = sorted(map(str, forms.laid_out(forms.words_from_boxes(chars)).collect()))
+    assert sorted(map(str, forms.laid_words(chars).collect())) == want
+    assert [(r.word_no, r.x0, r.x1, r.word, r.font, r["size"]) for r in forms.words_from_boxes(chars).filter("doc_id = 'odd'").orderBy("word_no").collect()] == [(0, 5.0, 5.0, "aé", None, 9), (1, 10.0, 15.0, "b", "r", None)]
+    assert chars.filter("doc_id = 'blank'").count() == 1 and "blank" not in str(want)
+    at_once = list(boxes.words_of_pages(["doc_id"])(iter([pages_of_characters(rows)])))
+    monkeypatch.setattr(boxes, "TOGETHER", 1)
+    one_by_one = list(boxes.words_of_pages(["doc_id"])(iter([pages_of_characters(rows)])))
+    assert len(at_once) == 1 < len(one_by_one) and pa.Table.from_batches(at_once).to_pylist() == pa.Table.from_batches(one_by_one).to_pylist()
+    assert list(boxes.words_of_pages(["doc_id"])(iter([pages_of_characters(rows).slice(0, 0)]))) == [] and forms.laid_words(chars.limit(0)).count() == 0
+
+
+def pages_of_characters(rows):
+    names = ("seq", "x0", "y0", "x1", "y1", "char", "font", "size")
+    pages = {}
+    for r in rows:
+        if r[4] is not None and (r[7] or "").strip():
+            pages.setdefault(r[:2], []).append(dict(zip(names, r[2:])))
+    return pa.RecordBatch.from_pylist([{"doc_id": doc, "page": page, "_chars": found} for (doc, page), found in pages.items()])
+
+
 def test_margin_fit(spark, words, rows):
     """The least whole margins with which the expected texts are in their regions; smaller ones lose a text."""
     first = {(doc, "one"): pages_of(rows, doc)[1][1:3] for doc in range(40)}

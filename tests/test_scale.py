@@ -6,8 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-import rosterloom.form_queries  # noqa: F401
 import rosterloom.rule_queries  # noqa: F401
+from rosterloom import form_queries
 from rosterloom.operators import forms, lookup
 from rosterloom.plans import program
 from rosterloom.queries import QUERIES
@@ -62,6 +62,19 @@ def test_characters_are_dealt_out_once(spark):
     assert found.count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_only_html_is_dealt_out_for_words_from_boxes(spark):
+    """Characters and words stay where their page's html is, and are computed once."""
+    plan = QUERIES["q_words_from_boxes"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_more_pages_are_in_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(form_queries, "PAGES", 1)
+    assert form_queries.form_words(spark, DATA).rdd.getNumPartitions() == spark.read.parquet(f"{DATA}/pages.parquet").count() > form_queries.PARTS * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["q_address_tags", "q_address_parts", "q_work_hours", "q_table_cells"])
 def test_a_short_file_is_not_one_task(spark, name):
