@@ -352,7 +352,9 @@ def page_words(chars: DataFrame, key: list[str] = KEY) -> DataFrame:
     """
     boxes = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     seen = chars.filter((F.trim("char") != "") & F.col("y0").isNotNull() & F.col("y1").isNotNull()).select(*key, "page", "seq", *boxes, "char", "font", "size")
-    pages = seen.groupBy(*key, "page").agg(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1", "char", "font", "size")).alias("_chars"))
+    # A struct that is built before is kept as bytes; one built within the aggregate would be objects.
+    packed = seen.select(*key, "page", F.struct("seq", "x0", "y0", "x1", "y1", "char", "font", "size").alias("_char"))
+    pages = packed.groupBy(*key, "page").agg(F.collect_list("_char").alias("_chars"))
     kind = {f.name: f.dataType.simpleString() for f in seen.schema}
     out = [*((c, kind[c]) for c in (*key, "page")), ("line", "int"), ("word_no", "bigint"), *((c, "double") for c in ("x0", "y0", "x1", "y1")), ("word", "string"), ("font", kind["font"]), ("size", kind["size"]), ("_high", "double"), ("_below", "double"), ("_rank", "bigint")]
     return pages.mapInArrow(words_of_pages(key), ", ".join(f"`{c}` {t}" for c, t in out))
